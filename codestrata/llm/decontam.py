@@ -80,7 +80,7 @@ def scan(text: bytes | None, machines: list) -> tuple[int, int, list[str], list[
         ids.update(items)
     hit = np.cumsum(cover[:-1]) > 0
     edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
-    places = [m.span() for m in _WORD.finditer(text)]
+    places = [m.span() for m in _WORD.finditer(text.translate(_TABLE))]
     spans = [(places[a][0], places[b - 1][1]) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
     return len(words), int(hit.sum()), sorted(ids), spans
 
