@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, langid, packing, shards, tokens
+from . import decontam, html, langid, packing, shards, substrings, tokens
 from .common import word_regex_ws
 
 
@@ -42,6 +42,27 @@ FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN its ON d.doc_id = its.do
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without windows of 35 words whose sequence starts anywhere else."""
+    r = F.col("repeats")
+    kept = F.trim(F.regexp_replace(r.kept, r"[\x20\x09-\x0D]+", " "))
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", r.n_words.alias("n_words"), r.n_removed.alias("n_removed"), F.sha2(kept, 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+rep AS (SELECT s FROM win GROUP BY s HAVING count(*) > 1),
+cov AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM win WHERE s IN (SELECT s FROM rep)),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS s FROM words ANTI JOIN cov USING (doc_id, p) GROUP BY doc_id),
+gone AS (SELECT doc_id, count(*) AS n FROM cov GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.s, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id LEFT JOIN gone ON d.doc_id = gone.doc_id
+"""
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
 
@@ -82,6 +103,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
     "op6_sharding": op6_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
@@ -89,4 +111,4 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
 }
 
-ORACLE_SQL = {"op1_decontamination": OP1_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op4_substring_dedup": OP4_SQL}
