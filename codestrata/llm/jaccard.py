@@ -151,7 +151,7 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(common: Column, a: Column, b: Column, percent: int) -> Column:
-    return 100 * common >= percent * (a + b - common)
+    return F.lit(100).cast("long") * common >= F.lit(percent).cast("long") * (a + b - common)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -163,7 +163,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> Column:
-    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
+    return F.lit(100).cast("long") * F.least(a, b) >= F.lit(percent).cast("long") * F.greatest(a, b)
 
 
 def row_ids(docs: DataFrame, key: str, text: str) -> Column:
@@ -176,7 +176,7 @@ def prepare(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple
     """(rows: id, k, size, key of every text; sets: k, size, l, grams, m of each distinct set that may have a partner), written tables."""
     texts = docs.select(row_ids(docs, key, text).alias("id"), F.col(key).alias("key"), F.col(text).cast("binary").alias("__text"))
     rows = written(signatures(texts, n), "signatures")
-    need = F.ceil(F.col("size") * percent / F.lit(100))
+    need = F.ceil(F.col("size").cast("long") * percent / F.lit(100))
     alone = shared_grams(texts, n, SHARE).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
     # An id on several rows proves nothing about any of them.
     done = rows.groupBy("id").agg(F.count("*").alias("rows"), F.max("size").alias("size")).join(alone, "id").where((F.col("rows") == 1) & (F.col("alone") >= F.col("size") - need + 1))

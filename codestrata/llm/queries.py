@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, html, jaccard, langid, packing, shards, substrings, tokens
+from . import audio, decontam, html, jaccard, langid, licenses, packing, shards, substrings, tokens
 from .common import word_regex_ws
 
 
@@ -61,6 +61,19 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT x, min(y) AS y FROM
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents, laid out as files of repositories: one per source, with two levels of directories.
+
+    Every fortieth document is a licence file of its source, of a directory, or of a sub-directory.
+    """
+    i = F.coalesce(F.col("doc_id"), F.lit(0))
+    top, sub = F.concat(F.lit("p"), (i % 97).cast("string")), F.concat(F.lit("d"), (F.floor(i / 97) % 5).cast("string"))
+    kind = F.floor(i / 40) % 3
+    name = F.concat(F.lit("LICENSE-"), i.cast("string"))
+    path = F.when((i % 40 == 0) & (kind == 0), F.concat_ws("/", "source", name)).when((i % 40 == 0) & (kind == 1), F.concat_ws("/", "source", top, name)).when(i % 40 == 0, F.concat_ws("/", "source", top, sub, name)).otherwise(F.concat_ws("/", "source", top, sub, F.concat(i.cast("string"), F.lit(".txt"))))
+    return licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without windows of 35 words whose sequence starts anywhere else."""
     r = F.col("repeats")
@@ -115,6 +128,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.with_token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings that match every fiftieth one. Each vector is played as a melody that starts at a tone given by its label."""
+    e = table(spark, sf_dir, "embeddings")
+    prints = e.select("vec_id", audio.melody_fingerprints(F.col("embedding"), F.coalesce(F.col("label"), F.lit(0)) % 4).alias("print"))
+    return audio.search(prints, e.where("vec_id % 50 = 0").select("vec_id"), "vec_id")
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laid-out visible text of every page."""
     return html.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -123,11 +143,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_jaccard": op2_ngram_jaccard,
+    "op3_license_scan": op3_license_scan,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_language_id": op5_language_id,
     "op6_sharding": op6_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_token_counts": op8_token_counts,
+    "op9_audio_fingerprints": op9_audio_fingerprints,
     "op10_html_extraction": op10_html_extraction,
 }
 
