@@ -14,9 +14,10 @@ Steps, all distributed:
    a fixed share of hash space (SHARE) suffice: they are counted over all texts, with partial sums before the shuffle. Most texts end here.
 2. The rest are collapsed to distinct sets. Document frequencies of all their grams are counted exactly; sets with fewer than ``need`` grams
    that occur elsewhere go too; the others choose their prefixes.
-3. For classes, links inside a class already known need no verification. A few rounds link sets to one centre per posting list, so a group of
-   thousands of near copies costs its size, not its square. Then *all* candidates between different classes are verified: no link is lost,
-   no list is capped. ``links`` skips the rounds and verifies every candidate pair of distinct sets.
+3. For classes, sets are linked to a centre, one of their posting lists' sets. Two sets with one centre that do not both link to it are
+   compared by their differences from it (``near_candidates``), pairs with different centres by their prefixes (``far_candidates``). Both are
+   exact: no link between classes is lost, and no list is capped; yet a group of thousands of near copies costs its size, not its square.
+   ``links`` verifies every candidate pair of distinct sets instead.
 
 Edge cases: null, empty and blank texts have no grams and link with nothing; repeated rows and equal texts share a set; a null id is
 its own smallest id only if no other is there; an empty table gives an empty result; other columns are kept.
@@ -35,8 +36,8 @@ from .common import connected_components, gram_hashes, mix, pieces, signed, smal
 
 #: Share of hash space whose grams are counted over all texts in step 1.
 SHARE = 0.3
-#: Rounds with one centre per posting list before all remaining candidates are verified.
-ROUNDS = 3
+#: A set is compared by its difference from a centre if that is at most so many times what a link to the centre allows.
+NEAR = 3
 #: Verifying a candidate costs about this many postings, and so many more for each gram.
 VERIFY = 8.0
 VERIFY_GRAM = 0.05
@@ -191,60 +192,97 @@ def prepare(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple
     return rows, written(prefixes(pairs.join(small(sets.select("k", "size"), 24), "k").select("k", "size", "pairs"), percent), "prefixes")
 
 
-def _postings(sets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(k, size, l, label, h) for every gram of every prefix."""
-    p = sets.select("k", "size", "l", F.explode(F.slice("grams", 1, F.col("m"))).alias("h"))
-    return p.join(small(labels, 32), "k") if labels is not None else p.withColumn("label", F.col("k"))
+def _postings(sets: DataFrame) -> DataFrame:
+    """(k, size, l, own, h) for every gram of every prefix; own is the number of grams that no other set has."""
+    return sets.select("k", "size", "l", (F.col("size") - F.size("grams")).alias("own"), F.explode(F.slice("grams", 1, F.col("m"))).alias("h"))
 
 
-def star_round(sets: DataFrame, labels: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Verified links of sets to the centre of a posting list they share, across classes. The centre is the set of least hash in this turn."""
-    p = _postings(sets, labels)
-    least = F.min(F.struct(F.xxhash64("k", F.lit(turn)), F.col("k").alias("c"), F.col("label").alias("cl"), F.col("l").alias("c_l"), F.col("size").alias("c_size"))).alias("least")
-    centres = p.groupBy("h").agg(least, F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h", "least.c", "least.cl", "least.c_l", "least.c_size")
-    met = p.join(centres, "h").where("k <> c AND label <> cl").where(_sizes_fit("size", "c_size", percent))
-    pairs = met.groupBy("k", "c").agg(F.count("*").alias("n"), F.min("l").alias("l"), F.min("c_l").alias("c_l")).where("2 * n >= least(l, c_l)")
-    return written(verify(written(pairs.select(F.col("k").alias("a"), F.col("c").alias("b")), "pairs"), sets, percent), "links")
+def stars(sets: DataFrame, percent: int) -> DataFrame:
+    """(k, size, c, c_size, c_own, d, linked, delta) for every set: its centre and the difference from it.
 
-
-def all_candidates(sets: DataFrame, labels: DataFrame | None, percent: int) -> DataFrame:
-    """Every pair of sets of different classes that shares as many prefix grams as the smaller of its two l."""
-    p = _postings(sets, labels)
-    mixed = p.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("h")
-    p = written(p.join(mixed, "h"), "postings")
-    b = p.select("h", *(F.col(c).alias(f"{c}2") for c in ("k", "size", "l", "label")))
-    met = p.join(b, "h").where("k < k2 AND label <> label2").where(_sizes_fit("size", "size2", percent))
-    pairs = met.groupBy("k", "k2").agg(F.count("*").alias("n"), F.min(F.least("l", "l2")).alias("least")).where("n >= least")
-    return written(pairs.select(F.col("k").alias("a"), F.col("k2").alias("b")), "pairs")
+    The centre of a posting list is its set with the fewest grams of its own (then the least key); a set's centre is that of most of its
+    lists. d is the size of the symmetric difference, delta those of its grams that two sets have at all; the c_own grams that the centre
+    alone has are in the difference of every set. A set that differs by more than NEAR times what a link allows is its own centre.
+    """
+    p = _postings(sets)
+    centres = p.groupBy("h").agg(F.min(F.struct("own", F.col("k").alias("c"))).alias("m")).select("h", "m.c")
+    most = p.join(centres, "h").groupBy("k", "c").agg(F.count("*").alias("n")).groupBy("k").agg(F.max_by("c", F.struct("n", "c")).alias("c"))
+    pairs = written(most.where("k <> c"), "centres")
+    s = sets.select("k", "size", "grams")
+    both = s.join(small(pairs, 24), "k").join(s.select(F.col("k").alias("c"), F.col("size").alias("c_size"), F.col("grams").alias("c_grams")), "c")
+    d = (F.col("size") + F.col("c_size") - 2 * F.size(F.array_intersect("grams", "c_grams"))).cast("long")
+    allowed = (F.col("size") + F.col("c_size")).cast("long") * (100 - percent)
+    near = both.withColumn("d", d).where(F.col("d") * (100 + percent) <= NEAR * allowed)
+    delta = F.concat(F.array_except("grams", "c_grams"), F.array_except("c_grams", "grams"))
+    return written(near.select("k", "size", "c", "c_size", (F.col("c_size") - F.size("c_grams")).alias("c_own"), "d", (F.col("d") * (100 + percent) <= allowed).alias("linked"), delta.alias("delta")), "stars")
+
+
+def near_candidates(star: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets with one centre that may link although not both link to the centre.
+
+    With centre c, x and y differ by d(x) + d(y) - 2 * |delta(x) & delta(y)|, which a link bounds by e * (|x| + |y|), e = (100 - percent) /
+    (100 + percent). If x does not link to c, they must share more than half of d(y) - e * (|y| - |c|) grams of their deltas, and at least
+    d(x) - |x| * (100 - percent) / percent. So prefixes of the deltas, rarest grams first, find all such pairs. The centre's own grams, which
+    all deltas share, come last; one mark stands for them in a prefix that is long enough to reach them. Deltas of near copies are short
+    and mostly their own, so a group of many thousands around one text meets in few of them.
+    """
+    grams = star.select("k", "c", F.explode("delta").alias("h"))
+    frequent = grams.groupBy("c", "h").agg(F.count("*").alias("df")).where("df > 1")
+    lists = grams.join(frequent, ["c", "h"]).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("list"))
+    full = star.drop("delta").join(lists, "k", "left").withColumn("list", F.coalesce(F.col("list.h"), F.array().cast("array<long>")))
+    n = F.size("list")
+    outer = F.col("d") - F.floor(F.col("size").cast("long") * (100 - percent) / F.lit(percent))
+    inner = F.ceil((F.col("d") * (100 + percent) - (100 - percent) * (F.col("size") - F.col("c_size"))) / F.lit(2.0 * (100 + percent)))
+
+    def first(t: Column) -> Column:
+        t = F.greatest(F.lit(1).cast("long"), t)
+        marked = F.when(t <= F.col("c_own"), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<long>"))
+        return F.concat(F.slice("list", F.lit(1), F.least(n, F.greatest(F.lit(0).cast("long"), n + F.col("c_own") - t + 1)).cast("int")), marked)
+
+    left = full.where("NOT linked").select("c", F.col("k").alias("x"), F.col("size").alias("x_size"), F.explode(first(outer)).alias("h"))
+    right = full.select("c", F.col("k").alias("y"), F.col("size").alias("y_size"), F.explode(first(inner)).alias("h"))
+    left, right = (side.select("*", F.coalesce(F.xxhash64("c", "h"), F.lit(0)).alias("at"), F.col("h").isNull().alias("mark")).drop("h") for side in (left, right))
+    met = left.join(right.withColumnRenamed("c", "c2"), ["at", "mark"]).where("c = c2 AND x <> y").where(_sizes_fit("x_size", "y_size", percent))
+    return written(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
+
+
+def far_candidates(sets: DataFrame, star: DataFrame, percent: int) -> DataFrame:
+    """Every pair of sets with different centres and classes that shares as many prefix grams as the smaller of its two l.
+
+    In a posting list, only sets of other centres than the list's commonest meet the rest: two of the commonest have one centre.
+    """
+    p = _postings(sets).join(small(star.select("k", "c", "linked"), 32), "k", "left")
+    p = p.select("k", "size", "l", "h", F.coalesce("c", "k").alias("c"), F.when(F.col("linked"), F.col("c")).otherwise(F.col("k")).alias("label"))
+    lists = p.groupBy("h", "c").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("centres")).where("centres > 1").select("h", "most")
+    p = written(p.join(lists, "h"), "postings")
+    b = p.select("h", *(F.col(x).alias(f"{x}2") for x in ("k", "size", "l", "c", "label")))
+    met = p.where("c <> most").join(b, "h").where("c <> c2 AND label <> label2 AND (c2 = most OR k < k2)").where(_sizes_fit("size", "size2", percent))
+    pairs = met.groupBy(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("l", "l2")).alias("least")).where("n >= least")
+    return written(pairs.select("a", "b"), "pairs")
+
+
+def all_candidates(sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair of sets that shares as many prefix grams as the smaller of its two l: as many as there are such pairs."""
+    p = _postings(sets)
+    b = p.select("h", *(F.col(x).alias(f"{x}2") for x in ("k", "size", "l")))
+    met = p.join(b, "h").where("k < k2").where(_sizes_fit("size", "size2", percent))
+    return written(met.groupBy(F.col("k").alias("a"), F.col("k2").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("l", "l2")).alias("least")).where("n >= least").select("a", "b"), "pairs")
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(membership: key, k, size of every row; every linked pair (a, b) of distinct sets k, once)."""
     rows, sets = prepare(docs, key, text, n, percent)
-    return rows, verify(all_candidates(sets, None, percent), sets, percent)
+    return rows, verify(all_candidates(sets, percent), sets, percent)
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of ``docs``: key, n_shingles and component_id, the least key reachable over links."""
     rows, sets = prepare(docs, key, text, n, percent)
-    labels = written(sets.select("k", F.col("k").alias("label")), "labels")
-    found = []
-    for turn in range(ROUNDS):
-        edges = star_round(sets, labels, percent, turn)
-        found.append(edges)
-        if turn + 1 == ROUNDS or not edges.limit(1).count():
-            break
-        own, to = labels.withColumnRenamed("k", "a"), labels.select(F.col("k").alias("b"), F.col("label").alias("to"))
-        moves = written(edges.join(small(own, 24), "a").join(small(to, 24), "b").where("label <> to").groupBy("label").agg(F.min_by("to", F.xxhash64("to", F.lit(turn))).alias("to")), "moves")
-        labels = _moved(_moved(labels, moves), moves)
-        labels = written(labels, "labels")
-    found.append(written(verify(all_candidates(sets, labels, percent), sets, percent), "links"))
+    star = stars(sets, percent)
+    pairs = written(near_candidates(star, percent).unionByName(far_candidates(sets, star, percent)).distinct(), "pairs")
+    found = [star.where("linked").select(F.col("k").alias("a"), F.col("c").alias("b")), verify(pairs, sets, percent)]
     component = connected_components(union_all(found)).select(F.col("node").alias("k"), "component")
     of = rows.join(component, "k", "left").withColumn("c", F.coalesce("component", "k"))
     least = of.where("size > 0").groupBy("c").agg(F.min("key").alias("least"))
     out = of.join(least, "c", "left")
     return out.select(F.col("key").alias(key), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
-
-
-def _moved(labels: DataFrame, moves: DataFrame) -> DataFrame:
-    return labels.join(small(moves, 24), "label", "left").select("k", F.coalesce("to", "label").alias("label"))
