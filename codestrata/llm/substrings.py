@@ -9,8 +9,8 @@ length.
 
 The first level is sparse: a window's gram is the one with the least hash among all its grams, and neighbours mostly share it, so about
 one gram in fourteen words is shuffled. Counts are aggregated before shuffling, so a passage in a third of all texts is one row per task.
-What passes between levels is, per text, the places that survive. Texts are never shuffled while that list may be broadcast
-(BROADCAST_BYTES), and joined by key beyond.
+The first pass over the texts emits the grams of two levels at once; what passes on to full length is, per text, the places that survive.
+At full length, a window found once is carried by its own count, so the windows themselves are shuffled only once.
 
 Edge cases: null and short texts have no window and stay whole; repeated rows are copies of each other, so all their windows repeat and
 go; ties between equal least grams are settled by place within the window; an empty table gives an empty result; other columns are kept.
@@ -31,8 +31,10 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 
 def levels_of(window: int) -> list[int]:
-    """Lengths from base to ``window``: each twice the one before, rounded so that the last is ``window``."""
-    return sorted({max(1, -(-window // 4)), max(1, -(-window // 2)), window})
+    """Three lengths up to ``window``, each twice the one before up to rounding."""
+    if window < 3:
+        raise ValueError("a window takes three words or more")
+    return [-(-window // 4), -(-window // 2), window]
 
 
 def sliding_min(x: np.ndarray, span: int) -> np.ndarray:
@@ -77,10 +79,10 @@ def _lists(column: pa.Array, start: int, n: int) -> list:
     return [None if x.as_py() is None else x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in part]
 
 
-def gram_rows(level: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, text, places that survived the level before) to (h, key, at): the distinct grams of this level's candidates."""
-    lengths = levels_of(window)
-    base, length = lengths[0], lengths[level]
+def anchor_rows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, text) to (h, key, lead, mid_at, mid): the distinct grams of the first level, each with the gram of the second level that stands
+    for its windows (hash in mid, start in mid_at), or two, to either side; lead is 1 on one row of each first gram."""
+    base, middle, _ = levels_of(window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,19 +90,37 @@ def gram_rows(level: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], I
             for first, texts in pieces(batch.column("__text")):
                 words, counts = word_hashes(texts)
                 starts, least = windows_in(words, counts, window, base)
-                offsets = np.cumsum(counts) - counts
-                if level:
-                    mark = _marked(len(words), offsets, _lists(batch.column("places"), first, len(texts)))
-                    alive = mark[gram_places(starts, least, lengths[level - 1], window, base)]
-                    starts, least = starts[alive], least[alive]
                 if not len(starts):
                     continue
-                at = np.unique(gram_places(starts, least, length, window, base))
+                offsets = np.cumsum(counts) - counts
+                pairs = np.unique(np.stack((least, gram_places(starts, least, middle, window, base))), axis=1)
+                h, mid = gram_hashes(words, base), gram_hashes(words, middle)
+                owner = np.repeat(np.arange(len(texts)), counts)[pairs[0]]
+                lead = np.diff(pairs[0], prepend=-1) > 0
+                for i in range(0, pairs.shape[1], 100_000):
+                    (at, to), o = pairs[:, i : i + 100_000], owner[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(h[at])), pa.array(keys[first + o]), pa.array(lead[i : i + 100_000].astype(np.int32)), pa.array((to - offsets[o]).astype(np.int32)), pa.array(signed(mid[to]))], names=["h", "key", "lead", "mid_at", "mid"])
+
+    return run
+
+
+def window_rows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, text, places: starts of surviving grams of the level below) to (h, key, at): all windows that these stand for."""
+    base, below, _ = levels_of(window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("__key").to_numpy(zero_copy_only=False)
+            for first, texts in pieces(batch.column("__text")):
+                words, counts = word_hashes(texts)
+                starts, least = windows_in(words, counts, window, base)
+                offsets = np.cumsum(counts) - counts
+                mark = _marked(len(words), offsets, _lists(batch.column("places"), first, len(texts)))
+                at = starts[mark[gram_places(starts, least, below, window, base)]]
                 owner = np.repeat(np.arange(len(texts)), counts)[at]
                 for i in range(0, len(at), 100_000):
                     s, o = at[i : i + 100_000], owner[i : i + 100_000]
-                    h = gram_hashes(words, length)[s] if len(at) <= 100_000 else _grams_at(words, length, s)
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(keys[first + o]), pa.array((s - offsets[o]).astype(np.int32))], names=["h", "key", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(_grams_at(words, window, s))), pa.array(keys[first + o]), pa.array((s - offsets[o]).astype(np.int32))], names=["h", "key", "at"])
 
     return run
 
@@ -110,15 +130,15 @@ def _grams_at(words: np.ndarray, length: int, at: np.ndarray) -> np.ndarray:
     return gram_hashes(words[low : high + length], length)[at - low]
 
 
-def _with_places(texts: DataFrame, places: DataFrame, name: str, how: str) -> DataFrame:
-    """Texts with their lists of places as ``name``, by a broadcast of the lists if their size allows it, else by a shuffle."""
-    n, total = places.select(F.count("*"), F.sum(F.size("places"))).first()
-    side = places.select(F.col("key").alias("__key"), F.col("places").alias(name))
-    return texts.join(F.broadcast(side) if 32 * n + 4 * (total or 0) <= BROADCAST_BYTES else side, "__key", how)
+def _per_key(rows: DataFrame, name: str) -> DataFrame:
+    return rows.groupBy(F.col("key").alias("__key")).agg(F.collect_set("at").alias(name))
 
 
-def _per_key(rows: DataFrame, name: str) -> DataFrame:
-    return written(rows.groupBy("key").agg(F.collect_list("at").alias("places")), name)
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Rows (h, key, at), or (h, key, lead, ...), whose h stands on several rows. Counts are summed before the shuffle."""
+    times = F.sum("lead") if "lead" in rows.columns else F.count("*")
+    found = written(rows.groupBy("h").agg(times.alias("n")).where("n > 1").select("h"), "repeated")
+    return rows.join(F.broadcast(found) if 8 * found.count() <= BROADCAST_BYTES else found, "h")
 
 
 KEPT = "n_words long, n_removed long, kept string"
@@ -134,8 +154,7 @@ def cut(texts: list[bytes], lists: list, alone: list, window: int) -> list[dict]
         words, counts = word_hashes([texts[i] for i in todo])
         starts, least = windows_in(words, counts, window, lengths[0])
         offsets = np.cumsum(counts) - counts
-        if len(lengths) > 1:
-            starts = starts[_marked(len(words), offsets, [lists[i] for i in todo])[gram_places(starts, least, lengths[-2], window, lengths[0])]]
+        starts = starts[_marked(len(words), offsets, [lists[i] for i in todo])[gram_places(starts, least, lengths[1], window, lengths[0])]]
         starts = starts[~_marked(len(words), offsets, [alone[i] for i in todo])[starts]]
         edge = np.zeros(len(words) + 1, np.int64)
         np.add.at(edge, starts, 1)
@@ -163,20 +182,14 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     Rows are told apart by a 64-bit hash of (``key``, text), so repeated ids do no harm.
     """
-    lengths = levels_of(window)
     keyed = docs.withColumn("__key", F.xxhash64(F.col(key).cast("string"), F.col(text)))
     texts = keyed.select("__key", F.col(text).cast("binary").alias("__text"))
-    places, n = None, 1
-    for level in range(len(lengths)):
-        source = texts if places is None else _with_places(texts, places, "places", "inner")
-        rows = source.mapInArrow(gram_rows(level, window), "h long, key long, at int")
-        if level < len(lengths) - 1:
-            repeated = written(rows.groupBy("h").count().where("count > 1").select("h"), "repeated")
-            n = repeated.count()
-            places = _per_key(rows.join(F.broadcast(repeated) if 8 * n <= BROADCAST_BYTES else repeated, "h"), "places")
-            if not n:
-                break
-    alone = _per_key(rows.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("at").alias("at")).where("n = 1"), "alone") if n else None
+    first = _repeated(texts.mapInArrow(anchor_rows(window), "h long, key long, lead int, mid_at int, mid long"))
+    second = written(first.select(F.col("mid").alias("h"), "key", F.col("mid_at").alias("at")), "second-level")
+    places = written(_per_key(_repeated(second), "places"), "places")
+    rows = texts.join(places, "__key").mapInArrow(window_rows(window), "h long, key long, at int")
+    once = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("at").alias("at")).where("n = 1")
+    lists = written(places.join(_per_key(once, "alone"), "__key", "left"), "lists")
 
     @F.arrow_udf(KEPT)
     def kept(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -186,9 +199,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 out += cut(part, _lists(survived, first, len(part)), _lists(single, first, len(part)), window)
             yield pa.array(out, _KEPT_ARROW)
 
-    if places is None:  # a window of one word has one level
-        keyed = keyed.withColumn("__places", F.array().cast("array<int>"))
-    else:
-        keyed = _with_places(keyed, places, "__places", "left")
-    keyed = _with_places(keyed, alone, "__alone", "left") if alone is not None else keyed.withColumn("__alone", F.lit(None).cast("array<int>"))
-    return keyed.withColumn("repeats", kept(F.col(text).cast("binary"), "__places", "__alone")).drop("__key", "__places", "__alone")
+    whole = keyed.join(lists.select("__key", F.col("places").alias("__places"), F.col("alone").alias("__alone")), "__key", "left")
+    return whole.withColumn("repeats", kept(F.col(text).cast("binary"), "__places", "__alone")).drop("__key", "__places", "__alone")
