@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, gram_hashes, pieces, signed, word_hashes, written
+from .common import gram_hashes, pieces, signed, word_hashes, written
 
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -93,7 +93,10 @@ def anchor_rows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 if not len(starts):
                     continue
                 offsets = np.cumsum(counts) - counts
-                pairs = np.unique(np.stack((least, gram_places(starts, least, middle, window, base))), axis=1)
+                # Least grams and their sides never go back along a text, so equal ones are neighbours.
+                to = gram_places(starts, least, middle, window, base)
+                new = np.concatenate(([True], (least[1:] != least[:-1]) | (to[1:] != to[:-1])))
+                pairs = np.stack((least[new], to[new]))
                 h, mid = gram_hashes(words, base), gram_hashes(words, middle)
                 owner = np.repeat(np.arange(len(texts)), counts)[pairs[0]]
                 lead = np.diff(pairs[0], prepend=-1) > 0
@@ -138,7 +141,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
     """Rows (h, key, at), or (h, key, lead, ...), whose h stands on several rows. Counts are summed before the shuffle."""
     times = F.sum("lead") if "lead" in rows.columns else F.count("*")
     found = written(rows.groupBy("h").agg(times.alias("n")).where("n > 1").select("h"), "repeated")
-    return rows.join(F.broadcast(found) if 8 * found.count() <= BROADCAST_BYTES else found, "h")
+    return rows.join(found.hint("merge"), "h")
 
 
 KEPT = "n_words long, n_removed long, kept string"
