@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A side is broadcast only up to this many bytes (rows times the given width); beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
 #: Texts are taken through numpy in pieces of about this many bytes, so that temporary arrays stay small.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 19
 
 
 def scratch_root(spark: SparkSession) -> str:

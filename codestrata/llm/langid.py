@@ -141,9 +141,9 @@ def predict(net: Network | None, tables: list[list[np.ndarray]], texts: list[byt
         return [("und", 0.0)] * len(texts)
     data, owner, size = windows_of(texts)
     total = np.zeros((len(texts), len(net.labels)))
-    for at in range(0, len(data), 2048):
-        p = window_probabilities(net, tables, data[at : at + 2048])
-        np.add.at(total, owner[at : at + 2048], p * size[at : at + 2048, None])
+    for at in range(0, len(data), 1024):
+        p = window_probabilities(net, tables, data[at : at + 1024])
+        np.add.at(total, owner[at : at + 1024], p * size[at : at + 1024, None])
     total /= np.maximum(1, np.bincount(owner, weights=size, minlength=len(texts)))[:, None]
     best = total.argmax(axis=1)
     letter = [bool(_LETTER.search(t.decode("utf-8", "replace"))) for t in texts]
