@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import small, written
+from .common import bound_batches, small, written
 
 RATE, FRAME, STEP = 4000, 512, 128
 #: Frames between the two integers of an index key.
@@ -121,6 +121,7 @@ def search(prints: DataFrame, queries: DataFrame, key: str) -> DataFrame:
 
     ``prints`` has key and print (array<long>); ``queries`` is a part of it. Offsets are those of the match against the query.
     """
+    bound_batches(prints.sparkSession)
     p = written(prints.select(F.col(key).alias("id"), F.xxhash64("print").alias("c"), "print"), "prints")
     classes = written(p.where(F.size("print") > HOP).groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.min("print").alias("print")), "classes")
     asked = written(queries.select(F.col(key).alias("id")).distinct().join(p.select("id", "c"), "id").distinct(), "asked")

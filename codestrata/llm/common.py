@@ -19,6 +19,18 @@ BROADCAST_BYTES = 24 << 20
 PIECE_BYTES = 1 << 19
 
 
+#: Rows and bytes of a batch of texts on its way to Python.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless they are smaller already: a batch of long texts takes several times its size in buffers."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key, "-1"))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Normalised item text that one automaton takes; a larger benchmark is scanned with several automata, one after another.
 AUTOMATON_BYTES = 32 << 20
 
@@ -91,6 +93,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     The benchmark is a small, curated table: it is read once to the driver and sent with the tasks. Each text is scanned once per
     automaton of AUTOMATON_BYTES (one for any usual benchmark). No shuffle.
     """
+    bound_batches(docs.sparkSession)
     items = [(r[0], bytes(r[1]) if r[1] is not None else None) for r in benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("binary")).where(F.col(item_id).isNotNull()).toLocalIterator()]
     sent = docs.sparkSession.sparkContext.broadcast(items)
 

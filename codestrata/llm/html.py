@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist select textarea meta link base".split())
@@ -312,4 +314,5 @@ def rendered(html: Column) -> Column:
 
 def extract_text(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """All rows and columns of ``pages`` plus ``out``, the visible text. No shuffle."""
+    bound_batches(pages.sparkSession)
     return pages.withColumn(out, rendered(F.col(html)))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, gram_hashes, mix, pieces, signed, small, union_all, word_hashes, written
+from .common import bound_batches, connected_components, gram_hashes, mix, pieces, signed, small, union_all, word_hashes, written
 
 #: Share of hash space whose grams are counted over all texts in step 1.
 SHARE = 0.3
@@ -175,6 +175,7 @@ def row_ids(docs: DataFrame, key: str, text: str) -> Column:
 
 def prepare(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows: id, k, size, key of every text; sets: k, size, l, grams, m of each distinct set that may have a partner), written tables."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(row_ids(docs, key, text).alias("id"), F.col(key).alias("key"), F.col(text).cast("binary").alias("__text"))
     rows = written(signatures(texts, n), "signatures")
     need = F.ceil(F.col("size").cast("long") * percent / F.lit(100))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import PIECE_BYTES
+from .common import bound_batches, PIECE_BYTES
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -182,5 +182,6 @@ def predicted(text: Column, net: Network | None) -> Column:
 
 def identify(docs: DataFrame, labelled: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_label: int = 500, per_text: int = 5) -> DataFrame:
     """All rows and columns of ``docs`` plus lang_pred and score, from a network trained on a bounded sample of ``labelled``."""
+    bound_batches(docs.sparkSession)
     net = train(sample(labelled, key, text, lang, per_label, per_text))
     return docs.withColumn("__p", predicted(F.col(text), net)).withColumn("lang_pred", F.col("__p.lang")).withColumn("score", F.col("__p.score")).drop("__p")

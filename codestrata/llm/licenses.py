@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import bound_batches, small, written
 
 #: (licence, statement): fixed values, the usual short statements of public licences.
 TEMPLATES = [
@@ -129,6 +129,7 @@ def _scan(total: int, frequency: dict[str, int], threshold: float):
 
 def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", threshold: float = 0.75) -> DataFrame:
     """For each row of ``files``: key, path, own_license, own_score, own_line, inherited_from (a directory) and license."""
+    bound_batches(files.sparkSession)
     total, frequency = term_frequencies(files.select(F.col(text).alias("__text")))
     own = files.select(F.col(key).alias("key"), F.col(path).alias("path"), _scan(total, frequency, threshold)(F.col(text)).alias("own"))
     name = F.element_at(F.split("path", "/"), -1)

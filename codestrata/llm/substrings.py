@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gram_hashes, pieces, signed, word_hashes, written
+from .common import bound_batches, gram_hashes, pieces, signed, word_hashes, written
 
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -185,6 +185,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
     Rows are told apart by a 64-bit hash of (``key``, text), so repeated ids do no harm.
     """
+    bound_batches(docs.sparkSession)
     keyed = docs.withColumn("__key", F.xxhash64(F.col(key).cast("string"), F.col(text)))
     texts = keyed.select("__key", F.col(text).cast("binary").alias("__text"))
     first = _repeated(texts.mapInArrow(anchor_rows(window), "h long, key long, lead int, mid_at int, mid long"))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bound_batches
+
 #: Texts of more characters than this are encoded in overlapping chunks.
 HUGE_CHARS = 200_000
 #: Distinct pieces whose counts a task keeps before it starts afresh.
@@ -120,5 +122,6 @@ def token_count(text: Column, path: str) -> Column:
 
 def with_token_counts(docs: DataFrame, path: str, text: str = "text", limit: int = 1024) -> DataFrame:
     """All rows and columns of ``docs`` plus n_bytes (UTF-8), n_tokens and over_limit (more than ``limit`` tokens). No shuffle."""
+    bound_batches(docs.sparkSession)
     t = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumn("n_tokens", token_count(t, path)).withColumn("n_bytes", F.octet_length(t).cast("long")).withColumn("over_limit", F.col("n_tokens") > limit)
