@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bound_batches, PIECE_BYTES
+from .common import PIECE_BYTES, bound_batches
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
