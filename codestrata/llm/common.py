@@ -26,7 +26,7 @@ BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 def bound_batches(spark: SparkSession) -> None:
     """Bounds the session's Arrow batches, unless they are smaller already: a batch of long texts takes several times its size in buffers."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = str(spark.conf.get(key, str(most))).removesuffix("b")
+        now = spark.conf.get(key).removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
 
