@@ -52,8 +52,8 @@ def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1).select(F.inline(structs))
 
 
-def matches(df: DataFrame, text: str, pattern: str, groups: int, keep: list[str]) -> DataFrame:
-    """All matches of a pattern in a text column, one row each: ``keep``, ord, line, before (text of the line left of it), m, g1 ...
+def matches(df: DataFrame, text: str, pattern: str, groups: int, keep: list[str], left: bool = False) -> DataFrame:
+    """All matches of a pattern in a text column, one row each: ``keep``, ord, line, m, g1 ..., and with ``left`` before (text of the line left of it).
 
     Gaps and matches tile the text: a lazy gap, then the match, each tile starting where the last one ended (so the search is linear). The line of a match is one more than the line breaks in all tiles
     before it, a running sum within the text. Groups that take no part are ''. Only built-in functions are used.
@@ -69,13 +69,15 @@ def matches(df: DataFrame, text: str, pattern: str, groups: int, keep: list[str]
     before = W.partitionBy(*keep).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
     tiles = tiles.withColumn("__end", F.coalesce(F.sum(F.col("__g") + F.col("__m")).over(before), F.lit(0)))
     tiles = tiles.withColumn("line", (F.col("__end") + F.col("__g") + 1).cast("int"))
+    if not left:
+        return tiles.drop("__g", "__m", "__left", "__right", "__end")
     # What stands left of a match on its line: the end of its gap, after the matches that end on the same line.
     piece = F.when(F.col("__m") > 0, F.col("__right")).otherwise(F.concat("__left", "__right"))
     ends = tiles.withColumn("__last", F.col("line") + F.col("__m")).withColumn("__piece", piece)
     same = W.partitionBy(*keep, "__last").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
     ends = ends.withColumn("__all", F.array_join(F.collect_list("__piece").over(same), ""))
-    left = F.lag("__all").over(W.partitionBy(*keep).orderBy("ord"))
-    return ends.withColumn("before", F.when(F.col("__g") > 0, F.col("__left")).otherwise(F.concat(F.coalesce(left, F.lit("")), F.col("__left")))).drop("__g", "__m", "__left", "__right", "__end", "__last", "__piece", "__all")
+    earlier = F.lag("__all").over(W.partitionBy(*keep).orderBy("ord"))
+    return ends.withColumn("before", F.when(F.col("__g") > 0, F.col("__left")).otherwise(F.concat(F.coalesce(earlier, F.lit("")), F.col("__left")))).drop("__g", "__m", "__left", "__right", "__end", "__last", "__piece", "__all")
 
 
 def unordered(c: str | Column) -> Column:

@@ -102,7 +102,12 @@ def manifest_entries(files: DataFrame) -> DataFrame:
     package = "struct<main: string, module: string, scripts: map<string, string>>"
     p = files.where(name == "package.json").select("repo", "path", F.from_json("content", package).alias("p"))
     fields = F.array(*(F.struct(F.col(f"p.{f}").alias("candidate"), F.lit(f"package {f} points here").alias("reason")) for f in ("main", "module")))
-    scripts = F.flatten(F.array(*(F.transform(F.coalesce(F.regexp_extract_all(F.col("p.scripts")[s], F.lit(_PATHS_IN_TEXT), F.lit(1)), F.array().cast("array<string>")), lambda x, s=s: F.struct(x.alias("candidate"), F.lit(f"package {s} script starts this file").alias("reason"))) for s in ("start", "dev", "serve"))))
+
+    def started(script: str) -> Column:
+        found = F.regexp_extract_all(F.col("p.scripts")[script], F.lit(_PATHS_IN_TEXT), F.lit(1))
+        return F.transform(F.coalesce(found, F.array().cast("array<string>")), lambda x: F.struct(x.alias("candidate"), F.lit(f"package {script} script starts this file").alias("reason")))
+
+    scripts = F.flatten(F.array(*map(started, ("start", "dev", "serve"))))
     from_package = p.select("repo", "path", F.posexplode(F.concat(fields, scripts)).alias("ord", "c"))
     docker = files.where(name == "Dockerfile").select("repo", "path", F.posexplode(F.transform(F.regexp_extract_all("content", F.lit(_PATHS_IN_TEXT), F.lit(1)), lambda x: F.struct(x.alias("candidate"), F.lit("Docker CMD or ENTRYPOINT references this file").alias("reason")))).alias("ord", "c"))
     rows = from_package.unionByName(docker).select("repo", F.col("path").alias("manifest"), "ord", "c.candidate", "c.reason").where("candidate IS NOT NULL")

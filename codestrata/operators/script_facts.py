@@ -29,7 +29,7 @@ def _exported(before: str = "before") -> Column:
 
 def imports(js: DataFrame) -> DataFrame:
     """Imports with the names they bind: those of the import list, or of the assignment left of a require()."""
-    m = matches(js, "content", fixed.JS_IMPORT, 2, KEYS)
+    m = matches(js, "content", fixed.JS_IMPORT, 2, KEYS, left=True)
     bare = F.regexp_replace(F.regexp_replace("g1", r"//.*|/\*[\s\S]*?\*/", " "), r"\b(?:type|as|default)\b", " ")
     listed = F.filter(F.regexp_extract_all(bare, F.lit(f"({fixed.NAME})"), F.lit(1)), lambda x: ~x.isin("from", "import"))
     direct = F.regexp_extract("before", rf"\b(?:const|let|var)\s+({fixed.NAME})\s*=\s*$", 1)
@@ -45,7 +45,7 @@ def symbols(js: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     out = js.select(*KEYS, F.lit(-1).alias("ord"), F.col("file").alias("id"), F.lit("module").alias("type"), name_of(F.col("file")).alias("name"), F.lit(1).alias("line"), lines.cast("int").alias("end_line"), F.lit(None).cast("string").alias("parent"), none.alias("evidence"), F.lit(False).alias("exported"))
     for at, (kind, pattern, groups) in enumerate((("class", fixed.JS_CLASS, 1), ("interface", fixed.JS_INTERFACE, 1), ("type", fixed.JS_TYPE, 1), ("function", fixed.JS_FUNCTION, 2))):
-        m = matches(js, "content", pattern, groups, KEYS)
+        m = matches(js, "content", pattern, groups, KEYS, left=True)
         name = F.col("g1") if groups == 1 else F.when(F.col("g1") != "", F.col("g1")).otherwise(F.col("g2"))
         part = F.lit(kind) if kind != "function" else F.when(ends_with_any(F.col("file"), [".jsx", ".tsx"]) & F.substring(name, 1, 1).rlike("^[A-Z]$"), "component").otherwise("function")
         why = F.when(part == "component", F.array(F.lit("capitalized JSX/TSX function"))).otherwise(none)

@@ -14,7 +14,7 @@ from ..operators import derive, graphs, mounts, python_facts, quality, resolve,
 class Analysis:
     """Tables derived from files (repo, path, content, bytes). Each property is a DataFrame; nothing runs before it is asked for.
 
-    Raw facts of Python files feed many tables, so they are checkpointed once; all else is one lazy plan per table.
+    Facts that feed many tables are checkpointed when first asked for, so that plans stay short; all else is one lazy plan per table.
     """
 
     def __init__(self, files: DataFrame):
@@ -38,11 +38,15 @@ class Analysis:
 
     @cached_property
     def script_symbols(self) -> DataFrame:
-        return script_facts.symbols(self.scripts)
+        return cut(script_facts.symbols(self.scripts))
+
+    @cached_property
+    def script_imports(self) -> DataFrame:
+        return cut(script_facts.imports(self.scripts))
 
     @cached_property
     def imports(self) -> DataFrame:
-        found = python_facts.imports(self.python).unionByName(script_facts.imports(self.scripts))
+        found = python_facts.imports(self.python).unionByName(self.script_imports)
         return cut(resolve.resolve_imports(found, self.files, resolve.tsconfig_aliases(self.files)))
 
     @cached_property
@@ -53,7 +57,7 @@ class Analysis:
         out = python_facts.routes(self.python)
         for p in parts:
             out = out.unionByName(p)
-        return out
+        return cut(out)
 
     @cached_property
     def mounts(self) -> DataFrame:
@@ -65,7 +69,7 @@ class Analysis:
 
     @cached_property
     def routes(self) -> DataFrame:
-        return mounts.expand_routes(self.local_routes, self.mounts.where("state = 'resolved'"), self.mount_ways)
+        return cut(mounts.expand_routes(self.local_routes, self.mounts.where("state = 'resolved'"), self.mount_ways))
 
     @cached_property
     def diagnostics(self) -> DataFrame:
@@ -74,13 +78,13 @@ class Analysis:
     @cached_property
     def calls(self) -> DataFrame:
         found = python_facts.calls(self.python).unionByName(script_facts.calls(self.scripts, self.script_symbols))
-        return resolve.resolve_calls(found, self.symbols, self.imports)
+        return cut(resolve.resolve_calls(found, self.symbols, self.imports))
 
     @cached_property
     def used(self) -> DataFrame:
         """(repo, file, category, tech) that sources use."""
-        js = script_facts.tags(self.scripts, script_facts.imports(self.scripts), self.local_routes.where("framework IN ('Express', 'NestJS', 'Next.js')"))
-        return python_facts.tags(self.python, self.files).unionByName(js)
+        js = script_facts.tags(self.scripts, self.script_imports, self.local_routes.where("framework IN ('Express', 'NestJS', 'Next.js')"))
+        return cut(python_facts.tags(self.python, self.files).unionByName(js))
 
     @cached_property
     def manifest(self) -> DataFrame:
@@ -88,11 +92,11 @@ class Analysis:
 
     @cached_property
     def environment(self) -> DataFrame:
-        return technology.environment_evidence(self.files)
+        return cut(technology.environment_evidence(self.files))
 
     @cached_property
     def technologies(self) -> DataFrame:
-        return technology.technologies(self.manifest, self.used, self.environment, technology.sql_tags(self.files))
+        return cut(technology.technologies(self.manifest, self.used, self.environment, technology.sql_tags(self.files)))
 
     @cached_property
     def boundaries(self) -> DataFrame:
@@ -140,7 +144,7 @@ class Analysis:
 
     @cached_property
     def flows(self) -> tuple[DataFrame, DataFrame]:
-        return graphs.flows(self.routes, cut(self.calls), self.symbols)
+        return graphs.flows(self.routes, self.calls, cut(self.symbols))
 
     @cached_property
     def totals(self) -> DataFrame:

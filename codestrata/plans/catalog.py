@@ -608,7 +608,7 @@ def rate_limit_admission(spark, sf_dir):
     """Events as requests of their users, with a window of three days."""
     e = table(spark, sf_dir, "events")
     key, _ = admission.quota(F.col("user_id").cast("string"), F.lit(None).cast("string"))
-    r = e.select(key.alias("key"), F.col("event_id").alias("id"), F.unix_millis("ts").alias("ms"), F.when(F.col("user_id") % 2 == 0, fixed.USER_LIMIT).otherwise(fixed.PUBLIC_LIMIT).alias("max_n"))
+    r = e.select(key.alias("key"), F.col("event_id").alias("id"), F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ms"), F.when(F.col("user_id") % 2 == 0, fixed.USER_LIMIT).otherwise(fixed.PUBLIC_LIMIT).alias("max_n"))
     return admission.admit(r, WINDOW)
 
 
