@@ -59,7 +59,7 @@ def gitignore_rules(raw: DataFrame) -> DataFrame:
 
 def _glob_regex(patterns: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for column in patterns:
-        yield pa.array([None if p.as_py() is None else fnmatch.translate(p.as_py()).replace("(?s:", "(?s)(?:").replace("\\Z", "$").replace("\\z", "$") for p in column], pa.string())
+        yield pa.array([None if p.as_py() is None else "^" + fnmatch.translate(p.as_py()).replace("\\Z", "\\z") for p in column], pa.string())
 
 
 def apply_gitignore(files: DataFrame, rules: DataFrame) -> DataFrame:
@@ -76,8 +76,8 @@ def apply_gitignore(files: DataFrame, rules: DataFrame) -> DataFrame:
     parts = F.split(below, "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     dirs = F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
-    whole = lambda p: p.rlike(F.col("glob")) | p.rlike(F.col("deep"))
-    part = lambda p: p.rlike(F.col("glob"))
+    whole = lambda p: F.regexp_like(p, F.col("glob")) | F.regexp_like(p, F.col("deep"))
+    part = lambda p: F.regexp_like(p, F.col("glob"))
     hit = (
         F.when(F.col("dir_only") & F.col("anchored"), F.exists(dirs, whole))
         .when(F.col("dir_only"), F.exists(F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - 1)), part))
