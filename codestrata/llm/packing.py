@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,16 +64,22 @@ def pack(docs: DataFrame, length: Column, key: str = "doc_id", capacities: tuple
     # Long documents give many pieces, so pieces and not documents are dealt; the place of a piece is its content, not its partition.
     full = cut.where("length > 0").withColumn("g", F.pmod(F.xxhash64("key", "piece", "start", F.lit("pack")), F.lit(groups)).cast("int"))
 
-    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "key", "piece"], ascending=[False, True, True], kind="stable", na_position="first").reset_index(drop=True)
-        bins, sizes = best_fit(pdf["length"].tolist(), capacities, fixed, square)
-        pdf["bin"] = [group[0] + groups * b for b in bins]
-        pdf["capacity"] = [sizes[b] for b in bins]
-        pdf["offset"] = pdf.groupby("bin")["length"].cumsum() - pdf["length"]
-        return pdf[["key", "piece", "start", "length", "bin", "offset", "capacity"]]
+    def run(group: tuple, table: pa.Table) -> pa.Table:
+        n, keys, piece = (table.column(c).to_pylist() for c in ("length", "key", "piece"))
+        order = sorted(range(len(n)), key=lambda i: (-n[i], keys[i] is not None, keys[i] if keys[i] is not None else 0, piece[i]))
+        bins, sizes = best_fit([n[i] for i in order], capacities, fixed, square)
+        filled = [0] * len(sizes)
+        offsets = []
+        for i, b in zip(order, bins, strict=True):
+            offsets.append(filled[b])
+            filled[b] += n[i]
+        out = table.take(pa.array(order, pa.int64())).select(["key", "piece", "start", "length"])
+        for name, values, kind in (("bin", [group[0].as_py() + groups * b for b in bins], pa.int64()), ("offset", offsets, pa.int64()), ("capacity", [sizes[b] for b in bins], pa.int32())):
+            out = out.append_column(name, pa.array(values, kind))
+        return out
 
     kind = dict(rows.dtypes)["key"]
     schema = f"key {kind}, piece int, start long, length long, bin long, offset long, capacity int"
-    packed = full.groupBy("g").applyInPandas(run, schema)
+    packed = full.groupBy("g").applyInArrow(run, schema)
     none = cut.where("length = 0").select("key", "piece", "start", "length", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("offset"), F.lit(None).cast("int").alias("capacity"))
     return packed.unionByName(none).withColumnRenamed("key", key)
