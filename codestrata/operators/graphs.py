@@ -100,7 +100,7 @@ def dependency_cycles(imports: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = cycles_of(list(zip(pdf["file"], pdf["target"], strict=True)))
-        return pd.DataFrame({"repo": [pdf["repo"].iloc[0]] * len(found), "cycle": found})
+        return pd.DataFrame({"repo": [pdf["repo"].iloc[0]] * len(found), "cycle": found}, dtype=object)
 
     return imports.where("target IS NOT NULL").select("repo", "file", "target").distinct().groupBy("repo").applyInPandas(run, "repo string, cycle array<string>")
 

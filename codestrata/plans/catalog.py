@@ -602,14 +602,14 @@ WINDOW = 3 * 24 * 3600 * 1000
     f AS (SELECT key, id, ms, max_n, n, [ms] AS log, true AS allowed, NULL::BIGINT AS oldest FROM e WHERE n = 1
       UNION ALL SELECT x.key, x.id, x.ms, x.max_n, x.n, CASE WHEN len(x.live) < x.max_n THEN x.live || [x.ms] ELSE x.live END, len(x.live) < x.max_n, x.live[1]
       FROM (SELECT e.*, list_filter(f.log, lambda t: e.ms - t < {WINDOW}) AS live FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1) x)
-    SELECT key, id, allowed, CAST(CASE WHEN allowed THEN max_n - len(log) ELSE 0 END AS INTEGER) AS remaining, CASE WHEN NOT allowed THEN CAST(greatest(1, ceil((oldest + {WINDOW} - ms) / 1000.0)) AS BIGINT) END AS retry_after FROM f"""
+    SELECT key, id, allowed, CAST(CASE WHEN allowed THEN max_n - len(log) ELSE 0 END AS INTEGER) AS remaining, CASE WHEN NOT allowed THEN CAST(greatest(1, ceil((oldest + {WINDOW} - ms) / 1000.0)) AS BIGINT) ELSE CAST(0 AS BIGINT) END AS retry_after FROM f"""
 )
 def rate_limit_admission(spark, sf_dir):
     """Events as requests of their users, with a window of three days."""
     e = table(spark, sf_dir, "events")
     key, _ = admission.quota(F.col("user_id").cast("string"), F.lit(None).cast("string"))
     r = e.select(key.alias("key"), F.col("event_id").alias("id"), F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ms"), F.when(F.col("user_id") % 2 == 0, fixed.USER_LIMIT).otherwise(fixed.PUBLIC_LIMIT).alias("max_n"))
-    return admission.admit(r, WINDOW)
+    return admission.admit(r, WINDOW).withColumn("retry_after", F.coalesce("retry_after", F.lit(0).cast("long")))
 
 
 @query("SELECT CASE WHEN event_type = 'error' THEN concat('ip_10.0.0.', CAST(user_id AS VARCHAR)) ELSE concat('user_', CAST(user_id AS VARCHAR)) END AS key, CASE WHEN event_type = 'error' THEN 5 ELSE 20 END AS max_n, count(*) AS requests FROM events GROUP BY ALL")

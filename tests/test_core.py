@@ -31,7 +31,7 @@ CHECKED = ["file_records", "language_shares", "discovered_files", "architecture_
 def plain(x):
     if isinstance(x, (list, tuple)) or hasattr(x, "tolist") and getattr(x, "shape", ()) != ():
         return tuple(plain(v) for v in x)
-    if x is None or x is pd.NaT or isinstance(x, float) and x != x:
+    if x is None or x is pd.NaT or x is pd.NA or isinstance(x, float) and x != x:
         return None
     return round(x, 9) if isinstance(x, float) else x.item() if hasattr(x, "item") else x
 
