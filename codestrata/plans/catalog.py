@@ -598,7 +598,7 @@ WINDOW = 3 * 24 * 3600 * 1000
 
 
 @query(
-    f"""WITH RECURSIVE e AS (SELECT concat('user_', CAST(user_id AS VARCHAR)) AS key, event_id AS id, epoch_ms(ts) AS ms, CASE WHEN user_id % 2 = 0 THEN 20 ELSE 5 END AS max_n, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+    f"""WITH RECURSIVE e AS (SELECT concat('user_', CAST(user_id AS VARCHAR)) AS key, event_id AS id, epoch_us(ts) // 1000 AS ms, CASE WHEN user_id % 2 = 0 THEN 20 ELSE 5 END AS max_n, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000, event_id) AS n FROM events),
     f AS (SELECT key, id, ms, max_n, n, [ms] AS log, true AS allowed, NULL::BIGINT AS oldest FROM e WHERE n = 1
       UNION ALL SELECT x.key, x.id, x.ms, x.max_n, x.n, CASE WHEN len(x.live) < x.max_n THEN x.live || [x.ms] ELSE x.live END, len(x.live) < x.max_n, x.live[1]
       FROM (SELECT e.*, list_filter(f.log, lambda t: e.ms - t < {WINDOW}) AS live FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1) x)
@@ -608,7 +608,7 @@ def rate_limit_admission(spark, sf_dir):
     """Events as requests of their users, with a window of three days."""
     e = table(spark, sf_dir, "events")
     key, _ = admission.quota(F.col("user_id").cast("string"), F.lit(None).cast("string"))
-    r = e.select(key.alias("key"), F.col("event_id").alias("id"), F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ms"), F.when(F.col("user_id") % 2 == 0, fixed.USER_LIMIT).otherwise(fixed.PUBLIC_LIMIT).alias("max_n"))
+    r = e.select(key.alias("key"), F.col("event_id").alias("id"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 1000").alias("ms"), F.when(F.col("user_id") % 2 == 0, fixed.USER_LIMIT).otherwise(fixed.PUBLIC_LIMIT).alias("max_n"))
     return admission.admit(r, WINDOW).withColumn("retry_after", F.coalesce("retry_after", F.lit(0).cast("long")))
 
 
