@@ -1,17 +1,21 @@
-"""License scans: sparse TF-IDF cosine of lines to licence templates, then inheritance from the nearest ancestor directory.
+"""License scans: sparse TF-IDF cosine of runs of lines to licence templates, then inheritance from the nearest ancestor directory.
 
-Every line of every file is a candidate header. A line and a template are sparse vectors over the templates' terms; a term weighs its count
-times ln(1 + documents / (1 + document frequency)), with frequencies counted over all files; a line's other words count in its norm at the
-weight of an unseen term, so a long line with a few licence words scores low. A file's own licence is that of its best line with cosine of
-``threshold`` or more. Only lines with a *telling* term are scored: common terms are left out of the search exactly as far as no line made
-of them alone could reach the threshold with any template, so nothing is lost.
+Candidates are all runs of lines of up to RUN_TERMS terms (and a last line), single lines of any length among them, and licence files as a
+whole. A candidate and a template are sparse vectors of terms; a term weighs its count times ln(1 + documents / (1 + document frequency)),
+with frequencies of all terms counted over all files; words outside the templates count in a candidate's norm, so a long line with a few
+licence words scores low. A file's own licence is that of its best candidate with cosine of ``threshold`` or more.
+
+The scan knows the templates' frequencies and takes every other word at the least weight any word can have; only candidates that reach the
+threshold so, and that no other one of the text beats in any case, have their other words looked up, by a join on the term. Only runs with
+a *telling* term are scored: common terms are left out of the search exactly as far as no run made of them alone could reach the threshold
+with any template. So nothing is lost.
 
 A licence file (LICENSE, LICENCE, COPYING, NOTICE, with any suffix) speaks for its directory; of several, the best score counts, then the
 least path. A file without a licence of its own inherits from the nearest directory above it, its own included, that has one. Ancestors
 are joined per distinct directory, so a directory with a third of all files is one row there.
 
 Edge cases: null and empty texts have no own licence but inherit; a null path neither inherits nor speaks; ties between templates go to
-the licence that sorts first, between lines to the first line; repeated rows get equal results; an empty table gives an empty result.
+the licence that sorts first, between runs to the first line, then the shortest run; repeated rows get equal results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,29 +62,49 @@ def terms_of(line: str) -> list[str]:
 VOCABULARY = frozenset(t for _, s in TEMPLATES for t in terms_of(s))
 
 
-def term_frequencies(texts: DataFrame) -> tuple[int, dict[str, int]]:
-    """(texts, texts with each vocabulary term), over all rows of the one column __text; one short row per task and term is shuffled."""
-    vocabulary = VOCABULARY
+#: A run of lines ends with the line that brings it to so many terms: twice the longest template's, as a statement may hold other words too.
+RUN_TERMS = 2 * max(len(terms_of(s)) for _, s in TEMPLATES)
+#: A task sends its counts on when it holds so many terms.
+HELD_TERMS = 200_000
+
+
+def term_frequencies(texts: DataFrame) -> DataFrame:
+    """(term, n): texts with each term over all rows of the one column __text, and all texts under ''. Each task counts before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+
         for batch in batches:
             for x in batch.column(0):
                 found[""] += 1
-                found.update(vocabulary.intersection(terms_of(x.as_py() or "")))
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
+                found.update(set(terms_of(x.as_py() or "")))
+                if len(found) > HELD_TERMS:
+                    yield out()
+                    found.clear()
+        yield out()
+
+    return texts.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+class Candidate(NamedTuple):
+    """A run of lines: the first of them, the best licence with its dot product, the squared norm of template terms, and other terms."""
 
-    got = {r.term: r.n for r in texts.mapInArrow(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the vocabulary's size
-    return got.pop("", 0), got
+    license: str
+    line: int
+    dot: float
+    known: float
+    others: tuple[tuple[str, int], ...]
 
 
 class Scorer:
-    """Weights, template vectors and the search pattern for given frequencies."""
+    """Weights, template vectors and the search pattern for given frequencies. ``frequency`` may lack terms outside the templates."""
 
     def __init__(self, total: int, frequency: dict[str, int], threshold: float):
-        self.threshold = threshold
-        self.unseen = math.log(1 + total) or 1.0
-        self.weight = {t: max(1e-9, math.log(1 + total / (1 + frequency.get(t, 0)))) for t in VOCABULARY}
+        self.threshold, self.total, self.frequency = threshold, total, frequency
+        self.weight = {t: max(1e-9, self.weigh(frequency.get(t, 0))) for t in VOCABULARY}
         self.templates = []
         for licence, s in sorted(TEMPLATES):
             v = {t: n * self.weight[t] for t, n in Counter(terms_of(s)).items()}
@@ -93,48 +118,111 @@ class Scorer:
         telling = sorted(VOCABULARY - common, key=lambda t: (-len(t), t))
         self.pattern = re.compile(r"(?<![a-z0-9])(?:" + "|".join(map(re.escape, telling)) + r")(?![a-z0-9])")
 
-    def line(self, line: str) -> tuple[float, str] | None:
-        counts = Counter(terms_of(line))
-        v = {t: n * self.weight.get(t, self.unseen) for t, n in counts.items()}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        if not norm:
+    def weigh(self, frequency: int) -> float:
+        return math.log(1 + self.total / (1 + frequency))
+
+    def candidate(self, counts: Counter, line: int) -> Candidate | None:
+        """None if the threshold is out of reach even with other terms that are in all texts."""
+        least, most = self.weigh(self.total) ** 2, self.threshold * self.threshold * (1 - 1e-9)
+        known = sum((n * self.weight[t]) ** 2 for t, n in counts.items() if t in VOCABULARY)
+        others = least * sum(n * n for t, n in counts.items() if t not in VOCABULARY)
+        if not known or known < most * (known + others):
             return None
-        best = max(((sum(w * v.get(t, 0.0) for t, w in u.items()) / norm, licence) for licence, u in self.templates), key=lambda x: x[0])
-        return best if best[0] >= self.threshold else None
+        dot, licence = max(((sum(w * counts[t] * self.weight[t] for t, w in u.items() if t in counts), licence) for licence, u in self.templates), key=lambda x: x[0])
+        if dot * dot < most * (known + others):
+            return None
+        return Candidate(licence, line, dot, known, tuple(sorted((t, n) for t, n in counts.items() if t not in VOCABULARY)))
+
+    def score(self, c: Candidate) -> float:
+        return c.dot / math.sqrt(c.known + sum((n * self.weigh(self.frequency.get(t, 0))) ** 2 for t, n in c.others))
 
-    def text(self, text: str) -> tuple[str | None, float, int]:
-        """(licence, score, number of the line) of the best line."""
-        out: tuple[str | None, float, int] = (None, 0.0, 0)
+    def line(self, line: str) -> tuple[float, str] | None:
+        c = self.candidate(Counter(terms_of(line)), 1)
+        return (self.score(c), c.license) if c and self.score(c) >= self.threshold else None
+
+    def candidates(self, text: str, whole: bool = False) -> list[Candidate]:
+        """Candidates among the runs of lines, and the text as a whole if asked, without those that another one beats in any case."""
         low = text.lower()
         if not self.pattern.search(low):
-            return out
-        for i, line in enumerate(low.split("\n"), 1):
-            if self.pattern.search(line) and (got := self.line(line)) and got[0] > out[1]:
-                out = (got[1], min(1.0, got[0]), i)
-        return out
+            return []
+        found: dict[tuple, Candidate] = {}
+        lines = [(i, terms_of(x), bool(self.pattern.search(x))) for i, x in enumerate(low.split("\n"), 1)]
+        lines = [x for x in lines if x[1]]
+
+        def add(c: Candidate | None) -> None:
+            if c:
+                found.setdefault((c.license, c.dot, c.known, c.others), c)
+
+        for at, (first, *_) in enumerate(lines):
+            size, told = 0, False
+            for _, terms, tells in lines[at:]:
+                if size >= RUN_TERMS:
+                    break
+                size, told = size + len(terms), told or tells
+            if not told:
+                continue
+            counts: Counter = Counter()
+            size, told = 0, False
+            for _, terms, tells in lines[at:]:
+                if size >= RUN_TERMS:
+                    break
+                counts.update(terms)
+                size, told = size + len(terms), told or tells
+                if told:
+                    add(self.candidate(counts, first))
+        if whole:
+            add(self.candidate(Counter(t for _, terms, _ in lines for t in terms), lines[0][0]))
+        least, most = self.weigh(self.total) ** 2, self.weigh(0) ** 2
+        at_best = {k: c.dot * c.dot / (c.known + least * sum(n * n for _, n in c.others)) for k, c in found.items()}
+        at_worst = max((c.dot * c.dot / (c.known + most * sum(n * n for _, n in c.others)) for c in found.values()), default=0.0)
+        return [c for k, c in found.items() if at_best[k] >= at_worst * (1 - 1e-9)]
+
+    def text(self, text: str, whole: bool = False) -> tuple[str | None, float, int]:
+        """(licence, score, number of the first line) of the best candidate."""
+        scored = [(round(self.score(c), 12), c) for c in self.candidates(text, whole)]
+        score, best = max(((s, c) for s, c in scored if s >= self.threshold), key=lambda x: x[0], default=(0.0, None))
+        return (best.license, min(1.0, score), best.line) if best else (None, 0.0, 0)
 
 
 def _scan(total: int, frequency: dict[str, int], threshold: float):
-    kind = pa.struct([("license", pa.string()), ("score", pa.float64()), ("line", pa.int32())])
+    others = pa.list_(pa.struct([("term", pa.string()), ("n", pa.int32())]))
+    kind = pa.list_(pa.struct([("license", pa.string()), ("line", pa.int32()), ("dot", pa.float64()), ("known", pa.float64()), ("others", others)]))
 
-    @F.arrow_udf("license string, score double, line int")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("array<struct<license: string, line: int, dot: double, known: double, others: array<struct<term: string, n: int>>>>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         scorer = Scorer(total, frequency, threshold)
-        for texts in batches:
-            rows = [scorer.text(x.as_py() or "") for x in texts]
-            yield pa.array([{"license": a, "score": b, "line": c} for a, b, c in rows], kind)
+        for texts, wholes in batches:
+            rows = [scorer.candidates(x.as_py() or "", w) for x, w in zip(texts, wholes.to_pylist(), strict=True)]
+            yield pa.array([[c._asdict() | {"others": [{"term": t, "n": n} for t, n in c.others]} for c in r] for r in rows], kind)
 
     return run
 
 
+def best_candidates(rows: DataFrame, frequencies: DataFrame, total: int, threshold: float) -> DataFrame:
+    """(row, candidates) to (row, license, score, line) of rows with a candidate that reaches the threshold; other terms are looked up."""
+    c = rows.where(F.size("candidates") > 0).select("row", F.posexplode("candidates").alias("at", "c")).select("row", "at", "c.*")
+    terms = c.select("row", "at", F.inline("others"))
+    weights = written(frequencies.join(terms.select("term").distinct(), "term", "left_semi"), "weights")
+    square = F.pow(F.col("n") * F.log(1 + F.lit(float(total)) / (1 + F.col("df"))), 2)
+    norms = terms.join(small(weights.withColumnRenamed("n", "df"), 48), "term").groupBy("row", "at").agg(F.sum(square).alias("rest"))
+    score = F.round(F.col("dot") / F.sqrt(F.col("known") + F.coalesce("rest", F.lit(0.0))), 12)
+    scored = c.drop("others").join(norms, ["row", "at"], "left").withColumn("score", score).where(F.col("score") >= threshold)
+    return scored.groupBy("row").agg(F.min_by(F.struct("license", F.least("score", F.lit(1.0)).alias("score"), "line"), F.struct(-F.col("score"), "at")).alias("b")).select("row", "b.*")
+
+
 def scan_licenses(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", threshold: float = 0.75) -> DataFrame:
     """For each row of ``files``: key, path, own_license, own_score, own_line, inherited_from (a directory) and license."""
     bound_batches(files.sparkSession)
-    total, frequency = term_frequencies(files.select(F.col(text).alias("__text")))
-    own = files.select(F.col(key).alias("key"), F.col(path).alias("path"), _scan(total, frequency, threshold)(F.col(text)).alias("own"))
+    frequencies = written(term_frequencies(files.select(F.col(text).alias("__text"))), "terms")
+    known = {r.term: r.n for r in frequencies.where(F.col("term").isin("", *sorted(VOCABULARY))).collect()}  # the vocabulary's size
+    total = known.pop("", 0)
     name = F.element_at(F.split("path", "/"), -1)
     dir_of = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise("")
-    own = written(own.select("key", "path", F.when(F.col("path").isNotNull(), dir_of).alias("dir"), F.coalesce(name.rlike(LICENSE_FILE), F.lit(False)).alias("speaks"), "own.*"), "licenses")
+    speaks = F.coalesce(name.rlike(LICENSE_FILE), F.lit(False))
+    rows = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("__text")).select("*", F.when(F.col("path").isNotNull(), dir_of).alias("dir"), speaks.alias("speaks"))
+    rows = written(rows.select(F.monotonically_increasing_id().alias("row"), "key", "path", "dir", "speaks", _scan(total, known, threshold)(F.col("__text"), F.col("speaks")).alias("candidates")), "candidates")
+    best = written(best_candidates(rows, frequencies, total, threshold), "found")
+    own = written(rows.drop("candidates").join(small(best, 60), "row", "left").select("key", "path", "dir", "speaks", "license", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("line", F.lit(0)).alias("line")), "licenses")
     spoken = own.where("speaks AND license IS NOT NULL").groupBy("dir").agg(F.min_by("license", F.struct(-F.col("score"), "path")).alias("found"))
     parts = F.split("dir", "/")
     depth = F.when(F.col("dir") == "", 0).otherwise(F.size(parts))

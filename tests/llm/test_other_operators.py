@@ -45,6 +45,25 @@ def test_license_search_leaves_nothing_out():
         assert s.text(statement)[0] == licence
 
 
+def test_license_terms_outside_templates_weigh_by_frequency(spark):
+    """Words that most texts hold hardly count, wrapped statements are found, and the search equals scoring with all frequencies known."""
+    files = [(i, f"a/{i}.txt", f"project by all of us number n{i}") for i in range(300)]
+    files += [
+        (300, "b/x", "Released under the MIT License by project"), (301, "c/x", "intro\n# Released under\n#\n# the MIT\n# License\nrest of it"),
+        (302, "d/x", "Released under the MIT License q1 q2 q3 q4"), (303, "e/LICENSE", "\n".join(licenses.TEMPLATES[2][1].split())), (304, "f/x", "Released under the MIT License n7"),
+    ]
+    got = {r.doc_id: (r.own_license, r.own_line, r.own_score) for r in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got[300][:2] == ("mit", 1) and got[301][:2] == ("mit", 2) and got[302] == (None, 0, 0.0) and got[303][:2] == ("bsd-3-clause", 1)
+    frequency: dict = {}
+    for *_, text in files:
+        for t in set(licenses.terms_of(text)):
+            frequency[t] = frequency.get(t, 0) + 1
+    s = licenses.Scorer(len(files), frequency, 0.75)
+    for i, path, text in files:
+        licence, score, line = s.text(text, "LICENSE" in path)
+        assert got[i] == (licence, line, pytest.approx(score, abs=1e-6))
+
+
 def test_language_id_held_out(spark):
     got = queries.op5_language_id(spark, "/root/testdata/sf0.01")
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
