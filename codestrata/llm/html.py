@@ -2,8 +2,10 @@
 
 ``parse`` builds a tree from a single pass over tags: void elements, implied end tags (p, li, dt/dd, tr, td/th, option, sections of a
 table), raw text elements (script, style, ...), end tags that match no open element (ignored) and elements left open (closed at the
-end). ``render`` emits all visible text of the tree: head matter, scripts, templates, and elements hidden by attribute or inline
-style are left out; blocks stand on their own lines, paragraphs and headings get a blank line, list items a bullet or number with
+end). ``render`` emits all visible text of the tree: head matter, scripts, templates, fallback content of media, and elements hidden by
+attribute or inline style are left out (aria-hidden hides from screen readers only, so such elements stay; the copies of formulas that KaTeX
+and MathJax add for screen readers go); formulas give their symbols without annotations, drawings their text elements, text areas their
+lines, selections the chosen option, list boxes all options; blocks stand on their own lines, paragraphs and headings get a blank line, list items a bullet or number with
 indentation by depth, table rows one line with cells aligned in columns, ``pre`` its own white space, images their alternative text.
 
 Edge cases: null gives null, an empty page or one without visible text gives ''; malformed markup never fails; nesting is held in an
@@ -24,8 +26,14 @@ from .common import bound_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas svg math datalist select textarea meta link base".split())
+UNSEEN = frozenset("head title script style template noscript iframe noembed noframes object audio video canvas datalist meta link base annotation annotation-xml mphantom mjx-assistive-mml".split())
+#: Classes of copies of formulas that their own style sheets hide from view.
+UNSEEN_CLASSES = frozenset(("katex-mathml", "MJX_Assistive_MathML"))
 BLOCK = frozenset("address article aside blockquote body center details dd dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul caption".split())
+#: Parts of a formula that stand apart without white space between them.
+APART = frozenset("mfrac msub msup msubsup munder mover munderover mroot msqrt mmultiscripts mtable mtr mlabeledtr mtd".split())
+#: Parts of a drawing that are not drawn where they stand.
+UNDRAWN = frozenset("defs symbol clippath mask pattern marker desc metadata".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table ul ol dl figure hr".split())
 LISTS = frozenset(("ul", "ol", "menu", "dir"))
 #: An opening tag closes these open elements, up to the nearest of the listed bounds.
@@ -118,7 +126,8 @@ def parse(html: str) -> Node:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            node.children.append(html[at : end.start() if end else n])
+            inner = html[at : end.start() if end else n]
+            node.children.append(unescape(inner) if tag == "textarea" else inner)
             at = end.end() if end else n
             continue
         stack.append(node)
@@ -129,7 +138,44 @@ def visible(node: Node) -> bool:
     if node.tag in UNSEEN:
         return False
     a = node.attributes
-    return not a or not ("hidden" in a or a.get("aria-hidden", "").lower() == "true" or _HIDDEN_STYLE.search(a.get("style", "")))
+    return not a or not ("hidden" in a or _HIDDEN_STYLE.search(a.get("style", "")) or not UNSEEN_CLASSES.isdisjoint(a.get("class", "").split()))
+
+
+def drawn(svg: Node) -> list:
+    """The text elements and embedded markup of a drawing, in order."""
+    out: list = []
+    todo = list(reversed(svg.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str) or x.tag in UNDRAWN or not visible(x) or x.attributes.get("display") == "none" or x.attributes.get("visibility") in ("hidden", "collapse"):
+            continue
+        if x.tag in ("text", "foreignobject"):
+            out += [" ", x, " "]
+        else:
+            todo += reversed(x.children)
+    return out
+
+
+def chosen(select: Node) -> list:
+    """What a selection shows: its last option marked as selected, else the first that is not disabled; a list box shows all, with labels."""
+    size = select.attributes.get("size", "").strip()
+    box = "multiple" in select.attributes or size.isdecimal() and int(size) > 1
+    shown: list[tuple[Node, bool, str]] = []
+    todo = [(x, False) for x in reversed(select.children)]
+    while todo:
+        x, disabled = todo.pop()
+        if isinstance(x, str) or not visible(x):
+            continue
+        label = x.attributes.get("label", "").strip()
+        if x.tag == "option":
+            shown.append((x, disabled or "disabled" in x.attributes, label or "".join(_flat(x))))
+        else:
+            if x.tag == "optgroup" and box and label:
+                shown.append((x, True, label))
+            todo += [(c, disabled or x.tag == "optgroup" and "disabled" in x.attributes) for c in reversed(x.children)]
+    if not box:
+        shown = [x for x in shown if "selected" in x[0].attributes][-1:] or [x for x in shown if not x[1]][:1]
+    return [f" {text} " for *_, text in shown]
 
 
 class Lines:
@@ -258,9 +304,9 @@ def render(root: Node, depth: int = 0) -> str:
         if tag == "#rows":
             out.whole(table_lines(node.attributes["of"], depth))  # type: ignore[arg-type]
             continue
-        if tag == "pre":
+        if tag in ("pre", "textarea"):
             inner = "".join(_flat(node)).strip("\n")
-            out.whole([s.rstrip() for s in inner.split("\n")] if inner.strip() else [])
+            out.whole([s.rstrip() for s in inner.split("\n")] if inner.strip() else [], 1 if tag == "pre" else 0)
             continue
         if tag in LISTS:
             out.end(0 if lists else 1)
@@ -269,24 +315,33 @@ def render(root: Node, depth: int = 0) -> str:
             out.indent = "  " * len(lists)
         elif tag == "li":
             out.end()
-            depth = max(0, len(lists) - 1)
+            level = max(0, len(lists) - 1)
             if lists and lists[-1][0]:
-                out.prefix = f"{'  ' * depth}{lists[-1][1]}. "
+                out.prefix = f"{'  ' * level}{lists[-1][1]}. "
                 lists[-1][1] += 1
             else:
-                out.prefix = f"{'  ' * depth}- "
+                out.prefix = f"{'  ' * level}- "
         elif tag in BLOCK:
             out.end(1 if tag in SPACED else 0)
             if tag == "blockquote":
                 out.indent += "  "
         todo.append((node, 1))
-        todo += [(x, 0) for x in reversed(node.children)]
+        todo += [(x, 0) for x in reversed(_inner(node))]
     out.end()
     return "\n".join(out.lines).strip("\n")
 
 
+def _inner(node: Node) -> list:
+    """The children of a visible element that are shown."""
+    if node.tag == "svg":
+        return drawn(node)
+    if node.tag == "select":
+        return chosen(node)
+    return [y for x in node.children for y in (" ", x, " ")] if node.tag in APART else node.children
+
+
 def _flat(node: Node) -> Iterator[str]:
-    todo: list = list(reversed(node.children))
+    todo: list = list(reversed(_inner(node)))
     while todo:
         x = todo.pop()
         if isinstance(x, str):
@@ -294,7 +349,7 @@ def _flat(node: Node) -> Iterator[str]:
         elif x.tag == "br":
             yield "\n"
         elif visible(x):
-            todo += reversed(x.children)
+            todo += reversed(_inner(x))
 
 
 def to_text(html: str | None) -> str | None:

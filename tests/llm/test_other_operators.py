@@ -209,6 +209,28 @@ def test_html(spark):
     assert sorted((r.page_id, r.text) for r in html.extract_text(df).collect()) == [(1, None), (2, "x")]
 
 
+def test_html_shows_formulas_drawings_and_fields():
+    math = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow><annotation>x=\\frac</annotation></semantics></math>"
+    cases = {
+        f"<p>So {math} holds": "So x= 1 2 holds",
+        f"a <span class=katex><span class='katex-mathml'>{math}</span><span class='katex-html' aria-hidden='true'><span>x</span><span>=</span></span></span> b": "a x= b",
+        "<div aria-hidden='true'>seen</div>": "seen",
+        "<svg><title>t</title><defs><text>no</text></defs><g>no<text x=1>one <tspan>two</tspan></text><text display=none>no</text></g></svg>": "one two",
+        "x<textarea>\n a &lt; b\n  c</textarea>y": "x\n a < b\n  c\ny",
+        "Pick <select><option disabled>no<option>first<option selected>second</select> now": "Pick second now",
+        "Pick <select><option disabled>no<option>first<option>second</select> now": "Pick first now",
+        "<select multiple><optgroup label=G><option>a<option>b</select>": "G a b",
+        "<pre>p <select><option>a<option selected>b</select></pre>": "p  b",
+    }
+    for source, want in cases.items():
+        assert html.to_text(source) == want, source
+
+
+def test_html_tables_nested_through_lists():
+    got = html.to_text("<table><tr><td><ul><li>" * 500 + "deep")
+    assert got.strip("- |").endswith("deep")
+
+
 def test_html_keeps_every_visible_word():
     """All words outside hidden elements come out, in order, for random markup of well-formed blocks."""
     r = random.Random(8)
