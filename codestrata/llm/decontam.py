@@ -6,7 +6,8 @@ of an item; an item with fewer words, but not none, is one window. The normalise
 so that an occurrence's place gives its words, and a word's place in the original is looked up only in texts that are hit.
 
 Edge cases: a null or wordless text has no words and no hits; a null or wordless item has no windows; repeated rows each
-get their own result; items with equal windows are all reported; an empty benchmark leaves every text clean.
+get their own result; items with equal windows are all reported; items whose id is null hit like any other and stand as one null, the
+last of a text's items (which counts as one item and leaves joined ids as they are, as in the SQL); an empty benchmark leaves every text clean.
 """
 
 from __future__ import annotations
@@ -43,11 +44,11 @@ def windows_of(text: bytes | None, window: int) -> list[bytes]:
     return list(dict.fromkeys(b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))))
 
 
-def automata(items: list[tuple[str, bytes | None]], window: int, limit: int = AUTOMATON_BYTES) -> list:
+def automata(items: list[tuple[str | None, bytes | None]], window: int, limit: int = AUTOMATON_BYTES) -> list:
     """Automata over the windows of (id, text) items; each value is (words of the window, ids of its items)."""
     import ahocorasick
 
-    groups: dict[bytes, list[str]] = {}
+    groups: dict[bytes, list[str | None]] = {}
     for item, text in items:
         for w in windows_of(text, window):
             groups.setdefault(w, []).append(item)
@@ -63,7 +64,7 @@ def automata(items: list[tuple[str, bytes | None]], window: int, limit: int = AU
     return out
 
 
-def scan(text: bytes | None, machines: list) -> tuple[int, int, list[str], list[tuple[int, int]]]:
+def scan(text: bytes | None, machines: list) -> tuple[int, int, list[str | None], list[tuple[int, int]]]:
     """(words, words hit, ids of items with an occurrence, byte spans of hit runs in the original text)."""
     words = words_of(text)
     if not words or not machines:
@@ -74,7 +75,7 @@ def scan(text: bytes | None, machines: list) -> tuple[int, int, list[str], list[
         return len(words), 0, [], []
     blanks = np.cumsum(np.frombuffer(normal.encode("latin-1"), np.uint8) == 32)
     cover = np.zeros(len(words) + 1, np.int64)
-    ids: set[str] = set()
+    ids: set[str | None] = set()
     for end, (n, items) in found:
         last = int(blanks[end]) - 1  # the words before this blank
         cover[last - n] += 1
@@ -84,7 +85,7 @@ def scan(text: bytes | None, machines: list) -> tuple[int, int, list[str], list[
     edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
     places = [m.span() for m in _WORD.finditer(text.translate(_TABLE))]
     spans = [(places[a][0], places[b - 1][1]) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-    return len(words), int(hit.sum()), sorted(ids), spans
+    return len(words), int(hit.sum()), sorted(ids, key=lambda x: (x is None, x or "")), spans
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
@@ -94,7 +95,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     automaton of AUTOMATON_BYTES (one for any usual benchmark). No shuffle.
     """
     bound_batches(docs.sparkSession)
-    items = [(r[0], bytes(r[1]) if r[1] is not None else None) for r in benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("binary")).where(F.col(item_id).isNotNull()).toLocalIterator()]
+    items = [(r[0], bytes(r[1]) if r[1] is not None else None) for r in benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("binary")).toLocalIterator()]
     sent = docs.sparkSession.sparkContext.broadcast(items)
 
     @F.arrow_udf(HITS)

@@ -162,3 +162,28 @@ def test_decontamination_of_nothing(spark):
     assert decontam.decontaminate(spark.createDataFrame([], DOCS), none).collect() == []
     many = decontam.automata([(str(i), f"item number {i} has some words of its own here and there".encode()) for i in range(50)], 10, limit=200)
     assert len(many) > 1 and decontam.scan(b"item number 7 has some words of its own here", many)[2] == ["7"]
+
+
+def test_decontamination_counts_items_without_id(spark):
+    """Items whose id is null hit, as in the SQL: counted, and left out of the joined ids."""
+    long = " ".join(f"b{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"x {long} y"), (2, f"z {long} short item"), (3, "clean")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, long), (None, "b1 b2"), (7, "short item")], "item_id long, text string")
+    got = {r.doc_id: r.hits for r in decontam.decontaminate(docs, items).collect()}
+    assert {k: (h.n_hit, h["items"], len(h.spans)) for k, h in got.items()} == {1: (12, [None], 1), 2: (14, ["7", None], 1), 3: (0, [], 0)}
+
+
+def test_decontamination_query_equals_sql_with_null_ids(spark, tmp_path):
+    import duckdb
+
+    from codestrata.llm import queries
+
+    long = " ".join(f"b{i}" for i in range(12))
+    spark.createDataFrame([(1, f"x {long} y"), (2, f"z {long} short item"), (3, "clean")], DOCS[: DOCS.index(", source")]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, long), (7, "short item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = queries.op1_decontamination(spark, str(tmp_path))
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.OP1_SQL})").fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
