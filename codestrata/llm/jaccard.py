@@ -173,10 +173,10 @@ def row_ids(docs: DataFrame, key: str, text: str) -> Column:
     return F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text))) if whole else F.xxhash64(F.col(key), F.col(text))
 
 
-def prepare(docs: DataFrame, key: str, text: str, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def prepare(docs: DataFrame, key: str, text: str, n: int, percent: int, number: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows: id, k, size, key of every text; sets: k, size, l, grams, m of each distinct set that may have a partner), written tables."""
     bound_batches(docs.sparkSession)
-    texts = docs.select(row_ids(docs, key, text).alias("id"), F.col(key).alias("key"), F.col(text).cast("binary").alias("__text"))
+    texts = docs.select(row_ids(docs, number or key, text).alias("id"), F.col(key).alias("key"), F.col(text).cast("binary").alias("__text"))
     rows = written(signatures(texts, n), "signatures")
     need = F.ceil(F.col("size").cast("long") * percent / F.lit(100))
     alone = shared_grams(texts, n, SHARE).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
@@ -276,9 +276,12 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5,
     return rows, verify(all_candidates(sets, percent), sets, percent)
 
 
-def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each row of ``docs``: key, n_shingles and component_id, the least key reachable over links."""
-    rows, sets = prepare(docs, key, text, n, percent)
+def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, number: str | None = None) -> DataFrame:
+    """One row for each row of ``docs``: key, n_shingles and component_id, the least key reachable over links.
+
+    ``number`` is a column of short ids, which may repeat or be null, that stand for rows in shuffles instead of a hash of a wide key.
+    """
+    rows, sets = prepare(docs, key, text, n, percent, number)
     star = stars(sets, percent)
     pairs = written(near_candidates(star, percent).unionByName(far_candidates(sets, star, percent)).distinct(), "pairs")
     found = [star.where("linked").select(F.col("k").alias("a"), F.col("c").alias("b")), verify(pairs, sets, percent)]

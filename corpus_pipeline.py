@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, near duplicates, repeated passages, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next stage's docs. All but
-the last return the columns of ``documents``. Rows with a null doc_id stay through the near-duplicate stage: they have no name to go by.
+the last return the columns of ``documents``. Near duplicates are decided by row, so null and repeated doc_ids go like any other.
 """
 
 from __future__ import annotations
@@ -23,13 +23,19 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each class of near copies, and one of rows alike in id and text."""
-    lowered = docs.select("doc_id", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
-    classes = written(jaccard.classes(lowered), "near-classes")
-    if classes.groupBy("doc_id").count().where("count > 1").limit(1).count():
+    """Keeps one row of each class of near copies: that of least id (null ids last), then of least hash; and one of rows alike in id and text.
+
+    A row's key is its id and 128 bits of hash over id and text. Rows alike in both share a key.
+    """
+    none = F.col("doc_id").isNull()
+    h1, h2 = F.xxhash64(none, "doc_id", "text"), F.xxhash64(F.lit(1), none, "doc_id", "text")
+    key = F.struct(none.alias("none"), F.coalesce("doc_id", F.lit(0).cast(dict(docs.dtypes)["doc_id"])).alias("id"), h1.alias("h1"), h2.alias("h2"))
+    lowered = docs.select(key.alias("__row"), "doc_id", F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("text"))
+    classes = written(jaccard.classes(lowered, key="__row", number="doc_id").select("__row", F.col("component_id").alias("kept")), "near-classes")
+    if classes.groupBy("__row").count().where("count > 1").limit(1).count():
         docs = docs.dropDuplicates(["doc_id", "text"])
-    gone = written(classes.where("doc_id <> component_id").select("doc_id").distinct(), "near-gone")
-    return docs.join(small(gone, 16), "doc_id", "left_anti").select(docs.columns)
+    gone = written(classes.where("__row <> kept").select(F.col("__row.h1").alias("__h1"), F.col("__row.h2").alias("__h2")).distinct(), "near-gone")
+    return docs.withColumn("__h1", h1).withColumn("__h2", h2).join(small(gone, 24), ["__h1", "__h2"], "left_anti").select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
