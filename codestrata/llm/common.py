@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only up to this many bytes (rows times the given width); beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
+#: A key with more than one in so many rows is hot: its rows are spread. So there are at most so many hot keys.
+HOT_KEYS = 2000
 #: Texts are taken through numpy in pieces of about this many bytes, so that temporary arrays stay small.
 PIECE_BYTES = 1 << 19
 
@@ -32,27 +34,32 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all executors are in this process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="codestrata-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
-_tables: list[tuple[SparkSession, str]] = []
+_tables: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _drop_tables() -> None:
     """Deletes this process's scratch tables when the driver ends; failures are left to the folder's owner."""
-    for spark, path in _tables:
+    for path, spark in _tables.items():
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone
             return
 
@@ -60,14 +67,24 @@ def _drop_tables() -> None:
 atexit.register(_drop_tables)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables of which all consumers are written too."""
+    for t in tables:
+        path = t._scratch
+        if spark := _tables.pop(path, None):
+            _delete(spark, path)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    _tables.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
+    _tables[path] = spark
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
@@ -75,6 +92,20 @@ def small(df: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df.hint("merge")
 
 
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], by: list[str | Column], how: str = "inner", rows: int | None = None) -> DataFrame:
+    """``left`` joined with ``right``, which has one row for each key and in ``n`` the number of left rows with that key.
+
+    A hot key's rows are spread by the hash of ``by`` over as many parts as it is times too large, and the right row is repeated for each. The
+    hot keys, at most HOT_KEYS of them, are broadcast.
+    """
+    limit = max(1, (left.count() if rows is None else rows) // HOT_KEYS)
+    parts = F.ceil(F.col("n") / limit).cast("int")
+    hot = right.where(F.col("n") > limit).select(*keys, parts.alias("__parts"))
+    spread = left.join(F.broadcast(hot), keys, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(*by), F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), parts) - 1))).drop("n")
+    return spread.join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
 def word_regex_ws(text: Column) -> Column:
     """Words of ``[^\\x20\\x09-\\x0D]+`` as an array; null and blank texts give an empty one."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
@@ -150,23 +181,22 @@ def connected_components(edges: DataFrame, tag: str = "components") -> DataFrame
     """(node, component): the least node reachable over ``edges`` (a, b), for every node that has an edge.
 
     Alternates two steps over distributed edges until nothing changes: each node's larger neighbours move to its least
-    neighbour, then each node's smaller neighbours do. Only a count of changed edges reaches the driver.
+    neighbour, then each node's smaller neighbours do. Only counts reach the driver; the neighbours of a node with many are spread.
     """
 
-    def star(e: DataFrame, keep) -> DataFrame:
-        least = e.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        return e.join(least, "a").where(keep(F.col("a"), F.col("b"))).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    def with_least(e: DataFrame, value: Column) -> DataFrame:
+        return spread_join(e, written(e.groupBy("a").agg(value.alias("m"), F.count("*").alias("n")), tag), ["a"], ["b"])
 
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = star(both, lambda a, b: b > a)
-        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        joined = down.join(least, "a")
+        large = with_least(both, F.least(F.col("a"), F.min("b"))).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        down = written(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), tag)
+        joined = with_least(down, F.min("b"))
         moved = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = written(moved.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), tag)
+        after = written(moved.unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), tag)
         changed = after.join(e, ["a", "b"], "left_anti").limit(1).count() + e.join(after, ["a", "b"], "left_anti").limit(1).count()
+        discard(e, down)
         e = after
         if not changed:
             break

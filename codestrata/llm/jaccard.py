@@ -10,17 +10,25 @@ candidate if its prefixes share at least the smaller of its two l; candidates ar
 
 Steps, all distributed:
 
-1. A set of which at least ``size - need + 1`` grams occur in no other text has no partner, whatever the order of grams. To see that, grams of
-   a fixed share of hash space (SHARE) suffice: they are counted over all texts, with partial sums before the shuffle. Most texts end here.
-2. The rest are collapsed to distinct sets. Document frequencies of all their grams are counted exactly; sets with fewer than ``need`` grams
-   that occur elsewhere go too; the others choose their prefixes.
+1. In the order of hashes, prefixes of ``size - need + l`` grams with l = 1 + size // SLACK are counted over all texts, with partial sums before
+   the shuffle. Partners share l grams of these, l the smaller of their two; so a text with fewer prefix grams that stand in other prefixes
+   than any partner could ask for has no partner. Most texts end here.
+2. The rest are collapsed to distinct sets. One shuffle of their grams gives the frequencies, by which the grams are ordered, rarest first.
+   Sets with fewer than ``need`` grams that occur elsewhere go too; the others choose their prefixes. A gram in very many sets (seen in a part
+   of the sets) has an estimate as its frequency and is spread over the tasks: any fixed order of grams is right, whatever their frequency.
 3. For classes, sets are linked to a centre, one of their posting lists' sets. Two sets with one centre that do not both link to it are
-   compared by their differences from it (``near_candidates``), pairs with different centres by their prefixes (``far_candidates``). Both are
-   exact: no link between classes is lost, and no list is capped; yet a group of thousands of near copies costs its size, not its square.
-   ``links`` verifies every candidate pair of distinct sets instead.
+   compared by their differences from it (``near_candidates``): there, the overlap that a link asks for is counted within the differences, and
+   the prefixes are as long as one shared gram of them takes. Pairs with different centres are compared by their adaptive prefixes
+   (``far_candidates``). Sets that link to one centre are in one class without being compared. So no link between classes is lost, and no list
+   is capped; yet a group of thousands of near copies costs its size, not its square. ``links`` verifies every candidate pair of distinct
+   sets instead.
+
+Joins on a key that may be hot (a class, a centre, a gram, a text's set) go through ``spread_join``. Hash collisions can only add candidates in
+step 1; later, sets are compared by 64-bit hashes of their grams.
 
 Edge cases: null, empty and blank texts have no grams and link with nothing; repeated rows and equal texts share a set; a null id is
-its own smallest id only if no other is there; an empty table gives an empty result; other columns are kept.
+its own smallest id only if no other is there; ties between centres go to the least hash; an empty table gives an empty result; other columns are
+left out; a long text is a long set, held by one task at a time, and texts go through numpy in bounded pieces.
 """
 
 from __future__ import annotations
@@ -31,11 +39,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import bound_batches, connected_components, gram_hashes, mix, pieces, signed, small, union_all, word_hashes, written
+from .common import bound_batches, connected_components, discard, gram_hashes, mix, pieces, signed, small, spread_join, union_all, word_hashes, written
 
-#: Share of hash space whose grams are counted over all texts in step 1.
-SHARE = 0.3
+#: In step 1, partners share one prefix gram more for each so many grams.
+SLACK = 16
+#: One in so many sets is looked at for very frequent grams, and those with more than one in so many of the looked-at postings are such.
+LOOK, FREQUENT = 32, 16384
 #: A set is compared by its difference from a centre if that is at most so many times what a link to the centre allows.
 NEAR = 3
 #: Verifying a candidate costs about this many postings, and so many more for each gram.
@@ -92,12 +103,16 @@ def signatures(texts: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(_batches(n, emit), f"id long, key {dict(texts.dtypes)['key']}, k long, size int")
 
 
-def shared_grams(texts: DataFrame, n: int, share: float) -> DataFrame:
-    """(id, __text) to (h, id): the distinct grams in the first ``share`` of hash space."""
-    limit = np.uint64(int(share * 2**64))
+def slack_of(size: int, percent: int) -> int:
+    """l of step 1; it never falls with the size."""
+    return min(1 + size // SLACK, max(1, need_of(size, percent)))
+
+
+def first_grams(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(id, __text) to (h, id): the grams of each set's prefix in the order of hashes."""
 
     def emit(batch: pa.RecordBatch, first: int, sets: list) -> pa.RecordBatch:
-        own = [s[: np.searchsorted(s, limit)] for s in sets]
+        own = [s[: len(s) - need_of(len(s), percent) + slack_of(len(s), percent)] for s in sets]
         rows = np.repeat(np.arange(len(sets)), [len(s) for s in own])
         ids = batch.column("id").slice(first, len(sets)).take(pa.array(rows))
         return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(own))), ids], names=["h", "id"])
@@ -105,15 +120,15 @@ def shared_grams(texts: DataFrame, n: int, share: float) -> DataFrame:
     return texts.mapInArrow(_batches(n, emit), "h long, id long")
 
 
-def full_grams(texts: DataFrame, n: int) -> DataFrame:
-    """(id, k, __text) to (k, grams): whole sets, of texts whose signature is k."""
+def grams_of(texts: DataFrame, n: int) -> DataFrame:
+    """(id, k, __text) to (h, k): all grams of texts whose signature is k."""
 
     def emit(batch: pa.RecordBatch, first: int, sets: list) -> pa.RecordBatch:
-        keys = batch.column("k").slice(first, len(sets)).to_pylist()
-        rows = [(k, signed(s)) for k, s in zip(keys, sets, strict=True) if signature(s) == k]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["k", "grams"])
+        keys = batch.column("k").slice(first, len(sets)).to_numpy(zero_copy_only=False)
+        sets = [s if signature(s) == k else s[:0] for s, k in zip(sets, keys, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(sets))), pa.array(np.repeat(keys, [len(s) for s in sets]))], names=["h", "k"])
 
-    return texts.mapInArrow(_batches(n, emit), "k long, grams array<long>")
+    return texts.mapInArrow(_batches(n, emit), "h long, k long")
 
 
 def choose_prefix(df: np.ndarray, size: int, need: int) -> tuple[int, int]:
@@ -178,19 +193,30 @@ def prepare(docs: DataFrame, key: str, text: str, n: int, percent: int, number:
     bound_batches(docs.sparkSession)
     texts = docs.select(row_ids(docs, number or key, text).alias("id"), F.col(key).alias("key"), F.col(text).cast("binary").alias("__text"))
     rows = written(signatures(texts, n), "signatures")
-    need = F.ceil(F.col("size").cast("long") * percent / F.lit(100))
-    alone = shared_grams(texts, n, SHARE).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    # An id on several rows proves nothing about any of them.
-    done = rows.groupBy("id").agg(F.count("*").alias("rows"), F.max("size").alias("size")).join(alone, "id").where((F.col("rows") == 1) & (F.col("alone") >= F.col("size") - need + 1))
+    size = F.col("size").cast("long")
+    need = F.ceil(size * percent / F.lit(100))
+
+    def slack(size: Column) -> Column:
+        return F.least(1 + F.floor(size / SLACK), F.ceil(size * percent / F.lit(100)))
+
+    alone = first_grams(texts, n, percent).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    # The least partner has ``need`` grams. An id on several rows proves nothing about any of them.
+    done = rows.groupBy("id").agg(F.count("*").alias("rows"), F.max("size").alias("size")).join(alone, "id").where((F.col("rows") == 1) & (F.col("alone") > size - need + slack(size) - slack(need)))
     reps = written(rows.where("size > 0").join(done.select("id"), "id", "left_anti").groupBy("k", "size").agg(F.min("id").alias("id")), "representatives")
-    found = full_grams(texts.select("id", "__text").join(small(reps.select("id", "k"), 24), "id"), n)
+    found = grams_of(texts.select("id", "__text").join(small(reps.select("id", "k"), 24), "id"), n)
     if rows.groupBy("k", "id").count().where("count > 1").limit(1).count():
-        found = found.dropDuplicates(["k"])
-    sets = written(found.join(small(reps.select("k", "size"), 24), "k"), "sets")
-    postings = sets.select("k", F.explode("grams").alias("h"))
-    frequent = written(postings.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "frequencies")
-    pairs = postings.join(small(frequent, 24), "h").groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("pairs"))
-    return rows, written(prefixes(pairs.join(small(sets.select("k", "size"), 24), "k").select("k", "size", "pairs"), percent), "prefixes")
+        found = found.dropDuplicates(["h", "k"])
+    looked = written(grams_of(texts.select("id", "__text").join(small(reps.select("id", "k").where(F.pmod("k", F.lit(LOOK)) == 0), 24), "id"), n).groupBy("h").agg(F.countDistinct("k").alias("n")), "looked")
+    bound = max(8, (looked.agg(F.sum("n")).first()[0] or 0) // FREQUENT)
+    frequent = looked.where(F.col("n") > bound).select("h", (F.col("n") * LOOK).alias("estimate"))  # at most FREQUENT rows
+    # A frequent gram's rows go to tasks by set, all others by gram; one shuffle serves for the count and what follows.
+    at = F.when(F.col("estimate").isNotNull(), F.xxhash64("h", "k")).otherwise(F.col("h"))
+    postings = found.join(F.broadcast(frequent), "h", "left").select("h", "k", at.alias("at"), "estimate")
+    counted = postings.withColumn("df", F.coalesce("estimate", F.count("*").over(W.partitionBy("at")))).where("df > 1")
+    pairs = counted.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("pairs"))
+    sets = written(prefixes(pairs.join(small(reps.select("k", "size"), 24), "k").select("k", "size", "pairs"), percent), "prefixes")
+    discard(reps, looked)
+    return rows, sets
 
 
 def _postings(sets: DataFrame) -> DataFrame:
@@ -206,16 +232,20 @@ def stars(sets: DataFrame, percent: int) -> DataFrame:
     alone has are in the difference of every set. A set that differs by more than NEAR times what a link allows is its own centre.
     """
     p = _postings(sets)
-    centres = p.groupBy("h").agg(F.min(F.struct("own", F.col("k").alias("c"))).alias("m")).select("h", "m.c")
-    most = p.join(centres, "h").groupBy("k", "c").agg(F.count("*").alias("n")).groupBy("k").agg(F.max_by("c", F.struct("n", "c")).alias("c"))
+    centres = written(p.groupBy("h").agg(F.min(F.struct("own", F.col("k").alias("c"))).alias("m"), F.count("*").alias("n")).where("n > 1").select("h", "m.c", "n"), "lists")
+    most = spread_join(p.select("h", "k"), centres, ["h"], ["k"]).groupBy("k", "c").agg(F.count("*").alias("n")).groupBy("k").agg(F.max_by("c", F.struct("n", "c")).alias("c"))
     pairs = written(most.where("k <> c"), "centres")
     s = sets.select("k", "size", "grams")
-    both = s.join(small(pairs, 24), "k").join(s.select(F.col("k").alias("c"), F.col("size").alias("c_size"), F.col("grams").alias("c_grams")), "c")
+    members = pairs.groupBy("c").agg(F.count("*").alias("n"))
+    of = written(members.join(s.select(F.col("k").alias("c"), F.col("size").alias("c_size"), F.col("grams").alias("c_grams")), "c"), "centre-sets")
+    both = spread_join(s.join(small(pairs, 24), "k"), of, ["c"], ["k"], rows=pairs.count())
     d = (F.col("size") + F.col("c_size") - 2 * F.size(F.array_intersect("grams", "c_grams"))).cast("long")
     allowed = (F.col("size") + F.col("c_size")).cast("long") * (100 - percent)
     near = both.withColumn("d", d).where(F.col("d") * (100 + percent) <= NEAR * allowed)
     delta = F.concat(F.array_except("grams", "c_grams"), F.array_except("c_grams", "grams"))
-    return written(near.select("k", "size", "c", "c_size", (F.col("c_size") - F.size("c_grams")).alias("c_own"), "d", (F.col("d") * (100 + percent) <= allowed).alias("linked"), delta.alias("delta")), "stars")
+    out = written(near.select("k", "size", "c", "c_size", (F.col("c_size") - F.size("c_grams")).alias("c_own"), "d", (F.col("d") * (100 + percent) <= allowed).alias("linked"), delta.alias("delta")), "stars")
+    discard(centres, pairs, of)
+    return out
 
 
 def near_candidates(star: DataFrame, percent: int) -> DataFrame:
@@ -228,8 +258,8 @@ def near_candidates(star: DataFrame, percent: int) -> DataFrame:
     and mostly their own, so a group of many thousands around one text meets in few of them.
     """
     grams = star.select("k", "c", F.explode("delta").alias("h"))
-    frequent = grams.groupBy("c", "h").agg(F.count("*").alias("df")).where("df > 1")
-    lists = grams.join(frequent, ["c", "h"]).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("list"))
+    frequent = written(grams.groupBy("c", "h").agg(F.count("*").alias("n"), F.count("*").alias("df")).where("n > 1"), "differences")
+    lists = spread_join(grams, frequent, ["c", "h"], ["k"]).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("list"))
     full = star.drop("delta").join(lists, "k", "left").withColumn("list", F.coalesce(F.col("list.h"), F.array().cast("array<long>")))
     n = F.size("list")
     outer = F.col("d") - F.floor(F.col("size").cast("long") * (100 - percent) / F.lit(percent))
@@ -254,8 +284,9 @@ def far_candidates(sets: DataFrame, star: DataFrame, percent: int) -> DataFrame:
     """
     p = _postings(sets).join(small(star.select("k", "c", "linked"), 32), "k", "left")
     p = p.select("k", "size", "l", "h", F.coalesce("c", "k").alias("c"), F.when(F.col("linked"), F.col("c")).otherwise(F.col("k")).alias("label"))
-    lists = p.groupBy("h", "c").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("centres")).where("centres > 1").select("h", "most")
-    p = written(p.join(lists, "h"), "postings")
+    lists = p.groupBy("h", "c").agg(F.count("*").alias("n")).groupBy("h").agg(F.max_by("c", F.struct("n", "c")).alias("most"), F.count("*").alias("centres"), F.sum("n").alias("n")).where("centres > 1")
+    lists = written(lists.select("h", "most", "n"), "lists")
+    p = written(spread_join(p, lists, ["h"], ["k"]), "postings")
     b = p.select("h", *(F.col(x).alias(f"{x}2") for x in ("k", "size", "l", "c", "label")))
     met = p.where("c <> most").join(b, "h").where("c <> c2 AND label <> label2 AND (c2 = most OR k < k2)").where(_sizes_fit("size", "size2", percent))
     pairs = met.groupBy(F.least("k", "k2").alias("a"), F.greatest("k", "k2").alias("b")).agg(F.count("*").alias("n"), F.min(F.least("l", "l2")).alias("least")).where("n >= least")
@@ -285,8 +316,15 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5
     star = stars(sets, percent)
     pairs = written(near_candidates(star, percent).unionByName(far_candidates(sets, star, percent)).distinct(), "pairs")
     found = [star.where("linked").select(F.col("k").alias("a"), F.col("c").alias("b")), verify(pairs, sets, percent)]
-    component = connected_components(union_all(found)).select(F.col("node").alias("k"), "component")
-    of = rows.join(component, "k", "left").withColumn("c", F.coalesce("component", "k"))
-    least = of.where("size > 0").groupBy("c").agg(F.min("key").alias("least"))
-    out = of.join(least, "c", "left")
-    return out.select(F.col("key").alias(key), F.col("size").cast("long").alias("n_shingles"), F.when(F.col("size") > 0, F.col("least")).otherwise(F.col("key")).alias("component_id"))
+    component = written(connected_components(union_all(found)).select(F.col("node").alias("k"), F.col("component").alias("c")), "set-classes")
+    discard(star, pairs, sets)
+    whole = rows.where("size > 0")
+    own = written(whole.groupBy("k").agg(F.min("key").alias("least"), F.count("*").alias("n")), "least-keys")
+    parts = written(component.join(own, "k").select("k", "c", "least"), "parts")
+    of = written(parts.groupBy("c").agg(F.min("least").alias("of"), F.count("*").alias("n")), "least-of-classes")
+    least = own.join(spread_join(parts.select("k", "c"), of, ["c"], ["k"]).select("k", "of"), "k", "left").where("n > 1 OR of IS NOT NULL")
+    least = written(least.select("k", F.struct(F.coalesce("of", "least").alias("v")).alias("least"), "n"), "least-of-sets")
+    discard(component, own, parts, of)
+    shown = spread_join(whole, least, ["k"], [F.monotonically_increasing_id()], "left").select("key", "size", F.when(F.col("least").isNull(), F.col("key")).otherwise(F.col("least.v")).alias("component_id"))
+    out = shown.unionByName(rows.where("size = 0").select("key", "size", F.col("key").alias("component_id")))
+    return out.select(F.col("key").alias(key), F.col("size").cast("long").alias("n_shingles"), "component_id")
