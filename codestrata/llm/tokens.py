@@ -1,22 +1,21 @@
-"""Token counts as a public tokenizer's library gives them, for texts of any length.
-
-Texts are encoded in pieces that are proven independent. In a byte-level BPE file with the usual split pattern, a single blank
-between two characters that are not white space always opens a new pre-token, and no token or special string crosses it, so counts
-of such pieces add up; pieces are counted once per task and looked up afterwards.
-
-Huge texts are encoded by *overlap resynchronisation*: chunks of ``chunk`` characters that overlap by ``overlap`` are encoded with
-offsets, and two neighbours are spliced at a place in the overlap where both open a pre-token. The split pattern scans left to right
-and keeps no state across a pre-token's start, so from a common start on both encodings agree; the start must lie ``guard``
-characters from either chunk's edge, where the pattern's look-ahead or a cut special string could mislead. If no such place exists,
-the overlap is doubled, in the end to the whole rest of the text.
-
-Edge cases: null counts as an empty text (0 bytes, 0 tokens); repeated rows each get their counts; any other columns are kept.
+"""Token counts as a public tokenizer's library gives them, by overlap resynchronisation of chunks.
+
+Every text is encoded in chunks of ``chunk`` characters that overlap by ``overlap``, with offsets. Two neighbours are spliced where, in the
+overlap, both open a pre-token with the same token at the same place. The library's split runs from left to right and keeps no state across
+a pre-token's start, so from a common start on both encodings agree. The start must lie ``guard`` characters from either chunk's
+edge (more than the split looks ahead, and twice the longest added token), where a cut word or a cut special string could mislead. Without
+such a place the overlap is doubled, up to the left chunk's begin; if that fails too, both are encoded as one chunk, at least twice as long.
+A text of one chunk has no splice. Chunks are encoded in runs of RUN, so a text of any length holds that many encodings at most.
+
+Edge cases: null counts as an empty text (0 bytes, 0 tokens); a text without any splice (one word of megabytes) is encoded whole in the end;
+repeated rows each get their counts; columns named n_tokens, n_bytes or over_limit are replaced, all others are kept; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import os
-import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,13 +24,10 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-#: Texts of more characters than this are encoded in overlapping chunks.
-HUGE_CHARS = 200_000
-#: Distinct pieces whose counts a task keeps before it starts afresh.
-CACHE_PIECES = 2_000_000
-
-_UNSAFE = re.compile(r"\s | \s")
-_SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of a chunk and of the overlap of two.
+CHUNK, OVERLAP = 8192, 512
+#: Chunks that are encoded at once.
+RUN = 256
 
 
 def load(path: str):
@@ -45,61 +41,80 @@ def load(path: str):
     return tokenizer
 
 
-def starts_of(tokenizer, text: str) -> tuple[list[int], list[bool]]:
-    """(start of every token, whether it opens a pre-token), from offsets and word numbers.
+def guard_of(tokenizer) -> int:
+    return max(64, *(2 * len(t.content) for t in tokenizer.get_added_tokens_decoder().values()), 0)
 
-    Tokens of one character's bytes share a start. Special tokens have no word number and count as pre-tokens of their own.
-    """
-    e = tokenizer.encode(text, add_special_tokens=False)
-    starts, words = [a for a, _ in e.offsets], e.word_ids
-    opens = [i == 0 or w is None or w != words[i - 1] for i, w in enumerate(words)]
-    return starts, opens
-
-
-def count_huge(tokenizer, text: str, chunk: int = 100_000, overlap: int = 2_000, guard: int = 64) -> int:
-    """Tokens of ``text`` by overlap resynchronisation; equal to ``len(tokenizer.encode(text))``."""
-    total, begin, keep = 0, 0, 0  # tokens before ``keep`` are counted; the chunk starts at ``begin`` <= keep
-    end = min(len(text), chunk)
-    left, opens = starts_of(tokenizer, text[begin:end])
-    while end < len(text):
-        width = overlap
-        while True:
-            start = max(begin, end - width)
-            stop = min(len(text), max(end + chunk - overlap, start + chunk))
-            right, right_opens = starts_of(tokenizer, text[start:stop])
-            ours = {a + start for a, o in zip(right, right_opens, strict=True) if o}
-            theirs = [a + begin for a, o in zip(left, opens, strict=True) if o]
-            low, high = start + (guard if start else 0), end - guard
-            at = max((a for a in theirs if max(low, keep) <= a <= high and a in ours), default=None)
-            if at is not None or (start == begin and stop == len(text)):
-                break
-            if start == begin:  # the overlap takes the whole chunk: go on with one longer chunk from the same begin
-                at = None
-                break
-            width *= 2
-        if at is None:
-            longer = len(text) if stop == len(text) else min(len(text), begin + 2 * (end - begin))
-            left, opens = starts_of(tokenizer, text[begin:longer])
-            end = longer
-            continue
-        total += sum(keep <= a + begin < at for a in left)
-        begin, keep, end, left, opens = start, at, stop, right, right_opens
-    return total + sum(a + begin >= keep for a in left)
 
+class Chunk:
+    """An encoded stretch of a text: its begin and end, the start of each token in the text, and which tokens open a pre-token.
 
-def pieces_of(text: str) -> list[str]:
-    """The text cut before each blank that stands between two characters other than white space."""
-    return text.split(" ") if not _UNSAFE.search(text) and text[:1] != " " and text[-1:] != " " else _SAFE_BLANK.split(text)
+    Special tokens have no word number and count as pre-tokens of their own.
+    """
 
+    def __init__(self, encoding, begin: int, end: int):
+        self.begin, self.end, self.ids = begin, end, encoding.ids
+        self.starts = [a + begin for a, _ in encoding.offsets]
+        words = encoding.word_ids
+        self.opens = [w is None or w != v for w, v in zip(words, [None, *words], strict=False)]
+
+
+def splice(left: Chunk, right: Chunk, low: int, high: int) -> tuple[int, int] | None:
+    """(token of left, token of right) of the first place from ``low`` to ``high`` where both open a pre-token with the same token."""
+    theirs = {left.starts[j]: j for j in range(bisect_left(left.starts, low), len(left.starts)) if left.opens[j]}
+    for i in range(bisect_left(right.starts, low), len(right.starts)):
+        if right.starts[i] > high:
+            break
+        j = theirs.get(right.starts[i])
+        if j is not None and right.opens[i] and left.ids[j] == right.ids[i]:
+            return j, i
+    return None
+
+
+def encoded(tokenizer, texts: list[str], chunk: int, overlap: int) -> Iterator:
+    """The encodings of all chunks of all texts, in order."""
+    run: list[str] = []
+    for text in texts:
+        for at in range(0, max(1, len(text) - overlap), chunk - overlap):
+            run.append(text[at : at + chunk])
+            if len(run) == RUN:
+                yield from tokenizer.encode_batch(run, add_special_tokens=False)
+                run = []
+    yield from tokenizer.encode_batch(run, add_special_tokens=False)
+
+
+def count_tokens(tokenizer, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP, guard: int | None = None) -> list[int]:
+    """Tokens of each text; equal to ``len(tokenizer.encode(text, add_special_tokens=False))``."""
+    guard = guard_of(tokenizer) if guard is None else guard
+    if not 2 * guard < overlap < chunk:
+        raise ValueError("an overlap is longer than two guards and shorter than a chunk")
+    out = []
+    encodings = encoded(tokenizer, texts, chunk, overlap)
+    for text in texts:
+        if len(text) <= chunk:
+            out.append(len(next(encodings)))
+            continue
 
-def count_tokens(tokenizer, texts: list[str], known: dict[str, int], first: dict[str, int]) -> list[int]:
-    """Tokens of each text. ``known`` has counts of pieces after a blank, ``first`` of pieces that open a text; both grow."""
-    cut = [pieces_of(t) if 0 < len(t) <= HUGE_CHARS else [] for t in texts]
-    for cache, lead, new in ((known, " ", {p for c in cut for p in c[1:]} - known.keys()), (first, "", {c[0] for c in cut if c} - first.keys())):
-        if new := list(new):
-            cache.update(zip(new, map(len, tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False)), strict=True))
-    get = known.__getitem__
-    return [first[c[0]] + sum(map(get, c[1:])) if c else count_huge(tokenizer, t) if t else 0 for c, t in zip(cut, texts, strict=True)]
+        def encode(begin: int, end: int, text: str = text) -> Chunk:
+            return Chunk(tokenizer.encode(text[begin:end], add_special_tokens=False), begin, end)
+
+        total = keep = 0  # tokens before the token ``keep`` of the left chunk are counted
+        left = Chunk(next(encodings), 0, chunk)
+        for start in range(chunk - overlap, len(text) - overlap, chunk - overlap):
+            right = Chunk(next(encodings), start, min(len(text), start + chunk))
+            if right.end <= left.end:  # within a chunk that had to be made longer
+                continue
+            done = left.starts[keep] if keep else left.begin
+            width = left.end - right.begin
+            while not (found := splice(left, right, max(right.begin + guard, done), left.end - guard)) and right.begin > left.begin:
+                width *= 2
+                right = encode(max(left.begin, left.end - width), right.end)
+            if found:
+                total += found[0] - keep
+                left, keep = right, found[1]
+            else:
+                left = encode(left.begin, min(len(text), max(right.end, 2 * left.end - left.begin)))
+        out.append(total + len(left.ids) - keep)
+    return out
 
 
 def token_count(text: Column, path: str) -> Column:
@@ -107,15 +122,9 @@ def token_count(text: Column, path: str) -> Column:
 
     @F.arrow_udf("long")
     def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        tokenizer, known, first = load(path), {}, {}
+        tokenizer = load(path)
         for texts in batches:
-            out: list[int] = []
-            for i in range(0, len(texts), 500):
-                if len(known) + len(first) > CACHE_PIECES:
-                    known.clear()
-                    first.clear()
-                out += count_tokens(tokenizer, [x or "" for x in texts.slice(i, 500).to_pylist()], known, first)
-            yield pa.array(out, pa.int64())
+            yield pa.array(count_tokens(tokenizer, [x or "" for x in texts.to_pylist()]), pa.int64())
 
     return counts(text)
 

@@ -162,15 +162,28 @@ def test_tokens_equal_the_library(spark):
     assert tokens.with_token_counts(df.limit(0), path).collect() == []
 
 
-@pytest.mark.parametrize("chunk,overlap,guard", [(400, 80, 16), (1000, 200, 64), (300, 40, 16)])
-def test_huge_texts_resynchronise(chunk, overlap, guard):
+@pytest.mark.parametrize("chunk,overlap,guard", [(400, 80, 16), (1000, 200, 64), (300, 40, 16), (tokens.CHUNK, tokens.OVERLAP, None)])
+def test_chunks_resynchronise(chunk, overlap, guard):
+    """Texts of many chunks, with special strings, long runs and single words longer than a chunk, count as the library counts them whole."""
     import public_tokenizers
 
     t = tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
     r = random.Random(chunk)
-    texts = ["".join(r.choices(["word", " word", "  ", "\n", "é", "<|endoftext|>", "'s", "12", "?!"], k=900)) for _ in range(6)] + ["x" * 2500, " " * 1500 + "a", "日本" * 700]
-    for x in texts:
-        assert tokens.count_huge(t, x, chunk, overlap, guard) == len(t.encode(x, add_special_tokens=False))
+    n = 3 * chunk
+    texts = ["".join(r.choices(["word", " word", "  ", "\n", "é", "<|endoftext|>", "'s", "12", "?!", "日本"], k=n)) for _ in range(4)]
+    texts += ["x" * 6 * chunk, " " * 4 * chunk + "a", "日本" * 2 * chunk, "a b " * n, "<|endoftext|>" * n, "one two " * n + "y" * 4 * chunk + " three four" * n, "", "short"]
+    assert tokens.count_tokens(t, texts, chunk, overlap, guard) == [len(t.encode(x, add_special_tokens=False)) for x in texts]
+
+
+def test_long_texts_of_the_table_resynchronise(spark):
+    """Documents longer than a chunk, at production settings: every one is spliced, and all counts are the library's."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = tokens.load(path)
+    long = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.length("text") > tokens.CHUNK).select("doc_id", "text")
+    got = tokens.with_token_counts(long, path).collect()
+    assert len(got) > 20 and all(r.n_tokens == len(t.encode(r.text, add_special_tokens=False)) for r in got)
 
 
 def test_audio_aligns_shifted_copies(spark):
