@@ -1,21 +1,26 @@
 """Layout-aware rendering of HTML: a tree builder with implied tags, visibility rules, and block, list and table layout.
 
-``parse`` builds a tree from a single pass over tags: void elements, implied end tags (p, li, dt/dd, tr, td/th, option, sections of a
+``parse`` builds a tree from a single forward pass over tags, which never looks at a stretch twice: void elements, implied end tags (p, li, dt/dd, tr, td/th, option, sections of a
 table), raw text elements (script, style, ...), end tags that match no open element (ignored) and elements left open (closed at the
 end). ``render`` emits all visible text of the tree: head matter, scripts, templates, fallback content of media, and elements hidden by
 attribute or inline style are left out (aria-hidden hides from screen readers only, so such elements stay; the copies of formulas that KaTeX
 and MathJax add for screen readers go); formulas give their symbols without annotations, drawings their text elements, text areas their
 lines, selections the chosen option, list boxes all options; blocks stand on their own lines, paragraphs and headings get a blank line, list items a bullet or number with
-indentation by depth, table rows one line with cells aligned in columns, ``pre`` its own white space, images their alternative text.
+indentation by depth, table rows one line with cells aligned in columns (spans over columns and rows included), ``pre`` its own white space, images
+their alternative text.
 
-Edge cases: null gives null, an empty page or one without visible text gives ''; malformed markup never fails; nesting is held in an
-explicit stack, so depth is bounded by memory alone; repeated rows each get their text.
+Edge cases: null gives null, an empty page or one without visible text gives ''; malformed markup never fails: a tag that never ends is text, a
+quote that never ends goes up to the tag's first ``>``; nesting is held in an explicit stack, so depth is bounded by memory alone, and time is
+linear in the page whatever its markup; indentation stops growing at INDENTS levels, alignment to row spans at OPEN_SPANS open ones; repeated rows
+each get their text; a column of the output's name is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from html import unescape
 
 import pyarrow as pa
@@ -55,10 +60,13 @@ CLOSES_P = BLOCK - {"html", "body", "li", "dt", "dd", "caption", "legend", "summ
 #: Elements past which an implied end tag or a stray end tag does not look.
 SCOPE = frozenset("html table td th caption template button object".split())
 
-TABLE_DEPTH = 30
+TABLE_DEPTH, INDENTS, OPEN_SPANS = 30, 50, 200
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_NAME = re.compile(r"[A-Za-z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_ATTRIBUTE = re.compile(r"(=?[^\s=/>]*)(?:\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
+_NO_ATTRIBUTES: dict[str, str] = {}
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -70,68 +78,131 @@ class Node:
         self.tag, self.attributes, self.children = tag, attributes, []
 
 
-def attributes_of(source: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for m in _ATTRIBUTE.finditer(source):
-        value = m[2] or ""
-        out.setdefault(m[1].lower(), unescape(value[1:-1] if value[:1] in "\"'" and value else value))
-    return out
-
-
-def _close(stack: list[Node], tags: frozenset[str], bounds: frozenset[str]) -> None:
-    """Ends the outermost open element among ``tags`` that no element of ``bounds`` shields."""
-    at = None
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag in bounds:
-            break
-        if stack[i].tag in tags:
-            at = i
-    if at is not None:
-        del stack[at:]
+class Scanner:
+    """Tags of a page, from left to right; knows where the last ``>`` and quotes are, so it never searches for what does not follow."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = {c: html.rfind(c) for c in ">\"'"}
+
+    def tag(self, at: int) -> tuple[str, dict[str, str], bool, int] | None:
+        """(name, attributes, whether it closes itself, end) of the tag whose name starts at ``at``; None if it never ends."""
+        html = self.html
+        if at > self.last[">"]:
+            return None
+        name = _NAME.match(html, at)
+        at, attributes, slash = name.end(), _NO_ATTRIBUTES, False
+        while True:
+            gap = _GAP.match(html, at).end()
+            slash, at = gap > at and html[gap - 1] == "/", gap
+            if html[at : at + 1] == ">":
+                return name[0].lower(), attributes, slash, at + 1
+            if at > self.last[">"]:
+                return None
+            m = _ATTRIBUTE.match(html, at)
+            at, value = m.end(), ""
+            if at > m.end(1):
+                quote = html[at : at + 1]
+                if quote in ('"', "'") and at < self.last[quote]:
+                    end = html.index(quote, at + 1)
+                    value, at = html[at + 1 : end], end + 1
+                else:
+                    end = _BARE.match(html, at).end()
+                    value, at = html[at:end].lstrip("\"'"), end
+            if attributes is _NO_ATTRIBUTES:
+                attributes = {}
+            attributes.setdefault(m[1].lower(), unescape(value))
+
+
+class Stack:
+    """Open elements, and where those of each tag stand."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        for node in self.nodes[at:]:
+            self.places[node.tag].pop()
+        del self.nodes[at:]
+
+    def top(self, tags: frozenset[str]) -> int:
+        """Place of the innermost open element among ``tags``, or 0."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, tags: frozenset[str], bounds: frozenset[str]) -> None:
+        """Ends the outermost open element among ``tags`` that no element of ``bounds`` shields."""
+        if not any(self.places.get(t) for t in tags):
+            return
+        shield = self.top(bounds)
+        found = [p[i] for t in tags if (p := self.places.get(t)) and (i := bisect_right(p, shield)) < len(p)]
+        if found:
+            self.cut(min(found))
+
+
+_FOR_P = frozenset(("p",))
+_UNSHIELDED = frozenset("table tr tbody thead tfoot html body template".split())
+_SHIELDS = SCOPE - {"html"}
 
 
 def parse(html: str) -> Node:
     root = Node("#root", {})
-    stack, at, n = [root], 0, len(html)
-    for_p = frozenset(("p",))
-    while at < n:
-        m = _TAG.search(html, at)
-        if not m:
-            stack[-1].children.append(unescape(html[at:]))
-            break
-        if m.start() > at:
-            stack[-1].children.append(unescape(html[at : m.start()]))
-        at = m.end()
-        if m[1] is not None:
-            stack[-1].children.append(m[1])
-        if not m[3]:
+    scanner, stack, at, n = Scanner(html), Stack(root), 0, len(html)
+    text_from = 0
+    while True:
+        at = html.find("<", at)
+        at = n if at < 0 else at
+        mark = html[at : at + 2]
+        plain = at < n and not (len(mark) == 2 and (mark[1] in "!?" or mark[1] == "/" and html[at + 2 : at + 3].isalpha() and html[at + 2].isascii() or mark[1].isalpha() and mark[1].isascii()))
+        if plain:
+            at += 1
             continue
-        tag = m[3].lower()
-        if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and stack[i].tag != "html" and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body", "template"):
-                    break
+        if at < n and mark[1] not in "!?" and (found := scanner.tag(at + 1 + (mark[1] == "/"))) is None:
+            at = n  # no tag ends any more, so the rest is text
+        if at > text_from:
+            stack.nodes[-1].children.append(unescape(html[text_from:at]))
+        if at >= n:
+            return root
+        if mark[1] in "!?":
+            if html.startswith("<!--", at):
+                end, skip = html.find("-->", at + 4), 3
+                # An empty comment may be closed in a shorter way.
+                end, skip = (at + 4, 1) if html.startswith("<!-->", at) else (end, skip)
+            elif html.startswith("<![CDATA[", at):
+                end, skip = html.find("]]>", at + 9), 3
+                stack.nodes[-1].children.append(html[at + 9 : end if end >= 0 else n])
+            else:
+                end, skip = html.find(">", at), 1
+            at = text_from = n if end < 0 else end + skip
+            continue
+        tag, attributes, slash, at = found
+        text_from = at
+        if mark[1] == "/":
+            if places := stack.places.get(tag):
+                if tag in _UNSHIELDED or places[-1] >= stack.top(_SHIELDS):
+                    stack.cut(places[-1])
             continue
         if tag in CLOSES_P:
-            _close(stack, for_p, SCOPE)
+            stack.close(_FOR_P, SCOPE)
         if tag in IMPLIED:
-            _close(stack, *IMPLIED[tag])
-        source = m[4]
-        node = Node(tag, attributes_of(source) if source and not source.isspace() else {})
-        stack[-1].children.append(node)
-        if tag in VOID or source.endswith("/") and tag not in BLOCK and tag not in RAW:
+            stack.close(*IMPLIED[tag])
+        if tag == "select" and stack.places.get("select"):
+            stack.cut(stack.places["select"][-1])  # selections do not nest: the tag ends the open one
+            continue
+        node = Node(tag, attributes)
+        stack.nodes[-1].children.append(node)
+        if tag in VOID or slash and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             inner = html[at : end.start() if end else n]
             node.children.append(unescape(inner) if tag == "textarea" else inner)
-            at = end.end() if end else n
+            at = text_from = end.end() if end else n
             continue
-        stack.append(node)
-    return root
+        stack.push(node)
 
 
 def visible(node: Node) -> bool:
@@ -241,6 +312,8 @@ def _loose(table: Node) -> list[Node]:
         if isinstance(x, str):
             if x.strip():
                 out.children.append(x)
+        elif not visible(x):
+            continue
         elif x.tag in ("thead", "tbody", "tfoot", "tr"):
             todo += reversed([c for c in x.children if isinstance(c, str) or c.tag not in ("td", "th")])
         elif x.tag not in ("td", "th", "colgroup", "col"):
@@ -248,16 +321,62 @@ def _loose(table: Node) -> list[Node]:
     return [out] if out.children else []
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    value = cell.attributes.get(name, "").strip()
+    return min(most, max(1, int(value))) if re.fullmatch(r"[0-9]{1,6}", value) else 1
+
+
+def placed(rows: list[list[Node]]) -> list[list[tuple[int, int]]]:
+    """(first column, column after the last) of each cell; cells that span rows push later rows' cells aside."""
+    out, open_ = [], []  # open_: (first, after, rows left)
+    for row in rows:
+        taken, i, at, new, cells = sorted(open_), 0, 0, [], []
+        for cell in row:
+            while i < len(taken) and taken[i][0] <= at:
+                at = max(at, taken[i][1])
+                i += 1
+            after = at + _span(cell, "colspan", 1000)
+            cells.append((at, after))
+            if (n := _span(cell, "rowspan", 65534)) > 1:
+                new.append((at, after, n))
+            at = after
+        out.append(cells)
+        open_ = [(a, b, n - 1) for a, b, n in (open_ + new)[:OPEN_SPANS] if n > 1]
+    return out
+
+
 def table_lines(table: Node, depth: int) -> list[str]:
     """One line for each row of one-line cells, columns aligned; cells of several lines take as many lines of the row."""
-    grid = [[render(c, depth + 1).split("\n") for c in row] for row in _rows(table)]
-    widths = [0] * max((len(r) for r in grid), default=0)
-    for r in grid:
-        for i, c in enumerate(r):
-            widths[i] = max(widths[i], *(len(s) for s in c))
-    # Alignment stops at 40 characters, so that one long cell does not pad all others.
-    widths = [min(w, 40) for w in widths]
-    return [line for r in grid for k in range(max(len(c) for c in r)) if (line := " | ".join((c[k] if k < len(c) else "").ljust(widths[i]) for i, c in enumerate(r)).rstrip()).strip(" |")]
+    rows = _rows(table)
+    places = placed(rows)
+    # Columns in which no cell starts take no room.
+    starts = sorted({a for row in places for a, _ in row})
+    number = {a: i for i, a in enumerate(starts)}
+    grid = [[(number[a], bisect_left(starts, b) - 1, render(c, depth + 1).split("\n")) for c, (a, b) in zip(row, spans, strict=True)] for row, spans in zip(rows, places, strict=True)]
+    widths = [0] * len(starts)
+    for row in grid:
+        for first, last, lines in row:
+            if first == last:
+                # Alignment stops at 40 characters, so that one long cell does not pad all others.
+                widths[first] = min(40, max(widths[first], *(len(s) for s in lines)))
+    left = [0, *accumulate(w + 3 for w in widths)]
+    out = []
+    for row in grid:
+        k, cells = 0, row
+        while cells:
+            parts, at = [], 0
+            for first, _, lines in cells:
+                if first:
+                    pad = max(0, left[first] - 3 - at)
+                    parts.append(" " * pad + " | ")
+                    at += pad + 3
+                parts.append(lines[k])
+                at += len(lines[k])
+            if any(lines[k].strip() for *_, lines in cells):
+                out.append("".join(parts).rstrip())
+            k += 1
+            cells = [c for c in cells if len(c[2]) > k]
+    return out
 
 
 def render(root: Node, depth: int = 0) -> str:
@@ -265,6 +384,7 @@ def render(root: Node, depth: int = 0) -> str:
     out = Lines()
     todo: list = [(root, 0)]
     lists: list[list] = []  # open lists: [ordered, next number]
+    quotes = 0
     while todo:
         node, step = todo.pop()
         if isinstance(node, str):
@@ -275,14 +395,15 @@ def render(root: Node, depth: int = 0) -> str:
             if tag in LISTS:
                 lists.pop()
                 out.end(0 if lists else 1)
-                out.indent = "  " * max(0, len(lists))
+                out.indent = "  " * min(INDENTS, len(lists) + quotes)
             elif tag == "li":
                 out.end()
                 out.prefix = ""
             elif tag in BLOCK:
                 out.end(1 if tag in SPACED else 0)
                 if tag == "blockquote":
-                    out.indent = out.indent[:-2]
+                    quotes -= 1
+                    out.indent = "  " * min(INDENTS, len(lists) + quotes)
             continue
         if node is not root and not visible(node):
             continue
@@ -312,11 +433,14 @@ def render(root: Node, depth: int = 0) -> str:
             out.end(0 if lists else 1)
             start = node.attributes.get("start", "")
             lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
-            out.indent = "  " * len(lists)
+            out.indent = "  " * min(INDENTS, len(lists) + quotes)
         elif tag == "li":
             out.end()
-            level = max(0, len(lists) - 1)
+            level = min(INDENTS, max(0, len(lists) - 1) + quotes)
             if lists and lists[-1][0]:
+                value = node.attributes.get("value", "")
+                if re.fullmatch(r"-?\d{1,9}", value):
+                    lists[-1][1] = int(value)
                 out.prefix = f"{'  ' * level}{lists[-1][1]}. "
                 lists[-1][1] += 1
             else:
@@ -324,7 +448,8 @@ def render(root: Node, depth: int = 0) -> str:
         elif tag in BLOCK:
             out.end(1 if tag in SPACED else 0)
             if tag == "blockquote":
-                out.indent += "  "
+                quotes += 1
+                out.indent = "  " * min(INDENTS, len(lists) + quotes)
         todo.append((node, 1))
         todo += [(x, 0) for x in reversed(_inner(node))]
     out.end()
