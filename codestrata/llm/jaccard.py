@@ -210,9 +210,9 @@ def prepare(docs: DataFrame, key: str, text: str, n: int, percent: int, number:
     bound = max(8, (looked.agg(F.sum("n")).first()[0] or 0) // FREQUENT)
     frequent = looked.where(F.col("n") > bound).select("h", (F.col("n") * LOOK).alias("estimate"))  # at most FREQUENT rows
     # A frequent gram's rows go to tasks by set, all others by gram; one shuffle serves for the count and what follows.
-    at = F.when(F.col("estimate").isNotNull(), F.xxhash64("h", "k")).otherwise(F.col("h"))
-    postings = found.join(F.broadcast(frequent), "h", "left").select("h", "k", at.alias("at"), "estimate")
-    counted = postings.withColumn("df", F.coalesce("estimate", F.count("*").over(W.partitionBy("at")))).where("df > 1")
+    hot = F.col("estimate").isNotNull()
+    postings = found.join(F.broadcast(frequent), "h", "left").select(F.when(hot, F.xxhash64("h", "k")).otherwise(F.col("h")).alias("at"), "k", F.when(hot, F.struct("h", "estimate")).alias("hot"))
+    counted = postings.select("k", F.coalesce("hot.h", "at").alias("h"), F.coalesce("hot.estimate", F.count("*").over(W.partitionBy("at"))).alias("df")).where("df > 1")
     pairs = counted.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("pairs"))
     sets = written(prefixes(pairs.join(small(reps.select("k", "size"), 24), "k").select("k", "size", "pairs"), percent), "prefixes")
     discard(reps, looked)

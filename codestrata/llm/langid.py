@@ -1,20 +1,21 @@
 """Language identification by a byte convolutional network, trained in numpy and applied to whole texts.
 
 Network: bytes are embedded, filters of several widths slide over a window of fixed length, each filter keeps its maximum (max pooling,
-after a rectifier), and a softmax over languages follows. Training takes windows of a bounded sample of labelled rows: ``per_label``
-rows of each label (the least hashes of the row's key, the same at every run) and ``per_text`` windows spread over each text. That
-bound holds for fitting alone. Prediction covers every window of every text: a text's score is the mean of its windows' softmax, each
+after a rectifier), and a softmax over languages follows. Training takes windows of a bounded sample of labelled rows: at most ``per_label``
+rows of each of the MOST_LABELS commonest labels (the least hashes of key and text, the same at every run) and ``per_text`` windows spread over
+each text. That bound holds for fitting alone. Prediction covers every window of every text: a text's score is the mean of its windows' softmax, each
 window weighted by its bytes.
 
 Since a convolution of embedded bytes is a sum of table rows, inference looks up rows of tables over byte pairs.
 
 Edge cases: a null text, or one without any letter, is ``und`` with score 0; a text shorter than a window is padded with byte 0; ties
-go to the label that sorts first; repeated rows get equal results; an empty labelled table makes every text ``und``.
+go to the label that sorts first; repeated rows get equal results; an empty labelled table makes every text ``und``; columns named lang_pred or score are replaced, all others are kept.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import PIECE_BYTES, bound_batches
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
+#: Labels that a network learns at most; rarer ones are left out of fitting.
+MOST_LABELS = 200
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -151,12 +153,29 @@ def predict(net: Network | None, tables: list[list[np.ndarray]], texts: list[byt
 
 
 def sample(labelled: DataFrame, key: str, text: str, lang: str, per_label: int, per_text: int, window: int = WINDOW) -> list[tuple[bytes, str]]:
-    """Windows of ``per_label`` rows of each label: a bounded sample for fitting, ranked by a hash of the key."""
-    order = W.partitionBy(lang).orderBy(F.xxhash64(F.col(key).cast("string"), F.lit("langid")), F.col(key))
-    rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= per_label)
-    step = F.greatest(F.lit(1), F.floor(F.octet_length(text) / per_text)).cast("int")
-    cut = rows.select(F.col(lang).alias("l"), F.transform(F.sequence(F.lit(0), F.lit(per_text - 1)), lambda i: F.substring(F.col(text).cast("binary"), i * step + 1, F.lit(window))).alias("w"))
-    return sorted({(bytes(w), r.l) for r in cut.toLocalIterator() for w in r.w if len(w)})
+    """Windows of about ``per_label`` rows of each of the MOST_LABELS commonest labels: a bounded sample for fitting, by a hash of key and text.
+
+    Labels are counted first; a row takes part if its hash lies below the share that leaves twice ``per_label`` rows of its label, so windows of
+    few rows are cut, within the tasks that read them, and no text is shuffled. Of these, the least hashes count.
+    """
+    known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).cast("binary").alias("t"), F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("langid")).alias("h"))
+    counts = {r.l: r.n for r in known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LABELS).collect()}
+    if not counts:
+        return []
+    shares = [(label, (1 << 32) if n <= 4 * per_label else 2 * per_label * (1 << 32) // n) for label, n in counts.items()]
+    bound = F.element_at(F.create_map(*(F.lit(x) for pair in shares for x in pair)), F.col("l"))
+    # Rows are drawn by 32 bits of the hash, and ranked by all of it.
+    drawn = known.where(F.col("l").isin(list(counts))).where(F.shiftrightunsigned("h", 32) < bound)
+    step = F.greatest(F.lit(1), F.floor(F.octet_length("t") / per_text)).cast("int")
+    cut = drawn.select("l", "h", F.transform(F.sequence(F.lit(0), F.lit(per_text - 1)), lambda i: F.substring("t", i * step + 1, F.lit(window))).alias("w"))
+    rows = sorted({(r.l, r.h, tuple(map(bytes, r.w))) for r in cut.toLocalIterator()})
+    taken: Counter = Counter()
+    out = set()
+    for label, _, windows in rows:
+        taken[label] += 1
+        if taken[label] <= per_label:
+            out |= {(w, label) for w in windows if w}
+    return sorted(out)
 
 
 def predicted(text: Column, net: Network | None) -> Column:

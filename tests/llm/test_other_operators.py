@@ -81,6 +81,14 @@ def test_language_id_edges(spark):
     assert langid.identify(docs.limit(0), docs).collect() == []
 
 
+def test_language_sample_is_bounded_and_even(spark):
+    """At most so many rows of each label, none from labels beyond the commonest, and no more than twice as many windows drawn."""
+    df = spark.createDataFrame([(i, f"text number {i} " * 5, "ab"[i % 10 == 0]) for i in range(4000)] + [(None, None, "a"), (None, "x y z", None)], "doc_id long, text string, lang string")
+    got = langid.sample(df, "doc_id", "text", "lang", 50, 1)
+    assert sum(x[1] == "a" for x in got) == 50 and sum(x[1] == "b" for x in got) == 50
+    assert got == langid.sample(df.repartition(5), "doc_id", "text", "lang", 50, 1)
+
+
 def test_convolution_tables_equal_convolution():
     net = langid.train([(b"abcabc abc", "x"), (b"zzyyxx zyx", "y")] * 20, window=32, epochs=1)
     data, _, _ = langid.windows_of([bytes(range(40, 200))], 32)
@@ -141,6 +149,42 @@ def test_packing_round_trip(spark):
     assert fill > 0.9 and packing.pack(df.limit(0), F.col("n")).collect() == []
 
 
+def test_packing_groups_are_bounded_by_pieces(spark, monkeypatch):
+    """Long documents, null keys and repeated rows make no group larger than a few times GROUP_PIECES."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 100)
+    monkeypatch.setattr(packing, "LOT", 64)
+    long = [(i, 4096 * 50) for i in range(40)]
+    for rows in (long, [(None, 700)] * 3000, [(None, 600 + i % 50) for i in range(3000)]):
+        got = packing.pack(spark.createDataFrame(rows, "piece long, n int"), F.col("n"), key="piece") if rows is not long else packing.pack(spark.createDataFrame(rows, "doc_id long, n int"), F.col("n"))
+        found = got.collect()
+        assert sum(r.length for r in found) == sum(n for _, n in rows)
+        bins: dict = {}
+        groups = -(-sum(-(-n // 4096) for _, n in rows) // 100)
+        for r in found:
+            bins.setdefault(r.bin % groups, []).append(r)
+        assert len(bins) >= groups - 1 and max(map(len, bins.values())) < 250
+
+
+def test_packing_query_against_plain_counts(spark):
+    """The query's pieces cover each document's words and separator exactly, and lie side by side in bins of the least size that holds them."""
+    got = queries.op7_best_fit_packing(spark, SF).collect()
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    whole: dict = {}
+    bins: dict = {}
+    for r in got:
+        whole.setdefault(r.doc_id, []).append((r.start, r.length))
+        if r.bin is not None:
+            bins.setdefault((r.bin, r.capacity), []).append((r.offset, r.length))
+    for i, text in docs.items():
+        n = len([w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w])
+        parts = sorted(whole[i])
+        assert sum(x for _, x in parts) == (n + 1 if n else 0) and all(a + x == b for (a, x), (b, _) in zip(parts, parts[1:], strict=False))
+    for (_, capacity), parts in bins.items():
+        parts.sort()
+        used = sum(n for _, n in parts)
+        assert all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:], strict=False)) and capacity == min(c for c in packing.CAPACITIES if c >= used)
+
+
 def test_best_fit_takes_the_tightest_bin():
     bins, sizes = packing.best_fit([600, 500, 400, 100], (512, 1024))
     assert bins[0] != bins[1] and bins[2] == bins[0] and sizes[bins[1]] in (512, 1024)
