@@ -2,13 +2,19 @@
 
 A recording's frames (Hann window, overlapping) are folded into twelve pitch classes and normalised. Over the picture of frames by pitch
 classes an integral image is kept, so that each filter (a difference of two or three rectangles) costs a few look-ups. Sixteen filters,
-each quantised to two bits in Gray code, give one packed 32-bit integer per frame. A search joins pairs of integers HOP frames apart, votes
-for the offset between the recordings, and takes the bit error rate of all frames that overlap at the offset with most votes.
+each quantised to two bits in Gray code, give one packed 32-bit integer per frame. Index keys are the upper or lower halves of two integers HOP
+frames apart; where a key stands at several frames in a row (a steady tone), the first one counts. A search joins equal keys, votes for the
+offset between two recordings, and takes the bit error rate of all overlapping frames at each offset that got enough votes.
+
+A match is an overlap of at least MIN_OVERLAP integers (or of the whole shorter print) with a bit error of at most MAX_ERROR. It takes one vote for each
+VOTE_EVERY overlapping integers, at least 1 and at most MOST_VOTES. With independent errors of 0.1 a key survives with probability 0.9 ** 32 = 0.034, so
+180 frames give some 12 votes; tests measure recall over brute force (at least 0.9). Equal prints match outright, whatever their length.
 
 Equal fingerprints are one class with its least id and size; classes and not their members are joined, so copies cost nothing.
 
-Edge cases: null, empty and too short recordings have no integers and match nothing; silence gives integers like any sound; ties between
-offsets go to the one nearest 0, then the smaller; repeated rows fall into one class; an empty table gives an empty result.
+Edge cases: null, empty and too short recordings have no integers and match nothing; recordings of HOP integers or fewer match equal ones only;
+silence gives integers like any sound; ties between offsets go to the least error, then most votes, then the one nearest 0, then the smaller; repeated
+rows fall into one class; other columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,15 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import bound_batches, small, written
 
 RATE, FRAME, STEP = 4000, 512, 128
 #: Frames between the two integers of an index key.
 HOP = 12
-#: A match takes at least so many votes and at most this bit error rate.
-MIN_VOTES, MAX_ERROR = 4, 0.2
+#: Most bits in error, least integers that overlap, and what votes a match takes (see above).
+MAX_ERROR = 0.12
+MIN_OVERLAP, VOTE_EVERY, MOST_VOTES = 16, 24, 4
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -86,14 +92,21 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
     return out
 
 
-def melody(vector: np.ndarray, skip: int = 0) -> np.ndarray:
-    """A recording for tables without audio: each value is one tone (pitch class and octave by its digits), the first ``skip`` left out."""
-    digits = np.floor(np.abs(np.nan_to_num(np.asarray(vector, np.float64), posinf=0, neginf=0)) * 10000).astype(np.int64)[skip:]
-    hz = 220.0 * 2.0 ** ((digits // 10 % 12) / 12 + digits % 2)
+def melody(vector: np.ndarray) -> np.ndarray:
+    """A recording for tables without audio: each value is one tone, two octaves between the vector's least and greatest value."""
+    v = np.nan_to_num(np.asarray(vector, np.float64), posinf=0, neginf=0)
+    step = np.floor((v - v.min()) / max(1e-12, np.ptp(v)) * 23.999)
+    hz = 220.0 * 2.0 ** (step / 12)
     t = np.arange(400) / RATE
     return np.sin(2 * np.pi * hz[:, None] * t[None]).reshape(-1) * 0.5
 
 
+def recorded(vector: np.ndarray, cut: int, gain: float, noise: float, seed: int) -> np.ndarray:
+    """``melody`` without its first ``cut`` samples, at another gain, with white noise of the given amplitude."""
+    wave = melody(vector)[cut:] * gain
+    return wave + np.random.default_rng(seed).normal(0, noise, len(wave)) if noise else wave
+
+
 def fingerprints(samples: Column) -> Column:
     """array<long> of packed integers for a column array<float> of samples at RATE."""
 
@@ -105,15 +118,30 @@ def fingerprints(samples: Column) -> Column:
     return run(samples)
 
 
-def melody_fingerprints(vector: Column, skip: Column) -> Column:
-    """Fingerprints of ``melody(vector, skip)``, without the samples leaving the task's memory."""
+def melody_fingerprints(vector: Column, cut: Column, gain: Column, noise: Column, seed: Column) -> Column:
+    """Fingerprints of ``recorded(vector, ...)``, without the samples leaving the task's memory."""
 
     @F.arrow_udf("array<long>")
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for vectors, skips in batches:
-            yield pa.array([fingerprint(melody(np.array(v), s or 0)).astype(np.int64) if (v := x.as_py()) else [] for x, s in zip(vectors, skips.to_pylist(), strict=True)], pa.list_(pa.int64()))
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for vectors, *how in batches:
+            rows = zip(vectors, *(h.to_pylist() for h in how), strict=True)
+            yield pa.array([fingerprint(recorded(np.array(v, np.float64), *h)).astype(np.int64) if (v := x.as_py()) else [] for x, *h in rows], pa.list_(pa.int64()))
+
+    return run(vector, cut, gain, noise, seed)
+
+
+def index_keys(size: Column) -> Column:
+    """array<struct<pos, code>> of a column print: for each frame and half, the key if the frame before has another one."""
+
+    def key(i: Column, half: int) -> Column:
+        part = lambda x: F.shiftrightunsigned(x, 16 * half).bitwiseAND(F.lit(0xFFFF))
+        return F.shiftleft(part(F.get("print", i)), 16).bitwiseOR(part(F.get("print", i + HOP)))
+
+    def keys(half: int) -> Column:
+        at = F.transform(F.sequence(F.lit(0), size - F.lit(HOP + 1)), lambda i: F.struct(i.alias("pos"), F.shiftleft(key(i, half), 1).bitwiseOR(F.lit(half).cast("long")).alias("code"), key(i - 1, half).alias("before"), key(i, half).alias("now")))
+        return F.transform(F.filter(at, lambda x: (x["pos"] == 0) | (x["before"] != x["now"])), lambda x: F.struct(x["pos"].alias("pos"), x["code"].alias("code")))
 
-    return run(vector, skip)
+    return F.concat(keys(0), keys(1))
 
 
 def search(prints: DataFrame, queries: DataFrame, key: str) -> DataFrame:
@@ -123,17 +151,21 @@ def search(prints: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     """
     bound_batches(prints.sparkSession)
     p = written(prints.select(F.col(key).alias("id"), F.xxhash64("print").alias("c"), "print"), "prints")
-    classes = written(p.where(F.size("print") > HOP).groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.min("print").alias("print")), "classes")
+    classes = written(p.where(F.size("print") > 0).groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.min("print").alias("print")), "classes")
     asked = written(queries.select(F.col(key).alias("id")).distinct().join(p.select("id", "c"), "id").distinct(), "asked")
-    keys = F.transform(F.sequence(F.lit(0), F.size("print") - F.lit(HOP + 1)), lambda i: F.struct(i.alias("pos"), F.shiftleft(F.get("print", i), 32).bitwiseOR(F.get("print", i + HOP)).alias("code")))
-    postings = classes.select("c", F.explode(keys).alias("x")).select("c", "x.pos", "x.code")
-    own = written(postings.join(small(asked.select("c").distinct(), 16), "c", "left_semi").select(F.col("c").alias("q"), F.col("pos").alias("q_pos"), "code"), "asked-postings")
-    votes = postings.join(small(own, 32), "code").groupBy("q", "c", (F.col("pos") - F.col("q_pos")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= MIN_VOTES)
-    best = votes.groupBy("q", "c").agg(F.min_by(F.struct("offset", "votes"), F.struct(-F.col("votes"), F.abs("offset"), "offset")).alias("b")).select("q", "c", "b.*")
+    postings = classes.where(F.size("print") > HOP).select("c", F.size("print").alias("size"), F.explode(index_keys(F.size("print"))).alias("x")).select("c", "size", "x.pos", "x.code")
+    own = written(postings.join(small(asked.select("c").distinct(), 16), "c", "left_semi").select(F.col("c").alias("q"), F.col("size").alias("q_size"), F.col("pos").alias("q_pos"), "code"), "asked-postings")
+    votes = postings.join(small(own, 40), "code").where("c <> q").groupBy("q", "c", "q_size", "size", (F.col("pos") - F.col("q_pos")).alias("offset")).agg(F.count("*").alias("votes"))
+    overlap = F.least(F.col("q_size"), F.col("size") - F.col("offset")) - F.greatest(F.lit(0), -F.col("offset"))
+    enough = F.greatest(F.lit(1), F.least(F.lit(MOST_VOTES), F.floor(overlap / VOTE_EVERY)))
+    good = written(votes.where((F.col("votes") >= enough) & (overlap >= F.least(F.lit(MIN_OVERLAP), "q_size", "size"))).select("q", "c", "offset", "votes"), "offsets")
     a = classes.select(F.col("c").alias("q"), F.col("print").alias("qp"))
-    both = classes.join(small(best, 40), "c").join(a, "q")
+    both = classes.join(small(good, 40), "c").join(a, "q")
     first, last = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("qp"), F.size("print") - F.col("offset"))
-    overlap = F.zip_with(F.slice("qp", first + 1, last - first), F.slice("print", first + F.col("offset") + 1, last - first), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    error = F.aggregate(overlap, F.lit(0), lambda s, x: s + x) / (F.lit(32.0) * (last - first))
-    matched = both.select("q", F.col("rep").alias("match_id"), F.col("members").alias("class_size"), F.col("offset").cast("int").alias("offset"), "votes", F.round(error, 6).alias("bit_error")).where(F.col("bit_error") <= MAX_ERROR)
+    bits = F.zip_with(F.slice("qp", first + 1, last - first), F.slice("print", first + F.col("offset") + 1, last - first), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    error = F.aggregate(bits, F.lit(0), lambda s, x: s + x) / (F.lit(32.0) * (last - first))
+    verified = both.withColumn("bit_error", F.round(error, 6)).where(F.col("bit_error") <= MAX_ERROR)
+    best = verified.groupBy("q", F.col("rep").alias("match_id"), F.col("members").alias("class_size")).agg(F.min_by(F.struct(F.col("offset").cast("int").alias("offset"), "votes", "bit_error"), F.struct("bit_error", -F.col("votes"), F.abs("offset"), "offset")).alias("b")).select("q", "match_id", "class_size", "b.*")
+    equal = classes.select(F.col("c").alias("q"), F.col("rep").alias("match_id"), F.col("members").alias("class_size"), F.lit(0).alias("offset"), F.size("print").cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
+    matched = best.unionByName(equal)
     return asked.join(matched, asked.c == matched.q).select(F.col("id").alias(key), "match_id", "class_size", "offset", "votes", "bit_error")

@@ -230,21 +230,56 @@ def test_long_texts_of_the_table_resynchronise(spark):
     assert len(got) > 20 and all(r.n_tokens == len(t.encode(r.text, add_special_tokens=False)) for r in got)
 
 
+def brute_error(a, b):
+    """Least bit error of two prints over all offsets with enough overlap."""
+    best = 1.0
+    least = min(audio.MIN_OVERLAP, len(a), len(b))
+    for offset in range(least - len(a), len(b) - least + 1):
+        first, last = max(0, -offset), min(len(a), len(b) - offset)
+        x = np.bitwise_xor(a[first:last], b[first + offset : last + offset]).astype(np.uint32)
+        best = min(best, np.unpackbits(x.view(np.uint8)).sum() / (32 * (last - first)))
+    return best
+
+
 def test_audio_aligns_shifted_copies(spark):
     rng = np.random.default_rng(4)
     tunes = rng.normal(0, 0.1, (6, 64))
     wave = [audio.melody(v) for v in tunes]
-    late = wave[0][audio.STEP * 10 :]
-    noisy = wave[1] + rng.normal(0, 0.003, len(wave[1]))
-    rows = [(i, w.astype(float).tolist()) for i, w in enumerate(wave)] + [(50, wave[0].tolist()), (51, late.tolist()), (52, noisy.tolist()), (53, None), (54, []), (55, [0.0] * 100)]
+    late = audio.recorded(tunes[0], audio.STEP * 10, 0.3, 0.0, 0)
+    noisy = audio.recorded(tunes[1], 0, 1.0, 0.02, 5)
+    short = wave[2][: audio.FRAME + audio.STEP * 24]
+    rows = [(i, w.astype(float).tolist()) for i, w in enumerate(wave)] + [(50, wave[0].tolist()), (51, late.tolist()), (52, noisy.tolist()), (53, None), (54, []), (55, [0.0] * 100), (56, short.tolist()), (57, short.tolist()), (58, [0.0] * 9000), (59, [0.0] * 20000)]
     df = spark.createDataFrame(rows, "id long, samples array<float>").select("id", audio.fingerprints(F.col("samples")).alias("print"))
     got = {(r.id, r.match_id): (r.class_size, r.offset, r.bit_error) for r in audio.search(df, df, "id").collect()}
     assert got[(0, 0)] == (2, 0, 0.0) and got[(50, 0)] == (2, 0, 0.0)
     assert got[(0, 51)][1] == -10 and got[(51, 0)][1] == 10 and got[(0, 51)][2] < 0.02
-    assert got[(1, 52)][1] == 0 and got[(1, 52)][2] < 0.2 and (0, 1) not in got and (53, 53) not in got
+    assert got[(1, 52)][1] == 0 and got[(1, 52)][2] < audio.MAX_ERROR and (0, 1) not in got and (53, 53) not in got
+    assert got[(57, 56)] == (2, 0, 0.0) and got[(58, 59)][2] == 0.0  # equal short ones, and silences of two lengths
     assert audio.search(df.limit(0), df.limit(0), "id").collect() == []
 
 
+def test_audio_recall_and_precision_of_the_query_against_brute_force(spark):
+    """Every reported error is the true one; at least nine tenths of all pairs within MAX_ERROR at some offset are found; planted copies all are."""
+    e = {r.vec_id: np.array(r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    prints = {}
+    for i in e:
+        of = e.get(i - i % 10) if i % 10 in (3, 7) else None
+        how = (1317, 0.4, 0.0) if of is not None and i % 10 == 3 else (0, 1.0, 0.02) if of is not None and i % 10 == 7 else (0, 1.0, 0.0)
+        prints[i] = audio.fingerprint(audio.recorded(e[i] if of is None else of, *how, abs(i)))
+    least = {}
+    for i in sorted(prints):
+        least.setdefault(prints[i].tobytes(), i)
+    want = {}
+    for q in (i for i in prints if i % 50 == 0):
+        for c in least.values():
+            if (error := brute_error(prints[q], prints[c])) <= audio.MAX_ERROR:
+                want[(q, c)] = error
+    got = {(r.vec_id, r.match_id): r.bit_error for r in queries.op9_audio_fingerprints(spark, SF).collect()}
+    assert set(got) <= set(want) and all(abs(got[k] - want[k]) < 0.05 for k in got)
+    assert len(set(got) & set(want)) >= 0.9 * len(want) and len(want) > len([q for q in prints if q % 50 == 0])
+    assert all((q, q + 3) in got for q, _ in got if q + 3 in prints)
+
+
 def test_html(spark):
     cases = {
         "<p>One<p>Two<br>three": "One\n\nTwo\nthree",
