@@ -6,13 +6,15 @@ of an item; an item with fewer words, but not none, is one window. The normalise
 so that an occurrence's place gives its words, and a word's place in the original is looked up only in texts that are hit.
 
 Edge cases: a null or wordless text has no words and no hits; a null or wordless item has no windows; repeated rows each
-get their own result; items with equal windows are all reported; items whose id is null hit like any other and stand as one null, the
+get their own result; a very long text is scanned whole, at several times its size in memory; a column named hits is replaced;
+items with equal windows are all reported; items whose id is null hit like any other and stand as one null, the
 last of a text's items (which counts as one item and leaves joined ids as they are, as in the SQL); an empty benchmark leaves every text clean.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, written
+
+#: Bytes of benchmark that are broadcast and held as automata at a time.
+BENCHMARK_BYTES = 128 << 20
 
 #: Normalised item text that one automaton takes; a larger benchmark is scanned with several automata, one after another.
 AUTOMATON_BYTES = 32 << 20
@@ -88,21 +93,80 @@ def scan(text: bytes | None, machines: list) -> tuple[int, int, list[str | None]
     return len(words), int(hit.sum()), sorted(ids, key=lambda x: (x is None, x or "")), spans
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10) -> DataFrame:
-    """All rows and columns of ``docs`` plus ``hits``: (n_words, n_hit, items, spans), spans as byte offsets into the text.
+_built: dict[str, list] = {}
+
+
+def machines_of(items: list[tuple[str | None, bytes | None]], window: int, token: str) -> list:
+    """Automata of the items, built once per worker process and kept until those of another call are asked for."""
+    if token not in _built:
+        _built.clear()
+        _built[token] = automata(items, window)
+    return _built[token]
+
+
+def blocks_of(benchmark: DataFrame, limit: int) -> list[DataFrame]:
+    """The benchmark (id, text) in parts of at most about ``limit`` bytes, by a hash of both columns; one part if it is small enough."""
+    size = benchmark.agg(F.sum(F.coalesce(F.octet_length(benchmark.columns[1]), F.lit(0)) + 16)).first()[0] or 0
+    n = -(-size // limit)
+    return [benchmark] if n <= 1 else [benchmark.where(F.pmod(F.xxhash64(*benchmark.columns), F.lit(n)) == i) for i in range(n)]
+
+
+def merged(text: bytes, parts: list[dict]) -> dict:
+    """Hits of one text under several blocks of items as one."""
+    places = [m.span() for m in _WORD.finditer(text.translate(_TABLE))]
+    starts = np.array([a for a, _ in places], np.int64)
+    cover = np.zeros(len(places) + 1, np.int64)
+    for p in parts:
+        for s in p["spans"]:
+            cover[np.searchsorted(starts, s["start"])] += 1
+            cover[np.searchsorted(starts, s["end"])] -= 1
+    hit = np.cumsum(cover[:-1]) > 0
+    edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
+    spans = [{"start": places[a][0], "end": places[b - 1][1]} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
+    ids = sorted({i for p in parts for i in p["items"]}, key=lambda x: (x is None, x or ""))
+    return {"n_words": len(places), "n_hit": int(hit.sum()), "items": ids, "spans": spans}
 
-    The benchmark is a small, curated table: it is read once to the driver and sent with the tasks. Each text is scanned once per
-    automaton of AUTOMATON_BYTES (one for any usual benchmark). No shuffle.
-    """
-    bound_batches(docs.sparkSession)
-    items = [(r[0], bytes(r[1]) if r[1] is not None else None) for r in benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("binary")).toLocalIterator()]
-    sent = docs.sparkSession.sparkContext.broadcast(items)
+
+def _hits(items, window: int):
+    """A function of texts that scans them for a broadcast of items."""
+    token = uuid.uuid4().hex
 
     @F.arrow_udf(HITS)
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machines = automata(sent.value, window)
+        machines = machines_of(items.value, window, token)
         for texts in batches:
             rows = [scan(x.as_py(), machines) for x in texts]
             yield pa.array([{"n_words": n, "n_hit": h, "items": ids, "spans": [{"start": a, "end": b} for a, b in spans]} for n, h, ids, spans in rows], HITS_ARROW)
 
-    return docs.withColumn("hits", hits(F.col(text).cast("binary")))
+    return hits
+
+
+def _both():
+    """A function of (text, hits, hits under a further block)."""
+
+    @F.arrow_udf(HITS)
+    def both(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, before, now in batches:
+            rows = zip(texts, before.to_pylist(), now.to_pylist(), strict=True)
+            yield pa.array([a if not b["n_hit"] else b if not a["n_hit"] else merged(t.as_py() or b"", [a, b]) for t, a, b in rows], HITS_ARROW)
+
+    return both
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, limit: int = BENCHMARK_BYTES) -> DataFrame:
+    """All rows and columns of ``docs`` plus ``hits``: (n_words, n_hit, items, spans), spans as byte offsets into the text.
+
+    The size of the benchmark is looked at first. Up to ``limit`` bytes it is read once to the driver, sent with the tasks, and each text is scanned
+    once; no shuffle. A larger one is taken in blocks of that size, one after another: each block's hits are written with the rows before
+    the next one starts, so no more than one block is held at a time.
+    """
+    bound_batches(docs.sparkSession)
+    blocks = blocks_of(benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("binary").alias("text")), limit)
+    out = docs
+    for i, block in enumerate(blocks):
+        hits = _hits(docs.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1]) if r[1] is not None else None) for r in block.toLocalIterator()]), window)
+        t = F.col(text).cast("binary")
+        out = out.withColumn("hits", hits(t)) if not i else out.withColumn("__now", hits(t)).withColumn("hits", _both()(t, "hits", "__now")).drop("__now")
+        if len(blocks) > 1:
+            out = written(out, "hits")
+    return out

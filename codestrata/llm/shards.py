@@ -8,7 +8,8 @@ permuted again. Shard sizes are exact: at most one row apart.
 Only DataFrame functions touch rows. The driver sees one count per block, never rows.
 
 Edge cases: an empty table gives an empty result; fewer rows than shards leave shards empty; null ids and texts are hashed like any
-value; rows that are alike in every column are interchangeable; columns named shard or slot are replaced.
+value; rows that are alike in every column are interchangeable, and where they are very many, they are spread by their place in the input, so that
+no block gets them all (a table's scan gives the same places again if a task is lost); columns named shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -74,10 +75,19 @@ def hypergeometric_shuffle(df: DataFrame, shards: int = 16, seed: int = 7, ident
     """All rows and columns of ``df`` plus shard (int) and slot (long, gapless from 0 within each shard), uniformly at random.
 
     ``identity`` names the columns whose content decides a row's place (default: all); rows alike in them are interchangeable.
-    Two shuffles of the rows; every task sorts one block at a time, in spillable windows.
+    Two shuffles of the rows; every task sorts one block at a time, in spillable windows. What is broadcast grows with the square root of the
+    rows: the cuts (one row of ``shards`` numbers a block) and the starts of parts take some 16 MB for 10**12 rows.
     """
-    spark, keys = df.sparkSession, identity or df.columns
-    blocks = _blocks(df.count())
+    spark, keys = df.sparkSession, [*(identity or df.columns), "__copy"]
+    rows = df.count()
+    blocks = _blocks(rows)
+    # Rows alike in all of their columns, if they are more than a block or a thousandth of all: at most a thousand such contents.
+    content = F.xxhash64(*keys[:-1])
+    many = df.groupBy(content.alias("__content")).count().where(F.col("count") > max(1000, rows // 1000)).select("__content", F.lit(True).alias("__many"))
+    if many.limit(1).count():
+        df = df.withColumn("__content", content).join(F.broadcast(many), "__content", "left").withColumn("__copy", F.when(F.col("__many"), F.monotonically_increasing_id()).otherwise(0)).drop("__content", "__many")
+    else:
+        df = df.withColumn("__copy", F.lit(0).cast("long"))
     block = F.pmod(_draw(seed, "block", keys), F.lit(blocks)).cast("int")
     sizes = {r[0]: r[1] for r in df.groupBy(block.alias("b")).count().collect()}  # one row a block
     matrix = communication_matrix([sizes.get(b, 0) for b in range(blocks)], shards, seed)
@@ -96,4 +106,4 @@ def hypergeometric_shuffle(df: DataFrame, shards: int = 16, seed: int = 7, ident
     dealt = dealt.withColumn("__part", F.pmod(_draw(seed, "part", keys), F.lit(parts)).cast("int"))
     starts = dealt.groupBy("shard", "__part").count().withColumn("__start", F.sum("count").over(W.partitionBy("shard").orderBy("__part")) - F.col("count")).drop("count")
     inner = W.partitionBy("shard", "__part").orderBy(_draw(seed, "slot", keys), *keys)
-    return dealt.withColumn("__rank", F.row_number().over(inner)).join(F.broadcast(starts), ["shard", "__part"]).withColumn("slot", (F.col("__start") + F.col("__rank") - 1).cast("long")).drop("__start", "__rank", "__part")
+    return dealt.withColumn("__rank", F.row_number().over(inner)).join(F.broadcast(starts), ["shard", "__part"]).withColumn("slot", (F.col("__start") + F.col("__rank") - 1).cast("long")).drop("__start", "__rank", "__part", "__copy")

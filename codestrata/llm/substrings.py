@@ -1,11 +1,10 @@
 """Exact substring dedup by level-wise doubling over word windows.
 
 A window of ``window`` words is removed if its word sequence also starts anywhere else, in the same text or another. Windows are not
-compared at once at full length. At each level (a quarter, half, and all of ``window``; each length twice the one before, up to
-rounding) a window stands with one gram of that length at a place that its own words decide, so equal windows stand with equal grams.
-A window whose gram occurs once is unique and goes; those repeated at one length alone are extended to twice that length. The work ends
-at full length, or earlier when no candidate survives. Longer repeats need no further level: all of their windows are found at full
-length.
+compared at once at full length. At each level (35 words: 9, 18 and 35; each length twice the one before, up to rounding) a window stands with
+one gram of that length at a place that its own words decide, so equal windows stand with equal grams. A window whose gram occurs once is
+unique and goes; those repeated at one length alone are extended to twice that length. The work ends at full length, or at the first level that
+no candidate survives. Longer repeats need no further level: all of their windows are found at full length.
 
 The first level is sparse: a window's gram is the one with the least hash among all its grams, and neighbours mostly share it, so about
 one gram in fourteen words is shuffled. Counts are aggregated before shuffling, so a passage in a third of all texts is one row per task.
@@ -13,7 +12,10 @@ The first pass over the texts emits the grams of two levels at once; what passes
 At full length, a window found once is carried by its own count, so the windows themselves are shuffled only once.
 
 Edge cases: null and short texts have no window and stay whole; repeated rows are copies of each other, so all their windows repeat and
-go; ties between equal least grams are settled by place within the window; an empty table gives an empty result; other columns are kept.
+go; ties between equal least grams are settled by place within the window; a null id is like any other; very long texts are joined to the list of their
+places and taken through numpy in bounded pieces of texts, one text at least; a column named repeats is replaced; an empty table gives an empty
+result; other columns are kept. A third of all rows may be alike in id and text: such a key's rows are spread. Windows are told apart by 64-bit
+hashes of their words at every level, so a false repeat has to collide at all of them.
 """
 
 from __future__ import annotations
@@ -25,16 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, gram_hashes, pieces, signed, word_hashes, written
+from .common import bound_batches, gram_hashes, pieces, signed, spread_join, word_hashes, written
 
 _LOW = np.uint64(0xFFFFFFFF)
+#: Words of the first level at most.
+FIRST = 12
 
 
 def levels_of(window: int) -> list[int]:
-    """Three lengths up to ``window``, each twice the one before up to rounding."""
+    """Three lengths or more up to ``window``, each twice the one before up to rounding; the first has at most FIRST words."""
     if window < 3:
         raise ValueError("a window takes three words or more")
-    return [-(-window // 4), -(-window // 2), window]
+    levels = [window]
+    while levels[0] > FIRST or len(levels) < 3:
+        levels.insert(0, -(-levels[0] // 2))
+    return levels
 
 
 def sliding_min(x: np.ndarray, span: int) -> np.ndarray:
@@ -82,7 +89,7 @@ def _lists(column: pa.Array, start: int, n: int) -> list:
 def anchor_rows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(key, text) to (h, key, lead, mid_at, mid): the distinct grams of the first level, each with the gram of the second level that stands
     for its windows (hash in mid, start in mid_at), or two, to either side; lead is 1 on one row of each first gram."""
-    base, middle, _ = levels_of(window)
+    base, middle = levels_of(window)[:2]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,9 +114,9 @@ def anchor_rows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def window_rows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(key, text, places: starts of surviving grams of the level below) to (h, key, at): all windows that these stand for."""
-    base, below, _ = levels_of(window)
+def window_rows(window: int, below: int, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, text, places: starts of surviving grams of ``below`` words) to (h, key, at): grams of ``length`` words of the windows that these stand for."""
+    base = levels_of(window)[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,11 +126,12 @@ def window_rows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                 starts, least = windows_in(words, counts, window, base)
                 offsets = np.cumsum(counts) - counts
                 mark = _marked(len(words), offsets, _lists(batch.column("places"), first, len(texts)))
-                at = starts[mark[gram_places(starts, least, below, window, base)]]
+                held = mark[gram_places(starts, least, below, window, base)]
+                at = np.unique(gram_places(starts[held], least[held], length, window, base))
                 owner = np.repeat(np.arange(len(texts)), counts)[at]
                 for i in range(0, len(at), 100_000):
                     s, o = at[i : i + 100_000], owner[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(_grams_at(words, window, s))), pa.array(keys[first + o]), pa.array((s - offsets[o]).astype(np.int32))], names=["h", "key", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(_grams_at(words, length, s))), pa.array(keys[first + o]), pa.array((s - offsets[o]).astype(np.int32))], names=["h", "key", "at"])
 
     return run
 
@@ -157,7 +165,7 @@ def cut(texts: list[bytes], lists: list, alone: list, window: int) -> list[dict]
         words, counts = word_hashes([texts[i] for i in todo])
         starts, least = windows_in(words, counts, window, lengths[0])
         offsets = np.cumsum(counts) - counts
-        starts = starts[_marked(len(words), offsets, [lists[i] for i in todo])[gram_places(starts, least, lengths[1], window, lengths[0])]]
+        starts = starts[_marked(len(words), offsets, [lists[i] for i in todo])[gram_places(starts, least, lengths[-2], window, lengths[0])]]
         starts = starts[~_marked(len(words), offsets, [alone[i] for i in todo])[starts]]
         edge = np.zeros(len(words) + 1, np.int64)
         np.add.at(edge, starts, 1)
@@ -188,10 +196,24 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     bound_batches(docs.sparkSession)
     keyed = docs.withColumn("__key", F.xxhash64(F.col(key).cast("string"), F.col(text)))
     texts = keyed.select("__key", F.col(text).cast("binary").alias("__text"))
+    alike = written(texts.groupBy("__key").agg(F.count("*").alias("n")).where("n > 1"), "alike")
+    total = docs.count()
+
+    def with_texts(rows: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
+        """Rows with the lists of their key; a key on very many rows is spread."""
+        counted = lists.join(alike, "__key", "left").withColumn("n", F.coalesce("n", F.lit(1).cast("long")))
+        return spread_join(rows, counted, ["__key"], [F.monotonically_increasing_id()], how, rows=total)
+
+    lengths = levels_of(window)
     first = _repeated(texts.mapInArrow(anchor_rows(window), "h long, key long, lead int, mid_at int, mid long"))
-    second = written(first.select(F.col("mid").alias("h"), "key", F.col("mid_at").alias("at")), "second-level")
-    places = written(_per_key(_repeated(second), "places"), "places")
-    rows = texts.join(places, "__key").mapInArrow(window_rows(window), "h long, key long, at int")
+    rows = written(first.select(F.col("mid").alias("h"), "key", F.col("mid_at").alias("at")), "second-level")
+    places = written(_per_key(_repeated(rows), "places"), "places")
+    for below, length in zip(lengths[1:-1], lengths[2:], strict=True):
+        if not places.limit(1).count():
+            break
+        rows = with_texts(texts, places).mapInArrow(window_rows(window, below, length), "h long, key long, at int")
+        if length < window:
+            places = written(_per_key(_repeated(written(rows, "level")), "places"), "places")
     once = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("key").alias("key"), F.min("at").alias("at")).where("n = 1")
     lists = written(places.join(_per_key(once, "alone"), "__key", "left"), "lists")
 
@@ -203,5 +225,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
                 out += cut(part, _lists(survived, first, len(part)), _lists(single, first, len(part)), window)
             yield pa.array(out, _KEPT_ARROW)
 
-    whole = keyed.join(lists.select("__key", F.col("places").alias("__places"), F.col("alone").alias("__alone")), "__key", "left")
+    whole = with_texts(keyed, lists.select("__key", F.col("places").alias("__places"), F.col("alone").alias("__alone")), "left")
     return whole.withColumn("repeats", kept(F.col(text).cast("binary"), "__places", "__alone")).drop("__key", "__places", "__alone")

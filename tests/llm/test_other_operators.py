@@ -116,6 +116,27 @@ def test_shards(spark, n):
     assert any(r.doc_id % 3 and r.shard == s for r in got for s in range(8, 16)) or n < 100  # copies are spread
 
 
+def test_shards_spread_rows_alike(spark):
+    """A table of equal rows falls into blocks like any other."""
+    df = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    got = shards.hypergeometric_shuffle(df, 16).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(by) == 16 and all(sorted(x) == list(range(len(x))) for x in by.values()) and {len(x) for x in by.values()} <= {187, 188}
+
+
+def test_sharding_query_keeps_its_law(spark):
+    got = queries.op6_sharding(spark, SF).collect()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((d.doc_id, len((d.text or "").encode()) + 1, zlib.crc32((d.text or "").encode())) for d in docs)
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in got) == want and {r.law for r in got} == {"rows"} and {r.grown_shard for r in got} == {None}
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert sorted(by) == list(range(16)) and all(sorted(x) == list(range(len(x))) for x in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+
+
 def test_hypergeometric_draws():
     rng = random.Random(1)
     x = [shards.hypergeometric(rng, 300, 700, 100) for _ in range(4000)]

@@ -107,7 +107,7 @@ def brute_kept(rows, window):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("window", [35, 10, 3])
+@pytest.mark.parametrize("window", [60, 35, 3])
 def test_substrings_equal_brute_force(spark, docs, window):
     # Clashing and extra columns stay as they are; rows come out once each.
     df = spark.createDataFrame([(*r, 1, "x") for r in docs], DOCS + ", key int, places string")
@@ -125,6 +125,11 @@ def test_substrings_keep_layout_and_handle_nothing(spark):
     assert kept == {1: "keep\n\nthis  line tail", 2: ""}
     with pytest.raises(ValueError):
         substrings.levels_of(2)
+    assert substrings.levels_of(35) == [9, 18, 35] and substrings.levels_of(100) == [7, 13, 25, 50, 100]
+    same = spark.createDataFrame([(1, long, "s")] * 50 + [(None, None, "s")] * 50, DOCS)
+    assert {(r.doc_id, r.repeats.kept) for r in substrings.remove_repeats(same).collect()} == {(1, ""), (None, "")}
+    alone = spark.createDataFrame([(1, long, "s"), (2, "a " * 5, "s")], DOCS)  # no candidate survives the first level
+    assert {r.repeats.n_removed for r in substrings.remove_repeats(alone).collect()} == {0}
 
 
 def brute_hits(text, items, window=10):
@@ -164,6 +169,15 @@ def test_decontamination_of_nothing(spark):
     assert len(many) > 1 and decontam.scan(b"item number 7 has some words of its own here", many)[2] == ["7"]
 
 
+def test_decontamination_of_a_large_benchmark_in_blocks(spark, docs):
+    """A benchmark beyond the limit, taken in blocks, gives what one automaton gives."""
+    items = [(i, " ".join(docs[i][1].split()[j : j + 14])) for i in range(12) for j in (3, 9, 15)] + [(None, "just three words")]
+    df, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    one, many = decontam.decontaminate(df, b), decontam.decontaminate(df, b, limit=900)
+    assert len(decontam.blocks_of(b.selectExpr("cast(item_id as string)", "cast(text as binary)"), 900)) > 2
+    assert sorted(map(repr, many.collect())) == sorted(map(repr, one.collect()))
+
+
 def test_decontamination_counts_items_without_id(spark):
     """Items whose id is null hit, as in the SQL: counted, and left out of the joined ids."""
     long = " ".join(f"b{i}" for i in range(12))
