@@ -1,5 +1,6 @@
 """Queries against their SQL on the smallest tables, and the pipeline against a plain version of its stages."""
 
+import hashlib
 import re
 import sys
 
@@ -31,23 +32,57 @@ def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages_against_plain_versions(spark, tmp_path):
+    """Every stage over the smallest tables and odd rows (repeated ids, nulls, copies, planted passages) against plain Python."""
+    import public_tokenizers
+    from tests.llm.test_text_operators import brute_components, brute_hits, brute_kept
+
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns, kept = docs.columns, []
-    for name, stage in corpus_pipeline.STAGES:
-        before = docs
-        docs = stage(spark, docs, SF).persist()
-        kept.append((name, docs.count()))
-        if name == "near_duplicates":
-            classes = {r.doc_id: r.component_id for r in queries.jaccard.classes(before.selectExpr("doc_id", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text")).collect()}
-            assert sorted(r.doc_id for r in docs.collect()) == sorted({c for c in classes.values()})
-        if name == "benchmark_passages":
-            left = {r.doc_id for r in queries.decontam.decontaminate(before, spark.read.parquet(f"{SF}/benchmark.parquet")).where("hits.n_hit = 0").collect()}
-            assert {r.doc_id for r in docs.collect()} == left
-        if name != "packed":
-            assert docs.columns == columns
-    assert [n for n, _ in kept] == ["language", "near_duplicates", "repeated_passages", "benchmark_passages", "packed"]
-    assert kept[0][1] >= kept[1][1] >= kept[2][1] >= kept[3][1] > 0
+    columns = docs.columns
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    plain = [(r.doc_id, r.text) for r in docs.collect() if r.lang == "en" and r.text][:12]
+    words = plain[3][1].split()[:60] + [f"own{i}" for i in range(40)]
+    odd = [(9001, None), (9002, ""), (9003, "1234 ++ 77"), (plain[0][0], f"unlike text under a known id {' '.join(words[40:90])}"), (None, " ".join(words)), (None, " ".join([*words[:-1], "edit"]))]
+    odd += [(9004, f"The start of it. {items[0][1]} And the end of it."), (9005, " ".join(words)), (9005, " ".join(words))]
+    docs = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in odd], docs.schema))
+
+    def pairs(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+    def stage(i, docs):
+        out = corpus_pipeline.STAGES[i][1](spark, docs, SF)
+        path = f"{tmp_path}/{corpus_pipeline.STAGES[i][0]}"
+        out.write.parquet(path)
+        assert out.columns == columns or i == 4
+        return spark.read.parquet(path)
+
+    before, known = pairs(docs), stage(0, docs)
+    kept = pairs(known)
+    lost = [x for x in before if x not in kept]
+    assert {9001, 9002, 9003} <= {i for i, _ in lost} and all(x in before for x in kept)
+    assert all(not re.search(r"[^\W\d_]", t or "") or len(t) < 200 for _, t in lost)  # clean texts stay
+
+    unique = stage(1, known)
+    numbered = [(n, t) for n, (_, t) in enumerate(sorted(kept, key=lambda x: (x[0] is None, x[0] or 0)))]
+    lowered = [(n, re.sub("[A-Z]", lambda m: m[0].lower(), t), "s") for n, t in numbered]
+    of = {n: c for n, _, c in brute_components(lowered)}
+    ids = [x[0] for x in sorted(kept, key=lambda x: (x[0] is None, x[0] or 0))]
+    left = pairs(unique)
+    assert len(left) == len(set(of.values())) and all(x in kept for x in left)
+    assert sorted((ids[c] for c in set(of.values())), key=repr) == sorted((i for i, _ in left), key=repr)
+
+    cut = stage(2, unique)
+    want = {(i, n - gone, digest) for i, n, gone, digest in brute_kept([(i, t, "s") for i, t in left], 35) if not gone or gone < n}
+    got = {(i, len(t.split()), hashlib.sha256(b" ".join(t.encode().split())).hexdigest()) for i, t in pairs(cut)}
+    assert got == want
+
+    clean = stage(3, cut)
+    assert pairs(clean) == sorted((x for x in pairs(cut) if not brute_hits(x[1], items)[1]), key=repr)
+    assert 9004 not in {i for i, _ in pairs(clean)} and len(pairs(clean)) > 50
+
+    packed = stage(4, clean).collect()
+    t = queries.tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sum(r.length for r in packed) == sum(len(t.encode(x, add_special_tokens=False)) + 1 for _, x in pairs(clean) if x)
 
 
 def test_pipeline_stages_of_nothing_and_nulls(spark):
