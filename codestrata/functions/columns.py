@@ -1,10 +1,15 @@
-"""Column functions over paths, texts and patterns; all stay in the JVM."""
+"""Column functions over paths and texts, all in the JVM, and matches of patterns."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from .scratch import bound_batches
 
 
 def name_of(path: Column) -> Column:
@@ -52,32 +57,65 @@ def fixed_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFram
     return spark.range(1).select(F.inline(structs))
 
 
-def matches(df: DataFrame, text: str, pattern: str, groups: int, keep: list[str], left: bool = False) -> DataFrame:
-    """All matches of a pattern in a text column, one row each: ``keep``, ord, line, m, g1 ..., and with ``left`` before (text of the line left of it).
+#: Characters that ``before`` keeps of either end of what stands left of a match.
+BEFORE = 2000
+#: Matches that are sent on at once.
+_ROWS = 20_000
+
 
-    Gaps and matches tile the text: a lazy gap, then the match, each tile starting where the last one ended (so the search is linear). The line of a match is one more than the line breaks in all tiles
-    before it, a running sum within the text. Groups that take no part are ''. Only built-in functions are used.
+def find_all(df: DataFrame, text: str, patterns: list[str], keep: list[str], left: bool = False) -> DataFrame:
+    """All matches of several patterns in a text column: ``keep``, kind (number of the pattern), ord, line, m, groups, and with ``left`` before.
+
+    One pass over each text in Arrow batches, without a shuffle. Lines are counted from match to match, so the pass is linear in the text.
+    ``before`` is what stands left of the match on its line; of more than twice BEFORE characters, both ends. Groups that take no part are ''.
+    Patterns are those of ``re``: letters, digits and word boundaries of all scripts.
     """
-    inline, body = (pattern[:4], pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
-    tile = f"{inline}\\G([\\s\\S]*?)({body})"
-    parts = [F.regexp_extract_all(text, F.lit(tile), F.lit(g)) for g in range(1, groups + 3)]
-    names = ["gap", "m", *(f"g{i}" for i in range(1, groups + 1))]
-    tiles = df.select(*keep, F.posexplode(F.arrays_zip(*(p.alias(n) for p, n in zip(parts, names, strict=True)))).alias("ord", "t")).select(*keep, "ord", "t.*")
-    breaks = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
-    # Only counts and ends of lines go on to the windows, not the gaps themselves.
-    tiles = tiles.withColumns({"__g": breaks("gap"), "__m": breaks("m"), "__left": F.substring_index("gap", "\n", -1), "__right": F.substring_index("m", "\n", -1)}).drop("gap")
-    before = W.partitionBy(*keep).orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    tiles = tiles.withColumn("__end", F.coalesce(F.sum(F.col("__g") + F.col("__m")).over(before), F.lit(0)))
-    tiles = tiles.withColumn("line", (F.col("__end") + F.col("__g") + 1).cast("int"))
-    if not left:
-        return tiles.drop("__g", "__m", "__left", "__right", "__end")
-    # What stands left of a match on its line: the end of its gap, after the matches that end on the same line.
-    piece = F.when(F.col("__m") > 0, F.col("__right")).otherwise(F.concat("__left", "__right"))
-    ends = tiles.withColumn("__last", F.col("line") + F.col("__m")).withColumn("__piece", piece)
-    same = W.partitionBy(*keep, "__last").orderBy("ord").rowsBetween(W.unboundedPreceding, 0)
-    ends = ends.withColumn("__all", F.array_join(F.collect_list("__piece").over(same), ""))
-    earlier = F.lag("__all").over(W.partitionBy(*keep).orderBy("ord"))
-    return ends.withColumn("before", F.when(F.col("__g") > 0, F.col("__left")).otherwise(F.concat(F.coalesce(earlier, F.lit("")), F.col("__left")))).drop("__g", "__m", "__left", "__right", "__end", "__last", "__piece", "__all")
+    bound_batches(df.sparkSession)
+    columns = {"kind": pa.int32(), "ord": pa.int32(), "line": pa.int32(), "m": pa.string(), "groups": pa.list_(pa.string())} | ({"before": pa.string()} if left else {})
+
+    def found(source: str, compiled: list[re.Pattern]) -> Iterator[tuple]:
+        for kind, pattern in enumerate(compiled):
+            line, at, edge = 1, 0, 0
+            for n, m in enumerate(pattern.finditer(source)):
+                start = m.start()
+                breaks = source.count("\n", at, start)
+                if breaks:
+                    line, edge = line + breaks, source.rfind("\n", at, start) + 1
+                at = start
+                row = (kind, n, line, m[0], [g or "" for g in m.groups()])
+                if left:
+                    row += (source[edge:start] if start - edge <= 2 * BEFORE else source[edge : edge + BEFORE] + source[start - BEFORE : start],)
+                yield row
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = [re.compile(p) for p in patterns]
+        for batch in batches:
+            owners: list[int] = []
+            rows: list[tuple] = []
+
+            def out() -> pa.RecordBatch:
+                taken = [batch.column(k).take(pa.array(owners, pa.int64())) for k in keep]
+                return pa.RecordBatch.from_arrays([*taken, *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), columns.values(), strict=True))], names=[*keep, *columns])
+
+            for i, x in enumerate(batch.column("__text")):
+                for row in found(x.as_py() or "", compiled):
+                    owners.append(i)
+                    rows.append(row)
+                    if len(rows) == _ROWS:
+                        yield out()
+                        owners, rows = [], []
+            if rows:
+                yield out()
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keep), "kind int, ord int, line int, m string, groups array<string>", *(["before string"] if left else [])])
+    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+
+
+def matches(df: DataFrame, text: str, pattern: str, groups: int, keep: list[str], left: bool = False) -> DataFrame:
+    """All matches of one pattern (see ``find_all``): ``keep``, ord, line, m, g1 ..., and with ``left`` before."""
+    found = find_all(df, text, [pattern], keep, left)
+    return found.select(*keep, "ord", "line", "m", *(F.col("groups")[g].alias(f"g{g + 1}") for g in range(groups)), *(["before"] if left else []))
 
 
 def unordered(c: str | Column) -> Column:

@@ -1,15 +1,29 @@
-"""Cutting lineage between the rounds of iterative operators."""
+"""Cutting lineage between the rounds of iterative operators, and the size of batches that go to Python."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows and bytes of a batch of texts on its way to Python.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches, unless they are smaller already: a batch of long texts takes several times its size in buffers."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` checkpointed in the shared folder of spark.checkpoint.dir (a temporary one only where that is unset)."""
+    """``df`` checkpointed in the shared folder of spark.checkpoint.dir (a temporary one only where that is unset and all executors are in this process)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="codestrata-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="codestrata-"))
     return df.checkpoint()

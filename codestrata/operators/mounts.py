@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.columns import join_routes, parent_of
+from ..functions.scratch import cut
 
 _ROUTE_DIR = r"(?i)(^|/)(?:routes?|routers?)(?:/|$)"
 
@@ -37,25 +38,24 @@ def with_targets(mounts: DataFrame, imports: DataFrame, routes: DataFrame) -> Da
 def prefixes(resolved: DataFrame) -> DataFrame:
     """(repo, file, prefix) of every way in which mounts reach a file, from files that no mount targets.
 
-    A recursive query over mount edges (repo, file, target, prefix). Each way follows a file once, so mounts in a circle end.
+    Level by level over mount edges (repo, file, target, prefix), until no way goes on. Each way follows a file once, so mounts in a circle end.
     """
-    spark = resolved.sparkSession
-    edges = resolved.select("repo", "file", "target", "prefix").distinct()
-    edges.createOrReplaceTempView("codestrata_mount_edges")
-    strip = "trim(BOTH '/' FROM {0})"
-    part = "CASE WHEN {0} IN ('/', '') THEN '' ELSE concat('/', " + strip + ") END"
-    joined = f"concat({part.format('w.prefix')}, {part.format('e.prefix')})"
-    return spark.sql(
-        f"""WITH RECURSIVE ways(repo, file, prefix, seen) AS (
-          SELECT repo, file, '' AS prefix, array(file) AS seen
-          FROM (SELECT DISTINCT repo, file FROM codestrata_mount_edges) f
-          LEFT ANTI JOIN codestrata_mount_edges t ON t.repo = f.repo AND t.target = f.file
-          UNION ALL
-          SELECT e.repo, e.target, CASE WHEN {joined} = '' THEN '/' ELSE {joined} END, concat(w.seen, array(e.target))
-          FROM ways w JOIN codestrata_mount_edges e ON e.repo = w.repo AND e.file = w.file
-          WHERE NOT array_contains(w.seen, e.target)
-        ) SELECT DISTINCT repo, file, prefix FROM ways WHERE size(seen) > 1"""
-    )
+    edges = cut(resolved.select("repo", "file", "target", "prefix").distinct())
+
+    def part(x: Column) -> Column:
+        return F.when(x.isin("/", ""), "").otherwise(F.concat(F.lit("/"), F.regexp_replace(x, "^/+|/+$", "")))
+
+    top = edges.select("repo", "file").distinct().join(edges.select("repo", F.col("target").alias("file")).distinct(), ["repo", "file"], "left_anti")
+    ways = top.select("repo", "file", F.lit("").alias("prefix"), F.array("file").alias("seen"))
+    out = edges.limit(0).select("repo", "file", "prefix")
+    step = edges.select("repo", "file", "target", F.col("prefix").alias("more"))
+    while True:
+        joined = F.concat(part(F.col("prefix")), part(F.col("more")))
+        met = ways.join(step, ["repo", "file"]).where(~F.array_contains("seen", F.col("target")))
+        ways = cut(met.select("repo", F.col("target").alias("file"), F.when(joined == "", "/").otherwise(joined).alias("prefix"), F.concat("seen", F.array("target")).alias("seen")))
+        if not ways.limit(1).count():
+            return out.distinct()
+        out = out.unionByName(ways.select("repo", "file", "prefix"))
 
 
 def expand_routes(routes: DataFrame, resolved: DataFrame, ways: DataFrame) -> DataFrame:
@@ -87,11 +87,24 @@ def diagnostics(targeted: DataFrame, routes: DataFrame, ways: DataFrame) -> Data
     # Candidate routes: other files that no resolved mount targets; near route directories first, then any, then all.
     done = targeted.where("state = 'resolved'").select("repo", F.col("target").alias("file")).distinct()
     free = routes.where("framework = 'Express'").join(done, ["repo", "file"], "left_anti").select("repo", F.col("file").alias("r_file"), "method", "path", F.col("line").alias("r_line"))
-    base = F.when(F.instr("file", "/") > 0, F.concat(parent_of(F.col("file")), F.lit("/"))).otherwise("")
-    in_dir = F.col("r_file").rlike(_ROUTE_DIR)
-    tier = F.when(in_dir & F.col("r_file").startswith(F.col("base")), 1).when(in_dir, 2).otherwise(3)
-    met = open_.withColumn("base", base).withColumn("call", _call()).join(free, "repo").where("file <> r_file").withColumn("tier", tier)
-    met = met.withColumn("best", F.min("tier").over(W.partitionBy("repo", "id"))).where("tier = best")
+    # Which tier a mount has is found by counting files, by directory and by repository; only then do mounts meet the routes of their tier.
+    slashed = F.when(F.instr("file", "/") > 0, F.concat(parent_of(F.col("file")), F.lit("/"))).otherwise("")
+    free = free.withColumn("in_dir", F.col("r_file").rlike(_ROUTE_DIR))
+    parts = F.split("r_file", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
+    near = free.where("in_dir").withColumn("base", F.explode(above))
+
+    def others(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.min("r_file").alias(f"{name}_min"), F.max("r_file").alias(f"{name}_max"))
+
+    def some(name: str) -> Column:  # a file other than the mount's own
+        return F.coalesce((F.col(f"{name}_min") != F.col("file")) | (F.col(f"{name}_max") != F.col("file")), F.lit(False))
+
+    m = open_.withColumn("base", slashed).withColumn("call", _call()).join(others(near.groupBy("repo", "base"), "one"), ["repo", "base"], "left")
+    m = m.join(others(free.where("in_dir").groupBy("repo"), "two"), "repo", "left").withColumn("tier", F.when(some("one"), 1).when(some("two"), 2).otherwise(3))
+    routes_of = ["r_file", "method", "path", "r_line"]
+    met = m.where("tier = 1").join(near.select("repo", "base", *routes_of), ["repo", "base"])
+    met = met.unionByName(m.where("tier = 2").join(free.where("in_dir").select("repo", *routes_of), "repo")).unionByName(m.where("tier = 3").join(free.select("repo", *routes_of), "repo")).where("file <> r_file")
     incomplete = F.concat(F.lit("Full mounted path unresolved for "), "method", F.lit(" "), "path", F.lit("; this is the router-local path from "), "r_file", F.lit(":"), "r_line", F.lit('. Runtime mount "'), "call", F.lit('" at '), "file", F.lit(":"), "line", F.lit(" could not be followed statically."))
     second = met.select("repo", F.lit("EXPRESS_ROUTE_PATH_INCOMPLETE").alias("code"), F.col("r_file").alias("file"), incomplete.alias("message"))
     lost = targeted.where("state = 'resolved'").join(ways.select("repo", F.col("file").alias("target")).distinct(), ["repo", "target"], "left_anti")

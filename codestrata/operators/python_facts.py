@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions.columns import ends_with_any, fixed_table, matches, name_of, suffix_of
+from ..functions.scratch import bound_batches
 
-SYNTAX = """repo string, file string, error string, main_guards int,
+SYNTAX = """repo string, file string, error string, main_guards int, lines int,
 imports array<struct<ord: int, line: int, module: string, root: string, names: array<string>>>,
 defs array<struct<ord: int, kind: string, name: string, line: int, end_line: int, parents: array<string>, bases: array<string>,
   decorators: array<struct<name: string, path: string, methods: array<string>>>>>,
@@ -57,7 +58,7 @@ def _decorator(node: ast.AST) -> dict | None:
 
 def facts_of(source: str) -> dict:
     """Raw facts of one source text."""
-    out: dict = {"error": None, "main_guards": 0, "imports": [], "defs": [], "calls": [], "binds": []}
+    out: dict = {"error": None, "main_guards": 0, "lines": source.count("\n") + 1, "imports": [], "defs": [], "calls": [], "binds": []}
     try:
         tree = ast.parse(source, type_comments=True)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
@@ -94,12 +95,14 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [facts_of(x or "") for x in batch.column("content").to_pylist()]
         columns = {"repo": batch.column("repo"), "file": batch.column("path"), "error": pa.array([r["error"] for r in rows], pa.string()), "main_guards": pa.array([r["main_guards"] for r in rows], pa.int32())}
+        columns["lines"] = pa.array([r["lines"] for r in rows], pa.int32())
         columns |= {k: pa.array([r[k] for r in rows], t) for k, t in _TYPES.items()}
         yield pa.RecordBatch.from_pydict(columns)
 
 
 def syntax(files: DataFrame) -> DataFrame:
     """Raw facts of the Python files among (repo, path, content): one nested row a file, no shuffle."""
+    bound_batches(files.sparkSession)
     return files.where(suffix_of(F.col("path")).isin(fixed.PY_SUFFIXES)).select("repo", "path", "content").mapInArrow(_run, SYNTAX)
 
 
@@ -107,11 +110,9 @@ def _joined(*parts: Column) -> Column:
     return F.concat_ws("::", *parts)
 
 
-def symbols(facts: DataFrame, files: DataFrame) -> DataFrame:
+def symbols(facts: DataFrame) -> DataFrame:
     """Module, class, model, function and method symbols. A class is a database model by its bases, the first rule that fits counts."""
-    modules = facts.where("error IS NULL").join(files.select("repo", F.col("path").alias("file"), "content"), ["repo", "file"])
-    lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1
-    module = modules.select("repo", "file", F.lit(0).alias("ord"), F.col("file").alias("id"), F.lit("module").alias("type"), name_of(F.col("file")).alias("name"), F.lit(1).alias("line"), lines.cast("int").alias("end_line"), F.lit(None).cast("string").alias("parent"), F.array().cast("array<string>").alias("evidence"))
+    module = facts.where("error IS NULL").select("repo", "file", F.lit(0).alias("ord"), F.col("file").alias("id"), F.lit("module").alias("type"), name_of(F.col("file")).alias("name"), F.lit(1).alias("line"), F.col("lines").alias("end_line"), F.lit(None).cast("string").alias("parent"), F.array().cast("array<string>").alias("evidence"))
     d = facts.select("repo", "file", F.explode("defs").alias("d")).select("repo", "file", "d.*")
     b = F.col("bases")
     some = lambda f: F.exists(b, f)
@@ -177,7 +178,7 @@ def tags(facts: DataFrame, files: DataFrame) -> DataFrame:
     called = F.when(c.endswith("FastAPI"), F.array(F.struct(F.lit("framework"), F.lit("FastAPI")))).when(c.endswith("Flask"), F.array(F.struct(F.lit("framework"), F.lit("Flask")))).when(ends_with_any(c, ["create_engine", "sessionmaker"]), sql)
     by_call = callee.select("repo", "file", F.inline(called.cast("array<struct<category: string, tech: string>>")))
     models = fixed_table(spark, [("inherits from Django Model", "framework", "Django"), ("inherits from Django Model", "database", "Django ORM"), ("inherits from SQLModel", "framework", "SQLModel"), ("inherits from SQLModel", "database", "SQL database"), ("inherits from an ORM model base", "framework", "SQLAlchemy"), ("inherits from an ORM model base", "database", "SQL database"), ("inherits from Beanie/Mongo Document", "database", "MongoDB"), ("inherits from Model base", "database", "SQL database")], "rule string, category string, tech string")
-    by_model = symbols(facts, files).select("repo", "file", F.explode("evidence").alias("rule")).join(F.broadcast(models), "rule").select("repo", "file", "category", "tech")
+    by_model = symbols(facts).select("repo", "file", F.explode("evidence").alias("rule")).join(F.broadcast(models), "rule").select("repo", "file", "category", "tech")
     by_route = routes(facts).select("repo", "file", F.lit("framework").alias("category"), F.col("framework").alias("tech"))
     low = F.lower("content")
     urls = F.array_compact(F.array(F.when(low.contains("postgresql://") | low.contains("postgres://"), "PostgreSQL"), F.when(low.contains("mongodb://") | low.contains("mongodb+srv://"), "MongoDB")))

@@ -1,4 +1,4 @@
-"""Facts of JavaScript and TypeScript files, by patterns that run in the JVM (see ``functions.columns.matches``).
+"""Facts of JavaScript and TypeScript files, by patterns (see ``functions.columns.find_all``).
 
 Only the arguments of ``x.use(...)`` are not a regular language; ``mount_calls`` splits them in Python, file by file.
 """
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import fixed
-from ..functions.columns import ends_with_any, fixed_table, matches, name_of, suffix_of
+from ..functions.columns import ends_with_any, find_all, fixed_table, matches, name_of, suffix_of
 
 KEYS = ["repo", "file"]
 
@@ -44,12 +44,13 @@ def symbols(js: DataFrame) -> DataFrame:
     lines = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1
     none = F.array().cast("array<string>")
     out = js.select(*KEYS, F.lit(-1).alias("ord"), F.col("file").alias("id"), F.lit("module").alias("type"), name_of(F.col("file")).alias("name"), F.lit(1).alias("line"), lines.cast("int").alias("end_line"), F.lit(None).cast("string").alias("parent"), none.alias("evidence"), F.lit(False).alias("exported"))
-    for at, (kind, pattern, groups) in enumerate((("class", fixed.JS_CLASS, 1), ("interface", fixed.JS_INTERFACE, 1), ("type", fixed.JS_TYPE, 1), ("function", fixed.JS_FUNCTION, 2))):
-        m = matches(js, "content", pattern, groups, KEYS, left=True)
-        name = F.col("g1") if groups == 1 else F.when(F.col("g1") != "", F.col("g1")).otherwise(F.col("g2"))
-        part = F.lit(kind) if kind != "function" else F.when(ends_with_any(F.col("file"), [".jsx", ".tsx"]) & F.substring(name, 1, 1).rlike("^[A-Z]$"), "component").otherwise("function")
-        why = F.when(part == "component", F.array(F.lit("capitalized JSX/TSX function"))).otherwise(none)
-        out = out.unionByName(m.select(*KEYS, (F.col("ord") + at * 10**6).alias("ord"), F.concat("file", F.lit("::"), name).alias("id"), part.alias("type"), name.alias("name"), "line", F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("string").alias("parent"), why.alias("evidence"), _exported().alias("exported")))
+    kinds = F.array(*map(F.lit, ("class", "interface", "type", "function")))
+    m = find_all(js, "content", [fixed.JS_CLASS, fixed.JS_INTERFACE, fixed.JS_TYPE, fixed.JS_FUNCTION], KEYS, left=True)
+    name = F.coalesce(F.nullif(F.col("groups")[0], F.lit("")), F.get("groups", 1))
+    component = (F.col("kind") == 3) & ends_with_any(F.col("file"), [".jsx", ".tsx"]) & F.substring(name, 1, 1).rlike("^[A-Z]$")
+    part = F.when(component, "component").otherwise(F.get(kinds, F.col("kind")))
+    why = F.when(component, F.array(F.lit("capitalized JSX/TSX function"))).otherwise(none)
+    out = out.unionByName(m.select(*KEYS, (F.col("ord") + F.col("kind") * 10**6).alias("ord"), F.concat("file", F.lit("::"), name).alias("id"), part.alias("type"), name.alias("name"), "line", F.lit(None).cast("int").alias("end_line"), F.lit(None).cast("string").alias("parent"), why.alias("evidence"), _exported().alias("exported")))
     return out
 
 

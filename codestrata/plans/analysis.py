@@ -34,7 +34,7 @@ class Analysis:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return python_facts.symbols(self.python, self.files).unionByName(self.script_symbols)
+        return python_facts.symbols(self.python).unionByName(self.script_symbols)
 
     @cached_property
     def script_symbols(self) -> DataFrame:

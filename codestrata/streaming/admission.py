@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed
+from ..functions.scratch import bound_batches
 
 
 def quota(user: Column, ip: Column) -> tuple[Column, Column]:
@@ -18,25 +21,37 @@ def quota(user: Column, ip: Column) -> tuple[Column, Column]:
     return F.when(signed, F.concat(F.lit("user_"), user)).otherwise(F.concat(F.lit("ip_"), ip)), F.when(signed, fixed.USER_LIMIT).otherwise(fixed.PUBLIC_LIMIT)
 
 
+ADMITTED = "id long, allowed boolean, remaining int, retry_after long"
+
+
 def admit(requests: DataFrame, window_ms: int = fixed.WINDOW_MS) -> DataFrame:
     """Requests (key, id, ms, max_n) with allowed, remaining and retry_after (seconds, null if allowed).
 
     A request is admitted if fewer than max_n admitted ones of its key are younger than the window; refused ones leave no trace, so this
-    is a fold in time order and not a window frame. Each key is folded within one array; the state is its last max_n admissions.
+    is a fold in time order and not a window frame. One shuffle by key and one sort (which spills); then each task goes through its rows once and
+    holds the live admissions of one key, at most its largest max_n.
     """
-    state = "struct<log: array<bigint>, out: array<struct<id: bigint, allowed: boolean, remaining: int, retry_after: bigint>>>"
-
-    def step(s: Column, x: Column) -> Column:
-        live = F.filter(s["log"], lambda t: x["ms"] - t < window_ms)
-        ok = F.size(live) < x["max_n"]
-        log = F.when(ok, F.concat(live, F.array(x["ms"]))).otherwise(live)
-        retry = F.when(~ok, F.greatest(F.lit(1).cast("long"), F.ceil((F.try_element_at(live, F.lit(1)) + window_ms - x["ms"]) / F.lit(1000.0)).cast("long")))
-        row = F.struct(x["id"].cast("long").alias("id"), ok.alias("allowed"), F.when(ok, x["max_n"] - F.size(log)).otherwise(0).cast("int").alias("remaining"), retry.alias("retry_after"))
-        return F.struct(log.alias("log"), F.concat(s["out"], F.array(row)).alias("out")).cast(state)
-
-    start = F.struct(F.array().cast("array<bigint>").alias("log"), F.array().cast("array<struct<id: bigint, allowed: boolean, remaining: int, retry_after: bigint>>").alias("out")).cast(state)
-    log = requests.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(F.col("ms").cast("long").alias("ms"), "id", "max_n"))).alias("xs"))
-    return log.select("key", F.inline(F.aggregate("xs", start, step)["out"]))
+    bound_batches(requests.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, log = object(), deque()
+        for batch in batches:
+            keys, out = batch.column("key").to_pylist(), []
+            for k, i, ms, most in zip(keys, *(batch.column(c).to_pylist() for c in ("id", "ms", "max_n")), strict=True):
+                if k != key:
+                    key, log = k, deque()
+                while log and ms - log[0] >= window_ms:
+                    log.popleft()
+                ok = len(log) < most
+                if ok:
+                    log.append(ms)
+                out.append((i, ok, most - len(log) if ok else 0, None if ok else max(1, -(-(log[0] + window_ms - ms) // 1000)) if log else None))
+            if out:
+                types = (pa.int64(), pa.bool_(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("key"), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=["key", "id", "allowed", "remaining", "retry_after"])
+
+    rows = requests.select("key", F.col("id").cast("long").alias("id"), F.col("ms").cast("long").alias("ms"), F.col("max_n").cast("int").alias("max_n"))
+    return rows.repartition("key").sortWithinPartitions("key", "ms", "id", "max_n").mapInArrow(run, f"key {dict(rows.dtypes)['key']}, {ADMITTED}")
 
 
 def admit_stream(requests: DataFrame, window_ms: int = fixed.WINDOW_MS) -> DataFrame:

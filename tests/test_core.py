@@ -82,7 +82,7 @@ def test_python_routes_and_models(spark):
     files = spark.createDataFrame([("r", "m.py", source)], "repo string, path string, content string")
     facts = python_facts.syntax(files)
     assert {(r.method, r.path, r.framework) for r in python_facts.routes(facts).collect()} == {("POST", "/api/items", "Flask"), ("GET", "/api", "FastAPI"), ("ANY", "/^a$", "Django")}
-    assert {(r.name, r.type) for r in python_facts.symbols(facts, files).where("type <> 'function'").collect()} == {("m.py", "module"), ("A", "database_model"), ("B", "class"), ("C", "class")}
+    assert {(r.name, r.type) for r in python_facts.symbols(facts).where("type <> 'function'").collect()} == {("m.py", "module"), ("A", "database_model"), ("B", "class"), ("C", "class")}
 
 
 @pytest.mark.parametrize("call,want", [("use('/a', b)", ["'/a'", "b"]), ("use()", []), ("use(f(1, [2, 3]), {a: 1, b: ')'})", ["f(1, [2, 3])", "{a: 1, b: ')'}"]), ("use(`x,${y}`, // c, d\n z)", ["`x,${y}`", "// c, d\n z"]), ("use('open", None), ("use((1)", None)])
