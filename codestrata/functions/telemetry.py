@@ -7,7 +7,7 @@ import hmac
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
@@ -50,3 +50,38 @@ def feedback(score: Column, use: Column, missing: Column, comment: Column) -> Co
         F.slice(missing, 1, 10).alias("missing"),
         F.length(F.left(F.coalesce(comment, F.lit("")), F.lit(500))).alias("comment_length"),
     )
+
+
+# HTTP status of each error of a source, and the errors after which a client goes on by itself, with the reason it gives.
+ERROR_STATUS = {
+    "INVALID_GITHUB_URL": 400, "REPO_NOT_FOUND": 404, "UPSTREAM_GITHUB_ERROR": 502, "UPSTREAM_GITHUB_RATE_LIMITED": 429, "FETCH_TIMEOUT": 504, "ARCHIVE_TOO_LARGE": 413,
+    "EXTRACTED_TOO_LARGE": 413, "TOO_MANY_FILES": 413, "PATH_TRAVERSAL": 400, "INVALID_ARCHIVE": 400, "UNREADABLE_FILE": 400,
+}
+FALLBACK_CODES = ["RATE_LIMITED", "RATE_LIMIT_UNAVAILABLE", "UPSTREAM_GITHUB_RATE_LIMITED", "UPSTREAM_GITHUB_ERROR", "FETCH_TIMEOUT"]
+
+
+def error_status(code: Column) -> Column:
+    """HTTP status of an error code; 400 for others, null for none."""
+    table = F.create_map(*(F.lit(x) for pair in ERROR_STATUS.items() for x in pair))
+    return F.when(code.isNotNull(), F.coalesce(table[code], F.lit(400)))
+
+
+def fallback_reason(code: Column, offered: Column) -> Column:
+    """Why a client goes on without the server after a failure (null: it does not). No code at all is a network error."""
+    reason = F.when(code.isin("RATE_LIMITED", "UPSTREAM_GITHUB_RATE_LIMITED"), "rate_limited").when(code == "FETCH_TIMEOUT", "timeout").when(code == "RATE_LIMIT_UNAVAILABLE", "service_unavailable").otherwise("network_error")
+    return F.when(code.isNull() | code.isin(FALLBACK_CODES) | F.coalesce(offered, F.lit(False)), reason)
+
+
+def request_log(requests: DataFrame, secret: str | None = None) -> DataFrame:
+    """Log rows of requests (request_id, ts, method, repo, ip, user, duration_ms, files, status, code): addresses masked, repositories hashed, no content."""
+    hashed = keyed_hash(F.col("repo"), secret, 16) if secret else F.lit(None).cast("string")
+    return requests.select(
+        F.col("request_id").alias("requestId"), F.col("ts").alias("timestamp"), "method", hashed.alias("repoIdHash"), masked_ip(F.col("ip")).alias("clientIp"),
+        F.when(F.col("user").isNull() | F.col("user").isin("", "anonymous"), "public").otherwise("authenticated").alias("userType"),
+        F.col("duration_ms").alias("durationMs"), F.col("files").alias("fileCount"), "status", F.coalesce("code", F.lit("SUCCESS")).alias("resultCode"), F.col("code").alias("failureCategory"),
+    )
+
+
+def captured(events: DataFrame) -> DataFrame:
+    """Events (name, props, consent) of those who granted it, with sanitised props: what a sink may be given."""
+    return events.where(F.col("consent") == "granted").withColumn("props", sanitised(F.col("props"))).drop("consent")

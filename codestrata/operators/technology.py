@@ -126,3 +126,11 @@ def codebase_size(source_files: Column) -> Column:
 
 def map_quality(incomplete_paths: Column) -> Column:
     return F.when(incomplete_paths > 0, "Mostly mapped").otherwise("Fully mapped")
+
+
+def summary(totals: DataFrame, warnings: DataFrame, tech: DataFrame, shares: DataFrame) -> DataFrame:
+    """(repo, size, quality, primary): what a repository's page says first. The primary technology is the first one, else the first language."""
+    first = stack(tech).select("repo", F.get("technologies", 0).alias("tech"))
+    language = shares.groupBy("repo").agg(F.min("language").alias("language"))
+    t = totals.join(warnings, "repo", "left").join(first, "repo", "left").join(language, "repo", "left")
+    return t.select("repo", codebase_size(F.col("source_files")).alias("size"), map_quality(F.coalesce("paths", F.lit(0))).alias("quality"), F.coalesce("tech", "language", F.lit("Custom application")).alias("primary"))

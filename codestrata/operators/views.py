@@ -20,6 +20,42 @@ def file_status(error: Column, parsed: Column) -> Column:
     return F.when(error.isNotNull(), "Skipped").when(parsed, "Parsed").otherwise("Indexed")
 
 
+def page(df: DataFrame, order: list[str], number: int, size: int = 100) -> DataFrame:
+    """The rows of page ``number`` (from 1) of each repository in the given order, with n, and pages, their number."""
+    w = W.partitionBy("repo")
+    n = F.row_number().over(w.orderBy(*order))
+    ranked = df.withColumn("n", n).withColumn("pages", F.ceil(F.count("*").over(w) / F.lit(size)).cast("int"))
+    return ranked.where((F.col("n") > (number - 1) * size) & (F.col("n") <= number * size))
+
+
+# How many rows of each table a view shows.
+SLICES = {"onboarding": 3, "important": 5, "impacts": 12, "imports": 16, "warnings": 10, "symbols": 8, "files": 4}
+
+
+def shown(df: DataFrame, view: str, order: list[str]) -> DataFrame:
+    """The first rows of each repository, as many as the view shows."""
+    return page(df, order, 1, SLICES[view]).drop("n", "pages")
+
+
+def warning_counts(diagnostics: DataFrame) -> DataFrame:
+    """(repo, mounts, paths): mounts that could not be followed, and paths that are incomplete."""
+    code = F.col("code")
+    mounts = F.count_if(code.isin("DYNAMIC_ROUTE_MOUNT_UNRESOLVED", "EXPRESS_ROUTE_MOUNT_UNRESOLVED"))
+    return diagnostics.groupBy("repo").agg(mounts.alias("mounts"), F.count_if(code == "EXPRESS_ROUTE_PATH_INCOMPLETE").alias("paths"))
+
+
+def skipped_diagnostics(skipped: DataFrame) -> DataFrame:
+    """(repo, severity, code, message, file) of skipped files (repo, path, reason); '*' stands for no single file."""
+    message = F.concat(F.lit("Skipped "), "path", F.lit(": "), "reason")
+    return skipped.select("repo", F.lit("info").alias("severity"), F.concat(F.lit("skipped_"), "reason").alias("code"), message.alias("message"), F.nullif("path", F.lit("*")).alias("file"))
+
+
+def flow_named(rows: DataFrame, method: str, path: str) -> DataFrame:
+    """Nodes of the flows of the route with this method and path."""
+    top = rows.where((F.col("n") == 1) & (F.col("label") == f"{method} {path}")).select("repo", "flow")
+    return rows.join(top, ["repo", "flow"], "left_semi")
+
+
 def filter_layers(components: DataFrame, group: str) -> DataFrame:
     return components if group == "all" else components.where(F.col("type").isin(FILTERS[group]))
 

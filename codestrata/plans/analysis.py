@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import cut
-from ..operators import derive, graphs, mounts, python_facts, quality, resolve, script_facts, technology, views
+from ..operators import artifact, derive, graphs, languages, mounts, python_facts, python_patterns, quality, resolve, script_facts, technology
 
 
 class Analysis:
@@ -17,8 +17,15 @@ class Analysis:
     Facts that feed many tables are checkpointed when first asked for, so that plans stay short; all else is one lazy plan per table.
     """
 
-    def __init__(self, files: DataFrame):
+    def __init__(self, files: DataFrame, parser: str | None = None):
         self.files = files
+        self.parser = languages.parser_mode(parser)
+
+    def _more(self, base: DataFrame, table: str) -> DataFrame:
+        """``base`` and the facts of registered languages."""
+        for found in languages.extracted(self.files, table):
+            base = base.unionByName(found.select(base.columns))
+        return base
 
     @cached_property
     def python(self) -> DataFrame:
@@ -34,7 +41,13 @@ class Analysis:
 
     @cached_property
     def symbols(self) -> DataFrame:
-        return python_facts.symbols(self.python).unionByName(self.script_symbols)
+        found = python_patterns.symbols(self.lines) if self.parser == "pattern" else python_facts.symbols(self.python)
+        return self._more(found.unionByName(self.script_symbols), "symbols")
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        """Lines of Python files, for the parser mode 'pattern'."""
+        return cut(python_patterns.lines(self.files))
 
     @cached_property
     def script_symbols(self) -> DataFrame:
@@ -46,7 +59,8 @@ class Analysis:
 
     @cached_property
     def imports(self) -> DataFrame:
-        found = python_facts.imports(self.python).unionByName(self.script_imports)
+        found = python_patterns.imports(self.lines) if self.parser == "pattern" else python_facts.imports(self.python)
+        found = self._more(found.unionByName(self.script_imports), "imports")
         return cut(resolve.resolve_imports(found, self.files, resolve.tsconfig_aliases(self.files)))
 
     @cached_property
@@ -54,10 +68,10 @@ class Analysis:
         """Routes as their files state them, before mounts."""
         js, syms = self.scripts, self.script_symbols
         parts = [script_facts.express_routes(js, syms), script_facts.nest_routes(js), script_facts.next_routes(js, syms)]
-        out = python_facts.routes(self.python)
+        out = python_patterns.routes(self.lines) if self.parser == "pattern" else python_facts.routes(self.python)
         for p in parts:
             out = out.unionByName(p)
-        return cut(out)
+        return cut(self._more(out, "routes"))
 
     @cached_property
     def mounts(self) -> DataFrame:
@@ -77,7 +91,8 @@ class Analysis:
 
     @cached_property
     def calls(self) -> DataFrame:
-        found = python_facts.calls(self.python).unionByName(script_facts.calls(self.scripts, self.script_symbols))
+        found = python_patterns.calls(self.lines) if self.parser == "pattern" else python_facts.calls(self.python)
+        found = self._more(found.unionByName(script_facts.calls(self.scripts, self.script_symbols)), "calls")
         return cut(resolve.resolve_calls(found, self.symbols, self.imports))
 
     @cached_property
@@ -164,8 +179,8 @@ class Analysis:
         return quality.audit(self.tables())
 
     def artifact(self) -> DataFrame:
-        """(repo, json): architecture of each repository as JSON."""
-        return views.architecture_json(self.components, self.connections)
+        """(repo, json): the whole analysis of each repository as JSON."""
+        return artifact.artifacts(self)
 
     def register(self, prefix: str = "") -> None:
         """Temporary views of all tables, for SQL."""

@@ -164,6 +164,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, content, bytes, file_ord) of all documents: repositories are sources, split by number."""
     d = documents(spark, sf_dir).select(F.expr(REPO_SQL.format(text="STRING")).alias("repo"), F.col("doc_id").alias("n"))
+    # Narrow rows are dealt out before each of them becomes many files.
+    d = d.repartition(spark.sparkContext.defaultParallelism, "n")
     each = d.crossJoin(F.broadcast(fixed_table(spark, [(p, c) for p, c in TEMPLATES.items()], "path string, content string")))
     whole = d.groupBy("repo").agg(F.min("n").alias("n")).crossJoin(F.broadcast(fixed_table(spark, [(p, c) for p, c in MANIFESTS.items()], "path string, content string")))
     filled = lambda c: F.replace(F.col(c), F.lit("$ID"), F.col("n").cast("string"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import os
+import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -106,11 +108,44 @@ def discover(raw: DataFrame, limits: Limits = Limits(), gitignore: bool = True)
 
 
 def read_tree(spark: SparkSession, root: str, repo: str) -> DataFrame:
-    """(repo, path, content, bytes, symlink) of all files below a folder. Links do not exist in the stores that Spark reads."""
+    """(repo, path, content, bytes, symlink) of all files below a folder.
+
+    Links do not exist in shared stores; in a local folder they are listed by the driver, reported as links, and what they point to is not read.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.split(":", 1)[-1].rstrip("/").lstrip("/")
     inside = F.regexp_replace(F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^[a-z]+:/*", ""), "^" + "".join("\\" + c if not c.isalnum() and c != "/" else c for c in base) + "/", "")
-    return found.select(F.lit(repo).alias("repo"), inside.alias("path"), "content", F.col("length").alias("bytes"), F.lit(False).alias("symlink"))
+    out = found.select(F.lit(repo).alias("repo"), inside.alias("path"), "content", F.col("length").alias("bytes"), F.lit(False).alias("symlink"))
+    local = root.removeprefix("file://") if root.startswith(("file:///", "/")) else ""
+    links = [os.path.relpath(os.path.join(d, n), local) for d, dirs, names in os.walk(local) for n in dirs + names if os.path.islink(os.path.join(d, n))] if os.path.isdir(local) else []
+    if not links:
+        return out
+    found_links = spark.createDataFrame([(repo, p, None, 0, True) for p in links], out.schema)
+    below = found_links.select(F.col("path").alias("link"))
+    out = out.join(F.broadcast(below), (F.col("path") == F.col("link")) | F.col("path").startswith(F.concat("link", F.lit("/"))), "left_anti")
+    return out.unionByName(found_links)
+
+
+def load(spark: SparkSession, source: str, repo: str | None = None, limits: Limits = Limits()) -> DataFrame:
+    """(repo, path, content, bytes, symlink) of a source: an archive (*.zip), or a folder. An address of a host has to be fetched beforehand.
+
+    The repository's name is that of the source's last part unless one is given.
+    """
+    name = repo or re.sub(r"\.zip$", "", source.rstrip("/").rsplit("/", 1)[-1], flags=re.I)
+    if re.match(HOST_URL, source):
+        raise ValueError("INVALID_SOURCE: fetch the archive and load its path")
+    if source.lower().endswith(".zip"):
+        return read_zip(spark.read.format("binaryFile").load(source).select(F.lit(name).alias("repo"), "content"), limits)
+    return read_tree(spark, source, name)
+
+
+def with_samples(requests: DataFrame, samples: DataFrame) -> DataFrame:
+    """Requests (url, ...) with artifact: that of the stored sample (url, artifact) for the same repository, however its address is written."""
+    def key(df: DataFrame) -> DataFrame:
+        u = parse_repository_url(F.col("url"))
+        return df.withColumn("__key", F.lower(F.concat_ws("/", u["owner"], u["repo"])))
+
+    return key(requests).join(key(samples).groupBy("__key").agg(F.min("artifact").alias("artifact")), "__key", "left").drop("__key")
 
 
 def unsafe_entry(path: Column) -> Column:
@@ -120,8 +155,10 @@ def unsafe_entry(path: Column) -> Column:
 
 def _unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for repo, data, most in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        for repo, data, most, total in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             with zipfile.ZipFile(io.BytesIO(data.as_py())) as z:
+                if sum(e.file_size for e in z.infolist() if e.file_size <= most) > total:
+                    raise ValueError("EXTRACTED_TOO_LARGE")
                 for e in z.infolist():
                     if not e.is_dir():
                         link = (e.external_attr >> 28) == 0xA
@@ -135,7 +172,7 @@ def read_zip(archives: DataFrame, limits: Limits = Limits()) -> DataFrame:
     Archives are opened in memory, one at a time in a task. A single top folder is taken off; '\\' in names becomes '/'.
     """
     size = F.octet_length("content")
-    ok = archives.select("repo", F.when(size <= limits.archive_bytes, F.col("content")).otherwise(F.raise_error(F.lit("ARCHIVE_TOO_LARGE"))).alias("content"), F.lit(limits.file_bytes).alias("most"))
+    ok = archives.select("repo", F.when(size <= limits.archive_bytes, F.col("content")).otherwise(F.raise_error(F.lit("ARCHIVE_TOO_LARGE"))).alias("content"), F.lit(limits.file_bytes).alias("most"), F.lit(limits.extracted_bytes).alias("total"))
     rows = ok.mapInArrow(_unzip, "repo string, path string, content binary, bytes long, symlink boolean").withColumn("path", F.replace("path", F.lit("\\"), F.lit("/")))
     rows = rows.withColumn("path", F.when(unsafe_entry(F.col("path")), F.raise_error(F.lit("PATH_TRAVERSAL_DETECTED"))).otherwise(F.col("path")))
     tops = rows.groupBy("repo").agg(F.count_distinct(F.substring_index("path", "/", 1)).alias("tops"), F.min(F.instr("path", "/")).alias("slash"))
@@ -173,11 +210,6 @@ def fetch_error(status: Column) -> Column:
     return F.when(status == 401, "UNAUTHORIZED").when(status == 403, "FORBIDDEN").when(status == 404, "NOT_FOUND").when(status == 429, "RATE_LIMITED").when(status >= 400, "UPSTREAM_ERROR")
 
 
-def read_artifact(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Stored JSON artifacts under a fixed schema; malformed ones fail."""
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-
-
 def listing_page(repos: DataFrame, query: str, page: int, size: int = 15) -> DataFrame:
     """A page of (name, full_name, description, updated_at, ...) whose texts contain the query, latest first; has_more tells of a next page."""
     q = query.lower()

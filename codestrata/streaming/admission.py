@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -92,6 +95,29 @@ def refreshed(cached: DataFrame, files: DataFrame, fresh: DataFrame) -> DataFram
     return cached.join(files.select("repo", "path", "hash"), ["repo", "path", "hash"], "left_semi").unionByName(fresh)
 
 
+def store_facts(facts: DataFrame, root: str) -> str:
+    """Writes facts of the live files as a new version below ``root`` and makes it the current one; the path of the version.
+
+    Readers of the version before are not disturbed; a version that was not finished is never current. Facts of files that are gone are
+    not in ``facts`` (see ``refreshed``), so they are evicted.
+    """
+    spark = facts.sparkSession
+    path = f"{root.rstrip('/')}/version-{uuid.uuid4().hex}"
+    facts.write.parquet(path)
+    order = time.time_ns()
+    spark.createDataFrame([(order, path)], "at long, path string").coalesce(1).write.mode("append").parquet(f"{root.rstrip('/')}/current")
+    return path
+
+
+def stored_facts(spark: SparkSession, root: str) -> DataFrame | None:
+    """Facts of the current version, or None if there is none."""
+    try:
+        latest = spark.read.parquet(f"{root.rstrip('/')}/current").orderBy(F.desc("at")).first()
+    except AnalysisException:
+        return None
+    return spark.read.parquet(latest.path)
+
+
 def cache_counts(files: DataFrame, cached: DataFrame) -> DataFrame:
     """(repo, hits, misses)."""
     k = files.join(cached.select("repo", "path", "hash").distinct().withColumn("hit", F.lit(1)), ["repo", "path", "hash"], "left")
