@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, small, written
+from .common import bound_batches, small, spread_join, written
 
 RATE, FRAME, STEP = 4000, 512, 128
 #: Frames between the two integers of an index key.
@@ -159,8 +159,9 @@ def search(prints: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     overlap = F.least(F.col("q_size"), F.col("size") - F.col("offset")) - F.greatest(F.lit(0), -F.col("offset"))
     enough = F.greatest(F.lit(1), F.least(F.lit(MOST_VOTES), F.floor(overlap / VOTE_EVERY)))
     good = written(votes.where((F.col("votes") >= enough) & (overlap >= F.least(F.lit(MIN_OVERLAP), "q_size", "size"))).select("q", "c", "offset", "votes"), "offsets")
-    a = classes.select(F.col("c").alias("q"), F.col("print").alias("qp"))
-    both = classes.join(small(good, 40), "c").join(a, "q")
+    # A query may have very many candidates.
+    a = good.groupBy("q").agg(F.count("*").alias("n")).join(classes.select(F.col("c").alias("q"), F.col("print").alias("qp")), "q")
+    both = spread_join(classes.join(small(good, 40), "c"), written(a, "asked-prints"), ["q"], ["c", "offset"], rows=good.count())
     first, last = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("qp"), F.size("print") - F.col("offset"))
     bits = F.zip_with(F.slice("qp", first + 1, last - first), F.slice("print", first + F.col("offset") + 1, last - first), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
     error = F.aggregate(bits, F.lit(0), lambda s, x: s + x) / (F.lit(32.0) * (last - first))

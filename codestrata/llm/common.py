@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import bound_batches  # noqa: F401  operators take it from here
+
 #: A side is broadcast only up to this many bytes (rows times the given width); beyond it the join shuffles.
 BROADCAST_BYTES = 24 << 20
 #: A key with more than one in so many rows is hot: its rows are spread. So there are at most so many hot keys.
@@ -21,18 +23,6 @@ HOT_KEYS = 2000
 PIECE_BYTES = 1 << 19
 
 
-#: Rows and bytes of a batch of texts on its way to Python.
-BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Bounds the session's Arrow batches, unless they are smaller already: a batch of long texts takes several times its size in buffers."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(key).removesuffix("b")
-        if not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
-
-
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and all executors are in this process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
