@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, telemetry
 from ..functions.columns import join_routes, normal_path, parent_of, suffix_of
-from ..operators import derive, graphs, quality, resolve, technology, views
+from ..operators import artifact, derive, graphs, languages, quality, resolve, technology, views
 from ..sources import corpus, repository
 from ..streaming import admission
 from . import known_facts as known
@@ -266,18 +266,36 @@ def short_dependency_cycles(spark, sf_dir):
     return graphs.short_cycles(corpus.part_graph(spark, sf_dir)["imports"], 3)
 
 
-@query()
+# A depth-first walk, one step a row of each repository: to the first file in order that is not done, else back. '' leads to all files that import.
+_WALK_SQL = """adj AS (SELECT repo, a, list_sort(list(DISTINCT b)) AS nb FROM (SELECT repo, file AS a, target AS b FROM imports WHERE target IS NOT NULL UNION ALL SELECT repo, '', file FROM imports WHERE target IS NOT NULL) GROUP BY ALL),
+    walk AS (SELECT repo, [''] AS path, []::VARCHAR[] AS done FROM adj WHERE a = ''
+      UNION ALL SELECT repo, CASE WHEN nxt IS NULL THEN path[1:len(path) - 1] ELSE path || [nxt] END, CASE WHEN nxt IS NULL THEN done ELSE done || [nxt] END
+      FROM (SELECT w.repo, w.path, w.done, list_filter(coalesce(j.nb, []), lambda x: NOT list_contains(w.done, x))[1] AS nxt FROM walk w LEFT JOIN adj j ON j.repo = w.repo AND j.a = w.path[-1] WHERE len(w.path) > 0)),
+    rings AS (SELECT DISTINCT repo, path[list_position(path, b):] AS ring FROM (SELECT w.repo, w.path, unnest(j.nb) AS b FROM walk w JOIN adj j ON j.repo = w.repo AND j.a = w.path[-1] WHERE len(w.path) > 1) WHERE list_contains(path, b)),
+    cycles AS (SELECT DISTINCT repo, ring[list_position(ring, list_min(ring)):] || ring[1:list_position(ring, list_min(ring)) - 1] AS cycle FROM rings)"""
+
+
+@query(f"WITH RECURSIVE {G}, {_WALK_SQL} SELECT repo, cycle FROM cycles")
 def dependency_cycles(spark, sf_dir):
-    """Cycles closed by back edges of a depth-first walk; not expressible in SQL, tested against a recursive walk."""
+    """Cycles closed by back edges of a depth-first walk."""
     return graphs.dependency_cycles(corpus.part_graph(spark, sf_dir)["imports"])
 
 
-@query(
-    f"""WITH RECURSIVE {G}, {_cycles_sql(2)}, n AS (SELECT repo, (SELECT count(*) FROM files f WHERE f.repo = r.repo) AS files, (SELECT count(*) FROM symbols s WHERE s.repo = r.repo) AS symbols,
-    (SELECT count(target) FROM imports i WHERE i.repo = r.repo) AS local_dependencies, (SELECT count(*) FROM imports i WHERE i.repo = r.repo AND external) AS external_dependencies, (SELECT count(*) FROM cycles c WHERE c.repo = r.repo AND len(cycle) <= 2) AS cycles FROM (SELECT DISTINCT repo FROM files) r)
+_METRICS_SQL = """n AS (SELECT repo, (SELECT count(*) FROM files f WHERE f.repo = r.repo) AS files, (SELECT count(*) FROM symbols s WHERE s.repo = r.repo) AS symbols,
+    (SELECT count(target) FROM imports i WHERE i.repo = r.repo) AS local_dependencies, (SELECT count(*) FROM imports i WHERE i.repo = r.repo AND external) AS external_dependencies, (SELECT count(*) FROM cycles c WHERE c.repo = r.repo AND len(cycle) <= {longest}) AS cycles FROM (SELECT DISTINCT repo FROM files) r)
     SELECT *, CAST(least(100.0::DOUBLE, round_even(files::DOUBLE * 0.15::DOUBLE + symbols::DOUBLE * 0.04::DOUBLE + local_dependencies::DOUBLE * 0.1::DOUBLE + cycles::DOUBLE * 5.0::DOUBLE, 0)) AS BIGINT) AS complexity FROM n"""
-)
+
+
+@query(f"WITH RECURSIVE {G}, {_WALK_SQL}, {_METRICS_SQL.format(longest=10**9)}")
 def graph_metrics(spark, sf_dir):
+    """Counts and complexity, with all cycles of the depth-first walk."""
+    g = corpus.part_graph(spark, sf_dir)
+    return derive.metrics(g["files"], g["symbols"], g["imports"], graphs.dependency_cycles(g["imports"]))
+
+
+@query(f"WITH RECURSIVE {G}, {_cycles_sql(2)}, {_METRICS_SQL.format(longest=2)}")
+def graph_metrics_of_pairs(spark, sf_dir):
+    """The same with cycles of at most two files, found by joins alone."""
     g = corpus.part_graph(spark, sf_dir)
     return derive.metrics(g["files"], g["symbols"], g["imports"], graphs.short_cycles(g["imports"], 2))
 
@@ -675,4 +693,94 @@ def fetch_error_codes(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", repository.fetch_error(status).alias("code"))
 
 
+@query("SELECT event_id, CASE user_id % 6 WHEN 0 THEN 413 WHEN 1 THEN 404 WHEN 2 THEN 504 WHEN 3 THEN 429 WHEN 4 THEN 400 END AS status, CASE WHEN user_id % 6 = 2 THEN 'timeout' WHEN user_id % 6 = 3 THEN 'rate_limited' WHEN user_id % 6 = 5 OR value < 5 THEN 'network_error' END AS reason FROM events")
+def error_responses(spark, sf_dir):
+    """Status of each error code, and why a client goes on without the server."""
+    code = F.element_at(F.array(*map(F.lit, ["TOO_MANY_FILES", "REPO_NOT_FOUND", "FETCH_TIMEOUT", "UPSTREAM_GITHUB_RATE_LIMITED", "OTHER", None])), (F.col("user_id") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", telemetry.error_status(code).alias("status"), telemetry.fallback_reason(code, F.col("value") < 5).alias("reason"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS request_id, concat('10.', CAST(user_id AS VARCHAR), '.***.***') AS ip, CASE WHEN user_id % 5 < 3 THEN 'public' ELSE 'authenticated' END AS kind, CASE WHEN event_type = 'error' THEN 'TOO_MANY_FILES' ELSE 'SUCCESS' END AS code, CASE WHEN event_type = 'error' THEN 'TOO_MANY_FILES' END AS failure FROM events")
+def request_log(spark, sf_dir):
+    """Log rows of events as requests."""
+    u = F.col("user_id")
+    user = F.when(u % 5 == 0, "anonymous").when(u % 5 == 1, "").when(u % 5 > 2, u.cast("string"))
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("request_id"), "ts", F.lit("POST").alias("method"), F.lit("acme/tool").alias("repo"), F.concat(F.lit("10."), u.cast("string"), F.lit(".1.2")).alias("ip"), user.alias("user"),
+        F.lit(1).alias("duration_ms"), F.lit(2).alias("files"), F.lit(200).alias("status"), F.when(F.col("event_type") == "error", "TOO_MANY_FILES").alias("code"),
+    )
+    return telemetry.request_log(e).select(F.col("requestId").alias("request_id"), F.col("clientIp").alias("ip"), F.col("userType").alias("kind"), F.col("resultCode").alias("code"), F.col("failureCategory").alias("failure"))
+
+
+@query("SELECT event_id, event_type AS kind FROM events WHERE user_id % 3 = 0")
+def consented_events(spark, sf_dir):
+    """What a telemetry sink may be given: events of those who agreed, without identifying entries."""
+    u = F.col("user_id") % 3
+    e = table(spark, sf_dir, "events").select("event_id", F.create_map(F.lit("kind"), "event_type", F.lit("path"), F.lit("a/b")).alias("props"), F.when(u == 0, "granted").when(u == 1, "denied").alias("consent"))
+    return telemetry.captured(e).select("event_id", F.col("props")["kind"].alias("kind"))
+
+
+@query("SELECT concat('r', CAST(user_id % 50 AS VARCHAR)) AS repo, count(*) FILTER (event_type = 'click') AS mounts, count(*) FILTER (event_type = 'error') AS paths FROM events GROUP BY ALL")
+def warning_counts(spark, sf_dir):
+    """Warnings of each repository, from events as diagnostics."""
+    code = F.when(F.col("event_type") == "click", "DYNAMIC_ROUTE_MOUNT_UNRESOLVED").when(F.col("event_type") == "error", "EXPRESS_ROUTE_PATH_INCOMPLETE").otherwise("other")
+    return views.warning_counts(table(spark, sf_dir, "events").select(F.concat(F.lit("r"), (F.col("user_id") % 50).cast("string")).alias("repo"), code.alias("code")))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 10 < 5 THEN concat('sample-', CAST(page_id % 10 AS VARCHAR)) END AS artifact FROM pages")
+def sample_lookup(spark, sf_dir):
+    """Stored samples for addresses of repositories, however they are written."""
+    n = (F.col("page_id") % 10).cast("string")
+    asked = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://github.com/Acme/Tool-"), n, F.lit(".git"))).otherwise(F.concat(F.lit("acme/tool-"), n)).alias("url"))
+    samples = spark.createDataFrame([(f"acme/tool-{i}", f"sample-{i}") for i in range(5)], "url string, artifact string")
+    return repository.with_samples(asked, samples).select("page_id", "artifact")
+
+
+@query(f"WITH {DOC_FILES} SELECT repo, path, CASE WHEN {SUFFIX} IN {_in(fixed.PY_SUFFIXES)} THEN 'python' WHEN {SUFFIX} IN {_in(fixed.JS_SUFFIXES)} THEN 'javascript' END AS language FROM files")
+def registered_languages(spark, sf_dir):
+    """The registered language of every file."""
+    return doc_files(spark, sf_dir).select("repo", "path", languages.language_of(F.col("path")).alias("language"))
+
+
+# A whole artifact with one route, of which other parts break one rule each.
+_ARTIFACT = (
+    '{"schemaVersion":"1.1.0","repository":{"name":"r","source":"local","languages":{},"fileCount":1,"sourceFileCount":1,"parsedFileCount":1,"lines":1,"fingerprint":{}},'
+    '"technologies":[],"files":[],"symbols":[],"imports":[],"calls":[],"routes":[{"id":"i","method":"GET","path":"/x","handler":"h","file":"f","line":3,"framework":"F","confidence":0.5}],'
+    '"databases":[],"entrypoints":[],"flows":[],"architecture":{"components":[],"connections":[]},"metrics":{},"diagnostics":[],"metadata":{"fileComponents":{}}}'
+)
+# (text, text in its place, rule broken, place, whether it is still shown)
+_BREAKS = [
+    ("", "", None, None, True), ('"flows":[],', "", "flows: required", None, False), ('"fileCount":1', '"fileCount":-1', "repository.fileCount: at least 0", None, True),
+    ('"confidence":0.5', '"confidence":2', "routes[].confidence: at most 1", 0, True), ('"line":3', '"line":"3"', "routes[].line: integer", 0, True),
+    ('"metrics":{}', '"metrics":null', "metrics: object", None, False), ('"name":"r"', '"name":""', None, None, False), ("{", "", "object", None, False),
+]
+
+
+def _part_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.lit(_ARTIFACT)
+    for i, (a, b, *_) in enumerate(_BREAKS):
+        if a:
+            text = F.when(F.col("p_partkey") % len(_BREAKS) == i, F.lit(_ARTIFACT.replace(a, b, 1))).otherwise(text)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("repo"), text.alias("json"))
+
+
+def _quoted(v: str | int | None, kind: str) -> str:
+    return f"CAST({'NULL' if v is None else repr(v)} AS {kind})"
+
+
+@query(" UNION ALL ".join(f"SELECT p_partkey AS repo, {_quoted(rule, 'VARCHAR')} AS rule, {_quoted(place, 'INTEGER')} AS place FROM part WHERE p_partkey % {len(_BREAKS)} = {i}" for i, (_, _, rule, place, _) in enumerate(_BREAKS) if rule))
+def artifact_violations(spark, sf_dir):
+    """Rules that stored artifacts break, one artifact for each part."""
+    return artifact.violations(_part_artifacts(spark, sf_dir))
+
+
+@query("SELECT p_partkey AS repo, CASE " + " ".join(f"WHEN p_partkey % {len(_BREAKS)} = {i} THEN {str(shown).lower()}" for i, (*_, shown) in enumerate(_BREAKS)) + " END AS shape_ok FROM part")
+def artifact_guard(spark, sf_dir):
+    """Whether each of them can be shown."""
+    return artifact.guarded(_part_artifacts(spark, sf_dir)).select("repo", "shape_ok")
+
 
+@query(f"SELECT p_partkey AS repo FROM part WHERE p_partkey % {len(_BREAKS)} IN (0, 6)")
+def artifact_gate(spark, sf_dir):
+    """Those that break no rule, let through the gate; a broken one would end the query (tests/test_artifact.py)."""
+    return artifact.gated(_part_artifacts(spark, sf_dir).where(F.col("repo") % len(_BREAKS) % 6 == 0)).select("repo")

@@ -176,7 +176,20 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Directory of a part's file by its key; the same list is used by the oracles.
 PART_DIRS = ["api", "services", "models", "lib", "tests", "web/components", "core", "jobs", "infra", "repositories", "src", "config", "tools"]
 PART_NAMES = ["main.py", "app.py", "index.ts", "server.js"]
-PART_REPO = "concat('r', CAST({k} % 20 AS {text}))"
+#: A repository holds about so many parts, so their number grows with the table.
+REPO_PARTS = 100
+PART_REPO = "concat('r', CAST({k} % {repos} AS {text}))"
+#: Sizes that the shape of the graph depends on, as SQL: repositories, files that have symbols, and symbols that are called.
+SIZES_SQL = {
+    "repos": f"(SELECT greatest(count(*) // {REPO_PARTS}, 1) FROM part)",
+    "coded": "(SELECT count(*) - count(*) // 200 FROM part)",
+    "called": "(SELECT greatest(count(*) * 14 // 15, 1) FROM orders)",
+}
+
+
+def sizes(parts: int, orders: int) -> dict[str, str]:
+    """The same sizes as literals."""
+    return {"repos": str(max(parts // REPO_PARTS, 1)), "coded": str(max(parts - parts // 200, 1)), "called": str(max(orders * 14 // 15, 1))}
 
 
 def part_path_sql(key: str, text: str) -> str:
@@ -188,13 +201,13 @@ def part_path_sql(key: str, text: str) -> str:
     return f"CASE WHEN {key} % 29 = 0 THEN concat({dirs}, '/p', {n}, '/', {names}) ELSE concat({dirs}, '/m', {n}, {ext}) END"
 
 
-def part_files_sql(text: str) -> str:
-    return f"SELECT {PART_REPO.format(k='p_partkey', text=text)} AS repo, {part_path_sql('p_partkey', text)} AS path, p_name AS content, CAST(p_size AS BIGINT) * 1000 AS bytes, p_partkey AS n FROM part"
+def part_files_sql(text: str, repos: str) -> str:
+    return f"SELECT {PART_REPO.format(k='p_partkey', text=text, repos=repos)} AS repo, {part_path_sql('p_partkey', text)} AS path, p_name AS content, CAST(p_size AS BIGINT) * 1000 AS bytes, p_partkey AS n FROM part"
 
 
-def part_imports_sql(text: str) -> str:
+def part_imports_sql(text: str, repos: str) -> str:
     """Edges between parts of one repository: distinct pairs of order lines; the target may be missing, then the import is external."""
-    t = "(((l_partkey * 7 + l_suppkey) % 120) * 20 + l_partkey % 20)"
+    t = f"(((l_partkey * 7 + l_suppkey) % {REPO_PARTS * 6 // 5}) * {repos} + l_partkey % {repos})"
     return (
         f"SELECT a.repo, a.path AS file, b.path AS target, e.t AS ord, b.path IS NULL AS external "
         f"FROM (SELECT DISTINCT l_partkey AS s, {t} AS t FROM lineitem) e JOIN files a ON a.n = e.s LEFT JOIN files b ON b.n = e.t AND b.n <> a.n"
@@ -204,37 +217,38 @@ def part_imports_sql(text: str) -> str:
 NAMES = ["load", "save", "find", "check", "render", "parse", "merge"]
 
 
-def symbol_sql(text: str) -> str:
+def symbol_sql(text: str, coded: str) -> str:
     """Orders as symbols of part files: names repeat within and across files, one in three is its own."""
     name = "CASE " + " ".join(f"WHEN o_orderkey % 21 = {i} THEN '{n}'" for i, n in enumerate(NAMES)) + f" WHEN o_orderkey % 3 = 0 THEN concat('only_', CAST(o_orderkey AS {text})) ELSE concat('f', CAST(o_custkey % 400 AS {text})) END"
     kind = "CASE WHEN o_orderkey % 11 = 0 THEN 'class' WHEN o_orderkey % 50 = 3 THEN 'database_model' ELSE 'function' END"
     return (
         f"SELECT repo, path AS file, concat(path, '::', name) AS id, kind AS type, name, line, ord FROM (SELECT f.repo, f.path, {name} AS name, {kind} AS kind, "
-        f"CAST(o_orderkey % 300 + 1 AS INT) AS line, o_orderkey AS ord FROM orders JOIN files f ON f.n = o_orderkey % 1990) s"
+        f"CAST(o_orderkey % 300 + 1 AS INT) AS line, o_orderkey AS ord FROM orders JOIN files f ON f.n = o_orderkey % {coded}) s"
     )
 
 
-def call_sql(text: str) -> str:
+def call_sql(text: str, called: str) -> str:
     """Order lines as calls from the symbol of their order; callees are symbol names, some with a qualifier."""
     callee = "CASE WHEN l_linenumber % 2 = 0 THEN concat('obj.', t.name) ELSE t.name END"
     return (
         f"SELECT s.repo, s.file, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS ord, s.id AS source, {callee} AS callee, CAST(l_linenumber AS INT) AS line "
-        f"FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) l JOIN symbols s ON s.ord = l_orderkey JOIN symbols t ON t.ord = (l_orderkey * 3 + l_partkey) % 14000"
+        f"FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey FROM lineitem) l JOIN symbols s ON s.ord = l_orderkey JOIN symbols t ON t.ord = (l_orderkey * 3 + l_partkey) % {called}"
     )
 
 
 def part_graph(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """files, imports, symbols and calls from parts, order lines and orders."""
     t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("part", "orders", "lineitem")}
-    t["files"] = spark.sql(part_files_sql("STRING").replace("FROM part", "FROM {part}"), part=t["part"])
-    t["imports"] = spark.sql(part_imports_sql("STRING").replace("FROM lineitem", "FROM {lineitem}").replace("JOIN files", "JOIN {files}"), lineitem=t["lineitem"], files=t["files"])
-    t["symbols"] = spark.sql(symbol_sql("STRING").replace("FROM orders", "FROM {orders}").replace("JOIN files", "JOIN {files}"), orders=t["orders"], files=t["files"])
-    t["calls"] = spark.sql(call_sql("STRING").replace("FROM lineitem", "FROM {lineitem}").replace("JOIN symbols", "JOIN {symbols}"), lineitem=t["lineitem"], symbols=t["symbols"])
+    z = sizes(t["part"].count(), t["orders"].count())
+    t["files"] = spark.sql(part_files_sql("STRING", z["repos"]).replace("FROM part", "FROM {part}"), part=t["part"])
+    t["imports"] = spark.sql(part_imports_sql("STRING", z["repos"]).replace("FROM lineitem", "FROM {lineitem}").replace("JOIN files", "JOIN {files}"), lineitem=t["lineitem"], files=t["files"])
+    t["symbols"] = spark.sql(symbol_sql("STRING", z["coded"]).replace("FROM orders", "FROM {orders}").replace("JOIN files", "JOIN {files}"), orders=t["orders"], files=t["files"])
+    t["calls"] = spark.sql(call_sql("STRING", z["called"]).replace("FROM lineitem", "FROM {lineitem}").replace("JOIN symbols", "JOIN {symbols}"), lineitem=t["lineitem"], symbols=t["symbols"])
     return t
 
 
 #: The same tables for the oracles.
-PART_GRAPH_SQL = f"""files AS ({part_files_sql("VARCHAR")}),
-imports AS ({part_imports_sql("VARCHAR")}),
-symbols AS ({symbol_sql("VARCHAR")}),
-calls AS ({call_sql("VARCHAR")})"""
+PART_GRAPH_SQL = f"""files AS ({part_files_sql("VARCHAR", SIZES_SQL["repos"])}),
+imports AS ({part_imports_sql("VARCHAR", SIZES_SQL["repos"])}),
+symbols AS ({symbol_sql("VARCHAR", SIZES_SQL["coded"])}),
+calls AS ({call_sql("VARCHAR", SIZES_SQL["called"])})"""
