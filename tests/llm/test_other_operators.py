@@ -53,7 +53,7 @@ def test_license_terms_outside_templates_weigh_by_frequency(spark):
         (302, "d/x", "Released under the MIT License q1 q2 q3 q4"), (303, "e/LICENSE", "\n".join(licenses.TEMPLATES[2][1].split())), (304, "f/x", "Released under the MIT License n7"),
     ]
     got = {r.doc_id: (r.own_license, r.own_line, r.own_score) for r in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
-    assert got[300][:2] == ("mit", 1) and got[301][:2] == ("mit", 2) and got[302] == (None, 0, 0.0) and got[303][:2] == ("bsd-3-clause", 1)
+    assert got[300][:2] == ("mit", 1) and got[301][:2] == ("mit", 2) and got[302] == (None, 0, 0.0) and got[303][:2] == ("bsd", 1)  # the sentence that all BSD licences share
     frequency: dict = {}
     for *_, text in files:
         for t in set(licenses.terms_of(text)):
@@ -64,6 +64,52 @@ def test_license_terms_outside_templates_weigh_by_frequency(spark):
         assert got[i] == (licence, line, pytest.approx(score, abs=1e-6))
 
 
+def test_license_texts_titles_headers_and_names(spark):
+    """Whole licences with a copyright line, wrapped at 72 characters, title pages, headers in comments, SPDX lines; versions are told apart."""
+    import textwrap
+
+    gnu = "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU {} as published by\n// the Free Software Foundation, either version {} of the License, or\n// (at your option) any later version.\n"
+    bsd = dict(licenses.TEXTS)["bsd-3-clause"]
+    want = [(f"{x}/LICENSE", x, f"Copyright (c) 2021, Some Body\nAll rights reserved.\n\n{textwrap.fill(text, 72)}\n") for x, text in licenses.TEXTS]
+    want += [
+        ("gpl3/COPYING", "gpl-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy\n"),
+        ("gpl2/COPYING", "gpl-2.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.\n Everyone is permitted to copy\n"),
+        ("apache/LICENSE.txt", "apache-2.0", "\n                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n"),
+        ("s/a.cc", "gpl-2.0", gnu.format("General Public License", 2)), ("s/b.cc", "gpl-3.0", gnu.format("General Public License", 3)),
+        ("s/c.cc", "lgpl-2.1", gnu.format("Lesser General Public License", 2.1)), ("s/d.cc", "agpl-3.0", gnu.format("Affero General Public License", 3)),
+        ("s/e.py", "mit", "# SPDX-License-Identifier: MIT\nimport os\n"), ("s/f.c", "gpl-2.0", "/* SPDX-License-Identifier: GPL-2.0-only */\nint x;\n"), ("s/g.c", None, "/* SPDX-License-Identifier: Unheard-Of */\nint x;\n"),
+        ("s/h.go", "bsd", "// Use of this source code is governed by a BSD-style\n// license that can be found in the LICENSE file.\n"),
+        ("s/i.c", "bsd-3-clause", textwrap.indent(textwrap.fill(bsd, 72), " * ")),
+    ]
+    plain = [(f"p/{i}.txt", None, f"the story of a copy and its use in this work by any person number n{i}") for i in range(200)]
+    files = spark.createDataFrame([(i, p, t) for i, (p, _, t) in enumerate(want + plain)], "doc_id long, path string, text string")
+    got = {r.path: r.own_license for r in licenses.scan_licenses(files).collect()}
+    assert got == {p: x for p, x, _ in want + plain}
+
+
+def test_license_inheritance_walks_up_to_the_nearest_directory(spark):
+    """A plain walk from each file up to the first directory with a licence file."""
+    r = random.Random(3)
+    lines = {"mit": "Released under the MIT License.", "apache-2.0": "Licensed under the Apache License, Version 2.0.", None: "nothing to say"}
+    files, speaks = [], {}
+    for i in range(400):
+        folder = "/".join(r.choice("ab") for _ in range(r.randint(0, 6)))
+        licence = r.choice(list(lines)) if i % 8 == 0 else None
+        name = f"LICENSE-{i:03}" if i % 8 == 0 else f"{i}.txt"
+        files.append((i, f"{folder}/{name}" if folder else name, lines[licence]))
+        if licence:
+            speaks.setdefault(folder, licence)  # equal scores: the least path, which is the first
+    want = {}
+    for i, path, text in files:
+        own = next((x for x, line in lines.items() if x and text.startswith(line)), None)
+        at = path.rpartition("/")[0]
+        while at and at not in speaks:
+            at = at.rpartition("/")[0]
+        want[i] = (own, own or speaks.get(at), None if own or at not in speaks else at)
+    got = {x.doc_id: (x.own_license, x.license, x.inherited_from) for x in licenses.scan_licenses(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()}
+    assert got == want
+
+
 def test_language_id_held_out(spark):
     got = queries.op5_language_id(spark, "/root/testdata/sf0.01")
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
