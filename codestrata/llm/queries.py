@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, decontam, html, jaccard, langid, licenses, packing, shards, substrings, tokens
+from . import audio, decontam, html, jaccard, langid, licenses, packing, periodic, quality, shards, spelling, substrings, tokens
 from .common import word_regex_ws
 
 
@@ -145,6 +145,84 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) where each tenth document, by the checksum h of its id, repeats p of its words from word a on to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    cut = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, word_regex_ws(F.col("text"))).alias("w")).withColumn("n", F.size("w").cast("long"))
+    placed = cut.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    placed = placed.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)) + 1).cast("int"))
+    left = (F.col("n") - F.col("a")).cast("int")
+    times = F.ceil(left / F.col("p")).cast("int")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), times)), F.lit(1), left)
+    repeated = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of 12 words or more in every document, a tenth of which get a repeated passage."""
+    found = periodic.periodic_runs(with_planted_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    runs = F.col("runs.runs")
+    # The longest, then that of least start, then of least period, stands first in this order.
+    best = F.array_min(F.transform(runs, lambda x: F.struct((-x.length).alias("length"), x.start.alias("start"), x.period.alias("period"))))
+    lines = F.array_join(F.transform(runs, lambda x: F.concat(F.concat_ws(",", x.start.cast("string"), x.length.cast("string"), x.period.cast("string")), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size(runs).cast("long").alias("n_runs"), best.alias("b"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("runs.collapsed", 256).alias("collapsed_sha256"))
+    return out.select(
+        "doc_id",
+        "n_runs",
+        F.col("b.start").alias("start"),
+        (-F.col("b.length")).alias("length"),
+        F.col("b.period").alias("period"),
+        F.expr("-1000 * b.length div b.period").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
+def quality_held_out():
+    return F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; fitted on labels outside the held-out third."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality").where(~quality_held_out()))
+    return quality.classify(docs, model).select("doc_id", F.coalesce(quality_held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def words_with_errata(docs: DataFrame) -> DataFrame:
+    """(word) of every letter run of six or more; where 199 divides the checksum of `<doc_id>:<run>`, the run lacks one character."""
+    runs = docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(":")).alias("id"), F.explode(spelling.letter_runs(F.col("text"), 6)).alias("word"))
+    h = runs.withColumn("h", F.crc32(F.concat("id", "word").cast("binary")))
+    at = (F.col("h") % F.length("word")).cast("int")
+    return h.select(F.when(F.col("h") % 199 == 0, F.concat(F.substring("word", F.lit(1), at), F.substring("word", at + 2, F.length("word")))).otherwise(F.col("word")).alias("word"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, a 199th of which lack a character, with the near word that each is a variant of."""
+    return spelling.variants(spelling.counted(words_with_errata(table(spark, sf_dir, "documents").select("doc_id", "text"))))
+
+
+# The checksum goes over the half bytes of the text's hexadecimal form, the lower half of each byte first, with the table of 16 steps.
+OP13_SQL = r"""
+WITH RECURSIVE run AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS w FROM documents),
+d AS (SELECT doc_id, w, count(*) AS n FROM run WHERE length(w) >= 6 GROUP BY ALL),
+hexed AS (SELECT doc_id, w, n, hex(encode(doc_id || ':' || w)) AS x FROM d),
+halves AS (SELECT doc_id, w, n, list_transform(range(0, length(x)), lambda i: CAST(instr('0123456789ABCDEF', x[CASE WHEN i % 2 = 0 THEN i + 2 ELSE i END]) - 1 AS BIGINT)) AS b FROM hexed),
+sums AS (SELECT doc_id, w, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, y: xor(
+  [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(c, y) & 15) + 1]::BIGINT, c >> 4)), 4294967295::BIGINT) AS h FROM halves),
+made AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM sums),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM made WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+del AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS s FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+p AS (SELECT a.word AS a, b.word AS b FROM del a JOIN del b ON a.s = b.s AND a.i = b.i AND a.word <> b.word
+  UNION SELECT del.word, v.word FROM del JOIN v ON del.s = v.word UNION SELECT v.word, del.word FROM del JOIN v ON del.s = v.word),
+ranked AS (SELECT p.a, p.b, v.n, count(*) OVER (PARTITION BY p.a) AS k, row_number() OVER (PARTITION BY p.a ORDER BY v.n DESC, p.b) AS r FROM p JOIN v ON v.word = p.b),
+f AS (SELECT v.word, v.n, coalesce(k, 0) AS n_near, CASE WHEN ranked.n >= 5 * v.n THEN b END AS form, CASE WHEN ranked.n >= 5 * v.n THEN ranked.n END AS form_n FROM v LEFT JOIN ranked ON a = word AND r = 1),
+way AS (SELECT word, word AS root FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL),
+last AS (SELECT way.word, way.root FROM way JOIN f ON f.word = way.root WHERE f.form IS NULL)
+SELECT f.word, f.form, last.root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN last ON last.word = f.word
+"""
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_jaccard": op2_ngram_jaccard,
@@ -156,6 +234,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_audio_fingerprints": op9_audio_fingerprints,
     "op10_html_extraction": op10_html_extraction,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op4_substring_dedup": OP4_SQL}
+ORACLE_SQL = {"op1_decontamination": OP1_SQL, "op2_ngram_jaccard": OP2_SQL, "op4_substring_dedup": OP4_SQL, "op13_spelling_variants": OP13_SQL}
