@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows and bytes of a batch of texts on its way to Python.
 BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
@@ -18,6 +19,15 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: A side is broadcast only up to this many bytes (rows times the given width); beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df`` (cut before) with a broadcast hint if rows times ``row_bytes`` is at most BROADCAST_BYTES, else as it is."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` checkpointed in the shared folder of spark.checkpoint.dir (a temporary one only where that is unset and all executors are in this process)."""
     sc = df.sparkSession.sparkContext

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scratch import cut
+from ..functions.scratch import cut, small
 
 
 def flows(routes: DataFrame, calls: DataFrame, symbols: DataFrame, nodes: int = 12, depth: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -65,44 +67,160 @@ def impact_by_name(query: str, symbols: DataFrame, imports: DataFrame, calls: Da
     return a.unionByName(b)
 
 
-def cycles_of(edges: list[tuple[str, str]]) -> list[list[str]]:
-    """Cycles closed by back edges of a depth-first walk from each node in order, neighbours in order; each turned to its least node, sorted."""
+def walk(graph: dict[str, list[str]], root: str, done: set[str], inside: set[str] | None = None) -> tuple[set[tuple[str, ...]], list[str]]:
+    """(rings, exits) of a depth-first walk from ``root``, neighbours in order: a back edge closes a ring, turned to its least node. Nodes outside of
+    ``inside`` are not entered; ``exits`` has them in the order in which they are first met."""
+    path, place, todo = [root], {root: 0}, [iter(graph.get(root, ()))]
+    done.add(root)
+    found: set[tuple[str, ...]] = set()
+    exits: dict[str, None] = {}
+    while todo:
+        for b in todo[-1]:
+            if inside is not None and b not in inside:
+                exits.setdefault(b)
+            elif b in place:
+                ring = path[place[b] :]
+                k = ring.index(min(ring))
+                found.add(tuple(ring[k:] + ring[:k]))
+            elif b not in done:
+                done.add(b)
+                place[b] = len(path)
+                path.append(b)
+                todo.append(iter(graph.get(b, ())))
+                break
+        else:
+            todo.pop()
+            place.pop(path.pop())
+    return found, list(exits)
+
+
+def _adjacent(edges: Iterable[tuple[str, str]]) -> dict[str, list[str]]:
     graph: dict[str, list[str]] = {}
     for a, b in sorted(set(edges)):
         graph.setdefault(a, []).append(b)
-    done: set[str] = set()
+    return graph
+
+
+def cycles_of(edges: list[tuple[str, str]]) -> list[list[str]]:
+    """Cycles closed by back edges of a depth-first walk from each node in order, neighbours in order; each turned to its least node, sorted."""
+    graph, done = _adjacent(edges), set()
     found: set[tuple[str, ...]] = set()
     for root in sorted(graph):
-        if root in done:
-            continue
-        path, place, todo = [root], {root: 0}, [iter(graph[root])]
-        done.add(root)
-        while todo:
-            for b in todo[-1]:
-                if b in place:
-                    ring = path[place[b] :]
-                    k = ring.index(min(ring))
-                    found.add(tuple(ring[k:] + ring[:k]))
-                elif b not in done:
-                    done.add(b)
-                    place[b] = len(path)
-                    path.append(b)
-                    todo.append(iter(graph.get(b, ())))
-                    break
-            else:
-                todo.pop()
-                place.pop(path.pop())
+        if root not in done:
+            found |= walk(graph, root, done)[0]
     return [list(c) for c in sorted(found)]
 
 
-def dependency_cycles(imports: DataFrame) -> DataFrame:
-    """(repo, cycle) of each repository's local imports. One group is one repository, whose files the limits of discovery bound."""
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(repo, node, component) of all nodes of (repo, a, b) in a strongly connected component of two or more, named by one of its nodes.
+
+    Rounds of joins: edges whose begin has no way in or whose end has no way out are trimmed until none is left to trim. Then every node takes
+    the least node that reaches it (its colour); of a colour, what reaches its own least node back is a component. It is taken out, with all edges
+    between colours, and the rest goes round again. The number of rounds grows with the longest way, not with the number of nodes.
+    """
+    live = cut(edges.where("a <> b").select("repo", "a", "b").distinct())
+    out = None
+    while True:
+        left = -1
+        while (n := live.count()) != left:
+            left = n
+            kept = live.join(live.select("repo", F.col("b").alias("a")).distinct(), ["repo", "a"], "left_semi").join(live.select("repo", F.col("a").alias("b")).distinct(), ["repo", "b"], "left_semi")
+            live = cut(kept.select("repo", "a", "b"))
+        if not left:
+            return out if out is not None else live.select("repo", F.col("a").alias("node"), F.col("b").alias("component"))
+        colour = cut(live.select("repo", F.col("a").alias("node"), F.col("a").alias("colour")).distinct())
+        changed = colour
+        while changed.limit(1).count():
+            sent = changed.join(live.withColumnRenamed("a", "node"), ["repo", "node"]).groupBy("repo", F.col("b").alias("node")).agg(F.min("colour").alias("sent"))
+            changed = cut(sent.join(colour, ["repo", "node"]).where("sent < colour").select("repo", "node", F.col("sent").alias("colour")))
+            colour = cut(colour.unionByName(changed).groupBy("repo", "node").agg(F.min("colour").alias("colour")))
+        of = lambda end, name: colour.select("repo", F.col("node").alias(end), F.col("colour").alias(name))
+        live = cut(live.join(of("a", "colour"), ["repo", "a"]).join(of("b", "other"), ["repo", "b"]).where("colour = other").drop("other"))
+        reached = cut(colour.where("node = colour"))
+        frontier = reached
+        while frontier.limit(1).count():
+            back = live.join(frontier.select("repo", F.col("node").alias("b"), "colour"), ["repo", "b", "colour"]).select("repo", F.col("a").alias("node"), "colour").distinct()
+            frontier = cut(back.join(reached, ["repo", "node", "colour"], "left_anti"))
+            reached = cut(reached.unionByName(frontier))
+        ends = reached.select("repo", "node")
+        found = reached.join(reached.groupBy("repo", "colour").count().where("count > 1"), ["repo", "colour"], "left_semi").select("repo", "node", F.col("colour").alias("component"))
+        out = cut(found if out is None else out.unionByName(found))
+        live = cut(live.drop("colour").join(ends.withColumnRenamed("node", "a"), ["repo", "a"], "left_anti").join(ends.withColumnRenamed("node", "b"), ["repo", "b"], "left_anti"))
+
+
+RINGS = "repo string, component string, cycle array<string>, node string, place string"
+
+
+def _component_walks(edges: DataFrame) -> DataFrame:
+    """For each component (repo, component, entry, a, b, inside): its rings, and the nodes outside in the order in which its walk meets them."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        repo, component, entry = (pdf[c].iloc[0] for c in ("repo", "component", "entry"))
+        rings, exits = walk(_adjacent(zip(pdf["a"], pdf["b"], strict=True)), entry, set(), set(pdf["a"]))
+        rows = [(repo, component, list(r), None, None) for r in sorted(rings)] + [(repo, component, None, x, f"{i:010d}") for i, x in enumerate(exits)]
+        return pd.DataFrame(rows, columns=["repo", "component", "cycle", "node", "place"], dtype=object)
+
+    return edges.groupBy("repo", "component").applyInPandas(run, RINGS)
+
+
+def cycles_by_component(edges: DataFrame) -> DataFrame:
+    """(repo, cycle): the same cycles as ``cycles_of`` for edges (repo, a, b), where only one component's edges reach a task.
+
+    Which node of a component the walk over the whole repository enters first decides which cycles it closes there, so components are walked in
+    topological rounds. Each carries as its key the places at which the walk left the components before it, the root's name first: the entry is the
+    end of the edge of least key, or the least node where no edge comes earlier. Rounds stop once all components with a cycle are done.
+    """
+    e = cut(edges.select("repo", "a", "b").distinct())
+    strong = strong_components(e)
+    every = e.select("repo", F.col("a").alias("node")).union(e.select("repo", "b")).distinct()
+    of = cut(every.join(strong, ["repo", "node"], "left").withColumn("component", F.coalesce("component", "node")))
+    side = lambda end, name: of.select("repo", F.col("node").alias(end), F.col("component").alias(name))
+    e = cut(e.join(side("a", "component"), ["repo", "a"]).join(side("b", "into"), ["repo", "b"]))
+    between = cut(e.where("component <> into").select("repo", "component", "into", "b").distinct())
+    ringed = cut(e.where("component = into").select("repo", "component").distinct())
+    todo = cut(of.groupBy("repo", "component").agg(F.min("node").alias("least")))
+    met = out = None
+    while todo.join(ringed, ["repo", "component"], "left_semi").limit(1).count():
+        waits = between.join(todo.select("repo", "component"), ["repo", "component"], "left_semi").select("repo", F.col("into").alias("component")).distinct()
+        ready = todo.join(waits, ["repo", "component"], "left_anti").select("repo", "component", F.struct(F.array("least").alias("key"), F.col("least").alias("entry")).alias("k"))
+        if met is not None:
+            ready = ready.unionByName(met.join(ready.select("repo", "component"), ["repo", "component"], "left_semi"))
+        ready = cut(ready.groupBy("repo", "component").agg(F.min("k").alias("k")))
+        own = e.join(ready, ["repo", "component"]).select("repo", "component", "a", "b", F.col("k.entry").alias("entry"))
+        walked = cut(_component_walks(own.join(ringed, ["repo", "component"], "left_semi")))
+        rings = walked.where("cycle IS NOT NULL").select("repo", "cycle")
+        # The walk leaves a node without a cycle by its neighbours in order, so their names are the places.
+        left = walked.where("node IS NOT NULL").select("repo", "component", "node", "place").unionByName(own.join(ringed, ["repo", "component"], "left_anti").select("repo", "component", F.col("b").alias("node"), F.col("b").alias("place")))
+        left = left.join(ready, ["repo", "component"]).select("repo", "node", F.struct(F.concat("k.key", F.array("place")).alias("key"), F.col("node").alias("entry")).alias("k"))
+        left = cut(left.join(of, ["repo", "node"]).groupBy("repo", "component").agg(F.min("k").alias("k")))
+        met = left if met is None else cut(met.unionByName(left).groupBy("repo", "component").agg(F.min("k").alias("k")))
+        out = rings if out is None else out.unionByName(rings)
+        todo = cut(todo.join(ready, ["repo", "component"], "left_anti"))
+    return out if out is not None else edges.limit(0).select("repo", F.array("a").alias("cycle"))
+
+
+#: Edges of a repository that are walked in one task; the cycles of larger ones are found by component.
+WALK_EDGES = 100_000
+
+
+def dependency_cycles(imports: DataFrame, most: int = WALK_EDGES) -> DataFrame:
+    """(repo, cycle) of each repository's local imports: the cycles that a depth-first walk over its files in order closes.
+
+    A repository of at most ``most`` edges is one group. Larger ones go by strongly connected components (``cycles_by_component``), with the same
+    result, so the largest group is the largest component, or ``most`` edges.
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = cycles_of(list(zip(pdf["file"], pdf["target"], strict=True)))
         return pd.DataFrame({"repo": [pdf["repo"].iloc[0]] * len(found), "cycle": found}, dtype=object)
 
-    return imports.where("target IS NOT NULL").select("repo", "file", "target").distinct().groupBy("repo").applyInPandas(run, "repo string, cycle array<string>")
+    edges = imports.where("target IS NOT NULL").select("repo", "file", "target").distinct()
+    large = cut(edges.groupBy("repo").count().where(F.col("count") > most).select("repo"))
+    few = lambda df: df.groupBy("repo").applyInPandas(run, "repo string, cycle array<string>")
+    if not large.limit(1).count():
+        return few(edges)
+    big = cycles_by_component(edges.join(small(large, 64), "repo", "left_semi").select("repo", F.col("file").alias("a"), F.col("target").alias("b")))
+    return few(edges.join(small(large, 64), "repo", "left_anti")).unionByName(big)
 
 
 def short_cycles(imports: DataFrame, longest: int = 4) -> DataFrame:

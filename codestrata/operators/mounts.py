@@ -36,26 +36,33 @@ def with_targets(mounts: DataFrame, imports: DataFrame, routes: DataFrame) -> Da
 
 
 def prefixes(resolved: DataFrame) -> DataFrame:
-    """(repo, file, prefix) of every way in which mounts reach a file, from files that no mount targets.
+    """(repo, file, prefix), distinct: the prefixes under which mounts (repo, file, ord, target, prefix) reach a file, from files that no mount targets.
 
-    Level by level over mount edges (repo, file, target, prefix), until no way goes on. Each way follows a file once, so mounts in a circle end.
+    A fixpoint over pairs of file and prefix, not over ways: each round joins the mounts with the pairs that are new since the round before, so
+    any number of ways to the same pair cost one row. Mounts in a circle lengthen prefixes as long as passes over a repository's mounts, in
+    the order of files and mounts, go on: one more pass than it has mounts. So a pair carries the least (pass, mount) that makes it: a later mount
+    takes it up in the same pass, any other in the next; a pair that is found again earlier is taken up again.
     """
-    edges = cut(resolved.select("repo", "file", "target", "prefix").distinct())
+    at = F.struct("file", "ord")
+    edges = cut(resolved.select("repo", "file", "target", F.col("prefix").alias("more"), at.alias("at")))
+    edges = edges.join(edges.groupBy("repo").agg(F.count("*").alias("passes")), "repo")
+    edges = cut(edges)
 
     def part(x: Column) -> Column:
         return F.when(x.isin("/", ""), "").otherwise(F.concat(F.lit("/"), F.regexp_replace(x, "^/+|/+$", "")))
 
     top = edges.select("repo", "file").distinct().join(edges.select("repo", F.col("target").alias("file")).distinct(), ["repo", "file"], "left_anti")
-    ways = top.select("repo", "file", F.lit("").alias("prefix"), F.array("file").alias("seen"))
-    out = edges.limit(0).select("repo", "file", "prefix")
-    step = edges.select("repo", "file", "target", F.col("prefix").alias("more"))
-    while True:
+    first = F.struct(F.lit(1).alias("pass"), F.lit(None).cast(edges.schema["at"].dataType).alias("at"))
+    new = cut(top.select("repo", "file", F.lit("").alias("prefix"), first.alias("when"), F.lit(True).alias("top")))
+    known = new
+    while new.limit(1).count():
         joined = F.concat(part(F.col("prefix")), part(F.col("more")))
-        met = ways.join(step, ["repo", "file"]).where(~F.array_contains("seen", F.col("target")))
-        ways = cut(met.select("repo", F.col("target").alias("file"), F.when(joined == "", "/").otherwise(joined).alias("prefix"), F.concat("seen", F.array("target")).alias("seen")))
-        if not ways.limit(1).count():
-            return out.distinct()
-        out = out.unionByName(ways.select("repo", "file", "prefix"))
+        met = new.join(edges, ["repo", "file"]).withColumn("pass", F.col("when.pass") + F.coalesce(F.col("when.at") >= F.col("at"), F.lit(False)).cast("int"))
+        made = met.where(F.col("pass") <= F.col("passes") + 1).groupBy("repo", F.col("target").alias("file"), F.when(joined == "", "/").otherwise(joined).alias("prefix")).agg(F.min(F.struct("pass", "at")).alias("when"))
+        before = known.select("repo", "file", "prefix", F.col("when").alias("old"))
+        new = cut(made.join(before, ["repo", "file", "prefix"], "left").where(F.col("old").isNull() | (F.col("when") < F.col("old"))).drop("old").withColumn("top", F.lit(False)))
+        known = cut(known.unionByName(new).groupBy("repo", "file", "prefix").agg(F.min("when").alias("when"), F.max("top").alias("top")))
+    return known.where("NOT top").select("repo", "file", "prefix")
 
 
 def expand_routes(routes: DataFrame, resolved: DataFrame, ways: DataFrame) -> DataFrame:

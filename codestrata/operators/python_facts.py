@@ -1,7 +1,7 @@
 """Facts of Python files: one pass over the syntax tree per file gives raw facts; what they mean is decided by Spark expressions.
 
 ``syntax`` is the only Python code: it emits imports, definitions with bases and decorators, calls with literal arguments, and prefixes bound
-to router names, numbered in visiting order. A file that cannot be parsed gives its error and no facts; no other file is touched by it.
+to router names, numbered in visiting order (each alias of an import has its own number). A file that cannot be parsed gives its error and no facts; no other file is touched by it.
 """
 
 from __future__ import annotations
@@ -71,7 +71,8 @@ def facts_of(source: str) -> dict:
         n += 1
         inner = scope
         if isinstance(node, ast.Import):
-            out["imports"] += [{"ord": n, "line": node.lineno, "module": a.name, "root": a.name.split(".")[0], "names": [a.asname or a.name]} for a in node.names]
+            out["imports"] += [{"ord": n + i, "line": node.lineno, "module": a.name, "root": a.name.split(".")[0], "names": [a.asname or a.name]} for i, a in enumerate(node.names)]
+            n += len(node.names) - 1
         elif isinstance(node, ast.ImportFrom):
             out["imports"].append({"ord": n, "line": node.lineno, "module": "." * node.level + (node.module or ""), "root": (node.module or "").split(".")[0], "names": [a.name for a in node.names]})
         elif isinstance(node, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):

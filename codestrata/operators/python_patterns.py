@@ -66,6 +66,11 @@ def symbols(x: DataFrame) -> DataFrame:
     return module.unionByName(d.select(*_FILE, F.col("line").alias("ord"), _id().alias("id"), kind.alias("type"), "name", "line", F.lit(None).cast("int").alias("end_line"), parent.alias("parent"), F.when(model, F.array(why)).otherwise(none).alias("evidence"), F.lit(True).alias("exported")))
 
 
+def _ord() -> Column:
+    """Line and place in it; ties are not possible within 2**20 places, and a file of the permitted size has no more."""
+    return F.shiftleft(F.col("line").cast("long"), 20) + F.col("at")
+
+
 def imports(x: DataFrame) -> DataFrame:
     text = F.col("text")
     bare = lambda n: F.element_at(F.split(F.trim(n), r"\s+as\s+"), 1)
@@ -73,14 +78,14 @@ def imports(x: DataFrame) -> DataFrame:
     a = x.where(text.rlike(FROM)).select(*_FILE, "line", F.lit(0).alias("at"), F.regexp_extract(text, FROM, 1).alias("module"), names.alias("names"))
     b = x.where(~text.rlike(FROM) & text.rlike(IMPORT)).select(*_FILE, "line", F.posexplode(F.transform(F.split(F.regexp_extract(text, IMPORT, 1), ","), bare)).alias("at", "module")).where("module <> ''")
     out = a.unionByName(b.withColumn("names", F.array("module")))
-    return out.select(*_FILE, (F.col("line") * 1000 + F.least("at", F.lit(999))).alias("ord"), F.concat("file", F.lit(":import:"), "line", F.lit(":"), "module").alias("id"), "module", "names", "line")
+    return out.select(*_FILE, _ord().alias("ord"), F.concat("file", F.lit(":import:"), "line", F.lit(":"), "module").alias("id"), "module", "names", "line")
 
 
 def calls(x: DataFrame) -> DataFrame:
     """Calls on lines that define nothing; their source is the last definition above, else the module."""
     last = F.last(F.when(F.col("kind").isin("class", "def"), _id()), ignorenulls=True).over(W.partitionBy(*_FILE).orderBy("line").rowsBetween(W.unboundedPreceding, 0))
     c = x.withColumn("source", F.coalesce(last, F.col("file"))).where("kind IS NULL").select(*_FILE, "line", "source", F.posexplode(F.regexp_extract_all("text", F.lit(CALL), F.lit(1))).alias("at", "callee")).where(~F.col("callee").isin(NO_CALL))
-    return c.select(*_FILE, (F.col("line") * 1000 + F.least("at", F.lit(999))).alias("ord"), F.concat("source", F.lit(":call:"), "line", F.lit(":"), "callee").alias("id"), "source", "callee", "line")
+    return c.select(*_FILE, _ord().alias("ord"), F.concat("source", F.lit(":call:"), "line", F.lit(":"), "callee").alias("id"), "source", "callee", "line")
 
 
 def routes(x: DataFrame) -> DataFrame:

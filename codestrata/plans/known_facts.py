@@ -23,7 +23,7 @@ PY_SYMBOLS = [
 #: (file, line, module, names, target)
 PY_IMPORTS = [
     (API, 1, "fastapi", ["APIRouter", "Depends"], None), (API, 2, "backend.services.billing_$ID", ["load_orders", "Billing"], SVC),
-    (API, 3, "..models", ["ledger_$ID"], MODEL), (SVC, 1, "redis", ["redis"], None), (SVC, 2, "os.path", ["osp"], None),
+    (API, 3, "..models", ["ledger_$ID"], MODEL), (SVC, 1, "redis", ["redis"], None), (SVC, 1, "backend.models.ledger_$ID", ["books"], MODEL), (SVC, 1, "sys", ["sys"], None), (SVC, 2, "os.path", ["osp"], None),
     (SVC, 3, "backend.models.ledger_$ID", ["Ledger"], MODEL), (MODEL, 1, "sqlalchemy.orm", ["DeclarativeBase"], None),
 ]
 #: (file, source, callee, line)

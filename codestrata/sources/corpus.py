@@ -30,7 +30,7 @@ def read_order(key):
 async def add_order(body):
     return load_orders(body)
 """,
-    "backend/services/billing_$ID.py": """import redis
+    "backend/services/billing_$ID.py": """import redis, backend.models.ledger_$ID as books, sys
 import os.path as osp
 from backend.models.ledger_$ID import Ledger
 

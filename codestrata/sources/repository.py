@@ -1,4 +1,4 @@
-"""Sources: trees of files, zip archives, uploads and stored artifacts as a table (repo, path, content, bytes, file_ord) and one of skipped files.
+"""Sources: trees of files, zip archives, uploads and stored artifacts as a table (repo, path, content, bytes) and one of skipped files.
 
 Nothing is unpacked to disk and no code is run; every check but the unpacking itself is a column predicate. All tables are keyed by
 ``repo``, so that many repositories are read, checked and ranked side by side.
@@ -21,6 +21,8 @@ from pyspark.sql import Window as W
 
 from ..functions import fixed
 from ..functions.columns import name_of, parent_of, suffix_of
+from ..functions.prefix import running_total
+from ..functions.scratch import cut, small
 
 
 @dataclass(frozen=True)
@@ -94,16 +96,21 @@ def discover(raw: DataFrame, limits: Limits = Limits(), gitignore: bool = True)
     """(files, skipped) of (repo, path, content binary, bytes, symlink boolean).
 
     In order: symbolic links are reported even in ignored directories; ignored and other files go silently; too large and binary files
-    are reported; of more than ``limits.files`` the rest is cut off in path order and reported once per repository as '*'.
+    are reported; of more than ``limits.files`` the rest is cut off in path order and reported once per repository as '*'. Paths are unique in a
+    repository. Contents are read where they lie: only paths are shuffled.
     """
     links = raw.where("symlink").select("repo", "path", F.lit("symlink").alias("reason"))
     plain = raw.where("NOT symlink").where(~in_ignored_dir(F.col("path")))
     if gitignore:
         plain = apply_gitignore(plain, gitignore_rules(plain))
     wanted = plain.where(is_candidate(F.col("path"))).withColumn("reason", F.when(F.col("bytes") > limits.file_bytes, "file_size_limit").when(is_binary(F.col("content")), "binary"))
-    ranked = wanted.where("reason IS NULL").withColumn("file_ord", F.row_number().over(W.partitionBy("repo").orderBy("path")))
-    files = ranked.where(F.col("file_ord") <= limits.files).select("repo", "path", decoded(F.col("content")).alias("content"), "bytes", "file_ord")
-    over = ranked.where(F.col("file_ord") > limits.files).select("repo", F.lit("*").alias("path"), F.lit("file_count_limit").alias("reason")).distinct()
+    good = wanted.where("reason IS NULL")
+    crowded = small(cut(good.groupBy("repo").count().where(F.col("count") > limits.files).select("repo")), 64)
+    # Only repositories with too many files are numbered, by their paths alone; the first path beyond the limit is joined back.
+    numbered = running_total(good.join(crowded, "repo", "left_semi").select("repo", "path", F.lit(1).cast("long").alias("one")), "repo", ["path"], "one", "n")
+    ends = small(cut(numbered.where(F.col("n") == limits.files + 1).select("repo", F.col("path").alias("end"))), 256)
+    files = good.join(ends, "repo", "left").where(F.col("end").isNull() | (F.col("path") < F.col("end"))).select("repo", "path", decoded(F.col("content")).alias("content"), "bytes")
+    over = crowded.select("repo", F.lit("*").alias("path"), F.lit("file_count_limit").alias("reason"))
     return files, links.unionByName(wanted.where("reason IS NOT NULL").select("repo", "path", "reason")).unionByName(over)
 
 
@@ -181,9 +188,22 @@ def read_zip(archives: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
 
 def cumulative_cap(files: DataFrame, limit: int) -> DataFrame:
-    """``files`` (repo, file_ord, bytes, ...) with total (bytes of this and earlier files) and within (total <= limit)."""
-    w = W.partitionBy("repo").orderBy("file_ord").rowsBetween(W.unboundedPreceding, 0)
-    return files.withColumn("total", F.sum("bytes").over(w)).withColumn("within", F.col("total") <= limit)
+    """(repo, path, file_ord, bytes) of ``files`` with total (bytes of this and earlier files) and within (total <= limit). No content is read."""
+    narrow = files.select("repo", "path", "file_ord", "bytes")
+    return running_total(narrow, "repo", ["file_ord", "path"], "bytes").withColumn("within", F.col("total") <= limit)
+
+
+def capped(files: DataFrame, limit: int) -> DataFrame:
+    """Rows of ``files`` (repo, path, file_ord, bytes, content, ...) whose running total stays within ``limit``.
+
+    Repositories within the limit as a whole need no total of their own; for each of the others the first row beyond it is found on narrow
+    rows and joined back. There are at most (all bytes / limit) of those, and contents move only if even they are too many to broadcast.
+    """
+    whole = files.groupBy("repo").agg(F.sum("bytes").alias("all")).where(F.col("all") > limit)
+    if not (over := small(cut(whole.select("repo")), 64)).limit(1).count():
+        return files
+    first = cumulative_cap(files.join(over, "repo", "left_semi"), limit).where("NOT within").groupBy("repo").agg(F.min(F.struct("file_ord", "path")).alias("end"))
+    return files.join(small(cut(first), 256), "repo", "left").where(F.col("end").isNull() | (F.struct("file_ord", "path") < F.col("end"))).drop("end")
 
 
 def upload_names(path: Column) -> tuple[Column, Column]:

@@ -165,7 +165,7 @@ def test_discovery_and_gitignore(spark):
     rows = [("a.py", b"x"), ("big.py", b"x" * 50), ("bin.py", b"a\0b"), ("node_modules/m.js", b"x"), ("pic.png", b"x"), ("out/gen.py", b"x"), ("keep/gen.py", b"x"), ("logs/deep/l.py", b"x"), ("sub/t.py", b"x"), ("sub/u.py", b"x"), (".gitignore", b"# c\ngen.py\n!keep/gen.py\nlogs/\n"), ("sub/.gitignore", b"/t.py\n"), ("Dockerfile", b"FROM x\r\n")]
     raw = spark.createDataFrame([("r", p, bytearray(c), len(c), False) for p, c in rows] + [("r", "node_modules/l", bytearray(), 0, True)], "repo string, path string, content binary, bytes long, symlink boolean")
     files, skipped = repository.discover(raw, repository.Limits(file_bytes=40))
-    assert [r.path for r in files.orderBy("file_ord").collect()] == ["Dockerfile", "a.py", "keep/gen.py", "sub/u.py"]
+    assert [r.path for r in files.orderBy("path").collect()] == ["Dockerfile", "a.py", "keep/gen.py", "sub/u.py"]
     assert files.where("path = 'Dockerfile'").first().content == "FROM x\n"
     assert sorted((r.path, r.reason) for r in skipped.collect()) == [("big.py", "file_size_limit"), ("bin.py", "binary"), ("node_modules/l", "symlink")]
     files, skipped = repository.discover(raw, repository.Limits(files=2, file_bytes=40))
