@@ -6,16 +6,17 @@ files that ``sources.corpus`` writes, whose facts are known.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed, telemetry
+from ..functions import fixed, scratch, tables, telemetry
 from ..functions.columns import join_routes, normal_path, parent_of, suffix_of
 from ..operators import artifact, derive, graphs, languages, quality, resolve, technology, views
 from ..sources import corpus, repository
-from ..streaming import admission
+from ..streaming import admission, incremental
 from . import known_facts as known
 from .analysis import Analysis
 
@@ -66,6 +67,7 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DOC_FILES = f"files AS (SELECT source AS repo, {_doc_path('VARCHAR')} AS path, text AS content, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, doc_id AS file_ord FROM documents)"
 SUFFIX = "lower(regexp_extract(path, '(\\.[^./]+)$', 1))"
+SUFFIX_SPARK = r"lower(regexp_extract(f.path, '(\\.[^./]+)$', 1))"
 LANGUAGE = "CASE " + " ".join(f"WHEN {SUFFIX} = '{k}' THEN '{v}'" for k, v in fixed.LANGUAGES.items()) + " ELSE 'Configuration' END"
 RECORDS = f"{DOC_FILES}, records AS (SELECT repo, path, {LANGUAGE} AS language, CAST(len(content) - len(replace(content, chr(10), '')) + 1 AS BIGINT) AS lines, bytes, sha256(content) AS hash FROM files)"
 CODE = "language NOT IN ('Configuration', 'Markdown')"
@@ -97,6 +99,28 @@ def discovered_files(spark, sf_dir):
     return files.select("repo", "path", F.lit("kept").alias("outcome")).unionByName(skipped.select("repo", "path", F.col("reason").alias("outcome")))
 
 
+#: Ignore rules of documents as (repo, base, line), later lines of a file coming later: rows for all repositories, and one or two for some documents.
+_RULES = """SELECT source AS repo, '' AS base, concat('d', CAST(doc_id AS {text}), '.*') AS line, doc_id + 10 AS n FROM documents WHERE doc_id % 7 = 0
+UNION ALL SELECT source, concat('docs/', lang), concat('!d', CAST(doc_id AS {text}), '.ts'), doc_id FROM documents WHERE doc_id % 14 = 0
+UNION ALL SELECT source, 'lib', concat(lang, '/d', CAST(doc_id AS {text}), '.md'), doc_id FROM documents WHERE doc_id % 3 = 0
+UNION ALL SELECT source, '', t.line, t.n FROM (SELECT DISTINCT source FROM documents) r, (VALUES ('*.css', 1), ('build/en/', 2), ('fr/', 3), ('!src/fr/', 4), ('# none', 5)) t(line, n)"""
+
+
+@query(
+    f"""WITH {DOC_FILES}, rules AS ({_RULES.format(text="VARCHAR")}), r AS (SELECT repo, base, ltrim(line, '!') AS p, starts_with(line, '!') AS negated, [len(string_split(base, '/')) - (base = '')::INT, n] AS ord, base || n AS tie FROM rules),
+    below AS (SELECT f.repo, f.path, r.*EXCLUDE (repo), CASE WHEN base = '' THEN path ELSE substr(path, len(base) + 2) END AS b FROM files f JOIN r ON r.repo = f.repo AND (base = '' OR starts_with(path, base || '/'))),
+    hit AS (SELECT * FROM below WHERE CASE WHEN p = '*.css' THEN suffix(path, '.css') WHEN p = 'fr/' THEN contains('/' || b, '/fr/') WHEN suffix(p, '/') THEN contains('/' || b, '/' || p) WHEN contains(p, '/') THEN b = p OR suffix(b, '/' || p)
+      WHEN suffix(p, '.*') THEN contains('/' || b, '/' || substr(p, 1, len(p) - 1)) WHEN p = '# none' THEN false ELSE contains('/' || b || '/', '/' || p || '/') END)
+    SELECT repo, path FROM files ANTI JOIN (SELECT repo, path FROM hit GROUP BY ALL HAVING NOT arg_max(negated, ord)) USING (repo, path)"""
+)
+def ignored_files(spark, sf_dir):
+    """Documents as files that no ignore rule takes away: names, directories, endings, wildcards, rules of nested directories and exceptions."""
+    rules = spark.sql(_RULES.format(text="STRING").replace("FROM documents", "FROM {documents}"), documents=table(spark, sf_dir, "documents"))
+    texts = rules.groupBy("repo", "base").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n").alias("content"))
+    raw = texts.select("repo", F.when(F.col("base") == "", ".gitignore").otherwise(F.concat("base", F.lit("/.gitignore"))).alias("path"), F.col("content").cast("binary").alias("content"))
+    return repository.apply_gitignore(doc_files(spark, sf_dir).select("repo", "path"), repository.gitignore_rules(raw))
+
+
 @query(f"WITH {DOC_FILES} SELECT repo, path, bytes, CAST(sum(bytes) OVER w AS BIGINT) AS total, sum(bytes) OVER w <= 50000 AS within FROM files WINDOW w AS (PARTITION BY repo ORDER BY file_ord ROWS UNBOUNDED PRECEDING)")
 def cumulative_size_cap(spark, sf_dir):
     return repository.cumulative_cap(doc_files(spark, sf_dir), 50000).select("repo", "path", "bytes", "total", "within")
@@ -134,6 +158,26 @@ def incremental_work(spark, sf_dir):
     return admission.split_by_cache(records, cached)[1].select("repo", "path")
 
 
+@query(
+    f"""WITH {RECORDS}, e AS (SELECT *, CAST(regexp_extract(path, 'd([0-9]+)\\.', 1) AS BIGINT) AS n FROM records JOIN (SELECT source AS repo, {_doc_path('VARCHAR')} AS path, text FROM documents) USING (repo, path))
+    SELECT repo, path, CASE WHEN n % 5 = 0 THEN sha256(concat(text, ' edited')) ELSE hash END AS hash, CASE WHEN n % 5 = 0 THEN 1 ELSE 0 END AS batch, CAST(length(CASE WHEN n % 5 = 0 THEN concat(text, ' edited') ELSE text END) AS BIGINT) AS chars FROM e WHERE n % 7 <> 0"""
+)
+def incremental_stream(spark, sf_dir):
+    """Facts of documents as files after a stream of two batches: all files, then those of some numbers edited, deleted, or sent again unchanged."""
+    n = F.regexp_extract("path", r"d([0-9]+)\.", 1).cast("long")
+    files = doc_files(spark, sf_dir).select("repo", "path", "content", n.alias("n"))
+    root = f"{scratch.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    first = files.select("repo", "path", "content", F.lit(False).alias("deleted"), "n")
+    edited = F.when(F.col("n") % 5 == 0, F.concat("content", F.lit(" edited"))).otherwise(F.col("content"))
+    again = files.where("n % 5 = 0 OR n % 7 = 0 OR n % 11 = 0").select("repo", "path", edited.alias("content"), (F.col("n") % 7 == 0).alias("deleted"), F.col("n") + 10**9)
+    lengths = lambda df: df.select("repo", F.col("path").alias("file"), F.length("content").cast("long").alias("chars"))
+    for events in (first, again):
+        events.toDF("repo", "path", "content", "deleted", "seq").write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema("repo string, path string, content string, deleted boolean, seq long").parquet(f"{root}/in")
+        incremental.follow(stream, f"{root}/store", f"{root}/checkpoint", lengths).awaitTermination()
+    return incremental.snapshot(spark, f"{root}/store").select("repo", "path", "hash", F.col("batch").cast("int").alias("batch"), "facts.chars")
+
+
 @query("SELECT doc_id, concat(source, '/', lang) AS path, source AS repo, lang AS rest FROM documents")
 def upload_layout(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang").alias("path"))
@@ -433,6 +477,50 @@ def audit_keys(spark, sf_dir):
     return quality.repeated_keys({"files": f.unionByName(f.where("n % 31 = 0").withColumn("id", F.concat("id", F.lit("b"))))}).where("rule = 'files unique (path)'")
 
 
+#: The fact tables of an audit from the part graph, as SQL for both engines, each with rows that break its rules.
+AUDITED = {
+    "files": "SELECT repo, path, concat('file:', CASE WHEN n % 43 = 0 THEN 'same' ELSE path END) AS id, n % 50 AS lines, bytes - 2000 AS bytes FROM files WHERE n % 17 <> 0 UNION ALL SELECT repo, path, concat('again:', path), 1, 1 FROM files WHERE n % 31 = 0",
+    "symbols": "SELECT repo, file, line - 5 AS line FROM symbols",
+    "imports": "SELECT repo, file, target FROM imports",
+    "calls": "SELECT repo, line / 5.5e0 AS confidence FROM calls",
+    "routes": "SELECT repo, file, (ord % 13) / 10.5e0 AS confidence FROM symbols WHERE name = 'render'",
+    "entrypoints": "SELECT repo, path AS file, (n % 7) / 5.5e0 AS confidence FROM files WHERE n % 37 = 0",
+    "components": "SELECT DISTINCT repo, concat('c', n % 7) AS id FROM files WHERE n % 7 <> 3",
+    "component_files": "SELECT repo, path AS file, concat('c', n % 7) AS component FROM files",
+    "connections": "SELECT repo, concat('c', n % 7) AS source, concat('c', n % 8) AS target, n % 5 AS weight FROM files",
+    "flow_nodes": "SELECT repo, concat('flow', line) AS flow, source AS id, file FROM calls WHERE ord % 40 = 1",
+    "flow_edges": "SELECT repo, concat('flow', line) AS flow, source, concat(source, ord % 2) AS target FROM calls WHERE ord % 40 = 1 UNION ALL SELECT repo, concat('flow', line + 1), source, source FROM calls WHERE ord % 400 = 1",
+    "totals": "SELECT repo, count(*) * 1.01e0 AS parse_rate FROM files GROUP BY repo",
+}
+
+
+def _audit_sql() -> str:
+    views = ", ".join(f"a_{t} AS ({q})" for t, q in AUDITED.items())
+    parts = []
+    for t, c, o, k in quality.REFERENCES:
+        on = f"r.repo = o.repo AND r.{c} = o.{k}" + (" AND r.flow = o.flow" if t == "flow_edges" else "")
+        parts.append(f"SELECT repo, '{t}.{c} -> {o}.{k}' AS rule, {c} AS key FROM (SELECT DISTINCT repo, {c}{', flow' if t == 'flow_edges' else ''} FROM a_{t} WHERE {c} IS NOT NULL) r WHERE NOT EXISTS (FROM a_{o} o WHERE {on})")
+    parts += [f"SELECT repo, '{t}.{rule}', CAST({c} AS VARCHAR) FROM a_{t} WHERE NOT coalesce({rule}, false)" for t, c, rule in quality.RANGES if c not in ("confidence", "parse_rate")]
+    parts += [f"SELECT repo, '{t}.{rule}', '' FROM a_{t} WHERE NOT coalesce({rule}, false)" for t, c, rule in quality.RANGES if c in ("confidence", "parse_rate")]
+    parts += [f"SELECT repo, '{t} unique ({', '.join(ks)})', concat_ws('/', {', '.join(ks)}) FROM a_{t} GROUP BY repo, {', '.join(ks)} HAVING count(*) > 1" for t, ks in quality.KEYS]
+    return f"WITH {G}, {views}, v AS ({' UNION ALL '.join(parts)}) SELECT repo, rule, key, count(*) AS n FROM v GROUP BY ALL"
+
+
+@query(_audit_sql())
+def audit_whole(spark, sf_dir):
+    """All 12 references, 8 ranges and 3 keys over the part graph with broken rows. Texts of fractions differ between engines, so they are left out."""
+    g = corpus.part_graph(spark, sf_dir)
+    audited = {t: spark.sql(_braced(q), **{n: g[n] for n in ("files", "symbols", "imports", "calls") if f"{{{n}}}" in _braced(q)}) for t, q in AUDITED.items()}
+    fraction = F.col("rule").contains("confidence") | F.col("rule").contains("parse_rate")
+    return quality.violations(audited).withColumn("key", F.when(fraction, "").otherwise(F.col("key"))).groupBy("repo", "rule", "key").agg(F.count("*").alias("n"))
+
+
+def _braced(sql: str) -> str:
+    for name in ("files", "symbols", "imports", "calls"):
+        sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
+    return sql
+
+
 @query("WITH p AS (SELECT p_partkey, concat(p_brand, '/./', p_type, '/x/../', CAST(p_size AS VARCHAR), '.Tar.GZ') AS path FROM part) SELECT p_partkey, concat(p_brand, '/', p_type, '/', CAST(p_size AS VARCHAR), '.Tar.GZ') AS path, concat(p_brand, '/', p_type) AS parent, '.gz' AS suffix, concat('/', p_brand, '/a') AS route FROM (SELECT part.*, p.path FROM part JOIN p USING (p_partkey))".replace("SELECT part.*, p.path FROM part JOIN p USING (p_partkey)", "SELECT * FROM part"))
 def path_functions(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("path", normal_path(F.concat("p_brand", F.lit("/./"), "p_type", F.lit("/x/../"), F.col("p_size").cast("string"), F.lit(".Tar.GZ"))))
@@ -462,6 +550,20 @@ def import_resolution(spark, sf_dir):
     return _code(spark, sf_dir).imports.select("repo", "file", "line", "module", "names", "target", "external")
 
 
+@query("SELECT repo, file, line, module, names FROM (" + _IMPORTS_SQL + f") WHERE {SUFFIX.replace('path', 'file')} IN {_in(fixed.PY_SUFFIXES)}")
+def sql_imports(spark, sf_dir):
+    """Imports of Python files through the SQL table function."""
+    tables.register(spark)
+    return spark.sql(f"SELECT f.repo, f.path AS file, t.line, t.module, t.names FROM {{files}} f, LATERAL python_imports(f.content) t WHERE {SUFFIX_SPARK} IN {_in(fixed.PY_SUFFIXES)}", files=corpus.code_files(spark, sf_dir))
+
+
+@query("SELECT repo, file, source, callee, line FROM (" + known.per_document("file source callee line", known.PY_CALLS) + ")")
+def sql_calls(spark, sf_dir):
+    """Calls within definitions of Python files through the SQL table function."""
+    tables.register(spark)
+    return spark.sql(f"SELECT f.repo, f.path AS file, concat(f.path, '::', t.owner) AS source, t.callee, t.line FROM {{files}} f, LATERAL python_calls(f.content) t WHERE t.owner IS NOT NULL AND {SUFFIX_SPARK} IN {_in(fixed.PY_SUFFIXES)}", files=corpus.code_files(spark, sf_dir))
+
+
 _CALLS = known.PY_CALLS + known.JS_CALLS
 
 
@@ -630,6 +732,30 @@ def rate_limit_admission(spark, sf_dir):
     return admission.admit(r, WINDOW).withColumn("retry_after", F.coalesce("retry_after", F.lit(0).cast("long")))
 
 
+@query(ORACLE_SQL["rate_limit_admission"])
+def event_time_admission(spark, sf_dir):
+    """The same admissions by a stream that gets the requests in no order, an hour late at most; one request of another key far ahead ends the wait."""
+    hour = 3_600_000
+    e = table(spark, sf_dir, "events")
+    key, _ = admission.quota(F.col("user_id").cast("string"), F.lit(None).cast("string"))
+    ms = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) div 1000")
+    r = e.select(key.alias("key"), F.col("event_id").alias("id"), ms.alias("ms"), F.when(F.col("user_id") % 2 == 0, fixed.USER_LIMIT).otherwise(fixed.PUBLIC_LIMIT).alias("max_n"))
+    root = f"{scratch.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    # Four files in the order of jittered times, so that rows come up to an hour after later ones.
+    late = r.withColumn("arrives", F.col("ms") + F.pmod(F.xxhash64("id"), F.lit(hour)))
+    late.repartitionByRange(4, "arrives").drop("arrives").write.parquet(f"{root}/in")
+    r.agg((F.max("ms") + 40 * 24 * hour).alias("ms")).select(F.lit("end").alias("key"), F.lit(-1).cast("long").alias("id"), "ms", F.lit(1).alias("max_n")).write.mode("append").parquet(f"{root}/in")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, admission.EVENT_TIME_STORE)
+    try:
+        stream = admission.admit_in_event_time(spark.readStream.schema(r.schema).parquet(f"{root}/in"), "2 hours", WINDOW)
+        stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{root}/out").withColumn("retry_after", F.coalesce("retry_after", F.lit(0).cast("long")))
+
+
 @query("SELECT CASE WHEN event_type = 'error' THEN concat('ip_10.0.0.', CAST(user_id AS VARCHAR)) ELSE concat('user_', CAST(user_id AS VARCHAR)) END AS key, CASE WHEN event_type = 'error' THEN 5 ELSE 20 END AS max_n, count(*) AS requests FROM events GROUP BY ALL")
 def quota_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -659,9 +785,12 @@ def masked_addresses(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", telemetry.masked_ip(ip).alias("ip"))
 
 
-@query()
+_PADS = ["".join(f"{b ^ pad:02X}" for b in b"secret".ljust(64, b"\0")) for pad in (0x36, 0x5C)]
+
+
+@query(f"SELECT event_id, left(sha256(unhex('{_PADS[1]}') || unhex(sha256(unhex('{_PADS[0]}') || encode(CAST(user_id AS VARCHAR))))), 16) AS id FROM events")
 def pseudonymous_ids(spark, sf_dir):
-    """HMAC ids of users; SQL has no HMAC, tests compare with the standard library."""
+    """HMAC ids of users."""
     return table(spark, sf_dir, "events").select("event_id", telemetry.keyed_hash(F.col("user_id").cast("string"), "secret", 16).alias("id"))
 
 

@@ -66,18 +66,47 @@ def _glob_regex(patterns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([None if p.as_py() is None else "^" + fnmatch.translate(p.as_py()).replace("\\Z", "\\z") for p in column], pa.string())
 
 
+def _ways(path: Column) -> Column:
+    """array<struct<base, below>> of a path: every directory above it ('' first), and the parts of the path below that."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("base"), F.slice(parts, i + 1, F.size(parts)).alias("below")))
+
+
+def _stretches(below: Column) -> Column:
+    """array<struct<text, kind>> of what a rule without wildcards may equal: each part (``name``, the file's own as ``file``), each stretch of
+    directories (``dir``) and each end of the path (``end``)."""
+    n = F.size(below)
+    at = F.sequence(F.lit(1), n)
+    names = F.transform(at, lambda i: F.struct(F.element_at(below, i).alias("text"), F.when(i == n, "file").otherwise("name").alias("kind")))
+    ends = F.transform(at, lambda i: F.struct(F.array_join(F.slice(below, i, n), "/").alias("text"), F.lit("end").alias("kind")))
+    dirs = F.flatten(F.transform(at, lambda i: F.transform(F.filter(at, lambda j: (j >= i) & (j < n)), lambda j: F.struct(F.array_join(F.slice(below, i, j - i + 1), "/").alias("text"), F.lit("dir").alias("kind")))))
+    return F.array_distinct(F.concat(names, ends, dirs))
+
+
 def apply_gitignore(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows of ``files`` (repo, path, ...) that the last matching rule of their repository does not ignore.
 
     A rule without '/' is tried on the file's name and on each part of its path; one with '/' on the path below the rule's directory, and
     behind any directories. A rule that ends in '/' holds for directories: it is tried on each directory above the file.
+
+    Rules without wildcards are met by equality: every path brings, for each directory above it, the texts that such a rule may have, and these are
+    joined on (repo, base, text). Of the others, '*' and a plain ending without '/' goes by equality of the last character run from its dot on;
+    only what is left is tried on the paths below its own directory.
     """
+    literal = ~F.col("pattern").rlike(r"[*?\[]")
+    kind = F.when(F.col("dir_only") & F.col("anchored"), F.array(F.lit("dir"))).when(F.col("dir_only"), F.array(F.lit("name"))).when(F.col("anchored"), F.array(F.lit("end"))).otherwise(F.array(F.lit("name"), F.lit("file")))
+    plain = rules.where(literal).select("repo", "base", F.col("pattern").alias("text"), F.explode(kind).alias("kind"), "negated", "ord")
+    by_suffix = ~F.col("anchored") & F.col("pattern").rlike(r"^\*\.[^*?\[./]+$")
+    suffixed = rules.where(by_suffix).select("repo", "base", F.expr("substring(pattern, 2)").alias("text"), F.explode(F.when(F.col("dir_only"), F.array(F.lit("name"))).otherwise(F.array(F.lit("name"), F.lit("file")))).alias("kind"), "negated", "ord")
+    ways = files.select("repo", "path").select("repo", "path", F.inline(_ways(F.col("path"))))
+    based = ways.join(rules.select("repo", "base").distinct(), ["repo", "base"], "left_semi")
+    met = based.select("repo", "path", "base", F.inline(_stretches(F.col("below")))).join(plain, ["repo", "base", "text", "kind"]).select("repo", "path", "negated", "ord")
+    ends = F.transform(F.sequence(F.lit(1), F.size("below")), lambda i: F.struct(F.regexp_extract(F.element_at("below", i), r"(\.[^.]*)$", 1).alias("text"), F.when(i == F.size("below"), "file").otherwise("name").alias("kind")))
+    met = met.unionByName(based.select("repo", "path", "base", F.inline(F.array_distinct(ends))).join(suffixed, ["repo", "base", "text", "kind"]).select("repo", "path", "negated", "ord"))
+
     regex = F.arrow_udf(_glob_regex, "string")
-    rules = rules.withColumn("glob", regex(F.col("pattern"))).withColumn("deep", regex(F.concat(F.lit("**/"), F.col("pattern"))))
-    paths = files.select("repo", "path").distinct()
-    met = paths.join(rules, "repo").where((F.col("base") == "") | F.col("path").startswith(F.concat("base", F.lit("/"))))
-    below = F.when(F.col("base") == "", F.col("path")).otherwise(F.expr("substring(path, length(base) + 2)"))
-    parts = F.split(below, "/")
+    wild = rules.where(~literal & ~by_suffix).withColumn("glob", regex(F.col("pattern"))).withColumn("deep", regex(F.concat(F.lit("**/"), F.col("pattern"))))
+    parts, below = F.col("below"), F.array_join("below", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     dirs = F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
     whole = lambda p: F.regexp_like(p, F.col("glob")) | F.regexp_like(p, F.col("deep"))
@@ -88,7 +117,8 @@ def apply_gitignore(files: DataFrame, rules: DataFrame) -> DataFrame:
         .when(F.col("anchored"), whole(below))
         .otherwise(F.exists(parts, part))
     )
-    ignored = met.where(hit).groupBy("repo", "path").agg(F.max_by("negated", "ord").alias("negated")).where("NOT negated")
+    met = met.unionByName(based.join(wild, ["repo", "base"]).where(hit).select("repo", "path", "negated", "ord"))
+    ignored = met.groupBy("repo", "path").agg(F.max_by("negated", "ord").alias("negated")).where("NOT negated").select("repo", "path")
     return files.join(ignored, ["repo", "path"], "left_anti")
 
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed
@@ -83,6 +84,70 @@ def admit_stream(requests: DataFrame, window_ms: int = fixed.WINDOW_MS) -> DataF
     return requests.groupBy("key").applyInPandasWithState(run, "key string, id long, allowed boolean, remaining int, retry_after long", "log array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+#: State store that ``admit_in_event_time`` needs.
+EVENT_TIME_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Judge(StatefulProcessor):
+    """Admissions of one key in event time: requests wait in a map until the watermark has passed them, so that none can come before them any more."""
+
+    def __init__(self, window_ms: int):
+        self.window_ms = window_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "ms long, id long", "max_n int, n int")
+        self.log = handle.getValueState("log", "admitted array<long>")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the names are Spark's
+        for pdf in rows:
+            for ms, i, most in zip(pdf["ms"], pdf["id"], pdf["max_n"], strict=True):
+                at = (int(ms), int(i))
+                n = self.waiting.getValue(at)[1] if self.waiting.containsKey(at) else 0
+                self.waiting.updateValue(at, (int(most), n + 1))
+            for ms in set(pdf["ms"]):
+                self.handle.registerTimer(int(ms))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        log = deque(self.log.get()[0]) if self.log.exists() else deque()
+        out = []
+        due = sorted((tuple(at), tuple(v)) for at, v in self.waiting.iterator() if at[0] <= now)
+        for (ms, i), (most, n) in due:
+            self.waiting.removeKey((ms, i))
+            for _ in range(n):
+                while log and ms - log[0] >= self.window_ms:
+                    log.popleft()
+                ok = len(log) < most
+                if ok:
+                    log.append(ms)
+                out.append((key[0], i, ok, most - len(log) if ok else 0, None if ok else max(1, -(-(log[0] + self.window_ms - ms) // 1000)) if log else None))
+        while log and now - log[0] >= self.window_ms:
+            log.popleft()
+        if not log:
+            self.log.clear()
+        elif due:
+            self.log.update((list(log),))
+            self.handle.registerTimer(log[-1] + self.window_ms)  # then the key's state can go
+        if out:
+            yield pd.DataFrame(out, columns=["key", "id", "allowed", "remaining", "retry_after"]).astype({"retry_after": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def admit_in_event_time(requests: DataFrame, delay: str, window_ms: int = fixed.WINDOW_MS) -> DataFrame:
+    """The same for a stream of (key, id, ms, max_n) that comes out of order: equal to ``admit`` over all requests that come at most ``delay`` late.
+
+    A request is judged when the watermark (``delay`` behind the latest request of all keys) passes it, in the order of (ms, id) within its key;
+    later ones than that are dropped by Spark. A key's state is its waiting requests and its live admissions; event-time timers judge the first and end
+    the last. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
+    """
+    timed = requests.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", delay)
+    return timed.groupBy("key").transformWithStateInPandas(_Judge(window_ms), outputStructType=f"key string, {ADMITTED}", outputMode="Append", timeMode="EventTime")
+
+
 def split_by_cache(files: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, misses) of files (repo, path, hash, ...) against cached facts (repo, path, hash)."""
     keys = ["repo", "path", "hash"]

@@ -25,7 +25,7 @@ from codestrata.streaming import admission
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Those that are run here; the rest take longer and are left to the driver's own comparison.
-CHECKED = ["file_records", "language_shares", "discovered_files", "architecture_connections", "call_resolution", "short_dependency_cycles", "export_mermaid", "rate_limit_admission", "import_resolution", "mounted_routes", "onboarding_tour", "repository_listing", "dependency_cycles", "graph_metrics", "artifact_violations", "artifact_guard", "request_log", "error_responses", "sample_lookup"]
+CHECKED = ["file_records", "language_shares", "discovered_files", "architecture_connections", "call_resolution", "short_dependency_cycles", "export_mermaid", "rate_limit_admission", "import_resolution", "mounted_routes", "onboarding_tour", "repository_listing", "dependency_cycles", "graph_metrics", "artifact_violations", "artifact_guard", "request_log", "error_responses", "sample_lookup", "ignored_files", "audit_whole", "incremental_stream", "event_time_admission", "sql_imports", "pseudonymous_ids"]
 
 
 def plain(x):

@@ -1,10 +1,8 @@
 """Algorithms that must not put a whole repository into one task, against plain versions and at sizes that one task would not take."""
 
 import fnmatch
-import itertools
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from codestrata.functions.prefix import running_total
@@ -100,3 +98,94 @@ def test_diamonds_of_mounts_cost_a_row_a_file(spark):
     found = [x for i in range(20) for side in "bc" for x in ((f"a{i:02d}", f"{side}{i:02d}", "/"), (f"{side}{i:02d}", f"a{i + 1:02d}", "/"))]
     got = mounts.prefixes(_resolved(spark, {"r": sorted(found)})).collect()
     assert len(got) == 60 and {x.prefix for x in got} == {"/"}
+
+
+def plain_ignored(paths, rules):
+    """Paths whose last matching rule (base, line), in the order of depth, base and place, is no exception."""
+    out = set()
+    for path in paths:
+        verdict = None
+        for _, base, _, line in sorted((len([p for p in b.split("/") if p]), b, n, x) for n, (b, x) in enumerate(rules)):
+            if base and not path.startswith(base + "/"):
+                continue
+            negated, body = line.startswith("!"), line.lstrip("!").strip()
+            of_dirs, body = body.endswith("/"), body.rstrip("/")
+            anchored, pattern = "/" in body, body.lstrip("/")
+            parts = (path[len(base) + 1 :] if base else path).split("/")
+            dirs = ["/".join(parts[:i]) for i in range(1, len(parts))]
+            tried = dirs if of_dirs else ["/".join(parts)]
+            if anchored:
+                hit = any(fnmatch.fnmatchcase(t, pattern) or fnmatch.fnmatchcase(t, "**/" + pattern) for t in tried)
+            else:
+                hit = any(fnmatch.fnmatchcase(p, pattern) for p in (parts[:-1] if of_dirs else parts))
+            verdict = negated if hit else verdict
+        if verdict is False:
+            out.add(path)
+    return out
+
+
+def test_ignore_rules_equal_trying_all(spark):
+    r = random.Random(3)
+    names = ["a", "b", "lib", "x.py", "y.py", "x.min.js", "gen", ".env", "z"]
+    paths = sorted({"/".join(r.choice(names) for _ in range(r.randint(1, 5))) for _ in range(250)})
+    shapes = ["{n}", "{n}/", "/{n}", "{n}/{m}", "{n}/{m}/", "*.py", "*.js/", "*.p?", "/*/{n}", "{n}/*", "[ab]", "**/{n}", "*", "{n}*/", "*.min.js", "*.env"]
+    want, rows, trees = set(), [], []
+    for g in range(12):
+        rules = []
+        for _ in range(r.randint(1, 9)):
+            line = r.choice(shapes).format(n=r.choice(names), m=r.choice(names))
+            rules.append((r.choice(["", "", "a", "lib/a", "b"]), ("!" if r.random() < 0.3 else "") + line))
+        # Within a file the order of lines counts, between files depth and name.
+        for base in {b for b, _ in rules}:
+            rows.append((f"g{g}", f"{base}/.gitignore".lstrip("/"), bytearray("\n".join(x for b, x in rules if b == base).encode())))
+        trees += [(f"g{g}", p) for p in paths]
+        want |= {(f"g{g}", p) for p in plain_ignored(paths, [x for b in sorted({b for b, _ in rules}) for x in rules if x[0] == b])}
+    rules = repository.gitignore_rules(spark.createDataFrame(rows, "repo string, path string, content binary"))
+    kept = repository.apply_gitignore(spark.createDataFrame(trees, "repo string, path string"), rules)
+    assert {tuple(x) for x in kept.collect()} == set(trees) - want and len(want) > 300
+
+
+def test_ten_thousand_ignore_rules(spark):
+    """Plain names, endings and paths are met by equality: no pair of a path and a rule that does not fit is made."""
+    lines = [f"f{i}.py" if i % 3 == 0 else f"d{i % 50}/f{i}.py" if i % 3 == 1 else f"*.e{i}" for i in range(10_000)]
+    raw = spark.createDataFrame([("r", ".gitignore", bytearray("\n".join(lines).encode()))], "repo string, path string, content binary")
+    files = spark.range(20_000).select(F.lit("r").alias("repo"), F.format_string("d%d/f%d.%s", F.col("id") % 50, "id", F.when(F.col("id") % 2 == 0, F.lit("py")).otherwise(F.concat(F.lit("e"), F.col("id")))).alias("path"))
+    kept = {x.path for x in repository.apply_gitignore(files, repository.gitignore_rules(raw)).collect()}
+    want = {f"d{i % 50}/f{i}.{'py' if i % 2 == 0 else f'e{i}'}" for i in range(20_000) if i >= 10_000 or not (i % 2 == 0 and i % 3 in (0, 1) or i % 2 and i % 3 == 2)}
+    assert kept == want
+
+
+def test_audit_of_all_rules_equals_joins(spark):
+    """All 23 rules at once against a plain look-up, with null keys, repeated rows and flows of equal node names."""
+    from codestrata.operators import quality
+
+    r = random.Random(2)
+    text = lambda pool, null=0.1: None if r.random() < null else r.choice(pool)
+    data, schema = {}, {}
+    columns = {}
+    for t, c, o, k in quality.REFERENCES:
+        columns.setdefault(t, set()).add(c)
+        columns.setdefault(o, set()).add(k)
+    for t, c, _ in quality.RANGES:
+        columns.setdefault(t, set()).add(c)
+    for t, ks in quality.KEYS:
+        columns.setdefault(t, set()).update(ks)
+    columns["flow_edges"].add("flow")
+    numbers = {c for _, c, _ in quality.RANGES}
+    for t, cs in columns.items():
+        cs = sorted(cs)
+        schema[t] = ", ".join(["repo string"] + [f"{c} {'double' if c in numbers else 'string'}" for c in cs])
+        data[t] = [{"repo": r.choice("rs")} | {c: r.choice([-1.0, 0.0, 0.5, 1.0, 200.0, None]) if c in numbers else text([f"k{i}" for i in range(8)]) for c in cs} for _ in range(12)]
+    got = {t: spark.createDataFrame([tuple(x.values()) for x in rows], schema[t]) for t, rows in data.items()}
+    found = sorted(tuple(x) for x in quality.violations(got).select("repo", "rule", "key").where("rule NOT LIKE '%>=%' AND rule NOT LIKE '%BETWEEN%'").collect())
+    want = []
+    for t, c, o, k in quality.REFERENCES:
+        flow = (lambda x: x["flow"]) if t == "flow_edges" else (lambda x: None)
+        there = {(x["repo"], flow(x), x[k]) for x in data[o]}
+        want += [(g, f"{t}.{c} -> {o}.{k}", v) for g, f, v in {(x["repo"], flow(x), x[c]) for x in data[t] if x[c] is not None} if (g, f, v) not in there]
+    for t, ks in quality.KEYS:
+        keys = [(x["repo"], *(x[k] for k in ks)) for x in data[t]]
+        want += [(k[0], f"{t} unique ({', '.join(ks)})", "/".join(v for v in k[1:] if v is not None)) for k in set(keys) if keys.count(k) > 1]
+    assert found == sorted(want) and len(want) > 20
+    ranges = quality.violations(got).where("rule LIKE '%>=%' OR rule LIKE '%BETWEEN%'").count()
+    assert ranges == quality.out_of_range(got).count() > 10
