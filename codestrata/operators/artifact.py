@@ -1,15 +1,19 @@
 """The analysis of a repository as one JSON artifact: writing, reading behind a shape guard, validation, and the gate.
 
-An artifact is one document about one repository, so each section of it is an array of one row's; discovery bounds the files of a repository.
+``artifacts`` makes one row a repository; ``artifact_lines`` one row an item, which only a reader joins to a document.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 from functools import reduce
+from typing import IO
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import cut
 from . import derive, graphs, quality, technology
 
 VERSION = "1.1.0"
@@ -130,40 +134,110 @@ def _section(df: DataFrame, section: str, order: list[str], /, **fields: Column
     return df.groupBy("repo").agg(F.transform(F.array_sort(F.collect_list(item)), lambda e: e["x"]).alias(section))
 
 
-def artifacts(a, source: str = "local") -> DataFrame:
-    """(repo, json) of all repositories of an analysis, under VERSION, names in camel case."""
+def _sections(a) -> dict[str, tuple[DataFrame, list[str], dict[str, Column | str]]]:
+    """Lists of the artifact: rows, the columns that order them, and the fields of an item."""
     from ..functions.columns import suffix_of
     from . import languages
 
     parsed = suffix_of(F.col("path")).isin(languages.suffixes())
     errors = a.python.where("error IS NOT NULL").select("repo", F.col("file").alias("path"), "error")
     files = a.records.join(errors, ["repo", "path"], "left").withColumn("parsed", parsed & F.col("error").isNull())
+    nodes, edges = a.flows
+    node = nodes.groupBy("repo", "flow").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id", "type", "label", "file", "line"))), lambda e: e.dropFields("n")).alias("nodes"))
+    edge = edges.groupBy("repo", "flow").agg(F.array_sort(F.collect_list(F.struct("source", "target", "type"))).alias("edges"))
+    flows = graphs.flow_summaries(nodes).drop("nodes").join(node, ["repo", "flow"]).join(edge, ["repo", "flow"], "left").withColumn("edges", F.coalesce("edges", F.array().cast(dict(edge.dtypes)["edges"])))
+    return {
+        "components": (a.components, ["ord"], dict(id="id", name="name", type="type", files="files", confidence="confidence", evidence="evidence")),
+        "files": (files, ["path"], dict(id="id", path="path", language="language", lines="lines", bytes="bytes", hash="hash", role="role", parsed="parsed", error="error")),
+        "symbols": (a.symbols, ["file", "ord", "id"], dict(id="id", type="type", name="name", file="file", line="line", endLine="end_line", parent="parent", exported="exported", evidence="evidence")),
+        "imports": (a.imports, ["file", "ord"], dict(id="id", source="file", module="module", names="names", line="line", target="target", external="external")),
+        "calls": (a.calls, ["file", "ord"], dict(id="id", source="source", callee="callee", file="file", line="line", target="target", confidence="confidence")),
+        "routes": (a.routes, ["file", "ord", "id"], dict(id="id", method="method", path="path", handler="handler", file="file", line="line", framework="framework", confidence="confidence")),
+        "databases": (a.boundaries.where("type = 'database'"), ["name"], dict(name="name", type="type", confidence="confidence", evidence=F.coalesce("evidence", F.array().cast("array<struct<file: string, line: int, kind: string>>")))),
+        "externalSystems": (a.boundaries.where("type = 'external_system'"), ["name"], dict(name="name", type="type", confidence="confidence", evidence=F.coalesce("evidence", F.array().cast("array<struct<file: string, line: int, kind: string>>")))),
+        "entrypoints": (a.entrypoints, ["rank"], dict(id=F.concat(F.lit("entry:"), "file"), file="file", kind=F.lit("entrypoint"), score="score", confidence="confidence", evidence="evidence")),
+        "flows": (flows, ["flow"], dict(id="flow", name="name", confidence="confidence", nodes="nodes", edges="edges")),
+        "importantFiles": (a.important, ["rank"], dict(file="file", score="score", reasons="reasons")),
+        "onboarding": (a.tour, ["step"], dict(step="step", title="title", file="file", description="description")),
+        "diagnostics": (a.diagnostics, ["code", "file", "message"], dict(severity="severity", code="code", message="message", file="file")),
+        "connections": (a.connections, ["source", "target"], dict(id="id", source="source", target="target", type="type", weight="weight")),
+    }
+
+
+def section_lines(df: DataFrame, section: str, order: list[str], fields: dict[str, Column | str]) -> DataFrame:
+    """(repo, section, place, json): each item of a section as a line of its own. ``place`` sorts as ``order`` does: whole numbers from 0 on are filled up with zeros."""
+    kinds = dict(df.dtypes)
+    place = F.array(*(F.lpad(F.col(c).cast("string"), 20, "0") if kinds[c] in ("int", "bigint") else F.coalesce(F.col(c), F.lit("")) for c in order))
+    item = F.struct(*((F.col(c) if isinstance(c, str) else c).alias(n) for n, c in fields.items()))
+    return df.select("repo", F.lit(section).alias("section"), place.alias("place"), F.to_json(item, {"ignoreNullFields": "false"}).alias("json"))
+
+
+#: Sections at the top of a document, and those that it nests in another object.
+LISTS = ("files", "symbols", "imports", "calls", "routes", "databases", "externalSystems", "entrypoints", "flows", "importantFiles", "onboarding", "diagnostics")
+NESTED = {"components": "architecture", "connections": "architecture", "fileComponents": "metadata"}
+
+
+def artifact_lines(a, source: str = "local") -> DataFrame:
+    """(repo, section, place, json) of the whole analysis: no row holds more than one item, so a repository may be of any size.
+
+    The section '' has one line a repository, with all that is no long list.
+    """
+    out = artifacts(a, source, lists=False).select("repo", F.lit("").alias("section"), F.array().cast("array<string>").alias("place"), "json")
+    for name, (df, order, fields) in _sections(a).items():
+        out = out.unionByName(section_lines(df, name, order, fields))
+    return out.unionByName(section_lines(a.layers, "fileComponents", ["path"], {"path": "path", "component": "component"}))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Lines in order, dealt by ranges of (repo, section, place): a large section lies in many neighbouring files, each sorted."""
+    lines = cut(lines)  # dealing by ranges reads its input twice, once for a sample
+    lines.repartitionByRange("repo", "section", "place").sortWithinPartitions("repo", "section", "place").write.mode("overwrite").parquet(path)
+
+
+def read_lines(spark: SparkSession, path: str, repo: str) -> DataFrame:
+    """The lines of one repository in the order of a document: '' first, sections that are nested last."""
+    last = F.coalesce(*(F.when(F.col("section") == n, F.lit(i + 1)) for i, n in enumerate(NESTED)), F.lit(0))
+    return spark.read.parquet(path).where(F.col("repo") == repo).orderBy(last, "section", "place")
+
+
+def write_document(lines: DataFrame, out: IO[str]) -> None:
+    """One repository's lines (``read_lines``) as one JSON document, empty lists included. They come partition by partition and are written as they come."""
+    groups = itertools.groupby(lines.toLocalIterator(), lambda r: r.section)
+    head = next(groups, None)
+    if head is None:
+        return
+    out.write(next(head[1]).json[:-1])
+    now, outer = next(groups, None), ""
+    for name in (*sorted(LISTS), *NESTED):
+        inside, mapped = NESTED.get(name, ""), name == "fileComponents"
+        if inside != outer:
+            out.write(("}" if outer else "") + f',"{inside}":{{')
+        else:
+            out.write(",")
+        out.write(f'"{name}":' + ("{" if mapped else "["))
+        if now is not None and now[0] == name:
+            for i, r in enumerate(now[1]):
+                out.write(("," if i else "") + (":".join(json.dumps(v) for v in json.loads(r.json).values()) if mapped else r.json))
+            now = next(groups, None)
+        out.write("}" if mapped else "]")
+        outer = inside
+    out.write("}}")
+
+
+def artifacts(a, source: str = "local", lists: bool = True) -> DataFrame:
+    """(repo, json) of all repositories of an analysis, under VERSION, names in camel case. Without ``lists``, only what is no long list.
+
+    One row a repository: for repositories whose artifact is larger than a row may be, take ``artifact_lines``.
+    """
     tech = a.technologies
     named = {"frameworks": "framework", "infrastructure": "infrastructure", "databases": "database", "externalSystems": "external", "testing": "testing", "buildTools": "build", "tooling": "tooling"}
     groups = tech.groupBy("repo").agg(*(F.array_sort(F.collect_set(F.when(F.col("category") == c, F.col("tech")))).alias(f"fp_{n}") for n, c in named.items()))
     shares = derive.language_shares(a.records).groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "share")))).alias("languages"))
     counts = derive.language_counts(a.records).groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "files")))).alias("languageFileCounts"))
-    nodes, edges = a.flows
-    node = nodes.groupBy("repo", "flow").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id", "type", "label", "file", "line"))), lambda e: e.dropFields("n")).alias("nodes"))
-    edge = edges.groupBy("repo", "flow").agg(F.array_sort(F.collect_list(F.struct("source", "target", "type"))).alias("edges"))
-    flows = graphs.flow_summaries(nodes).drop("nodes").join(node, ["repo", "flow"]).join(edge, ["repo", "flow"], "left").withColumn("edges", F.coalesce("edges", F.array().cast(dict(edge.dtypes)["edges"])))
-    components = _section(a.components, "components", ["ord"], id="id", name="name", type="type", files="files", confidence="confidence", evidence="evidence")
-    sections = [
-        _section(files, "files", ["path"], id="id", path="path", language="language", lines="lines", bytes="bytes", hash="hash", role="role", parsed="parsed", error="error"),
-        _section(a.symbols, "symbols", ["file", "ord", "id"], id="id", type="type", name="name", file="file", line="line", endLine="end_line", parent="parent", exported="exported", evidence="evidence"),
-        _section(a.imports, "imports", ["file", "ord"], id="id", source="file", module="module", names="names", line="line", target="target", external="external"),
-        _section(a.calls, "calls", ["file", "ord"], id="id", source="source", callee="callee", file="file", line="line", target="target", confidence="confidence"),
-        _section(a.routes, "routes", ["file", "ord", "id"], id="id", method="method", path="path", handler="handler", file="file", line="line", framework="framework", confidence="confidence"),
-        _section(a.boundaries.where("type = 'database'"), "databases", ["name"], name="name", type="type", confidence="confidence", evidence=F.coalesce("evidence", F.array().cast("array<struct<file: string, line: int, kind: string>>"))),
-        _section(a.boundaries.where("type = 'external_system'"), "externalSystems", ["name"], name="name", type="type", confidence="confidence", evidence=F.coalesce("evidence", F.array().cast("array<struct<file: string, line: int, kind: string>>"))),
-        _section(a.entrypoints, "entrypoints", ["rank"], id=F.concat(F.lit("entry:"), "file"), file="file", kind=F.lit("entrypoint"), score="score", confidence="confidence", evidence="evidence"),
-        _section(flows, "flows", ["flow"], id="flow", name="name", confidence="confidence", nodes="nodes", edges="edges"),
-        _section(a.important, "importantFiles", ["rank"], file="file", score="score", reasons="reasons"),
-        _section(a.tour, "onboarding", ["step"], step="step", title="title", file="file", description="description"),
-        _section(a.diagnostics, "diagnostics", ["code", "file", "message"], severity="severity", code="code", message="message", file="file"),
-        components,
-        _section(a.connections, "connections", ["source", "target"], id="id", source="source", target="target", type="type", weight="weight"),
-        a.layers.groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "component")))).alias("fileComponents")),
+    sections = [_section(df, name, order, **fields) for name, (df, order, fields) in _sections(a).items()] if lists else []
+    if lists:
+        sections.append(a.layers.groupBy("repo").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "component")))).alias("fileComponents")))
+    sections += [
         technology.stack(tech), groups, shares, counts,
         a.metrics.select("repo", F.struct(F.col("local_dependencies").alias("localDependencies"), F.col("external_dependencies").alias("externalDependencies"), "cycles", "complexity").alias("metrics")),
     ]
@@ -178,5 +252,6 @@ def artifacts(a, source: str = "local") -> DataFrame:
     fingerprint = F.struct(F.map_keys("languages").alias("languages"), *(F.col(f"fp_{n}").alias(n) for n in named), "languageFileCounts")
     repository = F.struct(F.col("repo").alias("name"), F.lit(source).alias("source"), "languages", "fileCount", F.col("source_files").alias("sourceFileCount"), F.col("parsed_files").alias("parsedFileCount"), "lines", fingerprint.alias("fingerprint"))
     listed = [c for s in sections for c in s.columns if c in ("technologies", "files", "symbols", "imports", "calls", "routes", "databases", "externalSystems", "entrypoints", "flows", "importantFiles", "onboarding", "metrics", "diagnostics")]
-    whole = F.struct(F.lit(VERSION).alias("schemaVersion"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("generatedAt"), repository.alias("repository"), *listed, F.struct("components", "connections").alias("architecture"), F.struct("fileComponents").alias("metadata"))
+    nested = [F.struct("components", "connections").alias("architecture"), F.struct("fileComponents").alias("metadata")] if lists else []
+    whole = F.struct(F.lit(VERSION).alias("schemaVersion"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX").alias("generatedAt"), repository.alias("repository"), *listed, *nested)
     return out.select("repo", F.to_json(whole, {"ignoreNullFields": "false"}).alias("json"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, scratch, tables, telemetry
 from ..functions.columns import join_routes, normal_path, parent_of, suffix_of
 from ..operators import artifact, derive, graphs, languages, quality, resolve, technology, views
-from ..sources import corpus, repository
+from ..sources import archives, corpus, repository
 from ..streaming import admission, incremental
 from . import known_facts as known
 from .analysis import Analysis
@@ -521,6 +522,51 @@ def _braced(sql: str) -> str:
     return sql
 
 
+def _line_sql(section: str, source: str, order: list[str], fields: str) -> str:
+    return f"SELECT repo, '{section}' AS section, [{', '.join(order)}] AS place, CAST(to_json({{{fields}}}) AS VARCHAR) AS json FROM {source}"
+
+
+def _padded(column: str) -> str:
+    return f"lpad(CAST({column} AS VARCHAR), 20, '0')"
+
+
+@query(
+    f"WITH {G} "
+    + " UNION ALL ".join(
+        [
+            _line_sql("files", "files", ["path"], "path: path, bytes: bytes"),
+            _line_sql("symbols", "symbols", ["file", _padded("ord"), "id"], "id: id, type: type, name: name, file: file, line: line"),
+            _line_sql("imports", "imports", ["file", _padded("ord")], "source: file, target: target, external: external"),
+            _line_sql("calls", "calls", ["file", _padded("ord")], "source: source, callee: callee, file: file, line: line"),
+        ]
+    )
+)
+def artifact_sections(spark, sf_dir):
+    """Whole sections of the part graph as lines, written in ranges and read back."""
+    g = corpus.part_graph(spark, sf_dir)
+    sections = {
+        "files": (g["files"], ["path"], {"path": "path", "bytes": "bytes"}),
+        "symbols": (g["symbols"], ["file", "ord", "id"], {n: n for n in ("id", "type", "name", "file", "line")}),
+        "imports": (g["imports"], ["file", "ord"], {"source": "file", "target": "target", "external": "external"}),
+        "calls": (g["calls"], ["file", "ord"], {n: n for n in ("source", "callee", "file", "line")}),
+    }
+    parts = [artifact.section_lines(df, name, order, fields) for name, (df, order, fields) in sections.items()]
+    path = f"{scratch.shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    artifact.write_lines(reduce(DataFrame.unionByName, parts), path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT source AS repo, concat('d', doc_id, '.txt') AS path, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, false AS symlink, sha256(text) AS hash FROM documents")
+def archive_entries(spark, sf_dir):
+    """Documents as entries of archives in the shared folder, read back through the archive source, several tasks an archive."""
+    d = table(spark, sf_dir, "documents").select("source", F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("path"), "text")
+    root = f"{scratch.shared_folder(spark)}/archives-{uuid.uuid4().hex}"
+    archives.write_archives(d.select(F.col("source").alias("repo"), "path", F.col("text").cast("binary").alias("content")), root, parts=4)
+    archives.register(spark)
+    found = spark.read.format("repository_archive").option("partitionBytes", 1 << 16).load(root)
+    return found.select(F.substring_index("repo", "-part", 1).alias("repo"), "path", "bytes", "symlink", F.sha2("content", 256).alias("hash"))
+
+
 @query("WITH p AS (SELECT p_partkey, concat(p_brand, '/./', p_type, '/x/../', CAST(p_size AS VARCHAR), '.Tar.GZ') AS path FROM part) SELECT p_partkey, concat(p_brand, '/', p_type, '/', CAST(p_size AS VARCHAR), '.Tar.GZ') AS path, concat(p_brand, '/', p_type) AS parent, '.gz' AS suffix, concat('/', p_brand, '/a') AS route FROM (SELECT part.*, p.path FROM part JOIN p USING (p_partkey))".replace("SELECT part.*, p.path FROM part JOIN p USING (p_partkey)", "SELECT * FROM part"))
 def path_functions(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("path", normal_path(F.concat("p_brand", F.lit("/./"), "p_type", F.lit("/x/../"), F.col("p_size").cast("string"), F.lit(".Tar.GZ"))))
