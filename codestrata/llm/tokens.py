@@ -7,9 +7,7 @@ edge (more than the split looks ahead, and twice the longest added token), where
 such a place the overlap is doubled, up to the left chunk's begin; if that fails too, both are encoded as one chunk, at least twice as long.
 Chunks are encoded in runs of RUN, so a text of any length holds that many encodings at most.
 
-A text of one chunk has no splice and needs no offsets. If the file's split is recognised (``cuts_at_blanks``: byte-level with the usual pattern, no
-normaliser, no added token with a blank or that takes in blanks), a single blank between two characters that are not white space always opens a
-pre-token, and nothing crosses it: such a text's pieces are counted once per task and looked up afterwards.
+A text of one chunk is one encoding: it has no splice and needs no offsets, so the library is not asked for them.
 
 Edge cases: null counts as an empty text (0 bytes, 0 tokens); a text without any splice (one word of megabytes) is encoded whole in the end;
 repeated rows each get their counts; columns named n_tokens, n_bytes or over_limit are replaced, all others are kept; an empty table gives an
@@ -18,9 +16,7 @@ empty result.
 
 from __future__ import annotations
 
-import json
 import os
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -31,15 +27,9 @@ from pyspark.sql import functions as F
 from .common import bound_batches
 
 #: Characters of a chunk and of the overlap of two.
-CHUNK, OVERLAP = 16384, 512
+CHUNK, OVERLAP = 8192, 512
 #: Chunks that are encoded at once.
 RUN = 128
-#: Distinct pieces whose counts a task keeps before it starts afresh.
-CACHE_PIECES = 2_000_000
-
-_UNSAFE = re.compile(r"\s | \s")
-_SAFE_BLANK = re.compile(r"(?<=\S) (?=\S)")
-
 
 def load(path: str):
     """The tokenizer of a ``tokenizers`` JSON file, single-threaded, without truncation or padding."""
@@ -56,36 +46,6 @@ def guard_of(tokenizer) -> int:
     return max(64, *(2 * len(t.content) for t in tokenizer.get_added_tokens_decoder().values()), 0)
 
 
-def cuts_at_blanks(tokenizer) -> bool:
-    """Whether the tokenizer's own description shows that texts may be cut before single blanks."""
-    d = json.loads(tokenizer.to_str())
-    split, model = d.get("pre_tokenizer") or {}, d.get("model") or {}
-    usual = split.get("type") == "ByteLevel" and split.get("use_regex") is True and split.get("add_prefix_space") is False
-    added = all(not (t["lstrip"] or t["rstrip"] or t["single_word"]) and not re.search(r"\s", t["content"]) for t in d.get("added_tokens") or [])
-    return usual and added and d.get("normalizer") is None and model.get("type") == "BPE" and not model.get("dropout")
-
-
-class Pieces:
-    """Counts of texts of one chunk, by pieces that are counted once."""
-
-    def __init__(self, tokenizer):
-        self.tokenizer, self.cuts = tokenizer, cuts_at_blanks(tokenizer)
-        self.after, self.first = {}, {}  # counts of pieces after a blank, and of those that open a text
-
-    def counts(self, texts: list[str]) -> list[int]:
-        if not self.cuts:
-            return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if len(self.after) + len(self.first) > CACHE_PIECES:
-            self.after.clear()
-            self.first.clear()
-        cut = [t.split(" ") if not _UNSAFE.search(t) and t[:1] != " " and t[-1:] != " " else _SAFE_BLANK.split(t) for t in texts]
-        for cache, lead, new in ((self.after, " ", {p for c in cut for p in c[1:]} - self.after.keys()), (self.first, "", {c[0] for c in cut} - self.first.keys())):
-            if new := list(new):
-                cache.update(zip(new, map(len, self.tokenizer.encode_batch_fast([lead + p for p in new], add_special_tokens=False)), strict=True))
-        get = self.after.__getitem__
-        return [self.first[c[0]] + sum(map(get, c[1:])) for c in cut]
-
-
 class Chunk:
     """An encoded stretch of a text: its begin and end, the start of each token in the text, and which tokens open a pre-token.
 
@@ -111,6 +71,12 @@ def splice(left: Chunk, right: Chunk, low: int, high: int) -> tuple[int, int] |
     return None
 
 
+def whole_counts(tokenizer, texts: list[str]) -> Iterator[int]:
+    """Tokens of texts of one chunk, each encoded once and whole."""
+    for at in range(0, len(texts), RUN):
+        yield from map(len, tokenizer.encode_batch_fast(texts[at : at + RUN], add_special_tokens=False))
+
+
 def encoded(tokenizer, texts: list[str], chunk: int, overlap: int) -> Iterator:
     """The encodings of all chunks of all texts of more than one, in order."""
     run: list[str] = []
@@ -125,15 +91,14 @@ def encoded(tokenizer, texts: list[str], chunk: int, overlap: int) -> Iterator:
     yield from tokenizer.encode_batch(run, add_special_tokens=False)
 
 
-def count_tokens(tokenizer, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP, guard: int | None = None, pieces: Pieces | None = None) -> list[int]:
+def count_tokens(tokenizer, texts: list[str], chunk: int = CHUNK, overlap: int = OVERLAP, guard: int | None = None) -> list[int]:
     """Tokens of each text; equal to ``len(tokenizer.encode(text, add_special_tokens=False))``."""
-    pieces = pieces or Pieces(tokenizer)
     guard = guard_of(tokenizer) if guard is None else guard
     if not 2 * guard < overlap < chunk:
         raise ValueError("an overlap is longer than two guards and shorter than a chunk")
     out = []
     encodings = encoded(tokenizer, texts, chunk, overlap)
-    short = iter(pieces.counts([t for t in texts if len(t) <= chunk]))
+    short = iter(whole_counts(tokenizer, [t for t in texts if len(t) <= chunk]))
     for text in texts:
         if len(text) <= chunk:
             out.append(next(short))
@@ -168,9 +133,8 @@ def token_count(text: Column, path: str) -> Column:
     @F.arrow_udf("long")
     def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = load(path)
-        pieces = Pieces(tokenizer)
         for texts in batches:
-            yield pa.array(count_tokens(tokenizer, [x or "" for x in texts.to_pylist()], pieces=pieces), pa.int64())
+            yield pa.array(count_tokens(tokenizer, [x or "" for x in texts.to_pylist()]), pa.int64())
 
     return counts(text)
 

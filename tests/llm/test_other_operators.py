@@ -286,15 +286,6 @@ def test_chunks_resynchronise(chunk, overlap, guard):
     assert tokens.count_tokens(t, texts, chunk, overlap, guard) == [len(t.encode(x, add_special_tokens=False)) for x in texts]
 
 
-def test_pieces_are_cut_only_for_a_recognised_split():
-    import public_tokenizers
-
-    assert tokens.cuts_at_blanks(tokens.load(public_tokenizers.path("byte_bpe_50k.json"))) and not tokens.cuts_at_blanks(tokens.load(public_tokenizers.path("word_bpe_49k.json")))
-    t = tokens.load(public_tokenizers.path("word_bpe_49k.json"))
-    texts = ["A b  c", "", "<|startoftext|> x"]
-    assert tokens.count_tokens(t, texts) == [len(t.encode(x, add_special_tokens=False)) for x in texts]
-
-
 def test_long_texts_of_the_table_resynchronise(spark):
     """Documents longer than a chunk, at production settings: every one is spliced, and all counts are the library's."""
     import public_tokenizers
