@@ -262,3 +262,15 @@ def test_variants_of_nothing(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert queries.op13_spelling_variants(spark, str(tmp_path)).collect() == []
     assert queries.op11_periodic_runs(spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_token_counts_of_short_and_long_texts_equal_the_library(name):
+    """Texts below, at and above one chunk, in one batch."""
+    import public_tokenizers
+    from codestrata.llm import tokens
+
+    t = tokens.load(public_tokenizers.path(name))
+    n = tokens.CHUNK
+    texts = ["A b  c", "", "<|startoftext|> x", "word " * (n // 5), "x" * n, "x y" * n, "é ö\n" * (n // 2), "one two three " * n]
+    assert tokens.count_tokens(t, texts) == [len(t.encode(x, add_special_tokens=False)) for x in texts]
