@@ -43,8 +43,12 @@ CONSTRAINTS = [
     ("flows", "id", "string", None, None), ("flows", "name", "string", None, None), ("flows", "confidence", "number", 0, 1), ("flows", "nodes", "array", None, None), ("flows", "edges", "array", None, None),
     ("architecture.components", "id", "string", None, None), ("architecture.components", "name", "string", None, None), ("architecture.components", "files", "array", None, None), ("architecture.components", "confidence", "number", 0, 1),
     ("architecture.connections", "source", "string", None, None), ("architecture.connections", "target", "string", None, None), ("architecture.connections", "weight", "integer", 1, None),
+    ("diagnostics", "severity", "string", None, None), ("diagnostics", "code", "string", None, None), ("diagnostics", "message", "string", None, None), ("diagnostics", "file", "string?!", None, None),
 ]
 
+# Fields that take one of a few texts.
+ONE_OF = {("diagnostics", "severity"): ("info", "warning", "error")}
+
 # What a viewer asks of an artifact before it shows it.
 SHAPE = [
     ("schemaVersion", "string"), ("repository.name", "some"), ("files", "array"), ("symbols", "array"), ("imports", "array"), ("calls", "array"), ("routes", "array"), ("entrypoints", "array"),
@@ -96,6 +100,8 @@ def violations(artifacts: DataFrame, key: str = "repo", json: str = "json") -> D
         allowed = [base, *(["integer"] if base == "number" else []), *(["null"] if "?" in kind else [])]
         number = F.try_variant_get(value, "$", "double")
         out = F.when(~t.isin(*allowed), f"{name}: {base}")
+        if texts := ONE_OF.get((section, field)):
+            out = out.when(~F.try_variant_get(value, "$", "string").isin(*texts), f"{name}: one of {', '.join(texts)}")
         if least is not None:
             out = out.when(number < least, f"{name}: at least {least}")
         if most is not None:

@@ -127,6 +127,32 @@ def cumulative_size_cap(spark, sf_dir):
     return repository.cumulative_cap(doc_files(spark, sf_dir), 50000).select("repo", "path", "bytes", "total", "within")
 
 
+@query(f"""WITH {DOC_FILES} SELECT repo, 'info' AS severity, 'skipped_file_size_limit' AS code, concat('Skipped ', path, ': file_size_limit') AS message, path AS file FROM files WHERE bytes > 9000
+    AND NOT list_has_any(string_split(path, '/'), {_list(fixed.IGNORED_DIRS)}) AND ({SUFFIX} IN {_in(fixed.SUFFIXES)} OR regexp_extract(path, '[^/]*$') IN {_in(fixed.SPECIAL_NAMES)})""")
+def skipped_file_diagnostics(spark, sf_dir):
+    """What discovery says of the files that it skips, with a limit of 9 000 bytes a file."""
+    raw = doc_files(spark, sf_dir).select("repo", "path", F.col("content").cast("binary").alias("content"), "bytes", F.lit(False).alias("symlink"))
+    return views.skipped_diagnostics(repository.discover(raw, repository.Limits(files=10**9, file_bytes=9000), gitignore=False)[1])
+
+
+@query(f"WITH {DOC_FILES} SELECT repo, path, CASE WHEN bytes % 11 = 0 THEN 'Skipped' WHEN {SUFFIX} IN {_in(fixed.PY_SUFFIXES + fixed.JS_SUFFIXES)} THEN 'Parsed' ELSE 'Indexed' END AS status FROM files")
+def file_statuses(spark, sf_dir):
+    """Files with an error, those of a language with an analyser, and the rest."""
+    f = doc_files(spark, sf_dir)
+    error = F.when(F.col("bytes") % 11 == 0, F.lit("parse_error"))
+    return f.select("repo", "path", views.file_status(error, suffix_of(F.col("path")).isin(fixed.PY_SUFFIXES + fixed.JS_SUFFIXES)).alias("status"))
+
+
+_SQL_TEXT = "CASE WHEN doc_id % 6 = 1 THEN concat(text, ' SELECT a FROM b ') WHEN doc_id % 6 = 2 THEN concat(text, ' selected from ') ELSE text END"
+
+
+@query(f"WITH f AS (SELECT concat(source, '/', doc_id) AS repo, {_doc_path('VARCHAR')} AS path, {_SQL_TEXT} AS content FROM documents) SELECT DISTINCT repo, 'database' AS category, 'SQL database' AS tech FROM f WHERE suffix(path, '.sql') OR regexp_matches(content, '{fixed.SQL_WORDS}')")
+def sql_text_tags(spark, sf_dir):
+    """Repositories, one a document, with an SQL file or SQL in a text."""
+    d = table(spark, sf_dir, "documents")
+    return technology.sql_tags(d.select(F.concat_ws("/", "source", "doc_id").alias("repo"), F.expr(_doc_path("STRING")).alias("path"), F.expr(_SQL_TEXT).alias("content")))
+
+
 @query(f"WITH {RECORDS} SELECT repo, path, language FROM records WHERE contains(lower(path), 'd1') OR contains(lower(language), 'd1')")
 def file_search(spark, sf_dir):
     return views.search_files(derive.file_records(doc_files(spark, sf_dir)), "D1").select("repo", "path", "language")
@@ -456,6 +482,17 @@ def export_json(spark, sf_dir):
     return views.architecture_json(g["components"], g["connections"]).select("repo", F.size(back["components"]).cast("long").alias("components"), F.size(F.flatten(back["components"]["files"])).cast("long").alias("files"))
 
 
+@query(
+    f"""WITH {COMPONENTS}, {CONNECTIONS}, a AS (SELECT repo, list({{id: id, name: name, type: type, files: files, confidence: confidence, evidence: evidence}} ORDER BY ord) AS c FROM components GROUP BY repo),
+    b AS (SELECT repo, list({{id: id, source: source, target: target, type: type, weight: weight}} ORDER BY source, target) AS e FROM connections GROUP BY repo)
+    SELECT repo, CAST(to_json({{components: c, connections: coalesce(e, [])}}) AS VARCHAR) AS json FROM a LEFT JOIN b USING (repo)"""
+)
+def export_json_text(spark, sf_dir):
+    """The whole JSON export of each repository."""
+    g = _graph(spark, sf_dir)
+    return views.architecture_json(g["components"], g["connections"])
+
+
 @query(
     f"""WITH {G}, f AS (SELECT * FROM files WHERE n % 17 <> 0) SELECT repo, 'symbols.file -> files.path' AS rule, file AS key FROM symbols WHERE (repo, file) NOT IN (SELECT (repo, path) FROM f)
     UNION SELECT repo, 'imports.file -> files.path', file FROM imports WHERE (repo, file) NOT IN (SELECT (repo, path) FROM f) UNION SELECT repo, 'imports.target -> files.path', target FROM imports WHERE target IS NOT NULL AND (repo, target) NOT IN (SELECT (repo, path) FROM f)"""
@@ -928,6 +965,7 @@ _BREAKS = [
     ("", "", None, None, True), ('"flows":[],', "", "flows: required", None, False), ('"fileCount":1', '"fileCount":-1', "repository.fileCount: at least 0", None, True),
     ('"confidence":0.5', '"confidence":2', "routes[].confidence: at most 1", 0, True), ('"line":3', '"line":"3"', "routes[].line: integer", 0, True),
     ('"metrics":{}', '"metrics":null', "metrics: object", None, False), ('"name":"r"', '"name":""', None, None, False), ("{", "", "object", None, False),
+    ('"diagnostics":[]', '"diagnostics":[{"severity":"info","code":"c","message":"m"},{"severity":"fatal","code":"c","message":"m","file":null}]', "diagnostics[].severity: one of info, warning, error", 1, True),
 ]
 
 
