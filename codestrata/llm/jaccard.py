@@ -182,17 +182,25 @@ def _sizes_fit(a: str, b: str, percent: int) -> Column:
     return F.lit(100).cast("long") * F.least(a, b) >= F.lit(percent).cast("long") * F.greatest(a, b)
 
 
-def row_ids(docs: DataFrame, key: str, text: str) -> Column:
-    """A long for each row: the key itself if it is an integer (small ids shuffle small), else a hash of key and text. It may repeat."""
-    whole = dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint")
+def row_ids(docs: DataFrame, key: str, text: str, hashed: bool = False) -> Column:
+    """A long for each row: the key itself if it is an integer (small ids shuffle small), else, or if ``hashed``, a hash of key and text. It may repeat."""
+    whole = not hashed and dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint")
     return F.coalesce(F.col(key).cast("long"), F.xxhash64(F.col(text))) if whole else F.xxhash64(F.col(key), F.col(text))
 
 
 def prepare(docs: DataFrame, key: str, text: str, n: int, percent: int, number: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows: id, k, size, key of every text; sets: k, size, l, grams, m of each distinct set that may have a partner), written tables."""
     bound_batches(docs.sparkSession)
-    texts = docs.select(row_ids(docs, number or key, text).alias("id"), F.col(key).alias("key"), F.col(text).cast("binary").alias("__text"))
-    rows = written(signatures(texts, n), "signatures")
+
+    def numbered(hashed: bool) -> tuple[DataFrame, DataFrame]:
+        texts = docs.select(row_ids(docs, number or key, text, hashed).alias("id"), F.col(key).alias("key"), F.col(text).cast("binary").alias("__text"))
+        return texts, written(signatures(texts, n), "signatures")
+
+    texts, rows = numbered(False)
+    # Texts are met by id below: unlike texts under one id would meet in the square of their number.
+    if rows.groupBy("id").agg(F.min("k").alias("a"), F.max("k").alias("b")).where("a <> b").limit(1).count():
+        discard(rows)
+        texts, rows = numbered(True)
     size = F.col("size").cast("long")
     need = F.ceil(size * percent / F.lit(100))
 

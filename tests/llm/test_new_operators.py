@@ -274,3 +274,19 @@ def test_token_counts_of_short_and_long_texts_equal_the_library(name):
     n = tokens.CHUNK
     texts = ["A b  c", "", "<|startoftext|> x", "word " * (n // 5), "x" * n, "x y" * n, "é ö\n" * (n // 2), "one two three " * n]
     assert tokens.count_tokens(t, texts) == [len(t.encode(x, add_special_tokens=False)) for x in texts]
+
+
+def test_unlike_texts_under_one_id_take_linear_time(spark):
+    """5 000 unlike texts under one id, and two near ones: the same classes as under ids of their own, by hashes of id and text."""
+    import time
+
+    from codestrata.llm import jaccard
+
+    r = random.Random(1)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(12)) for _ in range(5000)]
+    texts += [texts[7] + " " + " ".join(f"v{i}" for i in range(40)), texts[7] + " " + " ".join(f"v{i}" for i in range(39)) + " end"]
+    began = time.time()
+    found = jaccard.classes(spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")).collect()
+    assert len(found) == len(texts) and {x.component_id for x in found} == {1} and time.time() - began < 150
+    links = jaccard.links(spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string"))[1]
+    assert links.count() == 1
