@@ -6,20 +6,32 @@ the last return the columns of ``documents``. Near duplicates are decided by row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import decontam, jaccard, langid, packing, substrings, tokens
-from codestrata.llm.common import small, written
+from codestrata.llm.common import discard, small, written
 
 #: A text stays if some language is at least this likely; text without letters never is.
 MIN_SCORE = 0.35
+#: Columns that operators read.
+READ = ("doc_id", "text")
+
+
+def _packed_row(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, __row: all other columns), so that what operators add replaces no column of the corpus, whatever its name."""
+    return docs.select(*READ, F.struct(*(F.col(c) for c in docs.columns if c not in READ)).alias("__row"))
+
+
+def _columns(docs: DataFrame, **new: Column) -> list[Column]:
+    """The columns of ``docs`` from packed rows, some of them replaced."""
+    return [new.get(c, F.col(c) if c in READ else F.col("__row")[c]).alias(c) for c in docs.columns]
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that are not text in a known language: null, without a letter, or undecided."""
-    found = langid.identify(docs, docs)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(docs.columns)
+    found = langid.identify(_packed_row(docs), docs)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(_columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,15 +52,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated windows of 35 words out of the texts; a document of which nothing is left goes."""
-    found = substrings.remove_repeats(docs)
-    cut = found.withColumn("text", F.col("repeats.kept")).withColumn("n_chars", F.length("text").cast("long"))
-    return cut.where("repeats.n_removed = 0 OR repeats.n_removed < repeats.n_words").select(docs.columns)
+    found = substrings.remove_repeats(_packed_row(docs)).where("repeats.n_removed = 0 OR repeats.n_removed < repeats.n_words")
+    kept = F.col("repeats.kept")
+    return found.select(_columns(docs, text=kept, n_chars=F.length(kept).cast("long")))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    found = decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("hits.n_hit = 0").select(docs.columns)
+    found = decontam.decontaminate(_packed_row(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where("hits.n_hit = 0").select(_columns(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,6 +85,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            discard(before)  # the table after it is written
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
