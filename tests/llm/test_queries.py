@@ -109,3 +109,14 @@ def test_near_duplicates_decide_by_row(spark):
     plain = [x for x in got if x[0] != 9 and " d5 " not in (x[1] or "")]
     assert sorted(plain, key=repr) == sorted([(5, " ".join(a)), (7, " ".join(b)), (None, "alone without any id"), (None, None), (11, "twice the same")], key=repr)
     assert [x[0] for x in got if x not in plain] in ([9, None], [None, 9])
+
+
+def test_stages_keep_columns_of_the_names_that_operators_add(spark):
+    """A corpus with columns named like the operators' results keeps their values through every filtering stage."""
+    words = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en'").select("text").first().text
+    docs = spark.createDataFrame([(1, words, "en", "s", 5, "mine", 0.25, "h", "r", "k"), (2, words + " and more of it", "en", "s", 5, "yours", 0.5, "i", "t", "l")], "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, hits string, repeats string, kept string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert (r.lang_pred, r.score, r.hits, r.repeats, r.kept) == (("mine", 0.25, "h", "r", "k") if r.doc_id == 1 else ("yours", 0.5, "i", "t", "l")), name
