@@ -88,6 +88,7 @@ def diagnostics(targeted: DataFrame, routes: DataFrame, ways: DataFrame) -> Data
     without a way from the top."""
     open_ = targeted.where("state = 'unresolved'")
     loose = F.col("dynamic") | F.col("prefix").isNull()
+    # The codes and the texts of the messages in this function.
     dynamic = F.concat(F.lit('Could not resolve dynamic Express mount "'), _call(), F.lit('" at line '), "line", F.lit("; routes beneath this mount may be missing or have incomplete paths."))
     static = F.concat(F.lit('Could not resolve Express router target "'), "target_expression", F.lit('" mounted at "'), F.coalesce(F.nullif("prefix", F.lit("")), F.lit("/")), F.lit('" on line '), "line", F.lit("; routes beneath this mount may be missing."))
     first = open_.select("repo", F.when(loose, "DYNAMIC_ROUTE_MOUNT_UNRESOLVED").otherwise("EXPRESS_ROUTE_MOUNT_UNRESOLVED").alias("code"), "file", F.when(loose, dynamic).otherwise(static).alias("message"))
