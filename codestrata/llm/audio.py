@@ -4,11 +4,15 @@ A recording's frames (Hann window, overlapping) are folded into twelve pitch cla
 classes an integral image is kept, so that each filter (a difference of two or three rectangles) costs a few look-ups. Sixteen filters,
 each quantised to two bits in Gray code, give one packed 32-bit integer per frame. Index keys are the upper or lower halves of two integers HOP
 frames apart; where a key stands at several frames in a row (a steady tone), the first one counts. A search joins equal keys, votes for the
-offset between two recordings, and takes the bit error rate of all overlapping frames at each offset that got enough votes.
+offset between two recordings, and takes the bit error rate of all overlapping frames at each offset that got enough votes. A query's keys are also
+looked up with each single bit changed, so that a vote is a pair of keys of at most one bit of error.
 
 A match is an overlap of at least MIN_OVERLAP integers (or of the whole shorter print) with a bit error of at most MAX_ERROR. It takes one vote for each
-VOTE_EVERY overlapping integers, at least 1 and at most MOST_VOTES. With independent errors of 0.1 a key survives with probability 0.9 ** 32 = 0.034, so
-180 frames give some 12 votes; tests measure recall over brute force (at least 0.9). Equal prints match outright, whatever their length.
+VOTE_EVERY overlapping integers, at least 1 and at most MOST_VOTES. With independent errors of 0.2 a key has at most one wrong bit with probability
+0.8 ** 32 + 32 * 0.2 * 0.8 ** 31 = 0.007, so 180 frames of two keys give some 2.5 votes. Tests measure recall over brute force, without the matches of
+queries with themselves (at least 0.9). Equal prints match outright, whatever their length.
+
+Keys that many prints share (silence, a steady tone) are dealt over a grid of parts, so many for the prints and so many for the queries' keys.
 
 Equal fingerprints are one class with its least id and size; classes and not their members are joined, so copies cost nothing.
 
@@ -26,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, small, spread_join, written
+from .common import BROADCAST_BYTES, HOT_KEYS, bound_batches, small, spread_join, written
 
 RATE, FRAME, STEP = 4000, 512, 128
 #: Frames between the two integers of an index key.
 HOP = 12
 #: Most bits in error, least integers that overlap, and what votes a match takes (see above).
-MAX_ERROR = 0.12
-MIN_OVERLAP, VOTE_EVERY, MOST_VOTES = 16, 24, 4
+MAX_ERROR = 0.2
+MIN_OVERLAP, VOTE_EVERY, MOST_VOTES = 16, 24, 2
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -144,6 +148,31 @@ def index_keys(size: Column) -> Column:
     return F.concat(keys(0), keys(1))
 
 
+def neighbours(code: Column) -> Column:
+    """Array of a code and all codes that differ from it in one bit of the key."""
+    return F.transform(F.sequence(F.lit(0), F.lit(32)), lambda b: F.when(b == 0, code).otherwise(code.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
+
+
+def met(postings: DataFrame, own: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """All pairs of rows of equal code. ``own`` is broadcast up to ``limit`` bytes; beyond it both sides are shuffled by code.
+
+    A code is hot on a side where it has more than one in HOT_KEYS of that side's rows, so at most 2 * HOT_KEYS codes are. Its rows in ``postings`` are
+    dealt over a parts and repeated b times, its rows in ``own`` are dealt over b parts and repeated a times: each pair meets once.
+    """
+    if own.count() * 40 <= limit:
+        return postings.join(F.broadcast(own), "code")
+    sides = written(own.groupBy("code").agg(F.count("*").alias("m")).join(postings.groupBy("code").agg(F.count("*").alias("n")), "code"), "code-counts")
+    n, m = (max(1, (x or 0) // HOT_KEYS) for x in sides.agg(F.sum("n"), F.sum("m")).first())
+    grid = F.broadcast(sides.where((F.col("n") > n) | (F.col("m") > m)).select("code", F.ceil(F.col("n") / n).cast("int").alias("a"), F.ceil(F.col("m") / m).cast("int").alias("b")))
+
+    def dealt(df: DataFrame, mine: str, other: str, *by: str) -> DataFrame:
+        part = F.coalesce(F.pmod(F.xxhash64(*by), F.col(mine)), F.lit(0)).cast("int").alias(f"__{mine}")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)).alias(f"__{other}")
+        return df.join(grid, "code", "left").select(*df.columns, part, every)
+
+    return dealt(postings, "a", "b", "c", "pos").join(dealt(own, "b", "a", "q", "q_pos").hint("merge"), ["code", "__a", "__b"]).drop("__a", "__b")
+
+
 def search(prints: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     """(query, match_id: least id of the matching class, class_size, offset in frames, votes, bit_error) for every query and class.
 
@@ -154,8 +183,8 @@ def search(prints: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     classes = written(p.where(F.size("print") > 0).groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.min("print").alias("print")), "classes")
     asked = written(queries.select(F.col(key).alias("id")).distinct().join(p.select("id", "c"), "id").distinct(), "asked")
     postings = classes.where(F.size("print") > HOP).select("c", F.size("print").alias("size"), F.explode(index_keys(F.size("print"))).alias("x")).select("c", "size", "x.pos", "x.code")
-    own = written(postings.join(small(asked.select("c").distinct(), 16), "c", "left_semi").select(F.col("c").alias("q"), F.col("size").alias("q_size"), F.col("pos").alias("q_pos"), "code"), "asked-postings")
-    votes = postings.join(small(own, 40), "code").where("c <> q").groupBy("q", "c", "q_size", "size", (F.col("pos") - F.col("q_pos")).alias("offset")).agg(F.count("*").alias("votes"))
+    own = written(postings.join(small(asked.select("c").distinct(), 16), "c", "left_semi").select(F.col("c").alias("q"), F.col("size").alias("q_size"), F.col("pos").alias("q_pos"), F.explode(neighbours(F.col("code"))).alias("code")), "asked-postings")
+    votes = met(postings, own).where("c <> q").groupBy("q", "c", "q_size", "size", (F.col("pos") - F.col("q_pos")).alias("offset")).agg(F.count("*").alias("votes"))
     overlap = F.least(F.col("q_size"), F.col("size") - F.col("offset")) - F.greatest(F.lit(0), -F.col("offset"))
     enough = F.greatest(F.lit(1), F.least(F.lit(MOST_VOTES), F.floor(overlap / VOTE_EVERY)))
     good = written(votes.where((F.col("votes") >= enough) & (overlap >= F.least(F.lit(MIN_OVERLAP), "q_size", "size"))).select("q", "c", "offset", "votes"), "offsets")
