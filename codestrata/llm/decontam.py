@@ -2,19 +2,22 @@
 
 Texts and items are normalised alike: A-Z become a-z, and every byte outside words (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``,
 so digits, letters and all bytes of non-ASCII characters are kept) separates words. A window is ``window`` consecutive words
-of an item; an item with fewer words, but not none, is one window. The normalised text has exactly one blank between words,
-so that an occurrence's place gives its words, and a word's place in the original is looked up only in texts that are hit.
+of an item; an item with fewer words, but not none, is one window. The automaton runs over words, not bytes: each of the SHORT commonest words of
+the items is one letter, any other word of theirs two, and a word that no item has is a letter without edges. So a node stands for a word
+or half of one. An occurrence's last letter gives its words, and a word's place in the original is looked up only in texts that are hit.
 
 Edge cases: a null or wordless text has no words and no hits; a null or wordless item has no windows; repeated rows each
 get their own result; a very long text is scanned whole, at several times its size in memory; a column named hits is replaced;
 items with equal windows are all reported; items whose id is null hit like any other and stand as one null, the
-last of a text's items (which counts as one item and leaves joined ids as they are, as in the SQL); an empty benchmark leaves every text clean.
+last of a text's items (which counts as one item and leaves joined ids as they are, as in the SQL); an empty benchmark leaves every text clean;
+a very long item is cut into parts that share ``window - 1`` words, so that no window is lost.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, written
 
-#: Bytes of benchmark that are broadcast and held as automata at a time.
-BENCHMARK_BYTES = 128 << 20
-
-#: Normalised item text that one automaton takes; a larger benchmark is scanned with several automata, one after another.
-AUTOMATON_BYTES = 32 << 20
+#: Nodes of an automaton, at some 55 bytes each. Nodes are counted (from above) before one is built; a benchmark of more is taken in blocks.
+NODES = 6_000_000
+#: Longer items are cut into parts of so many windows, so that blocks come out even.
+PART_WINDOWS = 10_000
+#: Words that are one letter of the automaton. Bounds how many edges a node has, since edges are searched one by one.
+SHORT = 512
 
 HITS_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
@@ -41,51 +45,68 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
-def windows_of(text: bytes | None, window: int) -> list[bytes]:
-    """Distinct windows of an item, in order."""
+def parts_of(text: bytes | None, window: int, most: int = PART_WINDOWS) -> list[tuple[bytes, int]]:
+    """(normalised text, most nodes that its windows take) of the parts of an item, each of at most ``most`` windows."""
     words = words_of(text)
     if not words:
         return []
-    return list(dict.fromkeys(b" ".join(words[i : i + window]) for i in range(max(1, len(words) - window + 1))))
-
-
-def automata(items: list[tuple[str | None, bytes | None]], window: int, limit: int = AUTOMATON_BYTES) -> list:
-    """Automata over the windows of (id, text) items; each value is (words of the window, ids of its items)."""
-    import ahocorasick
-
-    groups: dict[bytes, list[str | None]] = {}
-    for item, text in items:
-        for w in windows_of(text, window):
-            groups.setdefault(w, []).append(item)
-    out, size, current = [], 0, None
-    for w, ids in groups.items():
-        if current is None or size > limit:
-            current, size = ahocorasick.Automaton(), 0
-            out.append(current)
-        current.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(ids)))
-        size += len(w)
-    for a in out:
-        a.make_automaton()
-    return out
-
-
-def scan(text: bytes | None, machines: list) -> tuple[int, int, list[str | None], list[tuple[int, int]]]:
+    starts = range(0, max(1, len(words) - window + 1), most)
+    parts = [words[i : i + most + window - 1] for i in starts]
+    return [(b" ".join(p), 2 * min(window, len(p)) * max(1, len(p) - window + 1)) for p in parts]
+
+
+class Machine:
+    """The automaton over the windows of (id, text) items. ``ids[value]`` are a window's items, ``sizes[value]`` its words."""
+
+    def __init__(self, items: list[tuple[str | None, bytes | None]], window: int):
+        import ahocorasick
+
+        counts = Counter(w for _, text in items for w in words_of(text))
+        self.letters = {w: self.letter(rank) for rank, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])))}
+        self.ids: list[list[str | None]] = []
+        self.sizes: list[int] = []
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for item, text in items:
+            letters = [self.letters[w] for w in words_of(text)]
+            for i in range(max(1, len(letters) - window + 1) if letters else 0):
+                key = "".join(letters[i : i + window])
+                at = self.automaton.get(key, -1)
+                if at < 0:
+                    self.automaton.add_word(key, len(self.ids))
+                    self.ids.append([item])
+                    self.sizes.append(min(window, len(letters)))
+                elif self.ids[at][-1] != item:
+                    self.ids[at].append(item)
+        if self.ids:
+            self.automaton.make_automaton()
+
+    @staticmethod
+    def letter(rank: int) -> str:
+        """One letter for the commonest words; for others a leading one of another range and a trailing one of a third."""
+        high, low = divmod(rank - SHORT, SHORT)
+        return chr(0x100 + rank) if rank < SHORT else chr(0x1000 + high) + chr(0x100 + SHORT + low)
+
+
+#: The letter of a word that no item has: it has no edges.
+UNKNOWN = "\x01"
+
+
+def scan(text: bytes | None, machine: Machine) -> tuple[int, int, list[str | None], list[tuple[int, int]]]:
     """(words, words hit, ids of items with an occurrence, byte spans of hit runs in the original text)."""
     words = words_of(text)
-    if not words or not machines:
+    if not words or not machine.ids:
         return len(words), 0, [], []
-    normal = f" {b' '.join(words).decode('latin-1')} "
-    found = [(end, value) for a in machines for end, value in a.iter(normal)]
+    letters = [machine.letters.get(w, UNKNOWN) for w in words]
+    found = list(machine.automaton.iter("".join(letters)))
     if not found:
         return len(words), 0, [], []
-    blanks = np.cumsum(np.frombuffer(normal.encode("latin-1"), np.uint8) == 32)
+    ends = np.cumsum([len(x) for x in letters])  # letters up to the end of each word
     cover = np.zeros(len(words) + 1, np.int64)
-    ids: set[str | None] = set()
-    for end, (n, items) in found:
-        last = int(blanks[end]) - 1  # the words before this blank
-        cover[last - n] += 1
-        cover[last] -= 1
-        ids.update(items)
+    last = np.searchsorted(ends, np.array([end for end, _ in found]) + 1) + 1
+    values = [value for _, value in found]
+    np.add.at(cover, last - np.array([machine.sizes[v] for v in values]), 1)
+    np.add.at(cover, last, -1)
+    ids = {i for v in set(values) for i in machine.ids[v]}
     hit = np.cumsum(cover[:-1]) > 0
     edge = np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))
     places = [m.span() for m in _WORD.finditer(text.translate(_TABLE))]
@@ -93,22 +114,38 @@ def scan(text: bytes | None, machines: list) -> tuple[int, int, list[str | None]
     return len(words), int(hit.sum()), sorted(ids, key=lambda x: (x is None, x or "")), spans
 
 
-_built: dict[str, list] = {}
+_built: dict[str, Machine] = {}
 
 
-def machines_of(items: list[tuple[str | None, bytes | None]], window: int, token: str) -> list:
-    """Automata of the items, built once per worker process and kept until those of another call are asked for."""
+def machine_of(items: list[tuple[str | None, bytes | None]], window: int, token: str) -> Machine:
+    """The automaton of the items, built once per worker process and kept until that of another call is asked for."""
     if token not in _built:
         _built.clear()
-        _built[token] = automata(items, window)
+        _built[token] = Machine(items, window)
     return _built[token]
 
 
-def blocks_of(benchmark: DataFrame, limit: int) -> list[DataFrame]:
-    """The benchmark (id, text) in parts of at most about ``limit`` bytes, by a hash of both columns; one part if it is small enough."""
-    size = benchmark.agg(F.sum(F.coalesce(F.octet_length(benchmark.columns[1]), F.lit(0)) + 16)).first()[0] or 0
-    n = -(-size // limit)
-    return [benchmark] if n <= 1 else [benchmark.where(F.pmod(F.xxhash64(*benchmark.columns), F.lit(n)) == i) for i in range(n)]
+def _parts(window: int):
+    """A function of item texts that gives their parts."""
+
+    @F.arrow_udf("array<struct<part: binary, nodes: long>>")
+    def parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.struct([("part", pa.binary()), ("nodes", pa.int64())]))
+        for texts in batches:
+            yield pa.array([[{"part": p, "nodes": n} for p, n in parts_of(x.as_py(), window)] for x in texts], kind)
+
+    return parts
+
+
+def blocks_of(benchmark: DataFrame, window: int, limit: int) -> list[DataFrame]:
+    """The benchmark (id, text) as parts of items in blocks of about ``limit`` nodes, by a hash of both columns; one block if it is small enough."""
+    parts = benchmark.select("id", F.explode(_parts(window)(F.col("text"))).alias("x")).select("id", F.col("x.part").alias("text"), F.col("x.nodes").alias("nodes"))
+    n = -(-(parts.agg(F.sum("nodes")).first()[0] or 0) // limit)
+    parts = parts.select("id", "text")
+    if n <= 1:
+        return [parts]
+    parts = written(parts, "benchmark-parts")
+    return [parts.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == i) for i in range(n)]
 
 
 def merged(text: bytes, parts: list[dict]) -> dict:
@@ -133,9 +170,9 @@ def _hits(items, window: int):
 
     @F.arrow_udf(HITS)
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        machines = machines_of(items.value, window, token)
+        machine = machine_of(items.value, window, token)
         for texts in batches:
-            rows = [scan(x.as_py(), machines) for x in texts]
+            rows = [scan(x.as_py(), machine) for x in texts]
             yield pa.array([{"n_words": n, "n_hit": h, "items": ids, "spans": [{"start": a, "end": b} for a, b in spans]} for n, h, ids, spans in rows], HITS_ARROW)
 
     return hits
@@ -153,18 +190,18 @@ def _both():
     return both
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, limit: int = BENCHMARK_BYTES) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, limit: int = NODES) -> DataFrame:
     """All rows and columns of ``docs`` plus ``hits``: (n_words, n_hit, items, spans), spans as byte offsets into the text.
 
-    The size of the benchmark is looked at first. Up to ``limit`` bytes it is read once to the driver, sent with the tasks, and each text is scanned
-    once; no shuffle. A larger one is taken in blocks of that size, one after another: each block's hits are written with the rows before
-    the next one starts, so no more than one block is held at a time.
+    The nodes that the benchmark takes are counted first. Up to ``limit`` of them it is read once to the driver, sent with the tasks, and each text is
+    scanned once by one automaton; no shuffle. A larger one is taken in blocks of that size, one after another: each block's hits are written with the
+    rows before the next one starts, so no more than one block is held at a time.
     """
     bound_batches(docs.sparkSession)
-    blocks = blocks_of(benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("binary").alias("text")), limit)
+    blocks = blocks_of(benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).cast("binary").alias("text")), window, limit)
     out = docs
     for i, block in enumerate(blocks):
-        hits = _hits(docs.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1]) if r[1] is not None else None) for r in block.toLocalIterator()]), window)
+        hits = _hits(docs.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in block.toLocalIterator()]), window)
         t = F.col(text).cast("binary")
         out = out.withColumn("hits", hits(t)) if not i else out.withColumn("__now", hits(t)).withColumn("hits", _both()(t, "hits", "__now")).drop("__now")
         if len(blocks) > 1:

@@ -1,8 +1,11 @@
 """Decontamination, substring dedup and Jaccard classes against brute force, and their edge cases."""
 
 import hashlib
+import pathlib
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
@@ -165,8 +168,41 @@ def test_decontamination_of_nothing(spark):
     df = spark.createDataFrame([(1, "a b", "s"), (2, None, "s")], DOCS)
     assert [tuple(r.hits)[:2] for r in decontam.decontaminate(df, none).orderBy("doc_id").collect()] == [(2, 0), (0, 0)]
     assert decontam.decontaminate(spark.createDataFrame([], DOCS), none).collect() == []
-    many = decontam.automata([(str(i), f"item number {i} has some words of its own here and there".encode()) for i in range(50)], 10, limit=200)
-    assert len(many) > 1 and decontam.scan(b"item number 7 has some words of its own here", many)[2] == ["7"]
+    machine = decontam.Machine([(str(i), f"item number {i} has some words of its own here and there".encode()) for i in range(50)], 10)
+    assert decontam.scan(b"item number 7 has some words of its own here", machine)[2] == ["7"]
+
+
+def test_decontamination_with_many_words_and_long_items():
+    """More words than single letters, and items in parts: as one item says without parts."""
+    rng = random.Random(7)
+    items = [(str(i), " ".join(f"w{min(rng.randrange(3000), rng.randrange(3000))}" for _ in range(rng.choice((3, 9, 10, 400))))) for i in range(40)]
+    texts = [" ".join(items[i][1].split()[3:k] + ["unseen", "w1"] + items[-1 - i][1].split()[-12:]) for i in range(40) for k in (9, 14, 200)]
+    parts = [(k, p) for k, t in items for p, _ in decontam.parts_of(t.encode(), 10, most=50)]
+    assert len(parts) > len(items)
+    whole, cut = decontam.Machine([(k, t.encode()) for k, t in items], 10), decontam.Machine(parts, 10)
+    assert len(whole.letters) > decontam.SHORT and len(whole.ids) == len(cut.ids)
+    for t in texts:
+        assert decontam.scan(t.encode(), whole) == decontam.scan(t.encode(), cut)
+        assert decontam.scan(t.encode(), whole)[:3] == brute_hits(t, items)
+
+
+def test_decontamination_bounds_memory_by_nodes(spark, tmp_path):
+    """A benchmark of 20 MB is dealt into blocks; the automaton of a block takes under a gigabyte, its text and words included."""
+    lines = spark.range(2000).selectExpr("cast(id as string) AS id", "array_join(transform(sequence(0, 1299), i -> hex(xxhash64(id, i) % 3000000)), ' ') AS t").selectExpr("id", "cast(t as binary) AS text")
+    assert lines.selectExpr("sum(octet_length(text))").first()[0] > 20e6
+    blocks = decontam.blocks_of(lines, 10, decontam.NODES)
+    assert len(blocks) > 4
+    first = f"{tmp_path}/block"
+    blocks[0].coalesce(1).write.parquet(first)
+    code = (
+        "import resource, sys, pyarrow.parquet as pq\nfrom codestrata.llm import decontam\n"
+        "t = pq.read_table(sys.argv[1]).to_pydict()\nm = decontam.Machine(list(zip(t['id'], t['text'])), 10)\n"
+        "assert decontam.scan(b'x ' + t['text'][0], m)[2] == [t['id'][0]]\n"
+        "print(m.automaton.get_stats()['nodes_count'], resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)"
+    )
+    root = pathlib.Path(__file__).parents[2]
+    nodes, kilobytes = map(int, subprocess.run([sys.executable, "-c", code, first], cwd=root, capture_output=True, text=True, check=True).stdout.split())
+    assert nodes < 1.2 * decontam.NODES and kilobytes < 1 << 20
 
 
 def test_decontamination_of_a_large_benchmark_in_blocks(spark, docs):
@@ -174,7 +210,7 @@ def test_decontamination_of_a_large_benchmark_in_blocks(spark, docs):
     items = [(i, " ".join(docs[i][1].split()[j : j + 14])) for i in range(12) for j in (3, 9, 15)] + [(None, "just three words")]
     df, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
     one, many = decontam.decontaminate(df, b), decontam.decontaminate(df, b, limit=900)
-    assert len(decontam.blocks_of(b.selectExpr("cast(item_id as string)", "cast(text as binary)"), 900)) > 2
+    assert len(decontam.blocks_of(b.selectExpr("cast(item_id as string)", "cast(text as binary)").toDF("id", "text"), 10, 900)) > 2
     assert sorted(map(repr, many.collect())) == sorted(map(repr, one.collect()))
 
 
