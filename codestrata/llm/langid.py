@@ -2,7 +2,7 @@
 
 Network: bytes are embedded, filters of several widths slide over a window of fixed length, each filter keeps its maximum (max pooling,
 after a rectifier), and a softmax over languages follows. Training takes windows of a bounded sample of labelled rows: at most ``per_label``
-rows of each of the MOST_LABELS commonest labels (the least hashes of key and text, the same at every run) and ``per_text`` windows spread over
+rows of every label (of MOST_ROWS in all; the least hashes of key and text, the same at every run) and ``per_text`` windows spread over
 each text. That bound holds for fitting alone. Prediction covers every window of every text: a text's score is the mean of its windows' softmax, each
 window weighted by its bytes.
 
@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, bound_batches
+from .common import PIECE_BYTES, bound_batches, small, written
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
-#: Labels that a network learns at most; rarer ones are left out of fitting.
-MOST_LABELS = 200
+#: Rows of all labels together in a sample; with many labels each gives fewer rows, but at least one: every label is learned.
+MOST_ROWS = 100_000
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -75,7 +75,8 @@ def train(samples: list[tuple[bytes, str]], window: int = WINDOW, embed: int = 1
     rng = np.random.default_rng(seed)
     labels = sorted({x[1] for x in samples})
     x = np.frombuffer(b"".join(t[:window].ljust(window, b"\0") for t, _ in samples), np.uint8).reshape(-1, window)
-    y = np.array([labels.index(lang) for _, lang in samples])
+    place = {lang: i for i, lang in enumerate(labels)}
+    y = np.array([place[lang] for _, lang in samples])
     p = {"e": rng.normal(0, 0.5, (256, embed)), "b": np.zeros(channels * len(WIDTHS)), "o": rng.normal(0, 0.2, (channels * len(WIDTHS), len(labels))), "ob": np.zeros(len(labels))}
     p |= {f"f{w}": rng.normal(0, 1 / np.sqrt(w * embed), (w * embed, channels)) for w in WIDTHS}
     p = {k: v.astype(np.float32) for k, v in p.items()}
@@ -153,21 +154,24 @@ def predict(net: Network | None, tables: list[list[np.ndarray]], texts: list[byt
 
 
 def sample(labelled: DataFrame, key: str, text: str, lang: str, per_label: int, per_text: int, window: int = WINDOW) -> list[tuple[bytes, str]]:
-    """Windows of about ``per_label`` rows of each of the MOST_LABELS commonest labels: a bounded sample for fitting, by a hash of key and text.
+    """Windows of about ``per_label`` rows of every label, fewer where all labels together would give over MOST_ROWS: a bounded sample for fitting, by
+    a hash of key and text.
 
-    Labels are counted first; a row takes part if its hash lies below the share that leaves twice ``per_label`` rows of its label, so windows of
+    Labels are counted first; a row takes part if its hash lies below the share that leaves twice the wanted rows of its label (40 or more), so windows of
     few rows are cut, within the tasks that read them, and no text is shuffled. Of these, the least hashes count.
     """
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).cast("binary").alias("t"), F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit("langid")).alias("h"))
-    counts = {r.l: r.n for r in known.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LABELS).collect()}
-    if not counts:
+    counts = written(known.groupBy("l").agg(F.count("*").alias("n")), "labels")
+    labels = counts.count()
+    if not labels:
         return []
-    shares = [(label, (1 << 32) if n <= 4 * per_label else 2 * per_label * (1 << 32) // n) for label, n in counts.items()]
-    bound = F.element_at(F.create_map(*(F.lit(x) for pair in shares for x in pair)), F.col("l"))
+    per_label = max(1, min(per_label, MOST_ROWS // labels))
+    drawn = max(2 * per_label, 40)  # so many that no label is left without a row
+    bound = F.when(F.col("n") <= 2 * drawn, F.lit(1 << 32)).otherwise(F.expr(f"{drawn * (1 << 32)}L div n"))
     # Rows are drawn by 32 bits of the hash, and ranked by all of it.
-    drawn = known.where(F.col("l").isin(list(counts))).where(F.shiftrightunsigned("h", 32) < bound)
+    taken_rows = known.join(small(counts, 64), "l").where(F.shiftrightunsigned("h", 32) < bound)
     step = F.greatest(F.lit(1), F.floor(F.octet_length("t") / per_text)).cast("int")
-    cut = drawn.select("l", "h", F.transform(F.sequence(F.lit(0), F.lit(per_text - 1)), lambda i: F.substring("t", i * step + 1, F.lit(window))).alias("w"))
+    cut = taken_rows.select("l", "h", F.transform(F.sequence(F.lit(0), F.lit(per_text - 1)), lambda i: F.substring("t", i * step + 1, F.lit(window))).alias("w"))
     rows = sorted({(r.l, r.h, tuple(map(bytes, r.w))) for r in cut.toLocalIterator()})
     taken: Counter = Counter()
     out = set()

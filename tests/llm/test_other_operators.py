@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -128,13 +129,24 @@ def test_language_id_edges(spark):
 
 
 def test_language_sample_is_bounded_and_even(spark):
-    """At most so many rows of each label, none from labels beyond the commonest, and no more than twice as many windows drawn."""
+    """At most so many rows of each label, and no more than twice as many windows drawn."""
     df = spark.createDataFrame([(i, f"text number {i} " * 5, "ab"[i % 10 == 0]) for i in range(4000)] + [(None, None, "a"), (None, "x y z", None)], "doc_id long, text string, lang string")
     got = langid.sample(df, "doc_id", "text", "lang", 50, 1)
     assert sum(x[1] == "a" for x in got) == 50 and sum(x[1] == "b" for x in got) == 50
     assert got == langid.sample(df.repartition(5), "doc_id", "text", "lang", 50, 1)
 
 
+def test_language_sample_holds_every_label(spark, monkeypatch):
+    """Labels are learned however many there are; a bound on rows leaves fewer rows of each, and never none."""
+    df = spark.range(6000).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 300) AS lang")
+    count = lambda: Counter(label for _, label in langid.sample(df, "doc_id", "text", "lang", 50, 1))
+    assert len(c := count()) == 300 and set(c.values()) == {20}
+    monkeypatch.setattr(langid, "MOST_ROWS", 900)
+    assert len(c := count()) == 300 and 1 <= min(c.values()) and max(c.values()) == 3
+    monkeypatch.setattr(langid, "MOST_ROWS", 10)
+    assert len(c := count()) == 300 and sum(c.values()) == 300
+
+
 def test_convolution_tables_equal_convolution():
     net = langid.train([(b"abcabc abc", "x"), (b"zzyyxx zyx", "y")] * 20, window=32, epochs=1)
     data, _, _ = langid.windows_of([bytes(range(40, 200))], 32)
