@@ -2,16 +2,20 @@
 
 ``parse`` builds a tree from a single forward pass over tags, which never looks at a stretch twice: void elements, implied end tags (p, li, dt/dd, tr, td/th, option, sections of a
 table), raw text elements (script, style, ...), end tags that match no open element (ignored) and elements left open (closed at the
-end). ``render`` emits all visible text of the tree: head matter, scripts, templates, fallback content of media, and elements hidden by
-attribute or inline style are left out (aria-hidden hides from screen readers only, so such elements stay; the copies of formulas that KaTeX
-and MathJax add for screen readers go); formulas give their symbols without annotations, drawings their text elements, text areas their
-lines, selections the chosen option, list boxes all options; blocks stand on their own lines, paragraphs and headings get a blank line, list items a bullet or number with
+end). ``settle`` takes out of the tree what is not seen: head matter, scripts, templates, fallback content of media, elements that are not displayed
+(by the ``hidden`` and ``popover`` attributes, dialogs that are not open, inline style, and rules of style elements for one tag, class, id, or tag
+with class or id; the winner is found by importance, specificity and order), the body of details that are not open, and the text of hidden
+elements. ``visibility`` is inherited, so a visible element below a hidden one is shown, and a hidden cell keeps its column. Other selectors,
+linked sheets and sheets for other media than the screen are not regarded (aria-hidden hides from screen readers only, so such elements stay; the
+copies of formulas that KaTeX and MathJax add for screen readers go). ``render`` emits all text that is left: formulas give their symbols without
+annotations, drawings their text elements, text areas their lines, fields and buttons their value, selections the chosen option, list boxes all
+options; blocks stand on their own lines, paragraphs and headings get a blank line, list items a bullet or number with
 indentation by depth, table rows one line with cells aligned in columns (spans over columns and rows included), ``pre`` its own white space, images
 their alternative text.
 
 Edge cases: null gives null, an empty page or one without visible text gives ''; malformed markup never fails: a tag that never ends is text, a
 quote that never ends goes up to the tag's first ``>``; nesting is held in an explicit stack, so depth is bounded by memory alone, and time is
-linear in the page whatever its markup; indentation stops growing at INDENTS levels, alignment to row spans at OPEN_SPANS open ones; repeated rows
+linear in the page whatever its markup and style sheets; a broken style rule is skipped; indentation stops growing at INDENTS levels, alignment to row spans at OPEN_SPANS open ones; repeated rows
 each get their text; a column of the output's name is replaced; an empty table gives an empty result.
 """
 
@@ -22,6 +26,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 from html import unescape
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -67,7 +72,14 @@ _GAP = re.compile(r"[\s/]*")
 _ATTRIBUTE = re.compile(r"(=?[^\s=/>]*)(?:\s*=\s*)?")
 _BARE = re.compile(r"[^\s>]*")
 _NO_ATTRIBUTES: dict[str, str] = {}
-_HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DECLARED = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+_SELECTOR = re.compile(r"(\*|[a-z][a-z0-9-]*)?([.#][\w-]+)?", re.I)
+#: Weights of selectors by what they name; inline style comes above all, and what is important above all that is not.
+BY_TAG, BY_CLASS, BY_ID, INLINE, IMPORTANT = 1, 10, 100, 1000, 10000
+#: Kinds of input whose value is not seen as text.
+UNSEEN_INPUTS = frozenset("hidden password checkbox radio file color range image".split())
+SCREEN = frozenset(("", "all", "screen", "only screen"))
+CELLS = frozenset(("td", "th"))
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -149,7 +161,8 @@ _SHIELDS = SCOPE - {"html"}
 
 
 def parse(html: str) -> Node:
-    root = Node("#root", {})
+    """The tree of a page, from which what is not seen has been taken."""
+    root, sheets = Node("#root", {}), []
     scanner, stack, at, n = Scanner(html), Stack(root), 0, len(html)
     text_from = 0
     while True:
@@ -165,6 +178,7 @@ def parse(html: str) -> Node:
         if at > text_from:
             stack.nodes[-1].children.append(unescape(html[text_from:at]))
         if at >= n:
+            settle(root, Rules(sheets))
             return root
         if mark[1] in "!?":
             if html.startswith("<!--", at):
@@ -200,16 +214,130 @@ def parse(html: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
             inner = html[at : end.start() if end else n]
             node.children.append(unescape(inner) if tag == "textarea" else inner)
+            if tag == "style" and attributes.get("media", "").strip().lower() in SCREEN:
+                sheets.append(inner)
             at = text_from = end.end() if end else n
             continue
         stack.push(node)
 
 
-def visible(node: Node) -> bool:
-    if node.tag in UNSEEN:
-        return False
-    a = node.attributes
-    return not a or not ("hidden" in a or _HIDDEN_STYLE.search(a.get("style", "")) or not UNSEEN_CLASSES.isdisjoint(a.get("class", "").split()))
+class Rules:
+    """What style sheets say of display and visibility, by simple selectors."""
+
+    def __init__(self, sheets: list[str]):
+        #: (tag or '', '.class', '#id' or '') to the winning (weight, number of the rule, value) of each property.
+        self.of: dict[tuple[str, str], dict[str, tuple[int, int, str]]] = {}
+        self.rules = 0
+        for sheet in sheets:
+            self._read(sheet)
+
+    def _read(self, sheet: str) -> None:
+        parts, at = [], 0
+        while (start := sheet.find("/*", at)) >= 0:
+            parts.append(sheet[at:start])
+            end = sheet.find("*/", start + 2)
+            at = len(sheet) if end < 0 else end + 2
+        sheet = " ".join([*parts, sheet[at:]]).replace("<!--", " ").replace("-->", " ")
+        at = skipped = 0  # skipped: open groups (@media and the like) from the first that does not count
+        for m in re.finditer(r"[{}]", sheet):
+            if m.start() < at:
+                continue
+            head, at = sheet[at : m.start()].rpartition(";")[2].strip(), m.end()
+            if m[0] == "}":
+                skipped = max(0, skipped - 1)
+            elif head.startswith("@") and head[1:].split("(")[0].strip().lower() not in ("font-face", "page"):
+                words = head[1:].lower().split(None, 1)
+                counts = words[:1] == ["media"] and words[1:] and words[1].strip() in SCREEN
+                skipped += bool(skipped or not counts)
+            else:
+                end = sheet.find("}", at)
+                body = sheet[at : len(sheet) if end < 0 else end]
+                at = len(sheet) if end < 0 else end + 1
+                if not skipped and not head.startswith("@"):
+                    self._add(head, body)
+
+    def _add(self, head: str, body: str) -> None:
+        if not (said := declared(body, 0)):
+            return
+        self.rules += 1
+        for selector in head.split(","):
+            if not (m := _SELECTOR.fullmatch(selector.strip())) or not m[0]:
+                continue
+            tag, name = (m[1] or "").lower().replace("*", ""), m[2] or ""
+            weight = BY_TAG * bool(tag) + (BY_ID if name[:1] == "#" else BY_CLASS if name else 0)
+            known = self.of.setdefault((tag, name), {})
+            for prop, (extra, _, value) in said.items():
+                known[prop] = max(known.get(prop, _LEAST), (weight + extra, self.rules, value), key=_RANK)
+
+    def said(self, node: Node) -> dict[str, tuple[int, int, str]]:
+        """The winning declarations for an element."""
+        a = node.attributes
+        found = declared(a["style"], INLINE) if "style" in a else {}
+        if self.of:
+            names = ["", *("." + c for c in a.get("class", "").split()), *(["#" + a["id"]] if "id" in a else [])]
+            for key in ((t, name) for name in names for t in ("", node.tag)):
+                for prop, x in self.of.get(key, _NOTHING).items():
+                    found[prop] = max(found.get(prop, _LEAST), x, key=_RANK)
+        return found
+
+
+_NOTHING: dict[str, tuple[int, int, str]] = {}
+_LEAST = (-1, -1, "")
+_RANK = itemgetter(0, 1)
+_UNSEEN_VALUES = frozenset(("none", "hidden", "collapse"))
+
+
+def declared(style: str, weight: int) -> dict[str, tuple[int, int, str]]:
+    """{property: (weight, place, value)} of the declarations of display and visibility in a style."""
+    out: dict[str, tuple[int, int, str]] = {}
+    for m in _DECLARED.finditer(style):
+        prop = m[1].lower()
+        out[prop] = max(out.get(prop, _LEAST), (weight + IMPORTANT * bool(m[3]), m.start(), m[2].lower()), key=_RANK)
+    return out
+
+
+def settle(root: Node, rules: Rules) -> None:
+    """Takes all elements out of a tree that are not displayed, and the text of hidden ones."""
+    order: list[tuple[Node, bool]] = []
+    todo = [(root, False)]
+    while todo:
+        node, hidden = todo.pop()
+        order.append((node, hidden))
+        children = node.children
+        if node.tag == "details" and "open" not in node.attributes:
+            children = [x for x in children if isinstance(x, Node) and x.tag == "summary"][:1]
+        kept = []
+        for x in children:
+            if isinstance(x, str):
+                if not hidden:
+                    kept.append(x)
+                continue
+            if x.tag in UNSEEN:
+                continue
+            a, unseen = x.attributes, hidden
+            if a or rules.of or x.tag == "dialog":
+                said = rules.said(x)
+                by_itself = "hidden" in a or "popover" in a or x.tag == "dialog" and "open" not in a
+                if said["display"][-1] == "none" if "display" in said else by_itself:
+                    continue
+                if not UNSEEN_CLASSES.isdisjoint(a.get("class", "").split()):
+                    continue
+                if "visibility" in said and said["visibility"][-1] != "inherit":
+                    unseen = said["visibility"][-1] in _UNSEEN_VALUES
+            if unseen and x.tag in ("select", "textarea"):
+                continue
+            kept.append(x)
+            todo.append((x, unseen))
+        node.children = kept
+    if not any(hidden for _, hidden in order):
+        return
+    blank: set[int] = set()
+    for node, hidden in reversed(order):  # children come before their parents
+        node.children = [x for x in node.children if isinstance(x, str) or id(x) not in blank]
+        if hidden and not node.children and node.tag not in CELLS and node.tag != "br":
+            blank.add(id(node))
+        elif hidden and node.tag == "li":
+            node.tag = "div"  # its mark is hidden
 
 
 def drawn(svg: Node) -> list:
@@ -218,7 +346,7 @@ def drawn(svg: Node) -> list:
     todo = list(reversed(svg.children))
     while todo:
         x = todo.pop()
-        if isinstance(x, str) or x.tag in UNDRAWN or not visible(x) or x.attributes.get("display") == "none" or x.attributes.get("visibility") in ("hidden", "collapse"):
+        if isinstance(x, str) or x.tag in UNDRAWN or x.attributes.get("display") == "none" or x.attributes.get("visibility") in ("hidden", "collapse"):
             continue
         if x.tag in ("text", "foreignobject"):
             out += [" ", x, " "]
@@ -235,7 +363,7 @@ def chosen(select: Node) -> list:
     todo = [(x, False) for x in reversed(select.children)]
     while todo:
         x, disabled = todo.pop()
-        if isinstance(x, str) or not visible(x):
+        if isinstance(x, str):
             continue
         label = x.attributes.get("label", "").strip()
         if x.tag == "option":
@@ -249,6 +377,13 @@ def chosen(select: Node) -> list:
     return [f" {text} " for *_, text in shown]
 
 
+def value_of(field: Node) -> str:
+    """The text in a field or on a button; a picture as a button gives its alternative text."""
+    kind = field.attributes.get("type", "").strip().lower()
+    value = field.attributes.get("alt" if kind == "image" else "value", "").strip()
+    return f" {value} " if value and (kind == "image" or kind not in UNSEEN_INPUTS) else ""
+
+
 class Lines:
     """Collects inline text into lines; asks for breaks and blank lines are held until text follows."""
 
@@ -294,10 +429,10 @@ def _rows(table: Node) -> list[list[Node]]:
     rows, todo = [], list(reversed(table.children))
     while todo:
         x = todo.pop()
-        if isinstance(x, str) or not visible(x):
+        if isinstance(x, str):
             continue
         if x.tag == "tr":
-            rows.append([c for c in x.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)])
+            rows.append([c for c in x.children if isinstance(c, Node) and c.tag in CELLS])
         elif x.tag in ("thead", "tbody", "tfoot"):
             todo += reversed(x.children)
     return [r for r in rows if r]
@@ -312,10 +447,8 @@ def _loose(table: Node) -> list[Node]:
         if isinstance(x, str):
             if x.strip():
                 out.children.append(x)
-        elif not visible(x):
-            continue
         elif x.tag in ("thead", "tbody", "tfoot", "tr"):
-            todo += reversed([c for c in x.children if isinstance(c, str) or c.tag not in ("td", "th")])
+            todo += reversed([c for c in x.children if isinstance(c, str) or c.tag not in CELLS])
         elif x.tag not in ("td", "th", "colgroup", "col"):
             out.children.append(x)
     return [out] if out.children else []
@@ -405,8 +538,6 @@ def render(root: Node, depth: int = 0) -> str:
                     quotes -= 1
                     out.indent = "  " * min(INDENTS, len(lists) + quotes)
             continue
-        if node is not root and not visible(node):
-            continue
         if tag == "br":
             out.end(force=bool(out.line))
             continue
@@ -414,6 +545,9 @@ def render(root: Node, depth: int = 0) -> str:
             if alt := node.attributes.get("alt", "").strip():
                 out.text(f" {alt} ")
             continue
+        if tag == "input":
+            out.text(value_of(node))
+            continue
         if tag == "table" and node is not root and depth < TABLE_DEPTH:
             out.end(1)
             if loose := _loose(node):
@@ -473,7 +607,9 @@ def _flat(node: Node) -> Iterator[str]:
             yield x
         elif x.tag == "br":
             yield "\n"
-        elif visible(x):
+        elif x.tag == "input":
+            yield value_of(x)
+        else:
             todo += reversed(_inner(x))
 
 
