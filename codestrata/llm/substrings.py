@@ -146,10 +146,15 @@ def _per_key(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
-    """Rows (h, key, at), or (h, key, lead, ...), whose h stands on several rows. Counts are summed before the shuffle."""
+    """Rows (h, key, at), or (h, key, lead, ...), whose h stands on several rows. Counts are summed before the shuffle.
+
+    A passage in very many texts makes a hot h, whose rows are spread.
+    """
     times = F.sum("lead") if "lead" in rows.columns else F.count("*")
-    found = written(rows.groupBy("h").agg(times.alias("n")).where("n > 1").select("h"), "repeated")
-    return rows.join(found.hint("merge"), "h")
+    found = written(rows.groupBy("h").agg(times.alias("times"), F.count("*").alias("n")).where("times > 1").select("h", "n"), "repeated")
+    # Of these rows alone, so that the limit is low enough for each hot h and the hot ones stay few.
+    total = found.agg(F.sum("n")).first()[0] or 0
+    return spread_join(rows, found, ["h"], [F.monotonically_increasing_id()], rows=total)
 
 
 KEPT = "n_words long, n_removed long, kept string"
