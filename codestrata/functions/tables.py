@@ -10,10 +10,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 
-def _facts(text: str | None) -> dict:
+def _facts(text: str | None, texts: bool = False) -> dict:
     from ..operators.python_facts import facts_of  # functions are imported by operators
 
-    return facts_of(text or "")
+    return facts_of(text or "", texts)
 
 
 @udtf(returnType="ord int, line int, module string, names array<string>")
@@ -34,13 +34,13 @@ class PythonDefinitions:
             yield x["ord"], x["kind"], x["name"], x["line"], x["end_line"], x["parents"], x["bases"]
 
 
-@udtf(returnType="ord int, owner string, callee string, line int, nargs int")
+@udtf(returnType="ord int, owner string, callee string, line int, nargs int, receiver string, arguments string, assigned_to string")
 class PythonCalls:
-    """Calls of a Python text, with the definition that they stand in."""
+    """Calls of a Python text, with the definition that they stand in and what was written."""
 
     def eval(self, text: str):
-        for x in _facts(text)["calls"]:
-            yield x["ord"], x["owner"], x["callee"], x["line"], x["nargs"]
+        for x in _facts(text, texts=True)["calls"]:
+            yield x["ord"], x["owner"], x["callee"], x["line"], x["nargs"], x["receiver"], x["arguments"], x["assigned_to"]
 
 
 FUNCTIONS = {"python_imports": PythonImports, "python_definitions": PythonDefinitions, "python_calls": PythonCalls}

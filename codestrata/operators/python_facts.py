@@ -7,6 +7,7 @@ to router names, numbered in visiting order (each alias of an import has its own
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,8 +57,27 @@ def _decorator(node: ast.AST) -> dict | None:
     return {"name": dotted(node.func), "path": text_of(node.args[0]) if node.args else None, "methods": None if methods is None else [t for m in methods if (t := text_of(m))]}
 
 
-def facts_of(source: str) -> dict:
-    """Raw facts of one source text."""
+class Text:
+    """The texts of nodes, by line and byte; lines are those of the parser."""
+
+    def __init__(self, source: str):
+        self.data = re.sub(b"\r\n?", b"\n", source.encode())
+        self.starts = [0, *(m.end() for m in re.finditer(b"\n", self.data))]
+
+    def between(self, a: tuple[int, int], b: tuple[int, int]) -> bytes:
+        return self.data[self.starts[a[0] - 1] + a[1] : self.starts[b[0] - 1] + b[1]]
+
+    def of_call(self, node: ast.Call) -> dict:
+        """receiver: the text before the called attribute's dot; arguments: what stands between the brackets, null if the callee has brackets of its own."""
+        f = node.func
+        start, end = (f.lineno, f.col_offset), (f.end_lineno, f.end_col_offset)
+        before = self.between(start, end).rpartition(b".")[0].rstrip(b" \t\n\f\\") if isinstance(f, ast.Attribute) else None
+        inner = re.fullmatch(rb"[\s\\]*\((.*)\)", self.between(end, (node.end_lineno, node.end_col_offset)), re.S)
+        return {"receiver": None if before is None else before.decode(), "arguments": None if inner is None else inner[1].decode()}
+
+
+def facts_of(source: str, texts: bool = False) -> dict:
+    """Raw facts of one source text; with ``texts``, calls have receiver, arguments, and the name that they are assigned to."""
     out: dict = {"error": None, "main_guards": 0, "lines": source.count("\n") + 1, "imports": [], "defs": [], "calls": [], "binds": []}
     try:
         tree = ast.parse(source, type_comments=True)
@@ -66,10 +86,14 @@ def facts_of(source: str) -> dict:
         return out
     todo: list[tuple[ast.AST, tuple[str, ...]]] = [(tree, ())]
     n = 0
+    text, assigned = Text(source) if texts else None, {}
     while todo:
         node, scope = todo.pop()
         n += 1
         inner = scope
+        if isinstance(node, (ast.Assign, ast.AnnAssign)) and isinstance(node.value, ast.Call):
+            target = node.targets[-1] if isinstance(node, ast.Assign) else node.target
+            assigned[id(node.value)] = target.id if isinstance(target, ast.Name) else None
         if isinstance(node, ast.Import):
             out["imports"] += [{"ord": n + i, "line": node.lineno, "module": a.name, "root": a.name.split(".")[0], "names": [a.asname or a.name]} for i, a in enumerate(node.names)]
             n += len(node.names) - 1
@@ -82,6 +106,8 @@ def facts_of(source: str) -> dict:
         elif isinstance(node, ast.Call):
             if callee := dotted(node.func):
                 out["calls"].append({"ord": n, "owner": "::".join(scope) if scope else None, "callee": callee, "line": node.lineno, "nargs": len(node.args), "first": text_of(node.args[0]) if node.args else None, "second": dotted(node.args[1]) if len(node.args) > 1 else None})
+                if text:
+                    out["calls"][-1] |= {**text.of_call(node), "assigned_to": assigned.get(id(node)), "argument_count": len(node.args) + len(node.keywords)}
         elif isinstance(node, ast.Assign) and isinstance(node.value, ast.Call):
             if dotted(node.value.func).rsplit(".", 1)[-1] in ("APIRouter", "Blueprint"):
                 prefix = next((t for k in node.value.keywords if k.arg in ("prefix", "url_prefix") and (t := text_of(k.value)) is not None), "")
@@ -142,6 +168,32 @@ def calls(facts: DataFrame) -> DataFrame:
     return c.select("repo", "file", "ord", F.concat(source, F.lit(":call:"), "line", F.lit(":"), "callee").alias("id"), source.alias("source"), "callee", "line")
 
 
+CALL_TEXTS = "repo string, file string, ord int, owner string, callee string, receiver string, arguments string, assigned_to string, argument_count int, line int"
+_CALL_COLUMNS = CALL_TEXTS.replace(" string", "").replace(" int", "").split(", ")
+#: Rows in a batch of calls; a text may be in several of them.
+CALLS_A_BATCH = 500
+
+
+def _call_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(c, pa.int32() if c in ("ord", "argument_count", "line") else pa.string()) for c in _CALL_COLUMNS])
+    for batch in batches:
+        for repo, path, content in zip(*(batch.column(c).to_pylist() for c in ("repo", "path", "content")), strict=True):
+            found = [x | {"repo": repo, "file": path} for x in facts_of(content or "", texts=True)["calls"]]
+            for at in range(0, len(found), CALLS_A_BATCH):
+                yield pa.RecordBatch.from_pylist([{c: x[c] for c in _CALL_COLUMNS} for x in found[at : at + CALLS_A_BATCH]], schema)
+
+
+def call_texts(files: DataFrame) -> DataFrame:
+    """All calls of the Python files with what was written: (repo, file, ord, source, callee, receiver, arguments, assigned_to, argument_count, line).
+
+    The source is the definition around the call, else the file. A call is assigned to a name if it is all of the right side, and the name the last
+    or only target. Texts are those of the file, with line breaks as ``\\n``. Files that cannot be parsed, empty or null give no rows. No shuffle.
+    """
+    bound_batches(files.sparkSession)
+    c = files.where(suffix_of(F.col("path")).isin(fixed.PY_SUFFIXES)).select("repo", "path", "content").mapInArrow(_call_rows, CALL_TEXTS)
+    return c.select("repo", "file", "ord", _joined("file", "owner").alias("source"), "callee", "receiver", "arguments", "assigned_to", "argument_count", "line")
+
+
 def _slashed(x: Column) -> Column:
     """'/' and the text without outer slashes; '' if nothing is left."""
     inner = F.regexp_replace(x, "^/+|/+$", "")

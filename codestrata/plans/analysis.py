@@ -95,6 +95,11 @@ class Analysis:
         found = self._more(found.unionByName(script_facts.calls(self.scripts, self.script_symbols)), "calls")
         return cut(resolve.resolve_calls(found, self.symbols, self.imports))
 
+    @cached_property
+    def call_texts(self) -> DataFrame:
+        """Calls of Python files with receiver, arguments and assigned name."""
+        return python_facts.call_texts(self.files)
+
     @cached_property
     def used(self) -> DataFrame:
         """(repo, file, category, tech) that sources use."""

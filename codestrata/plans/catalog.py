@@ -647,6 +647,15 @@ def sql_calls(spark, sf_dir):
     return spark.sql(f"SELECT f.repo, f.path AS file, concat(f.path, '::', t.owner) AS source, t.callee, t.line FROM {{files}} f, LATERAL python_calls(f.content) t WHERE t.owner IS NOT NULL AND {SUFFIX_SPARK} IN {_in(fixed.PY_SUFFIXES)}", files=corpus.code_files(spark, sf_dir))
 
 
+_CALL_TEXTS = "file source callee receiver arguments assigned_to argument_count line"
+
+
+@query(known.per_document(_CALL_TEXTS, known.PY_CALL_TEXTS) + " UNION ALL " + known.per_repository(_CALL_TEXTS, [("config/settings.py", "config/settings.py", "os.environ.get", "os.environ", '"DATABASE_URL"', "OTHER", 1, 4)]).replace("WITH whole", "SELECT * FROM (WITH whole", 1) + ")")
+def call_texts(spark, sf_dir):
+    """What the calls of Python files say: receiver, text and number of arguments, and the name that takes the result."""
+    return _code(spark, sf_dir).call_texts.drop("ord")
+
+
 _CALLS = known.PY_CALLS + known.JS_CALLS
 
 

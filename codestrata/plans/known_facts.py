@@ -33,6 +33,14 @@ PY_CALLS = [
     (SVC, f"{SVC}::load_orders", "Ledger.build_$ID", 7), (SVC, f"{SVC}::Billing::fetch", "load_orders", 12),
     (MODEL, f"{MODEL}::Ledger::build_$ID", "cls", 11),
 ]
+#: (file, source, callee, receiver, arguments, assigned_to, argument_count, line)
+PY_CALL_TEXTS = [
+    (API, API, "APIRouter", None, 'prefix="/v$ID"', "router", 1, 5), (API, f"{API}::read_order", "router.get", "router", '"/orders/{key}"', None, 1, 8),
+    (API, f"{API}::read_order", "Billing", None, "", "billing", 0, 10), (API, f"{API}::read_order", "billing.fetch", "billing", "key", None, 1, 11),
+    (API, f"{API}::add_order", "router.post", "router", '"orders"', None, 1, 14), (API, f"{API}::add_order", "load_orders", None, "body", None, 1, 16),
+    (SVC, f"{SVC}::load_orders", "Ledger.build_$ID", "Ledger", "body", None, 1, 7), (SVC, f"{SVC}::Billing::fetch", "load_orders", None, "key", None, 1, 12),
+    (MODEL, f"{MODEL}::Ledger::build_$ID", "cls", None, "", None, 0, 11), (MODEL, MODEL, "print", None, '"postgresql://db/$ID"', None, 1, 15),
+]
 #: (file, method, path, handler, line, framework, confidence)
 PY_ROUTES = [
     (API, "GET", "/v$ID/orders/{key}", f"{API}::read_order", 9, "FastAPI", 0.98), (API, "POST", "/v$ID/orders", f"{API}::add_order", 15, "FastAPI", 0.98),

@@ -8,6 +8,7 @@ import random
 import tempfile
 import zipfile
 from collections import deque
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -25,7 +26,7 @@ from codestrata.streaming import admission
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Those that are run here; the rest take longer and are left to the driver's own comparison.
-CHECKED = ["file_records", "language_shares", "discovered_files", "architecture_connections", "call_resolution", "short_dependency_cycles", "export_mermaid", "rate_limit_admission", "import_resolution", "mounted_routes", "onboarding_tour", "repository_listing", "dependency_cycles", "graph_metrics", "artifact_violations", "artifact_guard", "request_log", "error_responses", "sample_lookup", "ignored_files", "audit_whole", "incremental_stream", "event_time_admission", "sql_imports", "pseudonymous_ids"]
+CHECKED = ["file_records", "language_shares", "discovered_files", "architecture_connections", "call_resolution", "short_dependency_cycles", "export_mermaid", "rate_limit_admission", "import_resolution", "mounted_routes", "onboarding_tour", "repository_listing", "dependency_cycles", "graph_metrics", "artifact_violations", "artifact_guard", "request_log", "error_responses", "sample_lookup", "ignored_files", "audit_whole", "incremental_stream", "event_time_admission", "sql_imports", "call_texts", "sql_calls", "pseudonymous_ids"]
 
 
 def plain(x):
@@ -77,6 +78,43 @@ def test_python_facts_of_odd_files():
     assert [(c["callee"], c["owner"], c["first"], c["second"]) for c in f["calls"] if c["callee"] in ("g", "path")] == [("g", "M::m::inner", None, None), ("path", None, "p/", "v.w")]
 
 
+def test_call_texts(spark):
+    import ast
+
+    found = lambda source: [(c["callee"], c["receiver"], c["arguments"], c["assigned_to"], c["argument_count"]) for c in python_facts.facts_of(source, texts=True)["calls"]]
+    cases = {
+        "x = f(1, b=2)": [("f", None, "1, b=2", "x", 2)],
+        "a = b = f()": [("f", None, "", "b", 0)],
+        "a.b = f()\ny: int = g ( )": [("f", None, "", None, 0), ("g", None, " ", "y", 0)],
+        "x = f(g(*a, **k))": [("f", None, "g(*a, **k)", "x", 1), ("g", None, "*a, **k", None, 2)],
+        "x = await_(f)(1)": [("await_", None, "1", "x", 1), ("await_", None, "f", None, 1)],
+        "é = 'ß'; z = é.ü(\r\n 'ö',\r\n)": [("é.ü", "é", "\n 'ö',\n", "z", 1)],
+        "(a\n .b\n .c (1))": [("a.b.c", "a\n .b", "1", None, 1)],
+        "(f)(1)": [("f", None, None, None, 1)],
+        "f \\\n (1)": [("f", None, "1", None, 1)],
+        "x = f(i for i in y)": [("f", None, "i for i in y", "x", 1)],
+        "(a + b).c()": [("c", "(a + b)", "", None, 0)],
+        "@d(1)\ndef h(): return k('(', \")\")": [("d", None, "1", None, 1), ("k", None, "'(', \")\"", None, 2)],
+        "def (": [], "": [],
+    }
+    for source, want in cases.items():
+        assert sorted(found(source), key=str) == sorted(want, key=str), source
+    # The parser's own texts of nodes, over the library's files.
+    for path in sorted((Path(__file__).parent.parent / "codestrata/operators").glob("*.py")):
+        source = path.read_text()
+        own = [(c["receiver"], c["arguments"]) for c in python_facts.facts_of(source, texts=True)["calls"]]
+        for node in ast.walk(ast.parse(source)):
+            if isinstance(node, ast.Call) and python_facts.dotted(node.func):
+                whole, f = ast.get_source_segment(source, node), ast.get_source_segment(source, node.func)
+                receiver = f[: -len(node.func.attr)].rstrip()[:-1].rstrip() if isinstance(node.func, ast.Attribute) else None
+                own.remove((receiver, whole[len(f) :].strip()[1:-1]))
+        assert not own
+    files = spark.createDataFrame([("r", "a.py", "def f():\n    x = g(1)\n"), ("r", "b.py", None), ("r", "c.py", ""), ("r", "d.py", "def ("), ("r", "e.js", "f()"), ("r", "long.py", "f(1)\n" * 2000)], "repo string, path string, content string")
+    got = python_facts.call_texts(files).collect()
+    assert len(got) == 2001 and [tuple(r)[3:] for r in got if r.file == "a.py"] == [("a.py::f", "g", None, "1", "x", 1, 2)]
+    assert python_facts.call_texts(files.limit(0)).collect() == []
+
+
 def test_python_routes_and_models(spark):
     source = "bp = Blueprint('x', __name__, url_prefix='/api/')\n@bp.route('/items/', methods=['POST'])\ndef f(): pass\n@bp.get('/')\ndef g(): pass\nclass A(SQLModel): pass\nclass B(pydantic.BaseModel): pass\nclass C(Plain): pass\nurlpatterns = [re_path('^a$', view)]\n"
     files = spark.createDataFrame([("r", "m.py", source)], "repo string, path string, content string")
