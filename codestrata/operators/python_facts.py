@@ -222,29 +222,44 @@ def routes(facts: DataFrame) -> DataFrame:
 
 def tags(facts: DataFrame, files: DataFrame) -> DataFrame:
     """(repo, file, category, tech) from imports, calls, bases, routes and connection strings; distinct."""
-    spark = facts.sparkSession
+    roots = facts.select("repo", "file", F.explode("imports.root").alias("root"))
+    callees = facts.select("repo", "file", F.explode("calls.callee").alias("callee"))
+    parsed = files.join(facts.where("error IS NULL").select("repo", F.col("file").alias("path")), ["repo", "path"], "left_semi")
+    return tags_of(roots, callees, symbols(facts), routes(facts), parsed)
+
+
+def tags_of(named: DataFrame, callees: DataFrame, symbols: DataFrame, routes: DataFrame, files: DataFrame) -> DataFrame:
+    """Tags from roots of imports (repo, file, root), calls (repo, file, callee), evidence of symbols, frameworks of routes, and the files' contents."""
+    spark = named.sparkSession
     roots = fixed_table(spark, [(r, c, t) for r, xs in fixed.PYTHON_ROOTS.items() for c, t in xs], "root string, category string, tech string")
-    imported = facts.select("repo", "file", F.explode("imports.root").alias("root")).join(F.broadcast(roots), "root").select("repo", "file", "category", "tech")
-    callee = facts.select("repo", "file", F.explode("calls.callee").alias("c"))
-    c = F.col("c")
+    imported = named.join(F.broadcast(roots), "root").select("repo", "file", "category", "tech")
+    c = F.col("callee")
     sql = F.array(F.struct(F.lit("framework"), F.lit("SQLAlchemy")), F.struct(F.lit("database"), F.lit("SQL database")))
     called = F.when(c.endswith("FastAPI"), F.array(F.struct(F.lit("framework"), F.lit("FastAPI")))).when(c.endswith("Flask"), F.array(F.struct(F.lit("framework"), F.lit("Flask")))).when(ends_with_any(c, ["create_engine", "sessionmaker"]), sql)
-    by_call = callee.select("repo", "file", F.inline(called.cast("array<struct<category: string, tech: string>>")))
+    by_call = callees.select("repo", "file", F.inline(called.cast("array<struct<category: string, tech: string>>")))
     models = fixed_table(spark, [("inherits from Django Model", "framework", "Django"), ("inherits from Django Model", "database", "Django ORM"), ("inherits from SQLModel", "framework", "SQLModel"), ("inherits from SQLModel", "database", "SQL database"), ("inherits from an ORM model base", "framework", "SQLAlchemy"), ("inherits from an ORM model base", "database", "SQL database"), ("inherits from Beanie/Mongo Document", "database", "MongoDB"), ("inherits from Model base", "database", "SQL database")], "rule string, category string, tech string")
-    by_model = symbols(facts).select("repo", "file", F.explode("evidence").alias("rule")).join(F.broadcast(models), "rule").select("repo", "file", "category", "tech")
-    by_route = routes(facts).select("repo", "file", F.lit("framework").alias("category"), F.col("framework").alias("tech"))
+    by_model = symbols.select("repo", "file", F.explode("evidence").alias("rule")).join(F.broadcast(models), "rule").select("repo", "file", "category", "tech")
+    by_route = routes.select("repo", "file", F.lit("framework").alias("category"), F.col("framework").alias("tech"))
     low = F.lower("content")
     urls = F.array_compact(F.array(F.when(low.contains("postgresql://") | low.contains("postgres://"), "PostgreSQL"), F.when(low.contains("mongodb://") | low.contains("mongodb+srv://"), "MongoDB")))
-    by_url = files.join(facts.where("error IS NULL").select("repo", F.col("file").alias("path")), ["repo", "path"], "left_semi").select("repo", F.col("path").alias("file"), F.lit("database").alias("category"), F.explode(urls).alias("tech"))
+    by_url = files.select("repo", F.col("path").alias("file"), F.lit("database").alias("category"), F.explode(urls).alias("tech"))
     return imported.unionByName(by_call).unionByName(by_model).unionByName(by_route).unionByName(by_url).distinct()
 
 
+# Fixed value: the reason that a main guard gives.
+GUARD = "contains a __main__ execution guard"
+
+
+def created(callee: Column) -> Column:
+    """The reason that a call gives to enter at its file, or null."""
+    return F.when(callee.endswith("FastAPI"), "creates a FastAPI application").when(callee.endswith("Flask"), "creates a Flask application")
+
+
 def entry_evidence(facts: DataFrame) -> DataFrame:
     """(repo, file, ord, reason): applications that are created, and main guards."""
     c = facts.select("repo", "file", F.explode("calls").alias("c"))
-    reason = F.when(F.col("c.callee").endswith("FastAPI"), "creates a FastAPI application").when(F.col("c.callee").endswith("Flask"), "creates a Flask application")
-    guard = facts.where("main_guards > 0").select("repo", "file", F.lit(10**6).alias("ord"), F.lit("contains a __main__ execution guard").alias("reason"))
-    return c.select("repo", "file", F.col("c.ord").alias("ord"), reason.alias("reason")).where("reason IS NOT NULL").unionByName(guard)
+    guard = facts.where("main_guards > 0").select("repo", "file", F.lit(10**6).alias("ord"), F.lit(GUARD).alias("reason"))
+    return c.select("repo", "file", F.col("c.ord").alias("ord"), created(F.col("c.callee")).alias("reason")).where("reason IS NOT NULL").unionByName(guard)
 
 
 def fallback_symbols(files: DataFrame, facts: DataFrame) -> DataFrame:

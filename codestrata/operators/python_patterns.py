@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions import fixed
 from ..functions.columns import ends_with_any, name_of, suffix_of
+from . import python_facts
 
 # Forms of lines, and words that look like calls.
 FROM = r"^from\s+([a-zA-Z0-9_.]+)\s+import\s+(.+)"
@@ -103,3 +104,19 @@ def routes(x: DataFrame) -> DataFrame:
     path = F.when(prefix == "", F.concat(F.lit("/"), sub)).when(sub == "", clean).otherwise(F.concat(clean, F.lit("/"), sub))
     out = d.select(*_FILE, F.col("line").alias("ord"), method.alias("method"), path.alias("path"), F.col("next.id").alias("handler"), F.col("next.line").alias("line"), F.when(verb == "route", "Flask").otherwise("FastAPI").alias("framework"), F.lit(fixed.ROUTE_CONFIDENCE["decorator"]).alias("confidence"), raw.alias("raw"))
     return out.where("method IS NOT NULL AND raw <> ''").drop("raw").withColumn("id", F.concat_ws(":", F.lit("route"), "file", "line", "method", "path"))
+
+
+def tags(x: DataFrame, files: DataFrame) -> DataFrame:
+    """(repo, file, category, tech) of the facts that patterns find, and of connection strings in any Python file; distinct."""
+    roots = imports(x).select(*_FILE, F.substring_index("module", ".", 1).alias("root"))
+    python = files.where(suffix_of(F.col("path")).isin(fixed.PY_SUFFIXES))
+    return python_facts.tags_of(roots, calls(x).select(*_FILE, "callee"), symbols(x), routes(x), python)
+
+
+def entry_evidence(x: DataFrame) -> DataFrame:
+    """(repo, file, ord, reason): applications that are created, and the first main guard of a file; lines that define something count for neither."""
+    made = calls(x).select(*_FILE, "ord", python_facts.created(F.col("callee")).alias("reason")).where("reason IS NOT NULL")
+    bare = F.translate(F.regexp_replace("text", r"\s", ""), "\"", "'")
+    guards = x.where(F.col("kind").isNull() & bare.contains("__name__=='__main__'")).groupBy(*_FILE).agg(F.min("line").alias("line"))
+    last = (F.shiftleft(F.col("line").cast("long") + 1, 20) - 1).alias("ord")  # after the calls of its line
+    return made.unionByName(guards.select(*_FILE, last, F.lit(python_facts.GUARD).alias("reason")))

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+from ..functions.columns import suffix_of
 from ..functions.scratch import cut
 from ..operators import artifact, derive, graphs, languages, mounts, python_facts, python_patterns, quality, resolve, script_facts, technology
 
@@ -104,7 +106,8 @@ class Analysis:
     def used(self) -> DataFrame:
         """(repo, file, category, tech) that sources use."""
         js = script_facts.tags(self.scripts, self.script_imports, self.local_routes.where("framework IN ('Express', 'NestJS', 'Next.js')"))
-        return cut(python_facts.tags(self.python, self.files).unionByName(js))
+        found = python_patterns.tags(self.lines, self.files) if self.parser == "pattern" else python_facts.tags(self.python, self.files)
+        return cut(found.unionByName(js))
 
     @cached_property
     def manifest(self) -> DataFrame:
@@ -136,7 +139,8 @@ class Analysis:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        return python_facts.entry_evidence(self.python).unionByName(script_facts.entry_evidence(self.scripts)).unionByName(resolve.manifest_entries(self.files))
+        found = python_patterns.entry_evidence(self.lines) if self.parser == "pattern" else python_facts.entry_evidence(self.python)
+        return found.unionByName(script_facts.entry_evidence(self.scripts)).unionByName(resolve.manifest_entries(self.files))
 
     @cached_property
     def entrypoints(self) -> DataFrame:
@@ -168,7 +172,8 @@ class Analysis:
 
     @cached_property
     def totals(self) -> DataFrame:
-        parsed = self.python.where("error IS NULL").select("repo", F.col("file").alias("path")).unionByName(self.scripts.select("repo", F.col("file").alias("path")))
+        python = self.files.where(suffix_of(F.col("path")).isin(fixed.PY_SUFFIXES)).select("repo", "path") if self.parser == "pattern" else self.python.where("error IS NULL").select("repo", F.col("file").alias("path"))
+        parsed = python.unionByName(self.scripts.select("repo", F.col("file").alias("path")))
         return derive.repository_totals(self.records, parsed)
 
     def tables(self) -> dict[str, DataFrame]:

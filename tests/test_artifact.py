@@ -74,6 +74,18 @@ def test_pattern_mode_finds_facts_of_files_that_do_not_parse(spark, monkeypatch)
     assert [(r.module, r.names, r.line) for r in a.imports.orderBy("ord").collect()] == [("os", ["os"], 1), ("sys", ["sys"], 1), ("a.b", ["c", "e"], 2)]
     assert [(r.method, r.path, r.handler, r.line) for r in a.routes.collect()] == [("GET,POST", "/api/items", "m.py::items", 11)]
     assert [(r.source, r.callee) for r in a.calls.orderBy("ord").collect()] == [("m.py", "Blueprint"), ("m.py::M::get", "run"), ("m.py::items", "helper.load"), ("m.py::K", "go")]
+    assert {tuple(r)[2:] for r in a.used.collect()} == {("framework", "Django"), ("database", "Django ORM"), ("framework", "Flask")}
+    more = "import redis.client, os\nfrom sqlalchemy.orm import x\nfrom .beanie import y\napp = FastAPI()\ne = create_engine('PostgreSQL://h')\nclass D(Document): pass\n# app = Flask()\ndef main(): Flask()\nif __name__ == \"__main__\": main()\nif __name__=='__main__': main()\ndef (\n"
+    b = Analysis(made(spark, [("r", "n.py", more), ("r", "empty.py", ""), ("r", "url.py", "# mongodb+srv://h\n")]), parser="pattern")
+    assert {tuple(r)[1:] for r in b.used.collect()} == {("n.py", "external", "Redis"), ("n.py", "framework", "SQLAlchemy"), ("n.py", "database", "SQL database"), ("n.py", "database", "PostgreSQL"), ("n.py", "framework", "FastAPI"), ("n.py", "database", "MongoDB"), ("url.py", "database", "MongoDB")}
+    assert [(r.file, r.reason) for r in b.evidence.orderBy("ord").collect()] == [("n.py", "creates a FastAPI application"), ("n.py", "contains a __main__ execution guard")]
+    assert b.totals.collect() and Analysis(made(spark, [("r", "n.py", more)])).evidence.collect() == []
+    # Over files that do parse, both modes find the same tags and evidence.
+    from codestrata.sources import corpus
+
+    files = corpus.code_files(spark, "/root/testdata/sf0.001").where("repo IN ('src1/1', 'src2/2') AND path NOT LIKE '%broken%'")
+    both = [{(*r,) for r in x.used.collect()} | {(r.repo, r.file, r.reason) for r in x.evidence.collect()} for x in (Analysis(files), Analysis(files, parser="pattern"))]
+    assert both[0] == both[1] and len(both[0]) > 10
     monkeypatch.setenv("CODESTRATA_PARSER", "pattern")
     assert languages.parser_mode() == "pattern" and languages.parser_mode("syntax") == "syntax"
     with pytest.raises(ValueError):
