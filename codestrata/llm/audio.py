@@ -3,16 +3,21 @@
 A recording's frames (Hann window, overlapping) are folded into twelve pitch classes and normalised. Over the picture of frames by pitch
 classes an integral image is kept, so that each filter (a difference of two or three rectangles) costs a few look-ups. Sixteen filters,
 each quantised to two bits in Gray code, give one packed 32-bit integer per frame. Index keys are the upper or lower halves of two integers HOP
-frames apart; where a key stands at several frames in a row (a steady tone), the first one counts. A search joins equal keys, votes for the
+frames apart; where a key stands at several frames in a row (a steady tone), the first one counts. A search looks up equal keys, votes for the
 offset between two recordings, and takes the bit error rate of all overlapping frames at each offset that got enough votes. A query's keys are also
 looked up with each single bit changed, so that a vote is a pair of keys of at most one bit of error.
 
+Prints and not keys are shuffled: the prints are dealt over parts, the queries' over blocks, of about GROUP integers each, and each pair of a part and a
+block meets in one group. A group sorts its part's keys, looks the block's keys up in them, and counts votes in runs of at most PAIRS pairs of keys. So
+votes, most of which come from chance and whose number grows with queries times recordings, never leave their task: only offsets whose error
+is small enough do.
+
 A match is an overlap of at least MIN_OVERLAP integers (or of the whole shorter print) with a bit error of at most MAX_ERROR. It takes one vote for each
 VOTE_EVERY overlapping integers, at least 1 and at most MOST_VOTES. With independent errors of 0.2 a key has at most one wrong bit with probability
 0.8 ** 32 + 32 * 0.2 * 0.8 ** 31 = 0.007, so 180 frames of two keys give some 2.5 votes. Tests measure recall over brute force, without the matches of
 queries with themselves (at least 0.9). Equal prints match outright, whatever their length.
 
-Keys that many prints share (silence, a steady tone) are dealt over a grid of parts, so many for the prints and so many for the queries' keys.
+Keys that many prints share (silence, a steady tone) are dealt over the parts and blocks like any others, since prints are dealt by the hash of the print.
 
 Equal fingerprints are one class with its least id and size; classes and not their members are joined, so copies cost nothing.
 
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, HOT_KEYS, bound_batches, small, spread_join, written
+from .common import BROADCAST_BYTES, HOT_KEYS, bound_batches, small, written
 
 RATE, FRAME, STEP = 4000, 512, 128
 #: Frames between the two integers of an index key.
@@ -38,6 +43,8 @@ HOP = 12
 #: Most bits in error, least integers that overlap, and what votes a match takes (see above).
 MAX_ERROR = 0.2
 MIN_OVERLAP, VOTE_EVERY, MOST_VOTES = 16, 24, 2
+#: Integers of a part or block of prints, and pairs of keys or of integers that are taken at once.
+GROUP, PAIRS = 1 << 18, 1 << 20
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -134,27 +141,115 @@ def melody_fingerprints(vector: Column, cut: Column, gain: Column, noise: Column
     return run(vector, cut, gain, noise, seed)
 
 
-def index_keys(size: Column) -> Column:
-    """array<struct<pos, code>> of a column print: for each frame and half, the key if the frame before has another one."""
-
-    def key(i: Column, half: int) -> Column:
-        part = lambda x: F.shiftrightunsigned(x, 16 * half).bitwiseAND(F.lit(0xFFFF))
-        return F.shiftleft(part(F.get("print", i)), 16).bitwiseOR(part(F.get("print", i + HOP)))
-
-    def keys(half: int) -> Column:
-        at = F.transform(F.sequence(F.lit(0), size - F.lit(HOP + 1)), lambda i: F.struct(i.alias("pos"), F.shiftleft(key(i, half), 1).bitwiseOR(F.lit(half).cast("long")).alias("code"), key(i - 1, half).alias("before"), key(i, half).alias("now")))
-        return F.transform(F.filter(at, lambda x: (x["pos"] == 0) | (x["before"] != x["now"])), lambda x: F.struct(x["pos"].alias("pos"), x["code"].alias("code")))
-
-    return F.concat(keys(0), keys(1))
+class Prints:
+    """Prints of a part or block end to end: ``flat`` integers, where each begins, and their sizes."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        lists = [x for x in column.chunks if len(x)]
+        self.flat = np.concatenate([np.zeros(0, np.uint32), *(x.flatten().to_numpy(zero_copy_only=False).astype(np.uint32) for x in lists)])
+        self.size = np.concatenate([np.zeros(0, np.int64), *(x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists)])
+        self.begin = np.cumsum(self.size) - self.size
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code, print, frame) of all index keys in order of prints: for each frame and half, the key if the frame before has another one."""
+        owner = np.repeat(np.arange(len(self.size)), self.size)
+        frame = np.arange(len(self.flat)) - self.begin[owner]
+        at = np.flatnonzero(frame + HOP < self.size[owner])
+        found = []
+        for half in (0, 1):
+            part = (self.flat >> np.uint32(16 * half)) & np.uint32(0xFFFF)
+            code = part[at].astype(np.int64) << 16 | part[at + HOP]
+            first = (frame[at] == 0) | (code != np.concatenate(([-1], code[:-1])))
+            found.append((code[first] << 1 | half, owner[at[first]], frame[at[first]]))
+        code, owner, frame = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(owner, kind="stable")
+        return code[order], owner[order], frame[order]
+
+
+def runs(counts: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of consecutive items whose counts sum to ``most`` or less; an item of more is a run of its own."""
+    ends = np.cumsum(counts)
+    at = 0
+    while at < len(counts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield at, end
+        at = end
+
+
+def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, place within it) of each of an item's ``counts`` places, for all items."""
+    item = np.repeat(np.arange(len(counts)), counts)
+    return item, np.arange(len(item)) - (np.cumsum(counts) - counts)[item]
+
+
+def voted(part: Prints, block: Prints) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, print, offset, votes) of every offset that got a vote, in runs of queries."""
+    code, owner, frame = part.keys()
+    order = np.argsort(code, kind="stable")
+    code, owner, frame = code[order], owner[order], frame[order]
+    q_code, q, q_frame = block.keys()
+    low, count = [], []
+    for bit in (0, *(1 << b for b in range(1, 33))):  # the lowest bit of a code is its half
+        needle = q_code ^ bit
+        low.append(np.searchsorted(code, needle, "left"))
+        count.append(np.searchsorted(code, needle, "right") - low[-1])
+    key, low, count = np.tile(np.arange(len(q)), 33), np.concatenate(low), np.concatenate(count)
+    some = np.flatnonzero(count)
+    some = some[np.argsort(q[key[some]], kind="stable")]
+    key, low, count = key[some], low[some], count[some]
+    # A cell of the histograms is (query, print, offset), the offset counted from the least that a pair of frames of the block and the part can have.
+    least = int(block.size.max(initial=0))
+    width = least + int(part.size.max(initial=0)) + 1
+    per_query = np.bincount(q[key], weights=count, minlength=len(block.size)).astype(np.int64)
+    for a, b in runs(per_query, PAIRS):
+        here = slice(*np.searchsorted(q[key], [a, b]))
+        ends = np.cumsum(count[here])
+        cells, votes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for at in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+            pair = np.arange(at, min(at + PAIRS, int(ends[-1])))
+            i = np.searchsorted(ends, pair, "right")
+            k = key[here][i]
+            p = low[here][i] + pair - (ends[i] - count[here][i])
+            new, n = np.unique((q[k] * len(part.size) + owner[p]) * width + frame[p] - q_frame[k] + least, return_counts=True)
+            cells, back = np.unique(np.concatenate((cells, new)), return_inverse=True) if len(cells) else (new, np.arange(len(new)))
+            votes = np.bincount(back, weights=np.concatenate((votes, n))).astype(np.int64)
+        pair, offset = np.divmod(cells, width)
+        yield *np.divmod(pair, max(1, len(part.size))), offset - least, votes
+
+
+def errors(part: Prints, block: Prints, q: np.ndarray, c: np.ndarray, offset: np.ndarray) -> np.ndarray:
+    """Bit error rate of all overlapping integers of queries and prints at the given offsets; each overlap has an integer or more."""
+    first = np.maximum(0, -offset)
+    n = np.minimum(block.size[q], part.size[c] - offset) - first
+    out = np.zeros(len(q))
+    for a, b in runs(n, PAIRS):
+        item, place = spread(n[a:b])
+        x = (block.begin[q[a:b]] + first[a:b])[item] + place
+        y = (part.begin[c[a:b]] + first[a:b] + offset[a:b])[item] + place
+        wrong = np.bitwise_count(block.flat[x] ^ part.flat[y]).astype(np.int64)
+        out[a:b] = np.add.reduceat(wrong, np.cumsum(n[a:b]) - n[a:b]) / (32 * n[a:b])
+    return out
 
 
-def neighbours(code: Column) -> Column:
-    """Array of a code and all codes that differ from it in one bit of the key."""
-    return F.transform(F.sequence(F.lit(0), F.lit(32)), lambda b: F.when(b == 0, code).otherwise(code.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), b))))
+def matches(part: pa.Table, block: pa.Table) -> pa.Table:
+    """(q, c, offset, votes, error) of a part's prints (c, print) at all offsets against a block's (q, asked) that have votes enough and are near MAX_ERROR or less."""
+    mine, asked = Prints(part["print"]), Prints(block["asked"])
+    c_id, q_id = part["c"].to_numpy(), block["q"].to_numpy()
+    found = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0),)]
+    for q, c, offset, votes in voted(mine, asked):
+        overlap = np.minimum(asked.size[q], mine.size[c] - offset) - np.maximum(0, -offset)
+        enough = np.clip(overlap // VOTE_EVERY, 1, MOST_VOTES)
+        least = np.minimum(MIN_OVERLAP, np.minimum(asked.size[q], mine.size[c]))
+        good = np.flatnonzero((votes >= enough) & (overlap >= least) & (q_id[q] != c_id[c]))
+        q, c, offset, votes = q[good], c[good], offset[good], votes[good]
+        error = errors(mine, asked, q, c, offset)
+        near = np.flatnonzero(error < MAX_ERROR + 1e-6)
+        found.append((q_id[q[near]], c_id[c[near]], offset[near], votes[near], error[near]))
+    return pa.table(dict(zip(("q", "c", "offset", "votes", "error"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
 
 def met(postings: DataFrame, own: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """All pairs of rows of equal code. ``own`` is broadcast up to ``limit`` bytes; beyond it both sides are shuffled by code.
+    """All pairs of rows of equal code, for keys that stand in tables (``search`` looks its keys up within groups of prints). ``own`` is broadcast up to ``limit`` bytes; beyond it both sides are shuffled by code.
 
     A code is hot on a side where it has more than one in HOT_KEYS of that side's rows, so at most 2 * HOT_KEYS codes are. Its rows in ``postings`` are
     dealt over a parts and repeated b times, its rows in ``own`` are dealt over b parts and repeated a times: each pair meets once.
@@ -182,19 +277,17 @@ def search(prints: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     p = written(prints.select(F.col(key).alias("id"), F.xxhash64("print").alias("c"), "print"), "prints")
     classes = written(p.where(F.size("print") > 0).groupBy("c").agg(F.min("id").alias("rep"), F.count("*").alias("members"), F.min("print").alias("print")), "classes")
     asked = written(queries.select(F.col(key).alias("id")).distinct().join(p.select("id", "c"), "id").distinct(), "asked")
-    postings = classes.where(F.size("print") > HOP).select("c", F.size("print").alias("size"), F.explode(index_keys(F.size("print"))).alias("x")).select("c", "size", "x.pos", "x.code")
-    own = written(postings.join(small(asked.select("c").distinct(), 16), "c", "left_semi").select(F.col("c").alias("q"), F.col("size").alias("q_size"), F.col("pos").alias("q_pos"), F.explode(neighbours(F.col("code"))).alias("code")), "asked-postings")
-    votes = met(postings, own).where("c <> q").groupBy("q", "c", "q_size", "size", (F.col("pos") - F.col("q_pos")).alias("offset")).agg(F.count("*").alias("votes"))
-    overlap = F.least(F.col("q_size"), F.col("size") - F.col("offset")) - F.greatest(F.lit(0), -F.col("offset"))
-    enough = F.greatest(F.lit(1), F.least(F.lit(MOST_VOTES), F.floor(overlap / VOTE_EVERY)))
-    good = written(votes.where((F.col("votes") >= enough) & (overlap >= F.least(F.lit(MIN_OVERLAP), "q_size", "size"))).select("q", "c", "offset", "votes"), "offsets")
-    # A query may have very many candidates.
-    a = good.groupBy("q").agg(F.count("*").alias("n")).join(classes.select(F.col("c").alias("q"), F.col("print").alias("qp")), "q")
-    both = spread_join(classes.join(small(good, 40), "c"), written(a, "asked-prints"), ["q"], ["c", "offset"], rows=good.count())
-    first, last = F.greatest(F.lit(0), -F.col("offset")), F.least(F.size("qp"), F.size("print") - F.col("offset"))
-    bits = F.zip_with(F.slice("qp", first + 1, last - first), F.slice("print", first + F.col("offset") + 1, last - first), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    error = F.aggregate(bits, F.lit(0), lambda s, x: s + x) / (F.lit(32.0) * (last - first))
-    verified = both.withColumn("bit_error", F.round(error, 6)).where(F.col("bit_error") <= MAX_ERROR)
+    able = classes.where(F.size("print") > HOP)
+    own = able.join(small(asked.select("c").distinct(), 16), "c", "left_semi").select(F.col("c").alias("q"), F.col("print").alias("asked"))
+    parts, blocks = (max(1, -(-(df.agg(F.sum(F.size(prints))).first()[0] or 0) // GROUP)) for df, prints in ((able, "print"), (own, "asked")))
+
+    def dealt(df: DataFrame, key: str, mine: str, n: int, other: str, m: int) -> DataFrame:
+        every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        return df.withColumns({mine: F.pmod(F.xxhash64(F.lit(9), key), F.lit(n)).cast("int"), other: every})
+
+    mine = dealt(able.select("c", "print"), "c", "part", parts, "block", blocks).groupBy("part", "block")
+    both = mine.cogroup(dealt(own, "q", "block", blocks, "part", parts).groupBy("part", "block")).applyInArrow(matches, "q long, c long, offset long, votes long, error double")
+    verified = both.withColumn("bit_error", F.round("error", 6)).where(F.col("bit_error") <= MAX_ERROR).join(classes.select("c", "rep", "members"), "c")
     best = verified.groupBy("q", F.col("rep").alias("match_id"), F.col("members").alias("class_size")).agg(F.min_by(F.struct(F.col("offset").cast("int").alias("offset"), "votes", "bit_error"), F.struct("bit_error", -F.col("votes"), F.abs("offset"), "offset")).alias("b")).select("q", "match_id", "class_size", "b.*")
     equal = classes.select(F.col("c").alias("q"), F.col("rep").alias("match_id"), F.col("members").alias("class_size"), F.lit(0).alias("offset"), F.size("print").cast("long").alias("votes"), F.lit(0.0).alias("bit_error"))
     matched = best.unionByName(equal)

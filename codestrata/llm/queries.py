@@ -133,8 +133,13 @@ def op9_audio_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     of the one ending in 0 that begins later and is softer, that ending in 7 one with noise, and that ending in 9 one with ten times the noise (if there is such a vector)."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     last = F.pmod("vec_id", F.lit(10))
-    source = e.select(F.col("vec_id").alias("of"), F.col("embedding").alias("played"))
-    r = e.withColumn("of", F.when(last.isin(3, 7, 9), F.col("vec_id") - last)).join(source, "of", "left").withColumn("copy", F.col("played").isNotNull() & (last == 3)).withColumn("noisy", F.col("played").isNotNull() & last.isin(7, 9))
+    made = F.coalesce(last.isin(3, 7, 9), F.lit(False))
+    source = e.where(last == 0).select(F.col("vec_id").alias("of"), F.col("embedding").alias("played"))
+    # Only those rows are joined that may have a source: all others would meet under one null key.
+    joined = e.where(made).withColumn("of", F.col("vec_id") - last).join(source, "of", "left").select("vec_id", "embedding", "played")
+    alone = e.where(~made).withColumn("played", F.lit(None).cast(dict(e.dtypes)["embedding"]))
+    r = joined.unionByName(alone).withColumn("copy", F.col("played").isNotNull() & (last == 3)).withColumn("noisy", F.col("played").isNotNull() & last.isin(7, 9))
+    r = r.repartition(max(spark.sparkContext.defaultParallelism, e.count() // 1000), "vec_id", "embedding")
     how = (F.when(F.col("copy"), 1317).otherwise(0), F.when(F.col("copy"), 0.4).otherwise(1.0), F.when(F.col("noisy"), F.when(last == 7, 0.02).otherwise(0.2)).otherwise(0.0), F.coalesce(F.abs("vec_id"), F.lit(0)))
     prints = r.select("vec_id", audio.melody_fingerprints(F.coalesce("played", "embedding"), *how).alias("print"))
     return audio.search(prints, e.where("vec_id % 50 = 0").select("vec_id"), "vec_id")

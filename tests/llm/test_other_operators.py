@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -389,6 +390,48 @@ def test_audio_hot_codes_meet_every_pair_once(spark):
     assert way(0) == way(1 << 30) and way(0)[0] == 10001 * 201 + 399
 
 
+def test_audio_votes_are_those_of_all_pairs_of_keys(monkeypatch):
+    """Votes of groups against a plain loop over all pairs of keys, in runs shorter than one query's pairs; bit errors against all integers."""
+    rng = np.random.default_rng(9)
+    table = lambda n: pa.chunked_array([pa.array([rng.integers(0, 3, rng.integers(0, 40)).astype(np.int64) * 0x10001 for _ in range(n)], pa.list_(pa.int64())) for _ in range(2)])
+    part, block = audio.Prints(table(6)), audio.Prints(table(4))
+
+    def keys(p):
+        for i, (begin, size) in enumerate(zip(p.begin.tolist(), p.size.tolist(), strict=True)):
+            x = p.flat[begin : begin + size].tolist()
+            for half in (0, 16):
+                code = [(x[f] >> half & 0xFFFF, x[f + audio.HOP] >> half & 0xFFFF) for f in range(size - audio.HOP)]
+                yield from ((i, f, half, c) for f, c in enumerate(code) if not f or c != code[f - 1])
+
+    bits = lambda a, b: sum((u ^ v).bit_count() for u, v in zip(a, b, strict=True))
+    want = Counter((q, c, f - g) for q, g, h, a in keys(block) for c, f, k, b in keys(part) if h == k and bits(a, b) <= 1)
+    for most in (7, 1 << 20):
+        monkeypatch.setattr(audio, "PAIRS", most)
+        got = [tuple(map(int, x)) for columns in audio.voted(part, block) for x in zip(*columns, strict=True)]
+        assert len(got) == len(want) > 100 and {x[:3]: x[3] for x in got} == want
+        q, c, offset = np.array([x[:3] for x in got if max(0, -x[2]) < min(block.size[x[0]], part.size[x[1]] - x[2])]).T
+        plain = []
+        for i, j, o in zip(q.tolist(), c.tolist(), offset.tolist(), strict=True):
+            a, b = (p.flat[p.begin[k] : p.begin[k] + p.size[k]].tolist() for p, k in ((block, i), (part, j)))
+            both = [(x, b[f + o]) for f, x in enumerate(a) if 0 <= f + o < len(b)]
+            plain.append(bits(*zip(*both, strict=True)) / (32 * len(both)))
+        assert np.allclose(audio.errors(part, block, q, c, offset), plain)
+
+
+def test_audio_votes_are_not_shuffled(spark):
+    """Prints that share most keys: what is shuffled grows with the prints, not with the votes (some 400 000 here)."""
+    sc = spark.sparkContext
+    none = lambda: sc._jvm.java.util.ArrayList()
+    shuffled = lambda: sum(x.shuffleWriteRecords() for x in sc._jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(none(), False, False, sc._gateway.new_array(sc._jvm.double, 0), none())))
+    rng = np.random.default_rng(12)
+    few = rng.integers(0, 1 << 32, 4)
+    df = spark.createDataFrame([(i, few[rng.integers(0, 4, 60)].tolist()) for i in range(200)], "id long, print array<long>")
+    before = shuffled()
+    got = audio.search(df, df.where("id % 10 = 0"), "id").collect()
+    assert sum(r.id == r.match_id for r in got) == 20
+    assert shuffled() - before < 20_000
+
+
 def test_html(spark):
     cases = {
         "<p>One<p>Two<br>three": "One\n\nTwo\nthree",
