@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, written
+from .common import bound_batches, tidy, written
 
 #: Nodes of an automaton, at some 55 bytes each. Nodes are counted (from above) before one is built; a benchmark of more is taken in blocks.
 NODES = 6_000_000
@@ -129,6 +129,7 @@ def _parts(window: int):
     """A function of item texts that gives their parts."""
 
     @F.arrow_udf("array<struct<part: binary, nodes: long>>")
+    @tidy
     def parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kind = pa.list_(pa.struct([("part", pa.binary()), ("nodes", pa.int64())]))
         for texts in batches:
@@ -169,6 +170,7 @@ def _hits(items, window: int):
     token = uuid.uuid4().hex
 
     @F.arrow_udf(HITS)
+    @tidy
     def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = machine_of(items.value, window, token)
         for texts in batches:
@@ -182,6 +184,7 @@ def _both():
     """A function of (text, hits, hits under a further block)."""
 
     @F.arrow_udf(HITS)
+    @tidy
     def both(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, before, now in batches:
             rows = zip(texts, before.to_pylist(), now.to_pylist(), strict=True)

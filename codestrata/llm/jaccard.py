@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bound_batches, connected_components, discard, gram_hashes, mix, pieces, signed, small, spread_join, union_all, word_hashes, written
+from .common import bound_batches, connected_components, discard, gram_hashes, mix, pieces, signed, small, spread_join, tidy, union_all, word_hashes, written
 
 #: In step 1, partners share one prefix gram more for each so many grams.
 SLACK = 16
@@ -84,6 +84,7 @@ def signature(grams: np.ndarray) -> int:
 def _batches(n: int, emit: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Runs ``emit(batch, first row, sets)`` over runs of texts of a batch with a column __text."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in pieces(batch.column("__text")):
@@ -151,6 +152,7 @@ def choose_prefix(df: np.ndarray, size: int, need: int) -> tuple[int, int]:
 def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """(k, size, pairs: rising (df, h) of grams that others have) to (k, size, l, grams, m): m of the ordered grams are the prefix."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ks, sizes, pairs = batch.column("k").to_pylist(), batch.column("size").to_pylist(), batch.column("pairs")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PIECE_BYTES, bound_batches, small, written
+from .common import PIECE_BYTES, bound_batches, small, tidy, written
 
 WINDOW = 192
 WIDTHS = (2, 3, 4)
@@ -186,6 +186,7 @@ def predicted(text: Column, net: Network | None) -> Column:
     """struct<lang, score> of a text column under a trained network."""
 
     @F.arrow_udf("struct<lang: string, score: double>")
+    @tidy
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tables = net.tables() if net else []
         for texts in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, gram_hashes, pieces, signed, spread_join, word_hashes, written
+from .common import bound_batches, gram_hashes, pieces, signed, spread_join, tidy, word_hashes, written
 
 _LOW = np.uint64(0xFFFFFFFF)
 #: Words of the first level at most.
@@ -91,6 +91,7 @@ def anchor_rows(window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     for its windows (hash in mid, start in mid_at), or two, to either side; lead is 1 on one row of each first gram."""
     base, middle = levels_of(window)[:2]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("__key").to_numpy(zero_copy_only=False)
@@ -118,6 +119,7 @@ def window_rows(window: int, below: int, length: int) -> Callable[[Iterator[pa.R
     """(key, text, places: starts of surviving grams of ``below`` words) to (h, key, at): grams of ``length`` words of the windows that these stand for."""
     base = levels_of(window)[0]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("__key").to_numpy(zero_copy_only=False)
@@ -223,6 +225,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     lists = written(places.join(_per_key(once, "alone"), "__key", "left"), "lists")
 
     @F.arrow_udf(KEPT)
+    @tidy
     def kept(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for column, survived, single in batches:
             out: list[dict] = []

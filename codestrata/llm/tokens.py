@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, tidy
 
 #: Characters of a chunk and of the overlap of two.
 CHUNK, OVERLAP = 8192, 512
@@ -131,6 +131,7 @@ def token_count(text: Column, path: str) -> Column:
     """A column with the number of tokens of a text under the tokenizer file at ``path`` (the same path on every machine)."""
 
     @F.arrow_udf("long")
+    @tidy
     def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = load(path)
         for texts in batches:
