@@ -83,6 +83,20 @@ def _stretches(below: Column) -> Column:
     return F.array_distinct(F.concat(names, ends, dirs))
 
 
+def _piece(head: Column, tail: Column, inner: Column) -> Column:
+    return F.named_struct(F.lit("head"), head, F.lit("tail"), tail, F.lit("inner"), inner)
+
+
+def _wild_keys(pattern: Column) -> Column:
+    """struct<head, tail, inner>: literal texts that begin, end and lie within whatever a rule with wildcards fits. ``inner`` is '' where head and tail
+    together are as long."""
+    head, tail = F.regexp_extract(pattern, r"^([^*?\[]*)", 1), F.regexp_extract(pattern, r"([^*?\[\]]*)$", 1)
+    pieces = F.split(F.regexp_replace(pattern, r"\[!?\]?[^\]]*\]", "*"), r"[*?\[\]]")
+    longest = F.element_at(F.array_sort(F.transform(pieces, lambda x: F.named_struct(F.lit("n"), -F.length(x), F.lit("text"), x))), 1)["text"]
+    by_ends = F.length(head) + F.length(tail) >= F.length(longest)
+    return _piece(F.when(by_ends, head).otherwise(""), F.when(by_ends, tail).otherwise(""), F.when(by_ends, "").otherwise(longest))
+
+
 def apply_gitignore(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Rows of ``files`` (repo, path, ...) that the last matching rule of their repository does not ignore.
 
@@ -90,34 +104,37 @@ def apply_gitignore(files: DataFrame, rules: DataFrame) -> DataFrame:
     behind any directories. A rule that ends in '/' holds for directories: it is tried on each directory above the file.
 
     Rules without wildcards are met by equality: every path brings, for each directory above it, the texts that such a rule may have, and these are
-    joined on (repo, base, text). Of the others, '*' and a plain ending without '/' goes by equality of the last character run from its dot on;
-    only what is left is tried on the paths below its own directory.
+    joined on (repo, base, text). Of the others, '*' and a plain ending without '/' goes by equality of the last character run from its dot on. The rest
+    is met by equality of literal pieces: the begin and end of a text, of the lengths that rules of its directory have, or, for rules whose longest
+    piece lies between wildcards, all stretches of that length; only pairs of equal pieces are tried. Rules without any literal character are tried on all.
     """
+    rules = cut(rules)
     literal = ~F.col("pattern").rlike(r"[*?\[]")
     kind = F.when(F.col("dir_only") & F.col("anchored"), F.array(F.lit("dir"))).when(F.col("dir_only"), F.array(F.lit("name"))).when(F.col("anchored"), F.array(F.lit("end"))).otherwise(F.array(F.lit("name"), F.lit("file")))
     plain = rules.where(literal).select("repo", "base", F.col("pattern").alias("text"), F.explode(kind).alias("kind"), "negated", "ord")
     by_suffix = ~F.col("anchored") & F.col("pattern").rlike(r"^\*\.[^*?\[./]+$")
     suffixed = rules.where(by_suffix).select("repo", "base", F.expr("substring(pattern, 2)").alias("text"), F.explode(F.when(F.col("dir_only"), F.array(F.lit("name"))).otherwise(F.array(F.lit("name"), F.lit("file")))).alias("kind"), "negated", "ord")
+    regex = F.arrow_udf(_glob_regex, "string")
+    wild = rules.where(~literal & ~by_suffix).select("repo", "base", F.explode(kind).alias("kind"), regex(F.col("pattern")).alias("glob"), "negated", "ord", F.inline(F.array(_wild_keys(F.col("pattern")))))
+    lengths = [F.length(x).alias(x) for x in ("head", "tail", "inner")]
+    wild = cut(wild.withColumn("shape", F.struct("kind", *lengths)))
+
     ways = files.select("repo", "path").select("repo", "path", F.inline(_ways(F.col("path"))))
-    based = ways.join(rules.select("repo", "base").distinct(), ["repo", "base"], "left_semi")
-    met = based.select("repo", "path", "base", F.inline(_stretches(F.col("below")))).join(plain, ["repo", "base", "text", "kind"]).select("repo", "path", "negated", "ord")
+    shapes = wild.groupBy("repo", "base").agg(F.collect_set("shape").alias("shapes"))
+    bases = small(cut(rules.select("repo", "base").distinct().join(shapes, ["repo", "base"], "left")), 256)
+    based = ways.join(bases, ["repo", "base"])
+    stretches = based.select("repo", "path", "base", "shapes", F.inline(_stretches(F.col("below"))))
+    met = stretches.join(plain, ["repo", "base", "text", "kind"]).select("repo", "path", "negated", "ord")
     ends = F.transform(F.sequence(F.lit(1), F.size("below")), lambda i: F.struct(F.regexp_extract(F.element_at("below", i), r"(\.[^.]*)$", 1).alias("text"), F.when(i == F.size("below"), "file").otherwise("name").alias("kind")))
     met = met.unionByName(based.select("repo", "path", "base", F.inline(F.array_distinct(ends))).join(suffixed, ["repo", "base", "text", "kind"]).select("repo", "path", "negated", "ord"))
 
-    regex = F.arrow_udf(_glob_regex, "string")
-    wild = rules.where(~literal & ~by_suffix).withColumn("glob", regex(F.col("pattern"))).withColumn("deep", regex(F.concat(F.lit("**/"), F.col("pattern"))))
-    parts, below = F.col("below"), F.array_join("below", "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    dirs = F.when(F.size(parts) > 1, above).otherwise(F.array().cast("array<string>"))
-    whole = lambda p: F.regexp_like(p, F.col("glob")) | F.regexp_like(p, F.col("deep"))
-    part = lambda p: F.regexp_like(p, F.col("glob"))
-    hit = (
-        F.when(F.col("dir_only") & F.col("anchored"), F.exists(dirs, whole))
-        .when(F.col("dir_only"), F.exists(F.slice(parts, 1, F.greatest(F.lit(0), F.size(parts) - 1)), part))
-        .when(F.col("anchored"), whole(below))
-        .otherwise(F.exists(parts, part))
-    )
-    met = met.unionByName(based.join(wild, ["repo", "base"]).where(hit).select("repo", "path", "negated", "ord"))
+    text, shape, n = F.col("text"), F.col("shape"), F.length("text")
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), n - shape["inner"] + 1), lambda i: _piece(F.lit(""), F.lit(""), F.substring(text, i, shape["inner"]))))
+    around = F.array(_piece(F.left(text, shape["head"]), F.right(text, shape["tail"]), F.lit("")))
+    fitting = stretches.select("repo", "path", "base", "text", "kind", F.explode("shapes").alias("shape")).where((shape["kind"] == F.col("kind")) & (n >= F.greatest(shape["head"], shape["tail"], shape["inner"])))
+    tried = fitting.select("repo", "path", "base", "text", "shape", F.inline(F.when(shape["inner"] > 0, pieces).otherwise(around)))
+    pairs = tried.join(wild.select("repo", "base", "shape", "head", "tail", "inner", "glob", "negated", "ord"), ["repo", "base", "shape", "head", "tail", "inner"])
+    met = met.unionByName(pairs.where(F.regexp_like("text", F.col("glob"))).select("repo", "path", "negated", "ord"))
     ignored = met.groupBy("repo", "path").agg(F.max_by("negated", "ord").alias("negated")).where("NOT negated").select("repo", "path")
     return files.join(ignored, ["repo", "path"], "left_anti")
 

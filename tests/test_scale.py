@@ -2,6 +2,7 @@
 
 import fnmatch
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -155,6 +156,21 @@ def test_ten_thousand_ignore_rules(spark):
     assert kept == want
 
 
+def test_wild_ignore_rules_are_met_by_their_literal_pieces(spark):
+    """Ten thousand rules with wildcards against twenty thousand paths: pairs are made of equal pieces alone, whichever piece a rule has."""
+    lines = [(f"f{i}.*", f"d{i % 50}/f{i}.*", f"*_{i}_?", f"/d?/*{i}.md")[i % 4] for i in range(10_000)] + ["!*[7]*.x", "f1[0-2]*.y*/"]
+    raw = spark.createDataFrame([("r", ".gitignore", bytearray("\n".join(lines).encode()))], "repo string, path string, content binary")
+    rules = repository.gitignore_rules(raw)
+    names = spark.range(20_000).select(F.lit("r").alias("repo"), F.format_string("d%d/f%d.x", F.col("id") % 50, "id").alias("path"))
+    names = names.unionByName(spark.createDataFrame([("r", p) for p in ("a/b_6_c", "a/b_6_cc", "d1/x7.md", "d11/x7.md", "e/d1/q/007.md", "f11.yz/a", "f13.yz/a", "a/f14.y", "[a/x")], "repo string, path string"))
+    began = time.time()
+    got = {x.path for x in repository.apply_gitignore(names, rules).collect()}
+    assert time.time() - began < 60
+    ignored = lambda i: i < 10_000 and i % 4 in (0, 1) and "7" not in f"f{i}"
+    want = {f"d{i % 50}/f{i}.x" for i in range(20_000) if not ignored(i)} | {"a/b_6_cc", "d11/x7.md", "f13.yz/a", "a/f14.y", "[a/x"}
+    assert got == want
+
+
 def test_audit_of_all_rules_equals_joins(spark):
     """All 23 rules at once against a plain look-up, with null keys, repeated rows and flows of equal node names."""
     from codestrata.operators import quality
