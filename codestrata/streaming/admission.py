@@ -6,11 +6,13 @@ import time
 import uuid
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -88,50 +90,66 @@ def admit_stream(requests: DataFrame, window_ms: int = fixed.WINDOW_MS) -> DataF
 EVENT_TIME_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: A waiting request as it lies in the state, and so many of them at most in one piece.
+REQUEST, PIECE = np.dtype([("ms", "<i8"), ("id", "<i8"), ("max_n", "<i4")]), 10_000
+
+
 class _Judge(StatefulProcessor):
-    """Admissions of one key in event time: requests wait in a map until the watermark has passed them, so that none can come before them any more."""
+    """Admissions of one key in event time: requests wait until the watermark has passed them, so that none can come before them any more.
+
+    Each call to the state goes to the JVM and back, so a batch's requests of a key are appended as packed pieces, and a key has one timer alone: at its
+    earliest waiting request, or else where its last admission ends.
+    """
 
     def __init__(self, window_ms: int):
         self.window_ms = window_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "ms long, id long", "max_n int, n int")
-        self.log = handle.getValueState("log", "admitted array<long>")
+        self.waiting = handle.getListState("waiting", "requests binary")
+        self.state = handle.getValueState("state", "timer long, admitted array<long>")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  the names are Spark's
-        for pdf in rows:
-            for ms, i, most in zip(pdf["ms"], pdf["id"], pdf["max_n"], strict=True):
-                at = (int(ms), int(i))
-                n = self.waiting.getValue(at)[1] if self.waiting.containsKey(at) else 0
-                self.waiting.updateValue(at, (int(most), n + 1))
-            for ms in set(pdf["ms"]):
-                self.handle.registerTimer(int(ms))
+        first = None
+        while some := list(islice(rows, PIECE)):
+            new = np.array([(x.ms, x.id, x.max_n) for x in some], REQUEST)
+            self.waiting.appendValue((new.tobytes(),))
+            first = min(x for x in (first, int(new["ms"].min())) if x is not None)
+        timer, log = self.state.get() or (None, [])
+        if timer is None or first < timer:
+            self._wait_for(first, timer, log)
         return iter(())
 
+    def _wait_for(self, timer: int, before: int | None, log: list[int]) -> None:
+        if before is not None:
+            self.handle.deleteTimer(before)
+        self.handle.registerTimer(timer)
+        self.state.update((timer, log))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        log = deque(self.log.get()[0]) if self.log.exists() else deque()
-        out = []
-        due = sorted((tuple(at), tuple(v)) for at, v in self.waiting.iterator() if at[0] <= now)
-        for (ms, i), (most, n) in due:
-            self.waiting.removeKey((ms, i))
-            for _ in range(n):
-                while log and ms - log[0] >= self.window_ms:
-                    log.popleft()
-                ok = len(log) < most
-                if ok:
-                    log.append(ms)
-                out.append((key[0], i, ok, most - len(log) if ok else 0, None if ok else max(1, -(-(log[0] + self.window_ms - ms) // 1000)) if log else None))
+        log = deque(self.state.get()[1])
+        pieces = [np.frombuffer(x[0], REQUEST) for x in self.waiting.get()]
+        waiting = np.concatenate([np.empty(0, REQUEST), *pieces])
+        late = waiting["ms"] > now
+        due, rest = np.sort(waiting[~late], order=["ms", "id", "max_n"]), waiting[late]
+        for ms, i, most in due.tolist():
+            while log and ms - log[0] >= self.window_ms:
+                log.popleft()
+            ok = len(log) < most
+            if ok:
+                log.append(ms)
+            yield Row(key=key[0], id=i, allowed=ok, remaining=most - len(log) if ok else 0, retry_after=None if ok else max(1, -(-(log[0] + self.window_ms - ms) // 1000)) if log else None)
         while log and now - log[0] >= self.window_ms:
             log.popleft()
-        if not log:
-            self.log.clear()
-        elif due:
-            self.log.update((list(log),))
-            self.handle.registerTimer(log[-1] + self.window_ms)  # then the key's state can go
-        if out:
-            yield pd.DataFrame(out, columns=["key", "id", "allowed", "remaining", "retry_after"]).astype({"retry_after": "Int64"})
+        if len(rest) and len(due):
+            self.waiting.put([(rest[at : at + PIECE].tobytes(),) for at in range(0, len(rest), PIECE)])
+        elif len(due):
+            self.waiting.clear()
+        if len(rest) or log:
+            self._wait_for(int(rest["ms"].min()) if len(rest) else log[-1] + self.window_ms, None, list(log))
+        else:
+            self.state.clear()
 
     def close(self) -> None:
         pass
@@ -145,7 +163,7 @@ def admit_in_event_time(requests: DataFrame, delay: str, window_ms: int = fixed.
     the last. Needs the RocksDB state store (``spark.sql.streaming.stateStore.providerClass``).
     """
     timed = requests.withColumn("at", F.timestamp_millis("ms")).withWatermark("at", delay)
-    return timed.groupBy("key").transformWithStateInPandas(_Judge(window_ms), outputStructType=f"key string, {ADMITTED}", outputMode="Append", timeMode="EventTime")
+    return timed.groupBy("key").transformWithState(_Judge(window_ms), outputStructType=f"key string, {ADMITTED}", outputMode="Append", timeMode="EventTime")
 
 
 def split_by_cache(files: DataFrame, cached: DataFrame) -> tuple[DataFrame, DataFrame]:
