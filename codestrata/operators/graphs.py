@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scratch import cut, small
+from ..functions.scratch import BATCH_ROWS, bound_batches, cut, kept, small
 
 
 def flows(routes: DataFrame, calls: DataFrame, symbols: DataFrame, nodes: int = 12, depth: int = 5) -> tuple[DataFrame, DataFrame]:
@@ -223,14 +225,85 @@ def dependency_cycles(imports: DataFrame, most: int = WALK_EDGES) -> DataFrame:
     return few(edges.join(small(large, 64), "repo", "left_anti")).unionByName(big)
 
 
-def short_cycles(imports: DataFrame, longest: int = 4) -> DataFrame:
-    """(repo, cycle): all simple cycles of at most ``longest`` files, from their least file on. Joins alone, for graphs of any size."""
-    e = imports.where("target IS NOT NULL").select("repo", F.col("file").alias("a"), F.col("target").alias("b")).distinct()
+#: Steps of paths that are taken at once in a task.
+STEPS = 1 << 20
+
+
+def short_cycles_of(a: np.ndarray, b: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(length, rows of nodes) of the simple cycles of at most ``longest`` nodes over edges a -> b of numbered nodes, each from its least node on.
+
+    Paths are grown from all edges at once, as far as a path's nodes stay above its first; at most STEPS steps (or those of one path) are held for each length.
+    """
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    yield 1, a[a == b][:, None]
+    first = np.searchsorted(a, np.arange(max(a.max(initial=-1), b.max(initial=-1)) + 2))
+    edge = a * len(first) + b
+
+    def grown(paths: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        at = paths[:, -1]
+        back = at * len(first) + paths[:, 0]
+        place = np.minimum(np.searchsorted(edge, back), len(edge) - 1)
+        yield paths.shape[1], paths[edge[place] == back]
+        if paths.shape[1] == longest:
+            return
+        steps = first[at + 1] - first[at]
+        ends = np.cumsum(steps)
+        begin = 0
+        while begin < len(paths):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + STEPS, "right")))
+            n = steps[begin:end]
+            of = np.repeat(np.arange(begin, end), n)
+            new = b[np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + first[at[of]]]
+            good = (new > paths[of, 0]) & (new[:, None] != paths[of, 1:]).all(axis=1)
+            if good.any():
+                yield from grown(np.column_stack((paths[of[good]], new[good])))
+            begin = end
+
+    for begin in range(0, len(a), STEPS):
+        some = slice(begin, begin + STEPS)
+        up = b[some] > a[some]
+        if longest > 1 and up.any():
+            yield from grown(np.column_stack((a[some][up], b[some][up])))
+
+
+def short_cycles(imports: DataFrame, longest: int = 4, most: int = WALK_EDGES) -> DataFrame:
+    """(repo, cycle): all simple cycles of at most ``longest`` files, from their least file on.
+
+    Paths outnumber edges by far, so they are not shuffled: a repository of at most ``most`` imports is one group, whose task grows the paths in bounded
+    steps. Larger ones go by joins alone, in which the last step is a join on both of its ends.
+    """
+    bound_batches(imports.sparkSession)
+
+    def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(group))
+        names, codes = np.unique(np.concatenate([table[c].to_numpy() for c in ("a", "b")]), return_inverse=True)  # by code points, as strings are compared
+        edges = np.unique(codes.reshape(2, -1), axis=1).astype(np.int64)
+        text, repo = pa.array(names, pa.string()), table["repo"][0].as_py()
+        for length, cycles in short_cycles_of(*edges, longest):
+            for at in range(0, len(cycles), BATCH_ROWS * 20):
+                some = cycles[at : at + BATCH_ROWS * 20]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, some.size + 1, length), pa.int32()), text.take(pa.array(some.reshape(-1))))
+                yield pa.RecordBatch.from_arrays([pa.array([repo] * len(some), pa.string()), lists], names=["repo", "cycle"])
+
+    edges = kept(imports.where("target IS NOT NULL").select("repo", F.col("file").alias("a"), F.col("target").alias("b")))
+    large = cut(edges.groupBy("repo").count().where(F.col("count") > most).select("repo"))
+    few = lambda df: df.groupBy("repo").applyInArrow(run, "repo string, cycle array<string>")
+    if not large.limit(1).count():
+        return few(edges)
+    big = short_cycles_by_joins(edges.join(small(large, 64), "repo", "left_semi").distinct(), longest)
+    return few(edges.join(small(large, 64), "repo", "left_anti")).unionByName(big)
+
+
+def short_cycles_by_joins(e: DataFrame, longest: int) -> DataFrame:
+    """The same for distinct edges (repo, a, b), by joins alone."""
     paths = e.where("b >= a").select("repo", F.col("a").alias("start"), F.col("b").alias("at"), F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b")).alias("path"))
     out = paths.where("start = at").select("repo", F.col("path").alias("cycle"))
     paths = paths.where("start < at")
-    for _ in range(longest - 1):
-        step = paths.join(e.withColumnRenamed("a", "at"), ["repo", "at"])
-        out = out.unionByName(step.where("b = start").select("repo", F.col("path").alias("cycle")))
-        paths = step.where((F.col("b") > F.col("start")) & ~F.array_contains("path", F.col("b"))).select("repo", "start", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"))
+    back = e.select("repo", F.col("a").alias("at"), F.col("b").alias("start"))
+    for length in range(2, longest + 1):
+        out = out.unionByName(paths.join(back, ["repo", "at", "start"], "left_semi").select("repo", F.col("path").alias("cycle")))
+        if length < longest:
+            step = paths.join(e.withColumnRenamed("a", "at"), ["repo", "at"])
+            paths = step.where((F.col("b") > F.col("start")) & ~F.array_contains("path", F.col("b"))).select("repo", "start", F.col("b").alias("at"), F.concat("path", F.array("b")).alias("path"))
     return out

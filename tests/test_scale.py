@@ -37,6 +37,31 @@ def test_cycles_of_a_repository_of_many_files(spark):
     assert sizes.agg(F.max("count")).first()[0] == 3
 
 
+def test_short_cycles_of_dense_repositories_move_edges_alone(spark):
+    """Both ways against plain search, and a repository of 40 000 edges in which 2 million paths of three files would be shuffled."""
+    r = random.Random(8)
+    edges = [(g, f"é{r.randrange(9)}", f"é{r.randrange(9)}") for g in "xyz" for _ in range(40)] + [("x", "b", None)]
+    want = set()
+    for g in "xyz":
+        out = {}
+        for _, a, b in {e for e in edges if e[0] == g and e[2]}:
+            out.setdefault(a, set()).add(b)
+        todo = [(a,) for a in out]
+        while todo:
+            p = todo.pop()
+            want |= {(g, p)} if p[0] in out.get(p[-1], ()) else set()
+            todo += [(*p, b) for b in out.get(p[-1], ()) if len(p) < 4 and b > p[0] and b not in p]
+    e = spark.createDataFrame(edges, "repo string, file string, target string")
+    for most in (1, 50, 100_000):
+        got = [(x.repo, tuple(x.cycle)) for x in graphs.short_cycles(e, 4, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    n = F.col("id")
+    dense = spark.range(40_000).select(F.lit("r").alias("repo"), F.format_string("f%03d", n % 200).alias("file"), F.format_string("f%03d", F.floor(n / 200)).alias("target")).where("hash(file, target) % 4 = 0")
+    plan = graphs.short_cycles(dense, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "FlatMapGroupsInArrow" in plan
+    assert graphs.short_cycles(dense, 3).count() == graphs.short_cycles(dense, 3, 1).count() > 10_000
+
+
 def test_running_total_of_giant_and_small_groups(spark):
     r = random.Random(1)
     rows = [("giant" if r.random() < 0.7 else f"g{r.randrange(40)}", i, r.choice([None, 0, 5, 17])) for i in range(5000)]
