@@ -5,11 +5,14 @@ Every table is keyed by ``repo``. Ties that the order of a set would decide go t
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.columns import ends_with_any, normal_path, parent_of, suffix_of
+from ..functions.scratch import bound_batches, cut, kept, small
 
 
 def package_roots(files: DataFrame) -> DataFrame:
@@ -74,18 +77,83 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame) ->
     return out.drop("roots", "aliases", "__c").withColumn("external", F.col("target").isNull() & ~F.col("module").startswith("."))
 
 
-def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+#: Calls, symbols and imports of a repository that are resolved in one task; those of larger ones are joined.
+RESOLVE_ROWS = 200_000
+
+
+def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, most: int = RESOLVE_ROWS) -> DataFrame:
     """Calls with target and confidence, by the first tier that holds.
 
     1. dotted, and the only symbol of that name in an imported file (the least such file); 2. the only one in the same file; 3. the only one
-    in the repository, dotted or bare; else open. Tables of unique names are aggregated first, so joins stay one to one.
+    in the repository, dotted or bare; else open.
+
+    The names that a call may mean through all imports of its file outnumber the calls by far, so they are looked up and not shuffled: calls, symbols and
+    imports of a repository of at most ``most`` rows in all meet in one task. Larger ones go by joins (``resolve_by_joins``). Calls, and pairs of
+    files, are written once, since they are counted first.
     """
+    bound_batches(calls.sparkSession)
+    rows = kept(calls.drop("target", "confidence"))
     named = symbols.where("type <> 'module'").select("repo", "file", "name", "id")
+    reach = kept(imports.where("target IS NOT NULL").select("repo", "file", F.col("target").alias("to")))
+    # Rows without a repository match nothing.
+    named, reach = named.where("repo IS NOT NULL"), reach.where("repo IS NOT NULL")
+    counts = [df.groupBy("repo").agg(F.count("*").alias("n")) for df in (rows, named, reach)]
+    large = cut(counts[0].unionByName(counts[1]).unionByName(counts[2]).groupBy("repo").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("repo"))
+    kind = dict(symbols.dtypes)["id"]
+    schema = T.StructType([*rows.schema, T.StructField("target", T._parse_datatype_string(kind)), T.StructField("confidence", T.DoubleType())])
+    some = bool(large.limit(1).count())
+    few = [df.join(small(large, 64), "repo", "left_anti") if some else df for df in (rows, named, reach)]
+    facts = few[1].select("repo", F.lit(None).cast("string").alias("from"), "file", "name", "id").unionByName(few[2].select("repo", F.col("file").alias("from"), F.col("to").alias("file"), F.lit(None).cast("string").alias("name"), F.lit(None).cast(kind).alias("id")))
+    out = few[0].select("repo", *(c for c in rows.columns if c != "repo")).groupBy("repo").cogroup(facts.groupBy("repo")).applyInArrow(_resolved, T.StructType([schema["repo"], *(f for f in schema if f.name != "repo")]))
+    if not some:
+        return out.select(schema.names)
+    big = resolve_by_joins(*(df.join(small(large, 64), "repo", "left_semi") for df in (rows, named, reach.distinct())))
+    return out.select(schema.names).unionByName(big)
+
+
+def _resolved(calls: pa.Table, facts: pa.Table) -> pa.Table:
+    """One repository's calls with target and confidence; ``facts`` are its symbols (file, name, id) and pairs of files (from, file)."""
+    in_file: dict[tuple[str, str], str | None] = {}
+    in_repo: dict[str, str | None] = {}
+    reach: dict[str, set[str]] = {}
+    holders: dict[str, set[str]] = {}
+    for begin, file, name, i in zip(*(facts[c].to_pylist() for c in ("from", "file", "name", "id")), strict=True):
+        if begin is not None:
+            reach.setdefault(begin, set()).add(file)
+        elif name is not None:
+            in_repo[name] = None if name in in_repo else i
+            if file is not None:
+                in_file[file, name] = None if (file, name) in in_file else i
+                holders.setdefault(name, set()).add(file)
+    imported: dict[tuple[str, str], str | None] = {}
+    targets, confidence = [], []
+    for file, callee in zip(calls["file"].to_pylist(), calls["callee"].to_pylist(), strict=True):
+        dotted = callee is not None and "." in callee
+        name = callee.rsplit(".", 1)[-1] if dotted else callee
+        here = in_file.get((file, name))
+        to = None
+        if dotted and name in holders:
+            if (file, name) not in imported:
+                way, held = reach.get(file, ()), holders[name]
+                few, many = (way, held) if len(way) < len(held) else (held, way)
+                least = min((f for f in few if f in many and in_file[f, name] is not None), default=None)
+                imported[file, name] = None if least is None else in_file[least, name]
+            to = imported[file, name]
+        everywhere = in_repo.get(name)
+        tiers = ((to, fixed.CALL_IMPORTED), (here, fixed.CALL_LOCAL), (everywhere, fixed.CALL_DOTTED if dotted else fixed.CALL_BARE), (None, fixed.CALL_OPEN))
+        target, sure = next((x for x in tiers if x[0] is not None), tiers[-1])
+        targets.append(target)
+        confidence.append(sure)
+    return calls.append_column("target", pa.array(targets, facts.schema.field("id").type)).append_column("confidence", pa.array(confidence, pa.float64()))
+
+
+def resolve_by_joins(rows: DataFrame, named: DataFrame, reach: DataFrame) -> DataFrame:
+    """The same for calls, symbols other than modules, and distinct pairs of files (repo, file, to), by joins alone. Tables of unique names are
+    aggregated first, so joins stay one to one."""
     in_file = named.groupBy("repo", "file", "name").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").drop("n")
     in_repo = named.groupBy("repo", "name").agg(F.count("*").alias("n"), F.min("id").alias("everywhere")).where("n = 1").drop("n")
-    rows = calls.drop("target", "confidence").withColumn("name", F.substring_index("callee", ".", -1)).withColumn("dotted", F.instr("callee", ".") > 0)
-    reach = imports.where("target IS NOT NULL").select("repo", "file", F.col("target").alias("to")).distinct()
-    wanted = rows.where("dotted").select("repo", "file", "name").distinct()
+    rows = rows.withColumn("name", F.substring_index("callee", ".", -1)).withColumn("dotted", F.instr("callee", ".") > 0)
+    wanted = rows.where("dotted").select("repo", "file", "name").distinct().join(named.select("repo", "name").distinct(), ["repo", "name"], "left_semi")
     far = wanted.join(reach, ["repo", "file"]).join(in_file.withColumnRenamed("file", "to"), ["repo", "to", "name"]).groupBy("repo", "file", "name").agg(F.min_by("id", "to").alias("imported"))
     out = rows.join(far, ["repo", "file", "name"], "left").join(in_file.withColumnRenamed("id", "here"), ["repo", "file", "name"], "left").join(in_repo, ["repo", "name"], "left")
     imported = F.when(F.col("dotted"), F.col("imported"))

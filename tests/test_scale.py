@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from codestrata.functions.prefix import running_total
-from codestrata.operators import graphs, mounts
+from codestrata.operators import graphs, mounts, resolve
 from codestrata.sources import repository
 
 
@@ -62,6 +62,22 @@ def test_short_cycles_of_dense_repositories_move_edges_alone(spark):
     assert graphs.short_cycles(dense, 3).count() == graphs.short_cycles(dense, 3, 1).count() > 10_000
 
 
+def test_calls_resolve_alike_within_a_task_and_by_joins(spark):
+    """Both ways against each other, with null names and repositories, repeated symbols and modules; the pairs of calls and imports are not shuffled."""
+    r = random.Random(12)
+    pick = lambda *x: r.choice(x)
+    repos = lambda: pick("x", "y", "z", None)
+    symbols = [(repos(), f"f{r.randrange(8)}", pick("a", "b", "c", "d", f"n{i}", None), pick("function", "class", "module"), f"s{i}") for i in range(120)]
+    imports = [(repos(), f"f{r.randrange(8)}", pick(f"f{r.randrange(8)}", None)) for _ in range(60)]
+    calls = [(repos(), f"f{r.randrange(9)}", i, pick("a", "o.a", "b", "p.q.b", "c", "o.c", "o.d", f"n{r.randrange(120)}", f"o.n{r.randrange(120)}", "", "o.", None), "old") for i in range(600)]
+    s = spark.createDataFrame(symbols, "repo string, file string, name string, type string, id string")
+    i = spark.createDataFrame(imports, "repo string, file string, target string")
+    c = spark.createDataFrame(calls, "repo string, file string, ord long, callee string, target string")
+    got = [sorted(map(tuple, resolve.resolve_calls(c, s, i, most).select("repo", "file", "ord", "callee", "target", "confidence").collect()), key=repr) for most in (10**6, 200, 0)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 600 and len({x[-1] for x in got[0]}) == 5
+    assert "SortMergeJoin" not in resolve.resolve_calls(c, s, i)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_running_total_of_giant_and_small_groups(spark):
     r = random.Random(1)
     rows = [("giant" if r.random() < 0.7 else f"g{r.randrange(40)}", i, r.choice([None, 0, 5, 17])) for i in range(5000)]
