@@ -52,18 +52,23 @@ def trace(rows: DataFrame, query: str) -> DataFrame:
     return rows.join(rows.where(F.lower("label").contains(query.lower())).select("repo", "flow").distinct(), ["repo", "flow"], "left_semi")
 
 
+def hits(query: str, symbols: DataFrame, ids: bool = True) -> DataFrame:
+    """Symbols whose name (or id) contains the query, in any case of letters."""
+    found = F.lower("name").contains(query.lower())
+    return symbols.where(found | F.lower("id").contains(query.lower()) if ids else found)
+
+
 def impact(query: str, symbols: DataFrame, imports: DataFrame, calls: DataFrame) -> DataFrame:
-    """(repo, dependent): files that import, and symbols that call, what the query names; distinct."""
-    q = query.lower()
-    hit = symbols.where(F.lower("name").contains(q) | F.lower("id").contains(q))
+    """(repo, dependent): files that import, and symbols that call, what the query names; distinct. Of the calls, those to ``hits`` are enough."""
+    hit = hits(query, symbols)
     a = imports.join(hit.select("repo", F.col("file").alias("target")).distinct(), ["repo", "target"], "left_semi").select("repo", F.col("file").alias("dependent"))
     b = calls.join(hit.select("repo", F.col("id").alias("target")).distinct(), ["repo", "target"], "left_semi").select("repo", F.col("source").alias("dependent"))
     return a.union(b).distinct()
 
 
 def impact_by_name(query: str, symbols: DataFrame, imports: DataFrame, calls: DataFrame) -> DataFrame:
-    """(repo, dependent, relation), one row for each edge; only names are searched."""
-    hit = symbols.where(F.lower("name").contains(query.lower()))
+    """(repo, dependent, relation), one row for each edge; only names are searched. Of the calls, those to ``hits`` are enough."""
+    hit = hits(query, symbols, ids=False)
     a = imports.join(hit.select("repo", F.col("file").alias("target")).distinct(), ["repo", "target"], "left_semi").select("repo", F.col("file").alias("dependent"), F.lit("imports").alias("relation"))
     b = calls.join(hit.select("repo", F.col("id").alias("target")).distinct(), ["repo", "target"], "left_semi").select("repo", F.col("source").alias("dependent"), F.lit("calls").alias("relation"))
     return a.unionByName(b)

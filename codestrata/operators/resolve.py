@@ -111,6 +111,19 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame, most
     return out.select(schema.names).unionByName(big)
 
 
+def resolve_calls_to(hit: DataFrame, calls: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
+    """Those of ``resolve_calls`` that may mean a symbol of ``hit`` (a part of ``symbols``): of a name that a symbol with the id of a hit has.
+
+    What a call means depends on the symbols of its name and on the files that have them alone, so all else is left out before the calls are resolved.
+    """
+    by_id = small(cut(hit.select("repo", "id").distinct()), 64)
+    names = small(cut(symbols.join(by_id, ["repo", "id"], "left_semi").select("repo", "name").distinct()), 40)
+    few = calls.withColumn("__name", F.substring_index("callee", ".", -1)).join(names.withColumnRenamed("name", "__name"), ["repo", "__name"], "left_semi").drop("__name")
+    same = kept(symbols.join(names, ["repo", "name"], "left_semi").select("repo", "file", "name", "type", "id"))
+    ends = small(cut(same.select("repo", F.col("file").alias("target")).distinct()), 64)
+    return resolve_calls(few, same, imports.join(ends, ["repo", "target"], "left_semi"))
+
+
 def _resolved(calls: pa.Table, facts: pa.Table) -> pa.Table:
     """One repository's calls with target and confidence; ``facts`` are its symbols (file, name, id) and pairs of files (from, file)."""
     in_file: dict[tuple[str, str], str | None] = {}

@@ -386,6 +386,11 @@ def _calls(g: dict[str, DataFrame]) -> DataFrame:
     return resolve.resolve_calls(g["calls"], g["symbols"], g["imports"])
 
 
+def _calls_to(hit: DataFrame, g: dict[str, DataFrame]) -> DataFrame:
+    g["imports"] = scratch.kept(g["imports"].select("repo", "file", "target"))
+    return resolve.resolve_calls_to(hit, g["calls"], g["symbols"], g["imports"])
+
+
 @query(f"WITH {CALLS} SELECT * FROM resolved")
 def call_resolution(spark, sf_dir):
     return _calls(corpus.part_graph(spark, sf_dir))
@@ -397,7 +402,8 @@ IMPACT = "hit AS (SELECT * FROM symbols WHERE contains(lower(name), 'only_12') O
 @query(f"WITH {CALLS}, {IMPACT} SELECT repo, file AS dependent FROM imports SEMI JOIN (SELECT repo, file AS target FROM hit) USING (repo, target) UNION SELECT repo, source FROM resolved SEMI JOIN (SELECT repo, id AS target FROM hit) USING (repo, target)")
 def impact_slice(spark, sf_dir):
     g = corpus.part_graph(spark, sf_dir)
-    return graphs.impact("Only_12", g["symbols"], g["imports"], _calls(g))
+    calls = _calls_to(graphs.hits("Only_12", g["symbols"]), g)
+    return graphs.impact("Only_12", g["symbols"], g["imports"], calls)
 
 
 @query(
@@ -405,7 +411,8 @@ def impact_slice(spark, sf_dir):
 )
 def impact_edges(spark, sf_dir):
     g = corpus.part_graph(spark, sf_dir)
-    return graphs.impact_by_name("only_12", g["symbols"], g["imports"], _calls(g))
+    calls = _calls_to(graphs.hits("only_12", g["symbols"], ids=False), g)
+    return graphs.impact_by_name("only_12", g["symbols"], g["imports"], calls)
 
 
 @query(f"WITH {G} SELECT repo, file, count(*) FILTER (type <> 'module') AS symbols, list_sort(list_distinct(list(type))) AS types FROM symbols GROUP BY ALL")

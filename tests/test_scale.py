@@ -75,6 +75,15 @@ def test_calls_resolve_alike_within_a_task_and_by_joins(spark):
     c = spark.createDataFrame(calls, "repo string, file string, ord long, callee string, target string")
     got = [sorted(map(tuple, resolve.resolve_calls(c, s, i, most).select("repo", "file", "ord", "callee", "target", "confidence").collect()), key=repr) for most in (10**6, 200, 0)]
     assert got[0] == got[1] == got[2] and len(got[0]) == 600 and len({x[-1] for x in got[0]}) == 5
+    found = []
+    for query, ids in (("N", True), ("a", False), ("s1", True)):
+        hit = graphs.hits(query, s, ids)
+        few = resolve.resolve_calls_to(hit, c, s, i)
+        wanted = {(x.repo, x.id) for x in hit.collect()}
+        want = [x for x in got[0] if (x[0], x[4]) in wanted]
+        assert [x for x in sorted(map(tuple, few.select("repo", "file", "ord", "callee", "target", "confidence").collect()), key=repr) if (x[0], x[4]) in wanted] == want and few.count() < 600
+        found += want
+    assert len(found) > 5
     assert "SortMergeJoin" not in resolve.resolve_calls(c, s, i)._jdf.queryExecution().executedPlan().toString()
 
 
