@@ -29,6 +29,7 @@ rows fall into one class; other columns are left out; an empty table gives an em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,8 @@ MAX_ERROR = 0.2
 MIN_OVERLAP, VOTE_EVERY, MOST_VOTES = 16, 24, 2
 #: Integers of a part or block of prints, and pairs of keys or of integers that are taken at once.
 GROUP, PAIRS = 1 << 18, 1 << 20
+#: Size of the table of hashes that a part's codes are looked up in first.
+SLOTS = 1 << 23
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -56,17 +59,24 @@ SPAN = max(w for *_, w in filters())
 _GRAY = np.array([0, 1, 3, 2], np.uint32)
 
 
+@cache
+def _pitches() -> tuple[np.ndarray, np.ndarray]:
+    """(bins in use, bins in use x 12: the pitch class of each)."""
+    hz = np.fft.rfftfreq(FRAME, 1 / RATE)
+    use = (hz >= 60) & (hz <= 1800)
+    pitch = np.round(12 * np.log2(hz[use] / 440.0)).astype(int) % 12
+    fold = np.zeros((use.sum(), 12))
+    fold[np.arange(use.sum()), pitch] = 1
+    return use, fold
+
+
 def chroma(samples: np.ndarray) -> np.ndarray:
     """Frames x 12, each frame of unit length (or zero)."""
     if len(samples) < FRAME:
         return np.zeros((0, 12))
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::STEP] * np.hanning(FRAME)
     power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
-    hz = np.fft.rfftfreq(FRAME, 1 / RATE)
-    use = (hz >= 60) & (hz <= 1800)
-    pitch = np.round(12 * np.log2(hz[use] / 440.0)).astype(int) % 12
-    fold = np.zeros((use.sum(), 12))
-    fold[np.arange(use.sum()), pitch] = 1
+    use, fold = _pitches()
     out = np.sqrt(power[:, use] @ fold)
     norm = np.linalg.norm(out, axis=1, keepdims=True)
     return np.divide(out, norm, out=np.zeros_like(out), where=norm > 1e-9)
@@ -80,10 +90,10 @@ def fingerprint(samples: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.uint32)
     total = np.zeros((len(image) + 1, 13))
     total[1:, 1:] = image.cumsum(axis=0).cumsum(axis=1)
-    at = np.arange(n)
 
     def area(x: int, w: int, y: int, h: int) -> np.ndarray:
-        return total[at + x + w, y + h] - total[at + x, y + h] - total[at + x + w, y] + total[at + x, y]
+        low, high = total[x : x + n], total[x + w : x + w + n]
+        return high[:, y + h] - low[:, y + h] - high[:, y] + low[:, y]
 
     out = np.zeros(n, np.uint32)
     for i, (kind, y, h, w) in enumerate(filters()):
@@ -107,9 +117,15 @@ def melody(vector: np.ndarray) -> np.ndarray:
     """A recording for tables without audio: each value is one tone, two octaves between the vector's least and greatest value."""
     v = np.nan_to_num(np.asarray(vector, np.float64), posinf=0, neginf=0)
     step = np.floor((v - v.min()) / max(1e-12, np.ptp(v)) * 23.999)
-    hz = 220.0 * 2.0 ** (step / 12)
+    return _tones()[step.astype(int)].reshape(-1) * 0.5
+
+
+@cache
+def _tones() -> np.ndarray:
+    """The 24 tones of two octaves, a tenth of a second each."""
+    hz = 220.0 * 2.0 ** (np.arange(24) / 12)
     t = np.arange(400) / RATE
-    return np.sin(2 * np.pi * hz[:, None] * t[None]).reshape(-1) * 0.5
+    return np.sin(2 * np.pi * hz[:, None] * t[None])
 
 
 def recorded(vector: np.ndarray, cut: int, gain: float, noise: float, seed: int) -> np.ndarray:
@@ -182,21 +198,43 @@ def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return item, np.arange(len(item)) - (np.cumsum(counts) - counts)[item]
 
 
+def _slots(code: np.ndarray) -> np.ndarray:
+    """Places of codes in a table of SLOTS bits."""
+    return (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(65 - SLOTS.bit_length())
+
+
+def looked_up(code: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index in ``asked``, first place, number of places) of the sorted codes that equal an asked code, or one with a single bit changed.
+
+    Nearly all of the 33 codes that an asked code stands for are in no print of the part, so each distinct one is tried in a table of hashes first, and
+    only what may be there is searched for.
+    """
+    there = np.zeros(SLOTS, bool)
+    there[_slots(code)] = True
+    order = np.argsort(asked, kind="stable")
+    distinct, begin, size = np.unique(asked[order], return_index=True, return_counts=True)
+    found = []
+    for bit in (0, *(1 << b for b in range(1, 33))):  # the lowest bit of a code is its half
+        needle = distinct ^ bit
+        maybe = np.flatnonzero(there[_slots(needle)])
+        low = np.searchsorted(code, needle[maybe], "left")
+        count = np.searchsorted(code, needle[maybe], "right") - low
+        some = np.flatnonzero(count)
+        found.append((maybe[some], low[some], count[some]))
+    which, low, count = (np.concatenate(x) for x in zip(*found, strict=True))
+    item, place = spread(size[which])
+    return order[begin[which[item]] + place], low[item], count[item]
+
+
 def voted(part: Prints, block: Prints) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(query, print, offset, votes) of every offset that got a vote, in runs of queries."""
     code, owner, frame = part.keys()
     order = np.argsort(code, kind="stable")
     code, owner, frame = code[order], owner[order], frame[order]
     q_code, q, q_frame = block.keys()
-    low, count = [], []
-    for bit in (0, *(1 << b for b in range(1, 33))):  # the lowest bit of a code is its half
-        needle = q_code ^ bit
-        low.append(np.searchsorted(code, needle, "left"))
-        count.append(np.searchsorted(code, needle, "right") - low[-1])
-    key, low, count = np.tile(np.arange(len(q)), 33), np.concatenate(low), np.concatenate(count)
-    some = np.flatnonzero(count)
-    some = some[np.argsort(q[key[some]], kind="stable")]
-    key, low, count = key[some], low[some], count[some]
+    key, low, count = looked_up(code, q_code)
+    by_query = np.argsort(q[key], kind="stable")
+    key, low, count = key[by_query], low[by_query], count[by_query]
     # A cell of the histograms is (query, print, offset), the offset counted from the least that a pair of frames of the block and the part can have.
     least = int(block.size.max(initial=0))
     width = least + int(part.size.max(initial=0)) + 1

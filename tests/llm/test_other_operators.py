@@ -418,6 +418,22 @@ def test_audio_votes_are_those_of_all_pairs_of_keys(monkeypatch):
         assert np.allclose(audio.errors(part, block, q, c, offset), plain)
 
 
+def test_audio_keys_are_searched_only_where_they_may_be(monkeypatch):
+    """Equal to trying all 33 codes of each key; of these, few are searched for among a part's codes."""
+    r = np.random.default_rng(6)
+    code = np.sort(r.integers(0, 1 << 33, 3000))
+    near = code[r.integers(0, 3000, 200)] ^ (1 << r.integers(1, 33, 200))
+    asked = np.concatenate((r.integers(0, 1 << 33, 2000), near, near[:50], code[:20]))
+    want = set()
+    for bit in (0, *(1 << b for b in range(1, 33))):
+        low, high = np.searchsorted(code, asked ^ bit, "left"), np.searchsorted(code, asked ^ bit, "right")
+        want |= {(int(i), int(low[i]), int(high[i] - low[i])) for i in np.flatnonzero(high > low)}
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(audio.np, "searchsorted", lambda a, v, side="left": searched.append(np.size(v)) or search(a, v, side))
+    got = [tuple(map(int, x)) for x in zip(*audio.looked_up(code, asked), strict=True)]
+    assert len(got) == len(set(got)) and set(got) == want and sum(searched) < 2 * len(asked)
+
+
 def test_audio_votes_are_not_shuffled(spark):
     """Prints that share most keys: what is shuffled grows with the prints, not with the votes (some 400 000 here)."""
     sc = spark.sparkContext
