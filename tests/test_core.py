@@ -156,6 +156,20 @@ def recursive_cycles(edges):
     return [list(c) for c in sorted(found)]
 
 
+def test_import_candidates_are_computed_once(spark):
+    """An inner explode is filtered by the size of its array, which is then computed in each place; and a trace walks its flows once."""
+    files = spark.createDataFrame([("r", "a/b.py")], "repo string, path string")
+    rows = spark.createDataFrame([("r", "a/c.py", 1, "a.b", ["x"], None), ("r", "a/c.ts", 1, "react", [], None)], "repo string, file string, ord int, module string, names array<string>, target string")
+    none = spark.createDataFrame([], "repo string, aliases array<struct<prefix: string, dest: string>>")
+    out = resolve.resolve_imports(rows, files, none)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(regexp_replace(module") <= 2  # once for relative, once for absolute modules
+    assert sorted((r.module, r.target, r.external) for r in out.collect()) == [("a.b", "a/b.py", False), ("react", None, True)]
+    nodes = spark.range(4).select(F.lit("r").alias("repo"), (F.col("id") % 2).cast("string").alias("flow"), F.format_string("n%d", "id").alias("label"))
+    found = graphs.trace(nodes.withColumn("label", F.upper("label")), "N3")
+    assert "upper" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 2
+
+
 def test_cycles_equal_recursive_walk():
     r = random.Random(4)
     for n in range(2, 40):
